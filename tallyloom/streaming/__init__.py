@@ -1,0 +1 @@
+"""No operator of this engine is a stream; the package holds batch operators only."""
