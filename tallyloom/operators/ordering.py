@@ -42,23 +42,35 @@ def running(
     keys: Sequence[str],
     order: Sequence[Column],
     sums: Mapping[str, str] | None = None,
+    totals: Mapping[str, str | None] | None = None,
     position: str = "position",
     small: bool | None = None,
 ) -> DataFrame:
-    """Add the 1-based position in the group's order and running sums.
+    """Add the 1-based position in the group's order, running sums and totals.
 
-    ``sums`` maps a new column to the column it accumulates.  ``order`` must
-    be total inside a group (end it with a unique key).  ``small`` skips the
-    size question when the caller has already answered it.
+    ``sums`` maps a new column to the column it accumulates, ``totals`` a new
+    column to the column summed over the whole group (``None`` counts rows).
+    ``order`` must be total inside a group (end it with a unique key).
+    ``small`` skips the size question when the caller has answered it.
     """
-    sums = dict(sums or {})
+    sums, totals = dict(sums or {}), dict(totals or {})
     if small is None:
         small = fits_window(df, keys)
+
+    def whole(source: str | None) -> Column:
+        return F.count(F.lit(1)) if source is None else F.sum(source)
+
     if small:
-        upto = Window.partitionBy(*keys).orderBy(*order)
+        group = Window.partitionBy(*keys)
+        upto = group.orderBy(*order)
         rows = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        extra = {name: F.sum(source).over(rows) for name, source in sums.items()}
-        return df.withColumns({position: F.row_number().over(upto).cast("long"), **extra})
+        return df.withColumns(
+            {
+                position: F.row_number().over(upto).cast("long"),
+                **{name: F.sum(source).over(rows) for name, source in sums.items()},
+                **{name: whole(source).over(group) for name, source in totals.items()},
+            }
+        )
 
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = cut(
@@ -74,27 +86,29 @@ def running(
             **{f"_{name}": F.sum(source).over(rows) for name, source in sums.items()},
         }
     )
-    totals = placed.groupBy(*keys, SLICE).agg(
+    slices = placed.groupBy(*keys, SLICE).agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.sum(source).alias(f"_{name}_total") for name, source in sums.items()],
+        *[F.sum(source).alias(f"_{name}_part") for name, source in sums.items()],
+        *[whole(source).alias(f"_{name}_part") for name, source in totals.items()],
     )
-    earlier = (
-        Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = totals.select(
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = slices.select(
         *keys,
         SLICE,
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before"),
         *[
-            F.coalesce(F.sum(f"_{name}_total").over(earlier), F.lit(0)).alias(f"_{name}_before")
+            F.coalesce(F.sum(f"_{name}_part").over(earlier), F.lit(0)).alias(f"_{name}_before")
             for name in sums
         ],
+        *[F.sum(f"_{name}_part").over(group).alias(name) for name in totals],
     )
     joined = inside.alias("l").join(offsets.alias("r"), _match("l", "r", [*keys, SLICE]))
     return joined.select(
         *[F.col(f"l.{c}") for c in df.columns],
         (F.col("_at") + F.col("_rows_before")).alias(position),
         *[(F.col(f"_{name}") + F.col(f"_{name}_before")).alias(name) for name in sums],
+        *[F.col(f"r.{name}") for name in totals],
     )
 
 
@@ -110,8 +124,10 @@ def tie_ranks(
     value: str,
     name: str = "rank",
     descending: bool = False,
+    method: str = "average",
 ) -> DataFrame:
-    """Average-tie rank of ``value`` in its group (null values are left out).
+    """Rank of ``value`` in its group (null values are left out); equal values
+    share their average rank, or with ``method="min"`` their first.
 
     Ties are counted before anything is ordered, so a group's hottest value is
     one row of the ordered table.
@@ -119,10 +135,10 @@ def tie_ranks(
     present = df.filter(F.col(value).isNotNull())
     counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_ties"))
     order = F.col(value).desc() if descending else F.col(value).asc()
+    upto, ties = F.col("_upto"), F.col("_ties")
+    rank = upto - (ties - 1) / F.lit(2.0) if method == "average" else upto - ties + 1
     placed = running(counts, keys, [order], {"_upto": "_ties"}, position="_pos").select(
-        *keys,
-        value,
-        (F.col("_upto") - (F.col("_ties") - 1) / F.lit(2.0)).alias(name),
+        *keys, value, rank.alias(name)
     )
     return present.join(placed, [*keys, value])
 
