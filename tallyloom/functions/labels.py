@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 # Thresholds and the words they stand for.
 STARS = ((0.001, "***"), (0.01, "**"), (0.05, "*"))
-EFFECT_WORDS = ((0.8, "large"), (0.5, "medium"), (0.2, "small"))
-CORRELATION_WORDS = ((0.7, "strong"), (0.4, "moderate"), (0.2, "weak"))
-ETA_WORDS = ((0.14, "large"), (0.06, "medium"))
-QUALITY_WORDS = ((90, "excellent"), (80, "good"), (70, "fair"), (60, "acceptable"))
+EFFECT_WORDS = ((0.8, "Large"), (0.5, "Medium"), (0.2, "Small"))
+CORRELATION_EFFECT_WORDS = ((0.5, "Large"), (0.3, "Medium"), (0.1, "Small"))
+CORRELATION_STRENGTHS = ((0.7, "Strong"), (0.3, "Moderate"))
+ETA_WORDS = ((0.14, "Large"), (0.06, "Medium"))
+QUALITY_LEVELS = ((90, "excellent"), (75, "good"), (60, "fair"))
 
 
 def at_least(value: Column, steps: Sequence[tuple[float, str]], otherwise: str) -> Column:
@@ -31,11 +32,23 @@ def stars(p: Column) -> Column:
 
 
 def effect_word(d: Column) -> Column:
-    return at_least(F.abs(d), EFFECT_WORDS, "negligible")
+    return at_least(F.abs(d), EFFECT_WORDS, "Negligible")
 
 
-def correlation_word(r: Column) -> Column:
-    return at_least(F.abs(r), CORRELATION_WORDS, "very weak")
+def correlation_effect_word(r: Column) -> Column:
+    return at_least(F.abs(r), CORRELATION_EFFECT_WORDS, "Negligible")
+
+
+def correlation_strength(r: Column) -> Column:
+    return at_least(F.abs(r), CORRELATION_STRENGTHS, "Weak")
+
+
+def eta_word(eta: Column) -> Column:
+    return at_least(eta, ETA_WORDS, "Small")
+
+
+def quality_level(score: Column) -> Column:
+    return at_least(score, QUALITY_LEVELS, "poor")
 
 
 def right_closed_bin(value: Column, edges: Sequence[float], names: Sequence[str]) -> Column:

@@ -43,17 +43,20 @@ def running(
     order: Sequence[Column],
     sums: Mapping[str, str] | None = None,
     totals: Mapping[str, str | None] | None = None,
+    mins: Mapping[str, str] | None = None,
     position: str = "position",
     small: bool | None = None,
 ) -> DataFrame:
-    """Add the 1-based position in the group's order, running sums and totals.
+    """Add the 1-based position in the group's order, running sums and minima,
+    and totals.
 
-    ``sums`` maps a new column to the column it accumulates, ``totals`` a new
-    column to the column summed over the whole group (``None`` counts rows).
+    ``sums`` (``mins``) maps a new column to the column it accumulates,
+    ``totals`` a new column to the column summed over the whole group (``None``
+    counts rows).
     ``order`` must be total inside a group (end it with a unique key).
     ``small`` skips the size question when the caller has answered it.
     """
-    sums, totals = dict(sums or {}), dict(totals or {})
+    sums, totals, mins = dict(sums or {}), dict(totals or {}), dict(mins or {})
     if small is None:
         small = fits_window(df, keys)
 
@@ -68,6 +71,7 @@ def running(
             {
                 position: F.row_number().over(upto).cast("long"),
                 **{name: F.sum(source).over(rows) for name, source in sums.items()},
+                **{name: F.min(source).over(rows) for name, source in mins.items()},
                 **{name: whole(source).over(group) for name, source in totals.items()},
             }
         )
@@ -84,11 +88,13 @@ def running(
         {
             "_at": F.row_number().over(local).cast("long"),
             **{f"_{name}": F.sum(source).over(rows) for name, source in sums.items()},
+            **{f"_{name}": F.min(source).over(rows) for name, source in mins.items()},
         }
     )
     slices = placed.groupBy(*keys, SLICE).agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.sum(source).alias(f"_{name}_part") for name, source in sums.items()],
+        *[F.min(source).alias(f"_{name}_part") for name, source in mins.items()],
         *[whole(source).alias(f"_{name}_part") for name, source in totals.items()],
     )
     group = Window.partitionBy(*keys)
@@ -101,6 +107,7 @@ def running(
             F.coalesce(F.sum(f"_{name}_part").over(earlier), F.lit(0)).alias(f"_{name}_before")
             for name in sums
         ],
+        *[F.min(f"_{name}_part").over(earlier).alias(f"_{name}_before") for name in mins],
         *[F.sum(f"_{name}_part").over(group).alias(name) for name in totals],
     )
     joined = inside.alias("l").join(offsets.alias("r"), _match("l", "r", [*keys, SLICE]))
@@ -108,6 +115,7 @@ def running(
         *[F.col(f"l.{c}") for c in df.columns],
         (F.col("_at") + F.col("_rows_before")).alias(position),
         *[(F.col(f"_{name}") + F.col(f"_{name}_before")).alias(name) for name in sums],
+        *[F.least(f"_{name}", f"_{name}_before").alias(name) for name in mins],
         *[F.col(f"r.{name}") for name in totals],
     )
 

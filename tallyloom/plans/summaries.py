@@ -138,7 +138,7 @@ def g23_trajectory_sem(spark, sf):
 
 
 @query("g24_pooled_timepoints", f"""WITH {MONTHLY},
-d AS (SELECT l_returnflag, t, feature, avg(value) AS x FROM m GROUP BY 1, 2, 6),
+d AS (SELECT l_returnflag, t, feature, avg(value) AS x FROM m GROUP BY 1, 2, 3),
 p AS (SELECT t, feature, avg(x) AS mean, count(*) AS datasets FROM d GROUP BY 1, 2)
 SELECT t, feature, round(mean, 6) AS mean, datasets, rank() OVER (PARTITION BY t ORDER BY mean DESC) AS rank FROM p""")
 def g24_pooled_timepoints(spark, sf):
