@@ -66,10 +66,9 @@ def first_extract(text: Column, patterns: Sequence[str]) -> Column:
 
 
 def mapped(value: Column, mapping: Mapping, otherwise) -> Column:
-    out = F
-    for key, label in mapping.items():
-        out = out.when(value == F.lit(key), F.lit(label))
-    return out.otherwise(F.lit(otherwise))
+    """Value looked up in a constant map."""
+    pairs = [F.lit(x) for item in mapping.items() for x in item]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), value), F.lit(otherwise))
 
 
 def typed_attributes(attributes: DataFrame, keys: Sequence[str], text: str, rules: Mapping[str, str]) -> DataFrame:
