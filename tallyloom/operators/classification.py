@@ -262,20 +262,18 @@ def label_probabilities(entries: DataFrame, key: str, text: str,
     graded = graded or tr.GRADED_WORDS
     words = [w for lists in graded.values() for ws in lists for w in ws]
     rows = with_found(entries.select(key, text), F.lower(text), words).select(key, "_found")
-    scores = F.array(*[
-        F.struct(
-            F.lit(label if label != "0" else "00").alias("label"),
-            (sum((how_many(ws) * w for ws, w in zip(lists, tr.GRADE_WEIGHTS)), F.lit(0.0))
-             * tr.SYSTEM_WEIGHTS[label[0]]).alias("score"))
-        for label, lists in graded.items()
-    ])
-    rows = rows.withColumn("_scores", F.filter(scores, lambda e: e["score"] > 0))
-    total = lambda c, f: F.aggregate(c, F.lit(0.0), lambda s, e: s + e[f])
-    shares = F.transform("_scores", lambda e: F.struct(e["label"].alias("label"), (e["score"] / F.col("_total")).alias("p")))
-    rows = rows.withColumn("_total", total("_scores", "score"))
-    rows = rows.withColumn("_shares", F.filter(shares, lambda e: e["p"] >= least))
-    rows = rows.withColumn("_kept", total("_shares", "p"))
-    return rows.select(key, F.inline("_shares"), "_kept").select(key, "label", (F.col("p") / F.col("_kept")).alias("probability"))
+    labels = {label if label != "0" else "00": lists for label, lists in graded.items()}
+    scores = {
+        f"_{label}": sum((how_many(ws) * w for ws, w in zip(lists, tr.GRADE_WEIGHTS)), F.lit(0.0))
+        * tr.SYSTEM_WEIGHTS[label[0]]
+        for label, lists in labels.items()
+    }
+    rows = rows.withColumns(scores).withColumn("_total", sum((F.col(c) for c in scores), F.lit(0.0)))
+    share = {c: F.when(F.col("_total") > 0, F.col(c) / F.col("_total")) for c in scores}
+    rows = rows.select(key, *[F.when(p >= least, p).alias(c) for c, p in share.items()])
+    rows = rows.withColumn("_kept", sum((F.coalesce(c, F.lit(0.0)) for c in scores), F.lit(0.0)))
+    long = rows.unpivot([key, "_kept"], list(scores), "_label", "_p").filter(F.col("_p").isNotNull())
+    return long.select(key, F.substring("_label", 2, 9).alias("label"), (F.col("_p") / F.col("_kept")).alias("probability"))
 
 
 def label_statistics(probabilities: DataFrame, key: str, total: int) -> DataFrame:

@@ -237,7 +237,8 @@ def c13_result_table(spark, sf):
                       F.array_join("all_systems", ",").alias("all_systems"), "polarity", r6("confidence", "confidence"))
 
 
-@query("c14_added_words", f"""WITH {TERMS} SELECT id FROM terms WHERE contains(lower(concat_ws(' ', name, definition)), 'nothing else')""")
+@query("c14_added_words", f"""WITH {TERMS} SELECT id FROM terms WHERE contains(lower(concat_ws(' ', name, definition)), 'nothing else')
+  AND lower(trim(name)) NOT IN ({', '.join(f"'{n}'" for n in tr.GENERAL_NAMES)})""")
 def c14_added_words(spark, sf):
     rules = cl.Rules().with_word("C", "nothing else")
     return cut(cl.classify(entries(spark, sf), rules)).filter(
