@@ -86,36 +86,67 @@ def lowest_common_ancestors(common: DataFrame, pairs: DataFrame) -> DataFrame:
     return common.join(higher, ["a", "b", "ancestor"], "left_anti")
 
 
+def with_self(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The closure with every node as its own ancestor at distance 0."""
+    return pairs.select("node", "ancestor", "distance").unionByName(
+        nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance")))
+
+
+def _guarded(condition: Column, value: Column) -> Column:
+    """1 for a node with itself, ``value`` where anything is shared, else 0."""
+    return F.when(F.col("a") == F.col("b"), 1.0).when((F.col("_common") > 0) & condition, value).otherwise(0.0)
+
+
 def similarities(node_pairs: DataFrame, pairs: DataFrame, information: DataFrame, depth: DataFrame) -> DataFrame:
-    """Resnik, Lin, Jiang, depth (lowest and all commons), Jaccard and simple
-    similarity of each pair; a node is fully similar to itself."""
-    common = common_ancestors(node_pairs, pairs)
+    """Resnik, Lin, Jiang, depth and Jaccard similarity of each pair, every
+    node counting as its own ancestor.
+
+    Information falls towards the root, so its maximum over all common
+    ancestors is the one over the lowest; depth needs the lowest themselves.
+    """
+    upward = with_self(pairs, information)
+    common = common_ancestors(node_pairs, upward)
     lowest = lowest_common_ancestors(common, pairs)
     largest = information.agg(F.max("ic")).first()[0]
     ic = information.select(F.col("node").alias("ancestor"), "ic")
     dp = depth.select(F.col("node").alias("ancestor"), "depth")
-    by_common = common.join(ic, "ancestor", "left").join(dp, "ancestor", "left").groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("_common"), F.max("ic").alias("_ic"), F.max("depth").alias("_deep"))
+    by_common = common.join(ic, "ancestor", "left").groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("_common"), F.max("ic").alias("_ic"))
     by_lowest = lowest.join(dp, "ancestor", "left").groupBy("a", "b").agg(F.max("depth").alias("_low"))
-    sizes = pairs.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    side = information.select("node", "ic").join(depth, "node").join(sizes, "node", "left")
+    sizes = upward.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    side = information.select("node", "ic").join(depth, "node").join(sizes, "node")
     own = lambda s: side.select(F.col("node").alias(s), F.col("ic").alias(f"_ic_{s}"), F.col("depth").alias(f"_d_{s}"),
-                                F.coalesce("n", F.lit(0)).alias(f"_n_{s}"))
+                                F.col("n").alias(f"_n_{s}"))
     rows = node_pairs.join(own("a"), "a").join(own("b"), "b").join(by_common, ["a", "b"], "left").join(
-        by_lowest, ["a", "b"], "left").fillna(0, ["_common", "_ic", "_deep", "_low"])
-    found, same = F.col("_common") > 0, F.col("a") == F.col("b")
+        by_lowest, ["a", "b"], "left").fillna(0, ["_common", "_ic", "_low"])
     ic_sum, deepest = F.col("_ic_a") + F.col("_ic_b"), F.greatest("_d_a", "_d_b")
     total = F.col("_n_a") + F.col("_n_b")
-    guard = lambda condition, value: F.when(same, 1.0).when(found & condition, value).otherwise(0.0)
     return rows.select(
         "a", "b",
-        guard(F.lit(largest > 0), F.col("_ic") / F.lit(largest)).alias("resnik"),
-        guard(ic_sum > 0, 2 * F.col("_ic") / ic_sum).alias("lin"),
-        guard(F.lit(largest > 0), 1 - (ic_sum - 2 * F.col("_ic")) / F.lit(2 * largest)).alias("jiang"),
-        guard(deepest > 0, F.col("_low") / deepest).alias("depth"),
-        guard(deepest > 0, F.col("_deep") / deepest).alias("depth_all"),
-        guard(total > 0, F.col("_common") / (total - F.col("_common"))).alias("jaccard"),
-        guard(total > 0, F.col("_common") / (total / 2)).alias("simple"),
+        _guarded(F.lit(largest > 0), F.col("_ic") / F.lit(largest)).alias("resnik"),
+        _guarded(ic_sum > 0, 2 * F.col("_ic") / ic_sum).alias("lin"),
+        _guarded(F.lit(largest > 0), 1 - (ic_sum - 2 * F.col("_ic")) / F.lit(2 * largest)).alias("jiang"),
+        _guarded(deepest > 0, F.col("_low") / deepest).alias("depth"),
+        _guarded(total > 0, F.col("_common") / (total - F.col("_common"))).alias("jaccard"),
+    )
+
+
+def overlap_similarities(node_pairs: DataFrame, pairs: DataFrame, depth: DataFrame) -> DataFrame:
+    """Depth (over all common ancestors), Jaccard and simple similarity on
+    proper ancestors, as the coherence report uses them."""
+    dp = depth.select(F.col("node").alias("ancestor"), "depth")
+    common = common_ancestors(node_pairs, pairs).join(dp, "ancestor").groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("_common"), F.max("depth").alias("_deep"))
+    sizes = pairs.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    side = depth.join(sizes, "node", "left").fillna(0, ["n"])
+    own = lambda s: side.select(F.col("node").alias(s), F.col("depth").alias(f"_d_{s}"), F.col("n").alias(f"_n_{s}"))
+    rows = node_pairs.join(own("a"), "a").join(own("b"), "b").join(common, ["a", "b"], "left").fillna(0, ["_common", "_deep"])
+    deepest, total = F.greatest("_d_a", "_d_b"), F.col("_n_a") + F.col("_n_b")
+    return rows.select(
+        "a", "b",
+        _guarded(deepest > 0, F.col("_deep") / deepest).alias("depth"),
+        _guarded(total > 0, F.col("_common") / (total - F.col("_common"))).alias("jaccard"),
+        _guarded(total > 0, F.col("_common") / (total / 2)).alias("simple"),
     )
 
 

@@ -39,6 +39,7 @@ CLOSURE = f"""RECURSIVE {EDGES}, w AS (SELECT DISTINCT child AS node, parent AS
   UNION SELECT w.node, e.parent, w.distance + 1 FROM w JOIN e ON w.ancestor = e.child),
 clo AS (SELECT node, ancestor, min(distance) AS distance FROM w GROUP BY 1, 2),
 nd AS (SELECT child AS node FROM e UNION SELECT parent FROM e),
+rc AS (SELECT node, ancestor FROM clo UNION ALL SELECT node, node FROM nd),
 dp AS (SELECT nd.node, coalesce(min(distance), 0) AS depth FROM nd LEFT JOIN clo ON nd.node = clo.node AND clo.ancestor = 1 GROUP BY 1),
 ds AS (SELECT nd.node, count(clo.node) + 1 AS descendants FROM nd LEFT JOIN clo ON clo.ancestor = nd.node GROUP BY 1),
 ic AS (SELECT node, descendants, -ln(descendants * 1.0 / (SELECT max(descendants) FROM ds)) AS ic FROM ds)"""
@@ -91,7 +92,7 @@ def d7_annotation_information(spark, sf):
 
 
 PAIRS = """pr AS (SELECT l_partkey AS a, (l_partkey * 7 + 3) % (SELECT max(p_partkey) FROM part) + 1 AS b FROM lineitem WHERE l_partkey > 0 GROUP BY 1)"""
-COMMON = f"""{CLOSURE}, {PAIRS}, cm AS (SELECT a, b, x.ancestor FROM pr JOIN clo x ON x.node = a JOIN clo y ON y.node = b AND y.ancestor = x.ancestor),
+COMMON = f"""{CLOSURE}, {PAIRS}, cm AS (SELECT a, b, x.ancestor FROM pr JOIN rc x ON x.node = a JOIN rc y ON y.node = b AND y.ancestor = x.ancestor),
 lo AS (SELECT * FROM cm WHERE (a, b, ancestor) NOT IN (SELECT cm.a, cm.b, c.ancestor FROM cm JOIN clo c ON c.node = cm.ancestor))"""
 
 
@@ -103,21 +104,21 @@ def node_pairs(spark, sf):
 
 @query("d8_lowest_common_ancestors", f"WITH {COMMON} SELECT a, b, ancestor FROM lo")
 def d8_lowest_common_ancestors(spark, sf):
-    _, pairs, _, _ = written(spark, sf)
-    return gr.lowest_common_ancestors(cut(gr.common_ancestors(node_pairs(spark, sf), pairs)), pairs)
+    _, pairs, information, _ = written(spark, sf)
+    common = gr.common_ancestors(node_pairs(spark, sf), gr.with_self(pairs, information))
+    return gr.lowest_common_ancestors(cut(common), pairs)
 
 
-SIM = f"""cs AS (SELECT a, b, count(*) AS k, max(ic) AS mi, max(depth) AS md FROM cm JOIN ic ON ic.node = ancestor JOIN dp ON dp.node = ancestor GROUP BY 1, 2),
+SIM = f"""cs AS (SELECT a, b, count(*) AS k, max(ic) AS mi FROM cm JOIN ic ON ic.node = ancestor GROUP BY 1, 2),
 ls AS (SELECT a, b, max(depth) AS ld FROM lo JOIN dp ON dp.node = ancestor GROUP BY 1, 2),
-nn AS (SELECT node, count(*) AS n FROM clo GROUP BY 1),
-j AS (SELECT pr.a, pr.b, coalesce(k, 0) AS k, coalesce(mi, 0) AS mi, coalesce(md, 0) AS md, coalesce(ld, 0) AS ld, ia.ic AS ia, ib.ic AS ib, greatest(da.depth, db.depth) AS dd,
+nn AS (SELECT node, count(*) AS n FROM rc GROUP BY 1),
+j AS (SELECT pr.a, pr.b, coalesce(k, 0) AS k, coalesce(mi, 0) AS mi, coalesce(ld, 0) AS ld, ia.ic AS ia, ib.ic AS ib, greatest(da.depth, db.depth) AS dd,
   coalesce(na.n, 0) + coalesce(nb.n, 0) AS t, (SELECT max(ic) FROM ic) AS mx FROM pr JOIN ic ia ON ia.node = a JOIN ic ib ON ib.node = b JOIN dp da ON da.node = a JOIN dp db ON db.node = b
   LEFT JOIN nn na ON na.node = a LEFT JOIN nn nb ON nb.node = b LEFT JOIN cs USING (a, b) LEFT JOIN ls USING (a, b)),
 sim AS (SELECT a, b, CASE WHEN a = b THEN 1 WHEN k > 0 THEN mi / mx ELSE 0 END AS resnik, CASE WHEN a = b THEN 1 WHEN k > 0 AND ia + ib > 0 THEN 2 * mi / (ia + ib) ELSE 0 END AS lin,
   CASE WHEN a = b THEN 1 WHEN k > 0 THEN 1 - (ia + ib - 2 * mi) / (2 * mx) ELSE 0 END AS jiang, CASE WHEN a = b THEN 1 WHEN k > 0 AND dd > 0 THEN ld * 1.0 / dd ELSE 0 END AS depth,
-  CASE WHEN a = b THEN 1 WHEN k > 0 AND dd > 0 THEN md * 1.0 / dd ELSE 0 END AS depth_all, CASE WHEN a = b THEN 1 WHEN k > 0 THEN k * 1.0 / (t - k) ELSE 0 END AS jaccard,
-  CASE WHEN a = b THEN 1 WHEN k > 0 THEN k / (t / 2.0) ELSE 0 END AS simple FROM j)"""
-MEASURES = ["resnik", "lin", "jiang", "depth", "depth_all", "jaccard", "simple"]
+  CASE WHEN a = b THEN 1 WHEN k > 0 THEN k * 1.0 / (t - k) ELSE 0 END AS jaccard FROM j)"""
+MEASURES = ["resnik", "lin", "jiang", "depth", "jaccard"]
 
 
 @query("d9_similarities", f"WITH {COMMON}, {SIM} SELECT a, b, {', '.join(f'round({m}, 6) + 0 AS {m}' for m in MEASURES)} FROM sim")
@@ -127,6 +128,18 @@ def d9_similarities(spark, sf):
     return out.select("a", "b", *[(F.round(m, 6) + 0).alias(m) for m in MEASURES])
 
 
+@query("d10_overlap_similarities", f"""WITH {CLOSURE}, {PAIRS}, nn AS (SELECT node, count(*) AS n FROM clo GROUP BY 1),
+c AS (SELECT a, b, count(*) AS k, max(depth) AS md FROM pr JOIN clo x ON x.node = a JOIN clo y ON y.node = b AND y.ancestor = x.ancestor JOIN dp ON dp.node = x.ancestor GROUP BY 1, 2),
+j AS (SELECT pr.a, pr.b, coalesce(k, 0) AS k, coalesce(md, 0) AS md, greatest(da.depth, db.depth) AS dd, coalesce(na.n, 0) + coalesce(nb.n, 0) AS t
+  FROM pr JOIN dp da ON da.node = a JOIN dp db ON db.node = b LEFT JOIN nn na ON na.node = a LEFT JOIN nn nb ON nb.node = b LEFT JOIN c USING (a, b))
+SELECT a, b, CASE WHEN a = b THEN 1.0 WHEN k > 0 AND dd > 0 THEN round(md * 1.0 / dd, 6) ELSE 0 END AS depth,
+  CASE WHEN a = b THEN 1.0 WHEN k > 0 THEN round(k * 1.0 / (t - k), 6) ELSE 0 END AS jaccard, CASE WHEN a = b THEN 1.0 WHEN k > 0 THEN round(k / (t / 2.0), 6) ELSE 0 END AS simple FROM j""")
+def d10_overlap_similarities(spark, sf):
+    _, pairs, _, depth = written(spark, sf)
+    out = gr.overlap_similarities(node_pairs(spark, sf), pairs, depth)
+    return out.select("a", "b", *[F.round(m, 6).alias(m) for m in ("depth", "jaccard", "simple")])
+
+
 SAMPLE = """sm AS (SELECT p_type AS g, p_partkey AS node FROM part WHERE p_partkey > 0 QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY md5(p_partkey || '|42'), p_partkey) <= 12)"""
 IN_PAIRS = SAMPLE + ", ip AS (SELECT x.g, x.node AS a, y.node AS b FROM sm x JOIN sm y ON x.g = y.g AND x.node < y.node)"
 OUT_PAIRS = SAMPLE + ", op AS (SELECT x.g, y.g AS o, x.node AS a, y.node AS b FROM sm x JOIN sm y ON x.g < y.g)"
@@ -140,9 +153,9 @@ def members(spark, sf):
 
 
 def scored(spark, sf, pairs):
-    _, clo, information, depth = written(spark, sf)
+    _, clo, _, depth = written(spark, sf)
     pairs = cut(pairs)
-    values = gr.similarities(pairs.select("a", "b").distinct(), clo, information, depth)
+    values = gr.overlap_similarities(pairs.select("a", "b").distinct(), clo, depth)
     return pairs.join(values, ["a", "b"])
 
 
