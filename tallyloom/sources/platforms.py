@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.rules import first_extract
@@ -20,3 +20,90 @@ def symbol_in(text: Column) -> Column:
     """Symbol named in an annotation text, the text itself when it is one, else ''."""
     plain = F.trim(text)
     return F.coalesce(first_extract(text, SYMBOL_FORMS), F.when(plain.rlike(PLAIN_SYMBOL), plain), F.lit(""))
+
+
+# Column names by which a platform table is read.
+ID_COLUMNS = ["ID", "PROBE_ID", "PROBEID"]
+SYMBOL_COLUMNS = [
+    "Gene Symbol", "GENE_SYMBOL", "Gene_Symbol", "Symbol", "SYMBOL", "gene_symbol", "Gene", "GENE",
+    "gene_assignment", "Gene Assignment", "GENE_ASSIGNMENT",
+]
+ILLUMINA_SYMBOL_COLUMNS = ["ILMN_Gene", "Symbol", "SYMBOL", "Gene Symbol"]
+SPOT_COLUMN = "SPOT_ID"
+SEPARATORS = ["///", "//", ";", ",", "|"]
+
+
+def platform_cells(lines: DataFrame) -> tuple[list[str], DataFrame]:
+    """Header and rows (``cells``) of one platform table."""
+    data = lines.filter(~F.col("line").rlike("^[!#^]") & (F.trim("line") != ""))
+    first = data.orderBy("line_no").select("line", "line_no").first()
+    if first is None:
+        raise ValueError("no platform table found")
+    header = first["line"].split("\t")
+    rows = data.filter(F.col("line_no") != first["line_no"]).select(F.split("line", "\t").alias("cells"))
+    return header, rows.filter(F.size("cells") == len(header))
+
+
+def symbol_column(header: list[str], rows: DataFrame, candidates: list[str] | None = None) -> str | None:
+    """Which column names the symbol: a known name, a name with ``gene`` in it,
+    or the spot column where its contents look like symbols (one profiling
+    aggregate over the whole table)."""
+    known = next((c for c in candidates or SYMBOL_COLUMNS if c in header), None)
+    known = known or next((c for c in header if "gene" in c.lower()), None)
+    if SPOT_COLUMN not in header:
+        return known
+    spot = F.col("cells")[header.index(SPOT_COLUMN)]
+    share = lambda c: F.avg(c.cast("double"))
+    ident = F.col("cells")[header.index(next((c for c in header if c.upper() in ID_COLUMNS), header[0]))]
+    gene = F.col("cells")[header.index(known)] if known else F.lit("")
+    p = rows.agg(
+        share(ident.rlike("^ENS[A-Z]*G")).alias("id_ensembl"), share(gene.rlike("^ENS[A-Z]*G")).alias("gene_ensembl"),
+        share(spot.rlike("^[A-Za-z0-9][A-Za-z0-9._-]{1,19}$")).alias("spot_short"), share(spot.rlike(PLAIN_SYMBOL)).alias("spot_symbol"),
+        share(~spot.rlike(r"^\d+(\.\d+)?$")).alias("spot_text"), (F.count_distinct(spot) / F.count(F.lit(1))).alias("spot_unique"),
+    ).first()
+    if p["id_ensembl"] is None:
+        return known
+    if p["id_ensembl"] > 0.6 and p["spot_short"] > 0.6 and (known is None or p["gene_ensembl"] > 0.6):
+        return SPOT_COLUMN
+    if known is None and p["spot_symbol"] > 0.6 and p["spot_text"] > 0.9 and p["spot_unique"] > 0.15:
+        return SPOT_COLUMN
+    return known
+
+
+def platform_map(lines: DataFrame, candidates: list[str] | None = None) -> DataFrame:
+    """(feature, target): first symbol of each annotated feature."""
+    from tallyloom.operators.filters import useful_symbols
+
+    header, rows = platform_cells(lines)
+    key = header.index(next((c for c in header if c.upper() in ID_COLUMNS), header[0]))
+    column = symbol_column(header, rows, candidates)
+    if column is not None:
+        symbol = F.trim(F.split_part(F.split_part(F.col("cells")[header.index(column)], F.lit("///"), F.lit(1)), F.lit("//"), F.lit(1)))
+    else:
+        texts = [c for c in header if c.upper().startswith(SPOT_COLUMN) or "description" in c.lower() or "transcript" in c.lower()]
+        if not texts:
+            raise ValueError(f"no symbol column among {header}")
+        lengths = rows.agg(*[F.avg(F.length(F.col("cells")[header.index(c)])).alias(f"_{i}") for i, c in enumerate(texts)]).first()
+        longest = max(range(len(texts)), key=lambda i: lengths[i] or 0.0)
+        symbol = symbol_in(F.col("cells")[header.index(texts[longest])])
+    return useful_symbols(rows.select(F.col("cells")[key].alias("feature"), symbol.alias("target")), "target")
+
+
+def all_symbols(text: Column) -> Column:
+    """Every symbol of a cell, split at the first kind of separator present."""
+    split = F
+    for mark in SEPARATORS:
+        split = split.when(text.contains(mark), F.split(text, "\\Q" + mark + "\\E"))
+    parts = F.transform(split.otherwise(F.array(text)), lambda s: F.trim(s))
+    return F.filter(parts, lambda s: (s != "") & (s != "---"))
+
+
+def platform_map_all(lines: DataFrame, candidates: list[str] | None = None) -> DataFrame:
+    """(feature, targets): all symbols of each feature as an array."""
+    header, rows = platform_cells(lines)
+    key = header.index(next((c for c in header if c.upper() in ID_COLUMNS), header[0]))
+    column = symbol_column(header, rows, candidates)
+    if column is None:
+        raise ValueError(f"no symbol column among {header}")
+    symbols = all_symbols(F.col("cells")[header.index(column)])
+    return rows.select(F.col("cells")[key].alias("feature"), symbols.alias("targets")).filter(F.size("targets") > 0)
