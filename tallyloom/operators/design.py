@@ -74,3 +74,70 @@ def infer_design(samples: DataFrame, dataset: str = "dataset") -> DataFrame:
     return with_mode.withColumns(
         {"primary_grouping": grouping, "small_study": F.col("samples") < SMALL_STUDY}
     )
+
+
+def _long(rows: DataFrame, mode: str, dataset: str, metrics: list[str]) -> DataFrame:
+    values = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+    return rows.select(dataset, F.lit(mode).alias("mode"), "feature", F.inline(values))
+
+
+def mode_statistics(values: DataFrame, samples: DataFrame, dataset: str = "dataset") -> DataFrame:
+    """(dataset, mode, feature, metric, value): every dataset's design-specific
+    statistics in one job.
+
+    Rows carry the design of their dataset, and each design's statistics read
+    the rows of its datasets.  A dataset whose scores do not support its design
+    falls back to plain means.
+    """
+    from tallyloom.operators import statistics as st
+
+    designs = infer_design(samples, dataset).select(dataset, "mode", "trait")
+    rows = values.join(samples, [dataset, "sample"]).join(designs, dataset)
+    keys = [dataset, "feature"]
+    of = lambda mode: rows.filter(F.col("mode") == mode)
+
+    pairs = st.case_control(st.enough(st.two_group_moments(of(CASE_CONTROL), keys, "group", "disease", "control")))
+    times = st.time_summary(of(TIME_SERIES), keys, [dataset]).filter("n >= 3")
+    subs = st.subtype_comparison(of(SUBTYPES), keys, "subtype").filter(F.col("groups") >= LEAST_SUBTYPES)
+    subs = subs.groupBy(*keys).agg(F.max("spread").alias("spread"), F.max("groups").alias("groups"))
+    named = of(TRAIT).withColumn(
+        "_trait", F.filter("traits", lambda t: t["trait"] == F.col("trait"))[0]["value"])
+    traits = st.trait_association(named, keys, "_trait")
+    done = (
+        _long(pairs, CASE_CONTROL, dataset, ["mean_diff", "effect_size", "p_value"])
+        .unionByName(_long(times, TIME_SERIES, dataset, ["slope", "peak_time", "shift"]))
+        .unionByName(_long(subs, SUBTYPES, dataset, ["spread", "groups"]))
+        .unionByName(_long(traits, TRAIT, dataset, ["r", "n"]))
+    )
+    left = rows.join(done.select(dataset).distinct(), dataset, "left_anti")
+    means = left.groupBy(*keys).agg(F.avg("value").alias("mean"))
+    return done.unionByName(_long(means, UNSUPERVISED, dataset, ["mean"]))
+
+
+# The tables a report of each design is made of.
+BASE_TABLES = ["radar", "barplot"]
+MODE_TABLES = {
+    CASE_CONTROL: ["boxplot", "heatmap", "expected_vs_observed_barplot"],
+    TIME_SERIES: ["time_series_system", "time_series_subcategory", "heatmap"],
+    SUBTYPES: ["grouped_subtype_boxplot", "heatmap", "correlation"],
+    TRAIT: ["trait_scatter_plot", "correlation", "heatmap"],
+    UNSUPERVISED: ["heatmap", "correlation", "heterogeneity_heatmap"],
+}
+EXTRA_TABLES = {
+    "has_expected": "expected_vs_observed_barplot", "has_coordination": "system_correlation_matrix",
+    "has_heterogeneity": "heterogeneity_heatmap",
+}
+
+
+def table_plan(designs: DataFrame) -> DataFrame:
+    """(…, tables): ordered distinct tables to write for each dataset, by its
+    ``mode`` and the optional flags ``has_expected``, ``has_coordination``,
+    ``has_heterogeneity``."""
+    by_mode = F
+    for mode, names in MODE_TABLES.items():
+        by_mode = by_mode.when(F.col("mode") == mode, F.array(*[F.lit(n) for n in names]))
+    extra = F.array_compact(F.array(*[
+        F.when(F.col(flag), F.lit(name)) for flag, name in EXTRA_TABLES.items() if flag in designs.columns
+    ])) if any(f in designs.columns for f in EXTRA_TABLES) else F.array().cast("array<string>")
+    listed = F.concat(F.array(*[F.lit(n) for n in BASE_TABLES]), by_mode.otherwise(F.array(F.lit("heatmap"), F.lit("correlation"))), extra)
+    return designs.withColumn("tables", F.array_distinct(listed))
