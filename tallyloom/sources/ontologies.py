@@ -41,7 +41,7 @@ def terms(stanzas: DataFrame) -> DataFrame:
 
 def read_pathway_files(spark: SparkSession, path: str) -> DataFrame:
     """Whole hierarchy files, one per row; they are a few hundred lines each."""
-    return spark.read.option("wholetext", "true").text(path).select(F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
 
 
 def pathways(files: DataFrame) -> DataFrame:
