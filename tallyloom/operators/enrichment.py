@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators.joins import small_side
-from tallyloom.operators.ordering import fits_window, running, tie_ranks
-from tallyloom.session import cut
+from tallyloom.operators.ordering import running, tie_ranks
+from tallyloom.session import cut, window_rows
 
 #: Set ids carried in one row when the sample x set grid is laid out.
 GRID_CHUNK = 1000
@@ -45,9 +45,16 @@ def sample_set_grid(samples: DataFrame, sets: DataFrame, set_id: str = "set_id")
     return joined.select(*samples.columns, F.explode("_ids").alias(set_id))
 
 
-def _complete(scores: DataFrame, values: DataFrame, sets: DataFrame, keys: Sequence[str],
+def _sizes(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, bool]:
+    """One row per sample with its size, written once (it serves as the list of
+    samples too), and whether every sample fits a window."""
+    sizes = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    return sizes, (sizes.agg(F.max("n")).first()[0] or 0) <= window_rows(rows.sparkSession)
+
+
+def _complete(scores: DataFrame, samples: DataFrame, sets: DataFrame, keys: Sequence[str],
               fills: dict[str, Column]) -> DataFrame:
-    grid = sample_set_grid(values.select(*keys).distinct(), sets)
+    grid = sample_set_grid(samples.select(*keys), sets)
     joined = grid.join(scores, [*keys, "set_id"], "left")
     return joined.select(
         *keys, "set_id", *[F.coalesce(F.col(c), fill).alias(c) for c, fill in fills.items()]
@@ -69,7 +76,7 @@ def running_extreme_scores(
     """
     keys = list(keys)
     rows = present_values(values).select(*keys, "feature", "value")
-    small = fits_window(rows, keys)
+    sizes, small = _sizes(rows, keys)
     ranked = running(
         rows, keys, [F.col("value").desc(), F.col("feature")],
         totals={"n": None}, position="r", small=small,
@@ -97,7 +104,7 @@ def running_extreme_scores(
     scores = extremes.select(
         *keys, "set_id", F.when(high_wins, F.col("high")).otherwise(F.col("low")).alias("es")
     )
-    return _complete(scores, rows, sets, keys, {"es": F.lit(0.0)})
+    return _complete(scores, sizes, sets, keys, {"es": F.lit(0.0)})
 
 
 def rank_area_scores(
@@ -116,7 +123,7 @@ def rank_area_scores(
     """
     keys = list(keys)
     rows = present_values(values).select(*keys, "feature", "value")
-    small = fits_window(rows, keys)
+    _, small = _sizes(rows, keys)
     measured = rows.select("feature").distinct()
     sized = (
         sets.select("set_id", "feature").distinct().join(measured, "feature", "left_semi")
@@ -166,7 +173,7 @@ def rank_percentile_scores(
     """
     keys = list(keys)
     rows = present_values(values).select(*keys, "feature", "value")
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    sizes, _ = _sizes(rows, keys)
     ranked = tie_ranks(rows, keys, "value", name="rank", descending=True)
     means = (
         ranked.join(_members(sets), "feature")
@@ -177,7 +184,7 @@ def rank_percentile_scores(
     shift = 0 if form == 1 else 1
     score = (F.col("n") - F.col("mean_rank") + shift) / F.col("n")
     scores = means.select(*keys, "set_id", score.alias("score"))
-    return _complete(scores, rows, sets, keys, {"score": F.lit(0.5 if form == 1 else 0.0)})
+    return _complete(scores, sizes, sets, keys, {"score": F.lit(0.5 if form == 1 else 0.0)})
 
 
 def z_scores(values: DataFrame, sets: DataFrame, keys: Sequence[str] = ("sample",)) -> DataFrame:
@@ -197,7 +204,7 @@ def z_scores(values: DataFrame, sets: DataFrame, keys: Sequence[str] = ("sample"
     )
     z = F.when(F.col("sd") > 0, (F.col("member_mean") - F.col("mean")) / F.col("sd")).otherwise(0.0)
     scores = means.select(*keys, "set_id", z.alias("score"))
-    return _complete(scores, rows, sets, keys, {"score": F.lit(0.0)})
+    return _complete(scores, rows.select(*keys).distinct(), sets, keys, {"score": F.lit(0.0)})
 
 
 def mean_value_scores(values: DataFrame, sets: DataFrame, keys: Sequence[str] = ("sample",)) -> DataFrame:

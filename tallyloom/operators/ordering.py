@@ -157,9 +157,9 @@ def quantiles(
     """Exact linearly interpolated quantiles, one row per group."""
     present = df.filter(F.col(value).isNotNull()).select(*keys, value)
     if fits_window(present, keys):
-        return present.groupBy(*keys).agg(
-            *[F.percentile(value, F.lit(p)).alias(name) for name, p in probs.items()]
-        )
+        asked = F.array(*[F.lit(float(p)) for p in probs.values()])
+        both = present.groupBy(*keys).agg(F.percentile(value, asked).alias("_q"))
+        return both.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
     counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_ties"))
     placed = running(counts, keys, [F.col(value)], {"_upto": "_ties"}, small=False)
     totals = counts.groupBy(*keys).agg(F.sum("_ties").alias("_n"))

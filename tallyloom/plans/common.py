@@ -21,10 +21,12 @@ def r6(column, name: str):
 
 
 def measurements(spark: SparkSession, sf: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, sample, feature, value), written once: scoring reads it in several
+    passes, and the lines below it are far more."""
     lines = table(spark, sf, "lineitem")
-    return lines.groupBy(
+    return cut(lines.groupBy(
         *by, F.col("l_suppkey").alias("sample"), F.col("l_partkey").alias("feature")
-    ).agg(F.avg("l_extendedprice").alias("value"))
+    ).agg(F.avg("l_extendedprice").alias("value")))
 
 
 def sets(spark: SparkSession, sf: str) -> DataFrame:

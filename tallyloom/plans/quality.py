@@ -184,7 +184,7 @@ FROM x WHERE dataset % 5 = 1 GROUP BY dataset, feature HAVING count_if("group" =
 UNION ALL SELECT dataset, 'continuous_trait_association', feature, 'r', round(corr(tr, value), 6) FROM x WHERE dataset % 5 = 3 GROUP BY dataset, feature HAVING count(tr) >= 6
 UNION ALL SELECT dataset, 'unsupervised_pattern_discovery', feature, 'mean', round(avg(value), 6) FROM x WHERE dataset % 5 = 4 GROUP BY dataset, feature""")
 def t38_mode_statistics(spark, sf):
-    out = dz.mode_statistics(values(spark, sf), cut(design(spark, sf)))
+    out = dz.mode_statistics(values(spark, sf), design(spark, sf))
     return rounded(out.filter(F.col("metric").isin("shift", "mean_diff", "r", "mean")), "value")
 
 

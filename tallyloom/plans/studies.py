@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.metadata import sample_design, sample_items
-from tallyloom.session import table
+from tallyloom.session import cut, table
 
 # (condition on the nation, text) per attribute line, valid in Spark and DuckDB
 LINES = [
@@ -74,7 +74,9 @@ def attributes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def design(spark: SparkSession, sf: str) -> DataFrame:
-    return sample_design(sample_items(attributes(spark, sf), ["dataset", "sample"]))
+    """Design columns per sample, written once: every signal reads them."""
+    items = sample_items(attributes(spark, sf), ["dataset", "sample"])
+    return cut(sample_design(items))
 
 
 def values(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,7 +13,7 @@ from tallyloom.plans.common import (SCORES, SETS, SYS_SCORES, SYSTEM, hierarchy,
                                     score_ctes, scores, sets, system_of, system_scores)
 from tallyloom.plans.enrichment import BY_FLAG, BY_YEAR
 from tallyloom.plans.registry import query
-from tallyloom.session import table
+from tallyloom.session import spread, table
 
 #: Words left out of word counts.
 STOP_WORDS = ["the", "and", "for", "with", "from", "that", "this", "into", "process", "regulation",
@@ -96,7 +96,8 @@ c AS (SELECT lang, word, count(*) AS n FROM w WHERE length(word) >= 4
 SELECT lang, word, n, place FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM c)
 WHERE place <= 15""")
 def g19_top_words(spark, sf):
-    return agg.top_words(table(spark, sf, "documents"), "lang", "text", STOP_WORDS)
+    docs = spread(table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
+    return agg.top_words(docs, "lang", "text", STOP_WORDS)
 
 
 @query("g20_leading_system", f"""WITH {SYS_SCORES},
