@@ -75,7 +75,7 @@ def attributes(spark: SparkSession, sf: str) -> DataFrame:
 
 def design(spark: SparkSession, sf: str) -> DataFrame:
     """Design columns per sample, written once: every signal reads them."""
-    items = sample_items(attributes(spark, sf), ["dataset", "sample"])
+    items = cut(sample_items(attributes(spark, sf), ["dataset", "sample"]))
     return cut(sample_design(items))
 
 
