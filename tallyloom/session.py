@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -48,11 +49,14 @@ def broadcast_rows(spark: SparkSession) -> int:
 
 def shared_folder(spark: SparkSession) -> str:
     """This application's folder below the one the session names in
-    ``spark.checkpoint.dir``; a folder is chosen here only where none is named,
-    as in unit tests on one machine."""
+    ``spark.checkpoint.dir``; a folder is chosen here only where none is named
+    and driver and executors are one process, as in unit tests.  Anywhere else
+    a folder of this machine would lose the rows of the others."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir()
 
@@ -66,7 +70,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

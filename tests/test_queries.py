@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from tallyloom.plans.registry import QUERIES
 from check import TABLES, rows_of
 
 FOLDER = "/root/testdata/sf0.001"
@@ -19,7 +20,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
 def test_query(spark, con, name):
     df = queries()[name](spark, FOLDER)
     got = rows_of(df.columns, df.collect())
