@@ -9,8 +9,9 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyloom.llm import codec, packing
+from tallyloom.llm import codec, packing, quality, simhash
 from tallyloom.session import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +57,14 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 
     return packed.select("length", "ids", "doc_id", "piece", "start", "sequence_id", "offset").mapInArrow(
         digest, "doc_id long, piece int, start long, sequence_id long, offset long, length long, ids_crc32 long")
+
+
+@query("op2_simhash_components")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, folder, "documents"), size=3, budget=2)
+    return out.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
+
+
+@query("op3_compression_bands")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(table(spark, folder, "documents"))
