@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.tokens import end_bytes, ids_array, token_counts, word_ids
+from tallyloom.llm.tokens import ids_array, token_counts, token_table, word_ids
+from tallyloom.session import cut
 
 BLOCK = 1 << 18
 STEP = 128
@@ -141,16 +142,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     hash; repeated rows are repeated).  A null or empty text is a document
     without tokens, but for the end id.  An empty table gives an empty file.
 
-    Tokenizing runs twice, once to count and once to code, which costs less
-    than to write and shuffle plain ids.  Only the counts, at most one row for
-    each vocabulary entry, come to the driver.
+    The texts are ordered first and their ids written once; only the counts,
+    at most one row for each vocabulary entry, come to the driver.
     """
     spark = docs.sparkSession
-    counts = sorted((r.token, r.n) for r in token_counts(docs, tokenizer, end_id, text_col).collect())
-    tokens = [t for t, _ in counts]
-    lengths = code_lengths([n for _, n in counts])
-    spark.createDataFrame([(t, int(b)) for t, b in zip(tokens, lengths)], "token int, bits int") \
-        .coalesce(1).write.parquet(f"{path}/codebook")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -159,37 +154,41 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         .sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie")
         .select(F.spark_partition_id().alias("shard"), "doc_id", "text")
     )
+    ids, width = cut(token_table(ordered, tokenizer, end_id)), word_ids(tokenizer).width
+    counts = sorted((r.token, r.n) for r in token_counts(ids, width).collect())
+    tokens = [t for t, _ in counts]
+    lengths = code_lengths([n for _, n in counts])
+    spark.createDataFrame([(t, int(b)) for t, b in zip(tokens, lengths)], "token int, bits int") \
+        .coalesce(1).write.parquet(f"{path}/codebook")
 
     def frames(batches):
-        words, book = word_ids(tokenizer), Codebook(tokens, lengths)
-        end = end_bytes(end_id, words.width)
-        shard, before, doc_ids, sizes, held, n_held = None, 0, [], [], [], 0
+        book, shard, first, doc_ids, held, n_held = Codebook(tokens, lengths), None, 0, [], [], 0
 
         def row():
-            ids = ids_array(b"".join(held), words.width)
+            ids = ids_array(b"".join(held), width)
             blocks = [book.block(ids[i:i + BLOCK]) for i in range(0, len(ids), BLOCK)]
             return pa.RecordBatch.from_arrays([
-                pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()),
-                pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())),
+                pa.array([shard], pa.int32()), pa.array([first], pa.int64()), pa.array([len(ids)], pa.int64()),
+                pa.array([doc_ids], pa.list_(pa.int64())), pa.array([[len(h) // width for h in held]], pa.list_(pa.int64())),
                 pa.array([blocks], pa.list_(pa.binary())),
             ], names=["shard", "before", "n_tokens", "doc_ids", "lengths", "blocks"])
 
         for batch in batches:
-            for own, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                shard = own
-                ids = words.encode(text) + end
-                size = len(ids) // words.width
-                if doc_ids and n_held + size > BLOCK:
+            for own, before, doc_id, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                size = len(ids) // width
+                # a frame is a run of neighbours: another file of the table may follow in the same task
+                if doc_ids and (n_held + size > BLOCK or own != shard or before != first + n_held):
                     yield row()
-                    before, doc_ids, sizes, held, n_held = before + n_held, [], [], [], 0
+                    doc_ids, held, n_held = [], [], 0
+                if not doc_ids:
+                    shard, first = own, before
                 doc_ids.append(doc_id)
-                sizes.append(size)
                 held.append(ids)
                 n_held += size
         if doc_ids:
             yield row()
 
-    ordered.mapInArrow(frames, FRAME).write.parquet(f"{path}/frames")
+    ids.mapInArrow(frames, FRAME).write.parquet(f"{path}/frames")
 
 
 def read_codebook(spark: SparkSession, path: str) -> Codebook:
