@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,32 +65,19 @@ def plan_bins(counts: Mapping[int, int], capacity: int) -> list[tuple[int, dict[
     return plan
 
 
-class Places:
-    """(length, rank) -> (bin, offset) of a plan."""
-
-    def __init__(self, plan: list[tuple[int, dict[int, int]]]):
-        slots: dict[int, list[tuple[int, int, int, int, int]]] = {}
-        base = 0
-        for times, one in plan:
-            offset = 0
-            for size in sorted(one, reverse=True):
-                own = slots.setdefault(size, [])
-                rank = own[-1][0] + own[-1][1] * own[-1][4] if own else 0
-                own.append((rank, times, base, offset, one[size]))
-                offset += size * one[size]
-            base += times
-        self.slots = {size: np.array(own, np.int64) for size, own in slots.items()}
-
-    def of(self, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-        for size in np.unique(lengths):
-            at = np.flatnonzero(lengths == size)
-            own = self.slots[int(size)]
-            slot = own[np.searchsorted(own[:, 0], ranks[at], side="right") - 1]
-            rest = ranks[at] - slot[:, 0]
-            bins[at] = slot[:, 2] + rest // slot[:, 4]
-            offsets[at] = slot[:, 3] + rest % slot[:, 4] * size
-        return bins, offsets
+def slots(plan: list[tuple[int, dict[int, int]]]) -> dict[int, list[tuple[int, int, int, int]]]:
+    """Length -> (first rank, first bin, offset, copies in a bin) in ascending order of rank."""
+    out: dict[int, list[tuple[int, int, int, int]]] = {}
+    ranks: dict[int, int] = {}
+    base = 0
+    for times, one in plan:
+        offset = 0
+        for size in sorted(one, reverse=True):
+            out.setdefault(size, []).append((ranks.get(size, 0), base, offset, one[size]))
+            ranks[size] = ranks.get(size, 0) + times * one[size]
+            offset += size * one[size]
+        base += times
+    return out
 
 
 def document_pieces(docs: DataFrame, tokenizer: str, end_id: int | None, capacity: int = 2048,
@@ -153,13 +139,13 @@ def pack(pieces: DataFrame, capacity: int = 2048, length_col: str = "length") ->
     in_salt = Window.partitionBy("size", "salt").orderBy(F.lit(0))
     ranked = rows.join(base.hint("merge"), ["size", "salt"]).select(
         "row", "size", (F.col("base") + F.row_number().over(in_salt) - 1).alias("rank"))
-
-    def place(batches):
-        places = Places(plan)
-        for batch in batches:
-            bins, offsets = places.of(batch.column(1).to_numpy(), batch.column(2).to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bins), pa.array(offsets)],
-                                             names=["row", "sequence_id", "offset"])
-
-    row = rows.schema["row"].dataType.simpleString()
-    return ranked.mapInArrow(place, f"row {row}, sequence_id long, offset long").select("row.*", "sequence_id", "offset")
+    # one row for each length, at most ``capacity``
+    places = pieces.sparkSession.createDataFrame(
+        list(slots(plan).items()), "size long, slots array<struct<rank:bigint,bin:bigint,offset:bigint,copies:bigint>>")
+    slot = F.element_at(F.filter("slots", lambda s: s["rank"] <= F.col("rank")), -1)
+    rest = F.col("rank") - F.col("slot.rank")
+    return ranked.join(F.broadcast(places), "size").withColumn("slot", slot).select(
+        "row.*",
+        (F.col("slot.bin") + F.floor(rest / F.col("slot.copies"))).cast("long").alias("sequence_id"),
+        (F.col("slot.offset") + rest % F.col("slot.copies") * F.col("size")).cast("long").alias("offset"),
+    )
