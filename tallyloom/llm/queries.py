@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import codec, packing, quality, simhash
+from tallyloom.llm import codec, mixing, packing, quality, secret_scan, simhash
 from tallyloom.session import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,22 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_compression_bands")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents"))
+
+
+@query("op10_secret_spans")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    out = secret_scan.scan(table(spark, folder, "documents"))
+    return out.select(
+        "doc_id",
+        *(F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind, *_ in secret_scan.BASE),  # noqa: B023
+        F.sha2(listed("base"), 256).alias("base_sha256"),
+        listed("spans").alias("spans"),
+    )
+
+
+@query("op6_source_mixture")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    rows = mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text"), budget_share=1.0,
+                      target_entropy_share=0.98, most_passes=4.0)
+    return rows.select("row.doc_id", "row.source", "weight", "tokens", "epoch", "block", "place")
