@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import codec, mixing, packing, quality, secret_scan, simhash
+from tallyloom.llm import codec, mixing, packing, quality, repeats, secret_scan, simhash
 from tallyloom.session import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     rows = mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text"), budget_share=1.0,
                       target_entropy_share=0.98, most_passes=4.0)
     return rows.select("row.doc_id", "row.source", "weight", "tokens", "epoch", "block", "place")
+
+
+@query("op7_repeated_spans")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.repeat_digests(table(spark, folder, "documents"), span=200)
