@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import codec, mixing, packing, quality, repeats, secret_scan, simhash
+from tallyloom.llm import codec, mixing, packing, quality, repeats, secret_scan, simhash, winnow
 from tallyloom.session import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,15 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_repeated_spans")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.repeat_digests(table(spark, folder, "documents"), span=200)
+
+
+@query("op4_winnowed_prints")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = winnow.edited_pairs(table(spark, folder, "documents"))
+    return pairs.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        winnow.written(F.col("prints")).alias("fingerprint"),
+        winnow.let(F.col("edited_prints"), lambda e: F.struct(
+            winnow.written(e).alias("edited_fingerprint"), winnow.likeness(F.col("prints"), e).alias("near_edited"))).alias("edited"),
+        winnow.likeness(F.col("prints"), F.col("next_prints")).alias("near_next"),
+    ).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited.*", "near_next")
