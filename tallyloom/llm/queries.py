@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import codec, mixing, packing, quality, repeats, secret_scan, simhash, winnow
+from tallyloom.llm import codec, language, mixing, packing, quality, repeats, secret_scan, simhash, toxicity, winnow
 from tallyloom.session import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,21 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
             winnow.written(e).alias("edited_fingerprint"), winnow.likeness(F.col("prints"), e).alias("near_edited"))).alias("edited"),
         winnow.likeness(F.col("prints"), F.col("next_prints")).alias("near_next"),
     ).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited.*", "near_next")
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    rows = toxicity.training_rows(docs, table(spark, folder, "labels"), lambda doc_id: language.remainder(doc_id, 5) != 0)
+    model = toxicity.train([text for text, _ in rows], [label for _, label in rows])
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(language.remainder(F.col("doc_id"), 5) == 0, F.lit(True)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op8_language_profiles")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    known = language.profiles(docs.where(language.remainder(F.col("doc_id"), 3) != 1))
+    return language.identify(docs, known).select(
+        "doc_id", F.coalesce(language.remainder(F.col("doc_id"), 3) == 1, F.lit(True)).alias("held_out"), "lang_pred", "score")
