@@ -3,8 +3,9 @@
 A byte goes if a string of ``span`` bytes that covers it also starts somewhere
 else.  Suffixes are only sorted against those they can share a string with:
 
-1. Equal texts become one with a count.  The texts are written once, bucketed
-   by their key, so later joins do not shuffle them.
+1. Equal texts, told by a 64-bit hash and the length, become one with a count.
+   They are shuffled and written once, bucketed by that key, so later joins
+   do not shuffle them.
 2. Every string of ``span`` bytes is owned by an anchor, the least hash of its
    ``GRAM``-byte grams.  Equal strings have equal anchors.  An anchor that
    occurs once in the corpus needs no further look.
@@ -186,8 +187,7 @@ def find_repeats(docs: DataFrame, span: int = SPAN, text_col: str = "text") -> t
     text = F.coalesce(F.col(text_col), F.lit(""))
     name = f"repeats_{uuid.uuid4().hex}"
     docs.select(F.xxhash64(text).alias("key"), F.octet_length(text).alias("size"), text.alias("text")) \
-        .groupBy("key", "size", "text").agg(F.count("*").alias("copies")) \
-        .repartition(n, "key", "size") \
+        .groupBy("key", "size").agg(F.min("text").alias("text"), F.count("*").alias("copies")) \
         .write.option("compression", "zstd").bucketBy(n, "key", "size").saveAsTable(name)
     texts = spark.table(name)
 
