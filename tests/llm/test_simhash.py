@@ -61,3 +61,34 @@ def test_odd_documents(spark, odd_docs, odd_rows, no_docs):
 
 def test_hash_is_sparks(spark):
     assert spark.sql("SELECT xxhash64('the old river')").first()[0] % (1 << 64) == xxhash.xxh64_intdigest("the old river", 42)
+
+
+def shingles(text, size=5):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i:i + size]) for i in range(len(words) - size + 1)} or ({b" ".join(words)} if words else set())
+
+
+def test_keep_one(spark, odd_docs, odd_rows, no_docs):
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    bases = [list(rng.choice(vocabulary, 150)) for _ in range(30)]
+    rows = []
+    for k, base in enumerate(bases):
+        for copy in range(k % 4 + 1):
+            words = list(base)
+            for at in rng.choice(150, copy, replace=False):
+                words[at] = "changed"
+            rows.append((1000 + len(rows), " ".join(words), k))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
+    assert kept == [min(i for i, _, k in rows if k == base) for base in range(len(bases))]
+    odd = simhash.keep_one(odd_docs)
+    assert odd.columns == odd_docs.columns and odd.schema["kept"].dataType == odd_docs.schema["kept"].dataType
+    got, texts = sorted((r.doc_id for r in odd.collect()), key=repr), {r[0]: r[1] for r in odd_rows}
+    groups = []
+    for i, t in sorted(texts.items(), key=lambda x: (x[0] is None, x[0])):
+        s = shingles(t)
+        if not any((not s and not g) or (s | g and len(s & g) >= 0.8 * len(s | g)) for _, g in groups):
+            groups.append((i, s))
+    assert got == sorted((i for i, _ in groups), key=repr)
+    assert simhash.keep_one(no_docs).count() == 0
