@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.moments import correlation
 from tallyloom.operators.ordering import quantiles, running, top_rows
 
 
@@ -256,5 +257,5 @@ def score_agreement(known: DataFrame, tested: DataFrame, known_members: DataFram
     both = pairs.join(x, "known").join(y, ["tested", "sample"])
     return both.groupBy("known", "tested").agg(
         F.max("overlap").alias("overlap"), F.max("jaccard").alias("jaccard"),
-        F.corr("_x", "_y").alias("correlation"),
+        correlation("_x", "_y").alias("correlation"),
     )

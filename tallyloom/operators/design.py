@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.session import cut
+
 # The five designs and what each needs.
 TIME_SERIES = "time_series"
 CASE_CONTROL = "case_control"
@@ -76,42 +78,102 @@ def infer_design(samples: DataFrame, dataset: str = "dataset") -> DataFrame:
     )
 
 
-def _long(rows: DataFrame, mode: str, dataset: str, metrics: list[str]) -> DataFrame:
+def _long(rows: DataFrame, block: str, dataset: str, key: str | Column, metrics: list[str]) -> DataFrame:
     values = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
-    return rows.select(dataset, F.lit(mode).alias("mode"), "feature", F.inline(values))
+    key = F.col(key) if isinstance(key, str) else key
+    return rows.select(dataset, F.lit(block).alias("block"), key.cast("string").alias("key"), F.inline(values))
 
 
-def mode_statistics(values: DataFrame, samples: DataFrame, dataset: str = "dataset") -> DataFrame:
-    """(dataset, mode, feature, metric, value): every dataset's design-specific
-    statistics in one job.
+#: Why a dataset's statistics are plain means, by what its own design lacked.
+FALLBACK_REASONS = {
+    CASE_CONTROL: "no feature with two samples in both arms",
+    TIME_SERIES: "no feature with three timed samples",
+    SUBTYPES: "no feature with three subtypes of two samples",
+    TRAIT: "no feature with six samples and a trait that varies",
+    UNSUPERVISED: "no design found",
+}
 
-    Rows carry the design of their dataset, and each design's statistics read
-    the rows of its datasets.  A dataset whose scores do not support its design
-    falls back to plain means.
-    """
+
+def design_statistics(rows: DataFrame, dataset: str = "dataset") -> DataFrame:
+    """``(dataset, block = mode, key = feature, metric, value)`` of each dataset's own design."""
     from tallyloom.operators import statistics as st
 
-    designs = infer_design(samples, dataset).select(dataset, "mode", "trait")
-    rows = values.join(samples, [dataset, "sample"]).join(designs, dataset)
     keys = [dataset, "feature"]
     of = lambda mode: rows.filter(F.col("mode") == mode)
-
     pairs = st.case_control(st.enough(st.two_group_moments(of(CASE_CONTROL), keys, "group", "disease", "control")))
     times = st.time_summary(of(TIME_SERIES), keys, [dataset]).filter("n >= 3")
     subs = st.subtype_comparison(of(SUBTYPES), keys, "subtype").filter(F.col("groups") >= LEAST_SUBTYPES)
     subs = subs.groupBy(*keys).agg(F.max("spread").alias("spread"), F.max("groups").alias("groups"))
     named = of(TRAIT).withColumn(
-        "_trait", F.filter("traits", lambda t: t["trait"] == F.col("trait"))[0]["value"])
+        "_trait", F.try_element_at(F.filter("traits", lambda t: t["trait"] == F.col("trait")), F.lit(1))["value"])
     traits = st.trait_association(named, keys, "_trait")
-    done = (
-        _long(pairs, CASE_CONTROL, dataset, ["mean_diff", "effect_size", "p_value"])
-        .unionByName(_long(times, TIME_SERIES, dataset, ["slope", "peak_time", "shift"]))
-        .unionByName(_long(subs, SUBTYPES, dataset, ["spread", "groups"]))
-        .unionByName(_long(traits, TRAIT, dataset, ["r", "n"]))
+    return (
+        _long(pairs, CASE_CONTROL, dataset, "feature", ["n_a", "n_b", "mean_diff", "fold_change", "effect_size", "p_value"])
+        .unionByName(_long(times, TIME_SERIES, dataset, "feature", ["n", "slope", "peak_time", "shift"]))
+        .unionByName(_long(subs, SUBTYPES, dataset, "feature", ["spread", "groups"]))
+        .unionByName(_long(traits, TRAIT, dataset, "feature", ["n", "r"]))
     )
-    left = rows.join(done.select(dataset).distinct(), dataset, "left_anti")
-    means = left.groupBy(*keys).agg(F.avg("value").alias("mean"))
-    return done.unionByName(_long(means, UNSUPERVISED, dataset, ["mean"]))
+
+
+def cross_cutting(rows: DataFrame, expected: DataFrame, systems: list[str], dataset: str = "dataset") -> DataFrame:
+    """Results that every dataset has whatever its design: variance by feature
+    and system, coordination of systems, expected against observed, pairs,
+    response and severity."""
+    from tallyloom.operators import statistics as st
+    from tallyloom.operators.joins import phase_pairs
+
+    keys = [dataset, "feature"]
+    # one value for each sample and system, from which all system results follow
+    by_system = rows.groupBy(dataset, "sample", "system").agg(F.avg("value").alias("value"))
+    variance = st.heterogeneity(rows, keys)
+    system_variance = st.heterogeneity(by_system, [dataset, "system"])
+    together = st.pair_correlations(by_system, [dataset], "sample", "system", "value", systems).filter("n >= 3")
+    means = by_system.groupBy(dataset, "system").agg(F.avg("value").alias("score"))
+    seen = st.expected_against_observed(means, expected).withColumns(
+        {c: F.size(c) for c in ("matched", "missing", "unexpected")})
+    pairs = rows.filter("pair IS NOT NULL").withColumn("_pair", F.struct(dataset, "pair"))
+    deltas = phase_pairs(pairs, "_pair", "phase", [F.col("sample")], "feature", "value") \
+        .select(F.col(f"_pair.{dataset}").alias(dataset), "feature", "delta")
+    response = st.enough(st.two_group_moments(rows, keys, "response", "responder", "non_responder")) \
+        .withColumn("mean_diff", F.col("mean_a") - F.col("mean_b"))
+    severity = st.trait_association(rows, keys, "severity")
+    return (
+        _long(variance, "heterogeneity", dataset, "feature", ["variance"])
+        .unionByName(_long(system_variance, "system_heterogeneity", dataset, "system", ["variance"]))
+        .unionByName(_long(together, "coordination", dataset, F.concat_ws("|", "a", "b"), ["n", "r"]))
+        .unionByName(_long(seen, "expected", dataset, F.lit("all"), ["matched", "missing", "unexpected"]))
+        .unionByName(_long(st.paired_change(deltas, keys), "pairs", dataset, "feature", ["pairs", "mean_delta", "sd_delta"]))
+        .unionByName(_long(response, "response", dataset, "feature", ["n_a", "n_b", "mean_diff"]))
+        .unionByName(_long(severity, "severity", dataset, "feature", ["n", "r"]))
+    )
+
+
+def run_statistics(values: DataFrame, samples: DataFrame, expected: DataFrame, systems: list[str], system_of,
+                   dataset: str = "dataset") -> DataFrame:
+    """``(dataset, block, key, metric, value, note)``: everything a run reports, in long form.
+
+    The rows with their design are written once and read by every block.  A
+    dataset whose scores do not support its design falls back to plain means;
+    the block ``status`` has one row for each dataset with its design and, in
+    ``note``, the reason of a fallback.
+    """
+    designs = infer_design(samples, dataset).select(dataset, "mode", "trait")
+    rows = cut(values.join(samples, [dataset, "sample"]).join(F.broadcast(designs), dataset)
+               .withColumn("system", system_of(F.col("feature"))))
+    own = cut(design_statistics(rows, dataset))
+    done = own.select(dataset).distinct().withColumn("_done", F.lit(True))
+    states = rows.select(dataset, "mode").distinct().join(done, dataset, "left")
+    reason = F
+    for mode, text in FALLBACK_REASONS.items():
+        reason = reason.when(F.col("mode") == mode, text)
+    status = states.select(dataset, F.lit("status").alias("block"), F.col("mode").alias("key"), F.lit("fallback").alias("metric"),
+                           F.when(F.col("_done"), 0.0).otherwise(1.0).alias("value"),
+                           F.when(F.col("_done").isNull(), reason).alias("note"))
+    left = rows.join(F.broadcast(states.filter(F.col("_done").isNull()).select(dataset)), dataset)
+    means = left.groupBy(dataset, "feature").agg(F.avg("value").alias("mean"))
+    results = own.unionByName(_long(means, UNSUPERVISED, dataset, "feature", ["mean"])) \
+        .unionByName(cross_cutting(rows, expected, systems, dataset))
+    return results.withColumn("note", F.lit(None).cast("string")).unionByName(status)
 
 
 # The tables a report of each design is made of.

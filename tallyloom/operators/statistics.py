@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.distributions import chi2_upper, f_upper, normal_two_sided, t_two_sided
 from tallyloom.functions.labels import guarded_ratio, log2_fold_change
+from tallyloom.functions.moments import correlation
 from tallyloom.operators.ordering import quantiles, running, top_rows
 
 #: Largest number of columns a correlation table is laid out for.
@@ -243,7 +244,7 @@ def time_summary(rows: DataFrame, keys: Sequence[str], scope: Sequence[str], tim
     span = timed.groupBy(*scope).agg(
         F.min(time).alias("_first"), F.max(time).alias("_last"), F.count_distinct(time).alias("times")
     )
-    joined = timed.join(span, list(scope))
+    joined = timed.join(F.broadcast(span), list(scope))  # one row for each dataset
     out = joined.groupBy(*keys).agg(
         F.count(value).alias("n"),
         F.regr_slope(value, time).alias("slope"),
@@ -280,7 +281,7 @@ def trend(points: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
     biggest = F.struct(-F.abs("step"), F.col("i"))
     out = points.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("times"),
-        F.corr("i", "mean").alias("r"),
+        correlation("i", "mean").alias("r"),
         F.avg("mean").alias("mean"), F.stddev_pop("mean").alias("sd"),
         (F.max("mean") - F.min("mean")).alias("range"),
         F.min_by(time, F.when(F.col("step").isNotNull(), biggest)).alias("change_point"),
@@ -338,11 +339,17 @@ def phase_shifts(points: DataFrame, system: str, time: str, early_until: float =
     ).drop("_next")
 
 
-def change_from_baseline(rows: DataFrame, keys: Sequence[str], time: str, first, last,
+def change_from_baseline(rows: DataFrame, keys: Sequence[str], time: str, dataset: Sequence[str] = ("dataset",),
                          value: str = "value") -> DataFrame:
-    out = rows.groupBy(*keys).agg(
-        F.avg(F.when(F.col(time) == first, F.col(value))).alias("baseline"),
-        F.avg(F.when(F.col(time) == last, F.col(value))).alias("final"),
+    """Mean at the last time of a dataset against that at its first.
+
+    Means by time come first, so rows meet no table; datasets with one time drop out.
+    """
+    means = rows.filter(F.col(time).isNotNull()).groupBy(*keys, time).agg(F.avg(value).alias("_mean"))
+    span = means.groupBy(*dataset).agg(F.min(time).alias("_first"), F.max(time).alias("_last")).filter("_first < _last")
+    out = means.join(F.broadcast(span), list(dataset)).groupBy(*keys).agg(
+        F.max(F.when(F.col(time) == F.col("_first"), F.col("_mean"))).alias("baseline"),
+        F.max(F.when(F.col(time) == F.col("_last"), F.col("_mean"))).alias("final"),
     ).filter(F.col("baseline").isNotNull() & F.col("final").isNotNull())
     change = F.col("final") - F.col("baseline")
     return out.withColumns(
@@ -365,7 +372,7 @@ def trait_association(rows: DataFrame, keys: Sequence[str], trait: str, value: s
     known = rows.filter(F.col(trait).isNotNull() & ~F.isnan(trait))
     out = known.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.corr(trait, value).alias("_r"), F.stddev_pop(value).alias("_sd"),
+        correlation(trait, value).alias("_r"), F.stddev_pop(value).alias("_sd"),
         F.stddev_pop(trait).alias("_spread"),
     ).filter((F.col("n") >= least) & (F.col("_spread") > 1e-9))
     r = F.when(F.col("_sd") > 1e-9, F.col("_r")).otherwise(0.0)
@@ -397,7 +404,7 @@ def pair_correlations(rows: DataFrame, by: Sequence[str], sample: str, feature:
             *[
                 F.struct(
                     F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"),
-                    F.corr(column(i), column(j)).alias("r"),
+                    correlation(column(i), column(j)).alias("r"),
                     F.count_if(column(i).isNotNull() & column(j).isNotNull()).alias("n"),
                 )
                 for i, j in pairs
@@ -407,9 +414,11 @@ def pair_correlations(rows: DataFrame, by: Sequence[str], sample: str, feature:
     return out.select(*by, F.inline("_pairs")).filter(F.col("r").isNotNull())
 
 
-def correlation_difference(by_group: DataFrame, group: str, a: str, b: str, least: float = 0.1) -> DataFrame:
-    """Pairs whose correlation differs between two groups by more than ``least``."""
-    out = by_group.groupBy("a", "b").agg(
+def correlation_difference(by_group: DataFrame, group: str, a: str, b: str, least: float = 0.1,
+                           least_samples: int = 3) -> DataFrame:
+    """Pairs whose correlation differs between two groups by more than ``least``;
+    a group needs ``least_samples`` samples with both features."""
+    out = by_group.filter(F.col("n") >= least_samples).groupBy("a", "b").agg(
         F.max(F.when(F.col(group) == a, F.col("r"))).alias("r_a"),
         F.max(F.when(F.col(group) == b, F.col("r"))).alias("r_b"),
     )
@@ -422,7 +431,7 @@ def platform_agreement(means: DataFrame, platform: str, feature: str, value: str
         F.max(F.when(F.col(platform) == a, F.col(value))).alias("_x"),
         F.max(F.when(F.col(platform) == b, F.col(value))).alias("_y"),
     ).filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    out = both.agg(F.count(F.lit(1)).alias("features"), F.corr("_x", "_y").alias("r")).filter("features > 2")
+    out = both.agg(F.count(F.lit(1)).alias("features"), correlation("_x", "_y").alias("r")).filter("features > 2")
     verdict = F.when(F.col("r") > 0.7, "high").when(F.col("r") > 0.4, "moderate").otherwise("low")
     return out.withColumn("verdict", verdict)
 
@@ -504,6 +513,12 @@ def top_two_overlap(means: DataFrame, expected: DataFrame, dataset: str = "datas
     return out.withColumn("strength", word)
 
 
+def relevance(item: Column, expected: Column, system_of) -> Column:
+    """2 for an expected set, 1 for one of the same system as the first expected set, else 0."""
+    same = system_of(item) == system_of(F.try_element_at(expected, F.lit(1)))
+    return F.when(F.array_contains(expected, item), 2).when(same, 1).otherwise(0)
+
+
 def row_z_scores(points: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """z-values with the population sd of the key's own row."""
     moments = points.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))

@@ -11,8 +11,8 @@ from tallyloom.operators.ordering import top_rows
 from tallyloom.plans.classification import CLASSIFIED, TERMS, classified, entries
 from tallyloom.plans.common import r6
 from tallyloom.plans.registry import query
-from tallyloom.plans.statistics import ROWS, rounded, rows
-from tallyloom.plans.studies import DESIGN, VALUES, design, values
+from tallyloom.plans.statistics import PAIRS, ROWS, TWO, expected, rounded, rows, tail_sql
+from tallyloom.plans.studies import DESIGN, MODES, VALUES, design, values
 from tallyloom.session import cut, spread, table
 
 WORDS = {"web": ["http", "www", "html"], "legal": ["license", "copyright", "warranty"], "mail": ["@", "contact"]}
@@ -175,28 +175,106 @@ def p17_finite_values(spark, sf):
     return present_values(table(spark, sf, "events")).select("event_id", "value")
 
 
-@query("t38_mode_statistics", f"""WITH {ROWS}, x AS (SELECT *, coalesce(age, severity) AS tr FROM rows),
-sp AS (SELECT dataset, min(days) AS lo, max(days) AS hi FROM x WHERE dataset % 5 = 0 GROUP BY 1)
-SELECT dataset, 'time_series' AS mode, feature, 'shift' AS metric, round(coalesce(avg(CASE WHEN days = hi THEN value END), 0) - coalesce(avg(CASE WHEN days = lo THEN value END), 0), 6) AS value
-FROM x JOIN sp USING (dataset) GROUP BY dataset, feature HAVING count(*) >= 3
-UNION ALL SELECT dataset, 'case_control', feature, 'mean_diff', round(avg(CASE WHEN "group" = 'disease' THEN value END) - avg(CASE WHEN "group" = 'control' THEN value END), 6)
-FROM x WHERE dataset % 5 = 1 GROUP BY dataset, feature HAVING count_if("group" = 'disease') >= 2 AND count_if("group" = 'control') >= 2
-UNION ALL SELECT dataset, 'continuous_trait_association', feature, 'r', round(corr(tr, value), 6) FROM x WHERE dataset % 5 = 3 GROUP BY dataset, feature HAVING count(tr) >= 6
-UNION ALL SELECT dataset, 'unsupervised_pattern_discovery', feature, 'mean', round(avg(value), 6) FROM x WHERE dataset % 5 = 4 GROUP BY dataset, feature""")
-def t38_mode_statistics(spark, sf):
-    out = dz.mode_statistics(values(spark, sf), design(spark, sf))
-    return rounded(out.filter(F.col("metric").isin("shift", "mean_diff", "r", "mean")), "value")
-
-
-@query("t39_table_plan", f"""WITH {DESIGN}, m AS (SELECT DISTINCT dataset, dataset % 5 AS k FROM design)
-SELECT dataset, CASE k WHEN 0 THEN 'radar,barplot,time_series_system,time_series_subcategory,heatmap,heterogeneity_heatmap' WHEN 1 THEN 'radar,barplot,boxplot,heatmap,expected_vs_observed_barplot,heterogeneity_heatmap'
-  WHEN 2 THEN 'radar,barplot,grouped_subtype_boxplot,heatmap,correlation,heterogeneity_heatmap' WHEN 3 THEN 'radar,barplot,trait_scatter_plot,correlation,heatmap,heterogeneity_heatmap'
-  ELSE 'radar,barplot,heatmap,correlation,heterogeneity_heatmap' END AS tables FROM m""")
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+LONG = """SELECT dataset, {block} AS block, {key} AS key, unnest([{names}]) AS metric, unnest([{values}]) AS value, NULL AS note FROM ({rows})"""
+
+
+def long_sql(block: str, key: str, metrics: list[str], rows: str) -> str:
+    return LONG.format(block=block, key=key, rows=rows, names=", ".join(f"'{m}'" for m in metrics),
+                       values=", ".join(f"CAST({m} AS DOUBLE)" for m in metrics))
+
+
+R = ("CASE WHEN stddev_pop({y}) > 1e-9 THEN corr({x}, {y}) ELSE 0 END AS r")
+T38_OWN = " UNION ALL ".join([
+    long_sql("'case_control'", "feature", ["n_a", "n_b", "mean_diff", "fold_change", "effect_size", "p_value"],
+             "SELECT dataset, feature, n_a, n_b, diff AS mean_diff, (mean_a + 1e-6) / (mean_b + 1e-6) AS fold_change, CASE WHEN sd > 1e-12 THEN diff / sd ELSE 0 END AS effect_size, "
+             f"CASE WHEN se > 1e-12 THEN {tail_sql('abs(diff) / se')} ELSE 1 END AS p_value FROM e JOIN modes USING (dataset) WHERE mode = 'case_control'"),
+    long_sql("'time_series'", "feature", ["n", "slope", "peak_time", "shift"],
+             "SELECT dataset, feature, count(value) AS n, coalesce(regr_slope(value, days), 0) AS slope, arg_min(days, struct_pack(a := -value, b := sample)) AS peak_time, "
+             "coalesce(avg(CASE WHEN days = hi THEN value END), 0) - coalesce(avg(CASE WHEN days = lo THEN value END), 0) AS shift "
+             "FROM x JOIN sp USING (dataset) WHERE days IS NOT NULL AND mode = 'time_series' GROUP BY 1, 2 HAVING count(*) >= 3"),
+    long_sql("'subtype_comparison'", "feature", ["spread", "groups"],
+             "SELECT dataset, feature, max(mean) - min(mean) AS spread, count(*) AS groups FROM sg GROUP BY 1, 2 HAVING count(*) >= 3"),
+    long_sql("'continuous_trait_association'", "feature", ["n", "r"],
+             f"SELECT dataset, feature, count(*) AS n, {R.format(x='tr', y='value')} FROM x WHERE mode = 'continuous_trait_association' AND tr IS NOT NULL "
+             "GROUP BY 1, 2 HAVING count(*) >= 6 AND stddev_pop(tr) > 1e-9"),
+])
+T38_CROSS = " UNION ALL ".join([
+    long_sql("'heterogeneity'", "feature", ["variance"], "SELECT dataset, feature, coalesce(var_samp(value), 0) AS variance FROM x GROUP BY 1, 2"),
+    long_sql("'system_heterogeneity'", "system", ["variance"], "SELECT dataset, system, coalesce(var_samp(score), 0) AS variance FROM sy GROUP BY 1, 2"),
+    long_sql("'coordination'", "pair_name", ["n", "r"],
+             "SELECT a.dataset, a.system || '|' || b.system AS pair_name, count(*) AS n, corr(a.score, b.score) AS r FROM sy a JOIN sy b ON a.sample = b.sample AND a.dataset = b.dataset "
+             "AND a.system < b.system GROUP BY 1, 2 HAVING count(*) >= 3 AND stddev_pop(a.score) > 0 AND stddev_pop(b.score) > 0"),
+    long_sql("'expected'", "'all'", ["matched", "missing", "unexpected"],
+             "SELECT dataset, len(list_filter(expected, lambda e: list_contains(act, e))) AS matched, len(list_filter(expected, lambda e: NOT list_contains(act, e))) AS missing, "
+             "len(list_filter(act, lambda e: NOT list_contains(expected, e))) AS unexpected FROM (SELECT dataset, list(system ORDER BY score DESC, system) AS act FROM "
+             "(SELECT * FROM sm QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY score DESC, system) <= 3) GROUP BY 1) JOIN ex USING (dataset)"),
+    long_sql("'pairs'", "feature", ["pairs", "mean_delta", "sd_delta"],
+             "SELECT dataset, feature, count(*) AS pairs, avg(delta) AS mean_delta, coalesce(stddev_samp(delta), 0) AS sd_delta FROM dl GROUP BY 1, 2 HAVING count(*) >= 2"),
+    long_sql("'response'", "feature", ["n_a", "n_b", "mean_diff"],
+             "SELECT dataset, feature, count_if(response = 'responder') AS n_a, count_if(response = 'non_responder') AS n_b, avg(CASE WHEN response = 'responder' THEN value END) "
+             "- avg(CASE WHEN response = 'non_responder' THEN value END) AS mean_diff FROM x GROUP BY 1, 2 HAVING count_if(response = 'responder') >= 2 AND count_if(response = 'non_responder') >= 2"),
+    long_sql("'severity'", "feature", ["n", "r"],
+             f"SELECT dataset, feature, count(*) AS n, {R.format(x='severity', y='value')} FROM x WHERE severity IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 6 AND stddev_pop(severity) > 1e-9"),
+])
+REASON = "CASE key " + " ".join(f"WHEN '{mode}' THEN '{text}'" for mode, text in dz.FALLBACK_REASONS.items()) + " END"
+
+
+@query("t38_run_statistics", f"""WITH {PAIRS[:PAIRS.index("pp AS")]} {MODES}, {TWO[TWO.index("m AS"):]}, {PAIRS[PAIRS.index("pp AS"):]},
+x AS (SELECT rows.*, mode, trait, CASE trait WHEN 'age' THEN age WHEN 'severity' THEN severity END AS tr, split_part(feature, '/', 1) AS system FROM rows JOIN modes USING (dataset)),
+sp AS (SELECT dataset, min(days) AS lo, max(days) AS hi FROM x WHERE days IS NOT NULL GROUP BY 1),
+sg AS (SELECT dataset, feature, subtype, avg(value) AS mean FROM x WHERE subtype <> 'unknown' AND mode = 'subtype_comparison' GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+sy AS (SELECT dataset, sample, system, avg(value) AS score FROM x GROUP BY 1, 2, 3), sm AS (SELECT dataset, system, avg(score) AS score FROM sy GROUP BY 1, 2),
+ex AS (SELECT n_nationkey AS dataset, CASE n_nationkey % 3 WHEN 0 THEN ['1-URGENT', '5-LOW'] WHEN 1 THEN ['2-HIGH'] ELSE ['3-MEDIUM', '1-URGENT'] END AS expected FROM nation),
+own AS ({T38_OWN}), done AS (SELECT DISTINCT dataset FROM own),
+state AS (SELECT dataset, any_value(mode) AS key, dataset IN (SELECT dataset FROM done) AS ok FROM x GROUP BY 1)
+SELECT dataset, block, key, metric, CASE metric WHEN 'p_value' THEN round(value, 4) ELSE round(value, 6) END AS value, note FROM (
+  SELECT * FROM own UNION ALL {T38_CROSS}
+  UNION ALL SELECT dataset, 'unsupervised_pattern_discovery', feature, 'mean', avg(value), NULL FROM x WHERE dataset NOT IN (SELECT dataset FROM done) GROUP BY dataset, feature
+  UNION ALL SELECT dataset, 'status', key, 'fallback', CASE WHEN ok THEN 0 ELSE 1 END, CASE WHEN NOT ok THEN {REASON} END FROM state)""")
+def t38_run_statistics(spark, sf):
+    out = dz.run_statistics(values(spark, sf), design(spark, sf), expected(spark, sf), PRIORITIES,
+                            lambda feature: F.split_part(feature, F.lit("/"), F.lit(1)))
+    return out.withColumn("value", F.when(F.col("metric") == "p_value", F.round("value", 4)).otherwise(F.round("value", 6)))
+
+
+@query("t39_table_plan", f"""WITH {DESIGN}, {MODES}
+SELECT dataset, CASE mode WHEN 'time_series' THEN 'radar,barplot,time_series_system,time_series_subcategory,heatmap,heterogeneity_heatmap' WHEN 'case_control' THEN 'radar,barplot,boxplot,heatmap,expected_vs_observed_barplot,heterogeneity_heatmap'
+  WHEN 'subtype_comparison' THEN 'radar,barplot,grouped_subtype_boxplot,heatmap,correlation,heterogeneity_heatmap' WHEN 'continuous_trait_association' THEN 'radar,barplot,trait_scatter_plot,correlation,heatmap,heterogeneity_heatmap'
+  ELSE 'radar,barplot,heatmap,correlation,heterogeneity_heatmap' END AS tables FROM modes""")
 def t39_table_plan(spark, sf):
     designs = dz.infer_design(design(spark, sf)).withColumn("has_heterogeneity", F.lit(True))
     return dz.table_plan(designs).select("dataset", F.array_join("tables", ",").alias("tables"))
 
 
+@query("t40_heat_table", f"""WITH {VALUES} SELECT dataset, sample, {", ".join(f"round(avg(CASE WHEN feature = '{p}/F' THEN value END), 6) AS "
+    f'"{p}/F"' for p in PRIORITIES)} FROM vals GROUP BY 1, 2""")
+def t40_heat_table(spark, sf):
+    names = [f"{p}/F" for p in PRIORITIES]
+    wide = values(spark, sf).groupBy("dataset", "sample").pivot("feature", names).agg(F.avg("value"))
+    return rounded(wide, *names)
+
+
+@query("t40_box_rows", f"""WITH {ROWS} SELECT dataset, response, feature, count(*) AS n, round(min(value), 6) AS low, round(quantile_cont(value, 0.25), 6) AS q1,
+  round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3, round(max(value), 6) AS high FROM rows GROUP BY 1, 2, 3""")
+def t40_box_rows(spark, sf):
+    from tallyloom.operators.ordering import quantiles
+    keys = ["dataset", "response", "feature"]
+    joined = rows(spark, sf)
+    ends = joined.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    boxes = quantiles(joined, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return rounded(ends.join(boxes, keys), "low", "q1", "median", "q3", "high").select(*keys, "n", "low", "q1", "median", "q3", "high")
+
+
+@query("t40_time_lines", f"""WITH {ROWS} SELECT dataset, feature, days, count(*) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS sd
+FROM rows WHERE days IS NOT NULL GROUP BY 1, 2, 3""")
+def t40_time_lines(spark, sf):
+    out = rows(spark, sf).filter("days IS NOT NULL").groupBy("dataset", "feature", "days").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"))
+    return rounded(out, "mean", "sd")
+
+
 @query("t40_trait_fit", f"""WITH {ROWS} SELECT dataset, feature, round(regr_slope(value, severity), 6) AS slope, round(regr_intercept(value, severity), 6) AS intercept, count(severity) AS n
 FROM rows WHERE severity IS NOT NULL GROUP BY 1, 2 HAVING count(severity) >= 6""")
 def t40_trait_fit(spark, sf):

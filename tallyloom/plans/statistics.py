@@ -11,10 +11,10 @@ from tallyloom.operators import statistics as st
 from tallyloom.operators import windows as win
 from tallyloom.operators.aggregates import group_profiles
 from tallyloom.operators.joins import baseline_deltas, phase_pairs
-from tallyloom.operators.ordering import top_rows
+from tallyloom.operators.ordering import running, top_rows
 from tallyloom.plans.common import ROUND, SYS_SCORES, r6, system_scores
 from tallyloom.plans.registry import query
-from tallyloom.plans.studies import DESIGN, VALUES, design, values
+from tallyloom.plans.studies import DESIGN, MODES, VALUES, design, values
 from tallyloom.plans.summaries import MONTHLY, monthly
 from tallyloom.session import table
 
@@ -39,16 +39,7 @@ def rounded(df, *columns, digits=ROUND):
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-@query("t1_study_design", f"""WITH {DESIGN},
-b AS (SELECT dataset, count(*) AS samples, count(days) AS timed, count(DISTINCT days) AS times,
-  count_if("group" = 'control') AS controls, count_if("group" = 'disease') AS cases,
-  count(coalesce(age, severity)) AS hits, stddev_pop(coalesce(age, severity)) AS spread FROM design GROUP BY 1),
-s AS (SELECT dataset, count_if(n >= 2) AS subtypes FROM (SELECT dataset, subtype, count(*) AS n FROM design
-  WHERE subtype <> 'unknown' GROUP BY 1, 2) GROUP BY 1)
-SELECT dataset, samples, timed, times, controls, cases, coalesce(subtypes, 0) AS subtypes,
-  CASE WHEN timed >= 6 AND times >= 3 THEN 'time_series' WHEN controls >= 2 AND cases >= 2 THEN 'case_control'
-  WHEN subtypes >= 3 THEN 'subtype_comparison' WHEN hits >= 6 AND spread > 1e-9 THEN 'continuous_trait_association'
-  ELSE 'unsupervised_pattern_discovery' END AS mode FROM b LEFT JOIN s USING (dataset)""")
+@query("t1_study_design", f"WITH {DESIGN}, {MODES} SELECT dataset, samples, timed, times, controls, cases, subtypes, mode FROM modes")
 def t1_study_design(spark, sf):
     out = dz.infer_design(design(spark, sf))
     return out.select("dataset", "samples", "timed", "times", "controls", "cases", "subtypes", "mode")
@@ -406,7 +397,8 @@ def t24_pairwise_correlation(spark, sf):
 
 
 @query("t25_correlation_difference", f"""WITH {SYS_SCORES}, g AS (SELECT sys.*, CASE WHEN s_acctbal > 4500 THEN 'rich' ELSE 'poor' END AS g FROM sys JOIN supplier ON sample = s_suppkey),
-c AS (SELECT x.g, x.system AS a, y.system AS b, corr(x.score, y.score) AS r FROM g x JOIN g y ON x.sample = y.sample AND x.system < y.system GROUP BY 1, 2, 3),
+c AS (SELECT x.g, x.system AS a, y.system AS b, corr(x.score, y.score) AS r FROM g x JOIN g y ON x.sample = y.sample AND x.system < y.system GROUP BY 1, 2, 3
+  HAVING count(*) >= 3 AND stddev_pop(x.score) > 0 AND stddev_pop(y.score) > 0),
 d AS (SELECT a, b, max(CASE WHEN g = 'rich' THEN r END) AS r_a, max(CASE WHEN g = 'poor' THEN r END) AS r_b FROM c GROUP BY 1, 2)
 SELECT a, b, round(r_a, 6) AS r_a, round(r_b, 6) AS r_b, round(r_a - r_b, 6) AS difference FROM d WHERE abs(r_a - r_b) > 0.1""")
 def t25_correlation_difference(spark, sf):
@@ -427,10 +419,18 @@ def t26_platform_agreement(spark, sf):
 
 
 @query("t27_heterogeneity", f"""WITH {VALUES}, v AS (SELECT dataset, feature, CASE WHEN count(*) > 1 THEN var_samp(value) ELSE 0 END AS variance FROM vals GROUP BY 1, 2)
-SELECT dataset, feature, round(variance, 6) AS variance, row_number() OVER (PARTITION BY dataset ORDER BY variance DESC, feature) AS place FROM v QUALIFY place <= 5""")
+SELECT dataset, feature, round(variance, 6) AS variance, row_number() OVER (PARTITION BY dataset ORDER BY variance DESC, feature) AS place FROM v""")
 def t27_heterogeneity(spark, sf):
-    out = st.heterogeneity(values(spark, sf), KEYS)
-    return rounded(top_rows(out, ["dataset"], [F.col("variance").desc(), F.col("feature")], 5), "variance")
+    out = running(st.heterogeneity(values(spark, sf), KEYS), ["dataset"], [F.col("variance").desc(), F.col("feature")], position="place")
+    return rounded(out, "variance")
+
+
+@query("t27_system_heterogeneity", f"""WITH {VALUES}, s AS (SELECT dataset, sample, split_part(feature, '/', 1) AS system, avg(value) AS score FROM vals GROUP BY 1, 2, 3)
+SELECT dataset, system, round(CASE WHEN count(*) > 1 THEN var_samp(score) ELSE 0 END, 6) AS variance FROM s GROUP BY 1, 2""")
+def t27_system_heterogeneity(spark, sf):
+    scores = values(spark, sf).groupBy("dataset", "sample", F.split_part("feature", F.lit("/"), F.lit(1)).alias("system")).agg(
+        F.avg("value").alias("value"))
+    return rounded(st.heterogeneity(scores, ["dataset", "system"]), "variance")
 
 
 @query("t29_response_stratification", f"""WITH {ROWS}, m AS (SELECT dataset, feature, count_if(response = 'responder') AS n_a, count_if(response = 'non_responder') AS n_b,
@@ -488,10 +488,11 @@ def t34_dominant_feature(spark, sf):
         F.min_by("feature", F.struct(-F.col("mean"), F.col("feature"))).alias("dominant"))
 
 
-@query("t35_change_from_baseline", f"""WITH {ROWS}, m AS (SELECT dataset, feature, avg(CASE WHEN days = 0 THEN value END) AS a, avg(CASE WHEN days = 1.5 THEN value END) AS b FROM rows GROUP BY 1, 2)
+@query("t35_change_from_baseline", f"""WITH {ROWS}, sp AS (SELECT dataset, min(days) AS lo, max(days) AS hi FROM rows GROUP BY 1 HAVING min(days) < max(days)),
+m AS (SELECT dataset, feature, avg(CASE WHEN days = lo THEN value END) AS a, avg(CASE WHEN days = hi THEN value END) AS b FROM rows JOIN sp USING (dataset) GROUP BY 1, 2)
 SELECT dataset, feature, round(b - a, 6) AS change, round((b - a) / abs(a) * 100, 6) AS change_pct FROM m WHERE a IS NOT NULL AND b IS NOT NULL""")
 def t35_change_from_baseline(spark, sf):
-    return rounded(st.change_from_baseline(rows(spark, sf), KEYS, "days", 0.0, 1.5), "change", "change_pct").select(
+    return rounded(st.change_from_baseline(rows(spark, sf), KEYS, "days"), "change", "change_pct").select(
         *KEYS, "change", "change_pct")
 
 
@@ -546,11 +547,17 @@ def t45_datasets_by_system(spark, sf):
     return expected(spark, sf).select(F.explode("expected").alias("system"), "dataset")
 
 
-@query("t46_relevance", f"""WITH {MEANS} SELECT dataset, system, CASE WHEN expected[1] = system THEN 2 WHEN list_contains(expected, system) THEN 1 ELSE 0 END AS relevance FROM mn JOIN ex USING (dataset)""")
+EXPECTED_SETS = "CASE n_nationkey % 3 WHEN 0 THEN {0}'1-URGENT/F', '5-LOW/O'{1} WHEN 1 THEN {0}'2-HIGH/P'{1} ELSE {0}'3-MEDIUM/F', '1-URGENT/O'{1} END"
+
+
+@query("t46_relevance", f"""WITH {VALUES}, f AS (SELECT DISTINCT dataset, feature FROM vals), ex AS (SELECT n_nationkey AS dataset, {EXPECTED_SETS.format("[", "]")} AS expected FROM nation)
+SELECT dataset, feature, CASE WHEN list_contains(expected, feature) THEN 2 WHEN split_part(feature, '/', 1) = split_part(expected[1], '/', 1) THEN 1 ELSE 0 END AS relevance
+FROM f JOIN ex USING (dataset)""")
 def t46_relevance(spark, sf):
-    level = F.when(F.element_at("expected", 1) == F.col("system"), 2).when(
-        F.array_contains("expected", F.col("system")), 1).otherwise(0)
-    return priority_means(spark, sf).join(expected(spark, sf), "dataset").select("dataset", "system", level.alias("relevance"))
+    sets = table(spark, sf, "nation").selectExpr("n_nationkey AS dataset", f"{EXPECTED_SETS.format('array(', ')')} AS expected")
+    of = lambda c: F.split_part(c, F.lit("/"), F.lit(1))
+    found = values(spark, sf).select("dataset", "feature").distinct().join(sets, "dataset")
+    return found.select("dataset", "feature", st.relevance(F.col("feature"), F.col("expected"), of).alias("relevance"))
 
 
 @query("t48_temporal_leaders", f"""WITH {MONTHLY}, x AS (SELECT l_returnflag AS dataset, t, feature, avg(value) AS v FROM m GROUP BY 1, 2, 3)

@@ -57,6 +57,18 @@ design AS (SELECT dataset, sample, merged,
     WHEN regexp_matches(lower(rs), 'responder|response|sensitive|remission') THEN 'responder' ELSE 'unknown' END AS response,
   CAST(nullif(regexp_extract(sv, '([0-9]+)', 1), '') AS DOUBLE) AS severity FROM raw)"""
 
+# counts and design of each dataset, from the CTE above
+MODES = """b AS (SELECT dataset, count(*) AS samples, count(days) AS timed, count(DISTINCT days) AS times,
+  count_if("group" = 'control') AS controls, count_if("group" = 'disease') AS cases,
+  count(age) AS ages, stddev_pop(age) AS age_spread, count(severity) AS grades, stddev_pop(severity) AS grade_spread FROM design GROUP BY 1),
+s AS (SELECT dataset, count_if(n >= 2) AS subtypes FROM (SELECT dataset, subtype, count(*) AS n FROM design
+  WHERE subtype <> 'unknown' GROUP BY 1, 2) GROUP BY 1),
+modes AS (SELECT dataset, samples, timed, times, controls, cases, coalesce(subtypes, 0) AS subtypes,
+  CASE WHEN ages >= 6 THEN 'age' WHEN grades >= 6 THEN 'severity' END AS trait,
+  CASE WHEN timed >= 6 AND times >= 3 THEN 'time_series' WHEN controls >= 2 AND cases >= 2 THEN 'case_control'
+  WHEN subtypes >= 3 THEN 'subtype_comparison' WHEN ages >= 6 AND age_spread > 1e-9 OR ages < 6 AND grades >= 6 AND grade_spread > 1e-9 THEN 'continuous_trait_association'
+  ELSE 'unsupervised_pattern_discovery' END AS mode FROM b LEFT JOIN s USING (dataset))"""
+
 VALUES = """vals AS (SELECT c_nationkey AS dataset, o_custkey AS sample, o_orderpriority || '/' || o_orderstatus AS feature,
   avg(ln(o_totalprice)) AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3)"""
 

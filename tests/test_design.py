@@ -77,5 +77,9 @@ def test_repeated_keys_last_wins_and_equals_sign(spark):
 def test_fallback_when_scores_do_not_support_the_design(spark):
     samples = study(spark, *[["group: control"]] * 3, *[["group: disease"]] * 3)
     values = spark.createDataFrame([("d", "s00", "f", 1.0), ("d", "s01", "f", 3.0)], "dataset string, sample string, feature string, value double")
-    row = dz.mode_statistics(values, samples).first()
-    assert (row["mode"], row.metric, row.value) == (dz.UNSUPERVISED, "mean", 2.0)
+    expected = spark.createDataFrame([("d", ["A"])], "dataset string, expected array<string>")
+    out = dz.run_statistics(values, samples, expected, ["f", "g"], lambda f: f)
+    row = out.filter(F.col("block") == dz.UNSUPERVISED).first()
+    assert (row.key, row.metric, row.value) == ("f", "mean", 2.0)
+    status = out.filter("block = 'status'").first()
+    assert (status.key, status.value, status.note) == (dz.CASE_CONTROL, 1.0, dz.FALLBACK_REASONS[dz.CASE_CONTROL])
