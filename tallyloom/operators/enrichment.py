@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.joins import small_side
 from tallyloom.operators.ordering import running, tie_ranks
-from tallyloom.session import cut, window_rows
+from tallyloom.session import broadcast_rows, cut, window_rows
 
 #: Set ids carried in one row when the sample x set grid is laid out.
 GRID_CHUNK = 1000
@@ -33,7 +33,8 @@ def sample_set_grid(samples: DataFrame, sets: DataFrame, set_id: str = "set_id")
     rows of at most about ``GRID_CHUNK`` ids and joined on the chunk number.
     """
     ids = sets.select(set_id).distinct()
-    chunks = max(1, -(-ids.count() // GRID_CHUNK))
+    n = ids.count()
+    chunks = max(1, -(-n // GRID_CHUNK))
     packed = (
         ids.groupBy(F.pmod(F.xxhash64(set_id), F.lit(chunks)).alias("_chunk"))
         .agg(F.collect_list(set_id).alias("_ids"))
@@ -41,7 +42,8 @@ def sample_set_grid(samples: DataFrame, sets: DataFrame, set_id: str = "set_id")
     spread = samples.withColumn(
         "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))
     )
-    joined = spread.join(packed, "_chunk")
+    # a chunk number is no key to shuffle all samples on: the packed ids go to them while their count is bounded
+    joined = spread.join(F.broadcast(packed) if n <= broadcast_rows(sets.sparkSession) else packed, "_chunk")
     return joined.select(*samples.columns, F.explode("_ids").alias(set_id))
 
 
@@ -112,25 +114,28 @@ def rank_area_scores(
     sets: DataFrame,
     keys: Sequence[str] = ("sample",),
     alpha: float = 0.25,
-    min_size: int = 5,
-    max_size: int = 500,
+    min_size: int = 1,
+    max_size: int | None = None,
 ) -> DataFrame:
     """Area between the hit and miss curves on rank-normalised samples
     (published single-sample algorithm), with scores scaled by their range.
 
-    Sets with fewer than ``min_size`` or more than ``max_size`` measured
-    members are left out.
+    Every sample has a row for every set, 0 where nothing matches.  A caller
+    may leave out sets with fewer than ``min_size`` or more than ``max_size``
+    measured members.
     """
     keys = list(keys)
     rows = present_values(values).select(*keys, "feature", "value")
-    _, small = _sizes(rows, keys)
+    sizes, small = _sizes(rows, keys)
     measured = rows.select("feature").distinct()
     sized = (
         sets.select("set_id", "feature").distinct().join(measured, "feature", "left_semi")
         .groupBy("set_id").agg(F.count(F.lit(1)).alias("size"))
-        .filter(F.col("size").between(min_size, max_size))
+        .filter(F.col("size") >= min_size)
     )
-    kept = sets.join(sized, "set_id", "left_semi")
+    if max_size is not None:
+        sized = sized.filter(F.col("size") <= max_size)
+    kept = sets.join(sized, "set_id", "left_semi") if min_size > 1 or max_size is not None else sets
     ranked = running(
         rows, keys, [F.col("value").desc(), F.col("feature")],
         totals={"n": None}, position="r", small=small,
@@ -156,7 +161,8 @@ def rank_area_scores(
         F.col("n") > F.col("hits"),
         (F.col("n") * (F.col("n") + 1) / 2 - F.col("reach")) / (F.col("n") - F.col("hits")),
     ).otherwise(0.0)
-    es = cut(sums.select(*keys, "set_id", (inside - outside).alias("es")))
+    found = sums.select(*keys, "set_id", (inside - outside).alias("es"))
+    es = cut(_complete(found, sizes, kept, keys, {"es": F.lit(0.0)}))
     # one number back: the range of all scores
     low, high = es.agg(F.min("es"), F.max("es")).first()
     span = (high or 0.0) - (low or 0.0)

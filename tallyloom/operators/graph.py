@@ -23,20 +23,21 @@ def edges_of(terms: DataFrame, key: str, relations: dict[str, str]) -> DataFrame
 def closure(edges: DataFrame) -> DataFrame:
     """(node, ancestor, distance) for every pair, distance by the shortest path.
 
-    Breadth first: each round extends only the pairs found in the round before
-    and drops those already known, so it also ends on cycles.  Rounds are cut
-    with a reliable checkpoint, as each reads the one before.
+    Path doubling: each round joins the pairs found so far with themselves, so
+    the rounds grow with the logarithm of the depth.  A round writes one table;
+    it also ends on cycles, once neither pairs nor distances change.
     """
-    step = cut(edges.select("child", "parent").distinct())
-    frontier = step.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
-    known, distance = frontier, 1
+    measure = lambda pairs: tuple(pairs.agg(F.count(F.lit(1)), F.sum("distance")).first())
+    known = cut(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("distance")).distinct())
+    before = measure(known)
     while True:
-        distance += 1
-        grown = frontier.join(step, F.col("ancestor") == F.col("child")).select("node", F.col("parent").alias("ancestor"))
-        fresh = cut(grown.distinct().join(known, ["node", "ancestor"], "left_anti").withColumn("distance", F.lit(distance)))
-        if fresh.isEmpty():
+        upper = known.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_up"), F.col("distance").alias("_more"))
+        further = known.join(upper, "ancestor").select("node", F.col("_up").alias("ancestor"), (F.col("distance") + F.col("_more")).alias("distance"))
+        known = cut(known.unionByName(further).groupBy("node", "ancestor").agg(F.min("distance").alias("distance")))
+        now = measure(known)
+        if now == before:
             return known
-        known, frontier = known.unionByName(fresh), fresh
+        before = now
 
 
 def cycle_nodes(pairs: DataFrame) -> DataFrame:
@@ -176,34 +177,90 @@ def sampled_pairs_between(members: DataFrame, n: int, seed: int = 42, labels: li
     return both.select("group", "other", F.explode("_a").alias("a"), "_b").select("group", "other", "a", F.explode("_b").alias("b"))
 
 
+def group_vectors(members: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sums from which the similarity of all pairs of members follows, without a pair row.
+
+    Vectors ``(group, ancestor, c, s)``: how many members have the ancestor,
+    and the sum of the members' unit vectors.  Totals ``(group, members,
+    ancestors, placed)``: members, their ancestors together, and those that
+    have any.  Both are written once.
+    """
+    sizes = pairs.groupBy("node").agg(F.count(F.lit(1)).alias("_n"))
+    weighed = pairs.select("node", "ancestor").join(sizes, "node")
+    vectors = cut(members.join(weighed, "node").groupBy("group", "ancestor").agg(
+        F.count(F.lit(1)).alias("c"), F.sum(1 / F.sqrt("_n")).alias("s")))
+    totals = cut(members.join(sizes, "node", "left").groupBy("group").agg(
+        F.count(F.lit(1)).alias("members"), F.coalesce(F.sum("_n"), F.lit(0)).alias("ancestors"), F.count("_n").alias("placed")))
+    return vectors, totals
+
+
+def within_groups(vectors: DataFrame, totals: DataFrame) -> DataFrame:
+    """Over all pairs of a group's members: mean shared ancestors, ratio of sums
+    of shared to joint ancestors, mean cosine; and the spread of the unit
+    vectors around their mean.  Groups of one member have no pair and drop out."""
+    sums = vectors.groupBy("group").agg(
+        F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("_shared"), F.sum(F.col("s") * F.col("s")).alias("_norm"))
+    rows = totals.filter("members > 1").join(sums, "group", "left").fillna(0.0, ["_shared", "_norm"])
+    pairs = F.col("members") * (F.col("members") - 1) / 2
+    joint = (F.col("members") - 1) * F.col("ancestors") - F.col("_shared")
+    return rows.select(
+        "group", "members", pairs.cast("long").alias("pairs"), (F.col("_shared") / pairs).alias("mean_shared"),
+        F.coalesce(F.try_divide(F.col("_shared"), joint), F.lit(0.0)).alias("shared_ratio"),
+        ((F.col("_norm") - F.col("placed")) / 2 / pairs).alias("similarity"),
+        F.greatest(F.col("placed") - F.col("_norm") / F.col("members"), F.lit(0.0)).alias("spread"))
+
+
+def between_groups(vectors: DataFrame, totals: DataFrame) -> DataFrame:
+    """The same measures over all pairs of members of every two groups (group < other), and the distance of their mean vectors."""
+    right = vectors.select(F.col("group").alias("other"), "ancestor", F.col("c").alias("_c"), F.col("s").alias("_s"))
+    both = vectors.join(right, "ancestor").filter("group < other").groupBy("group", "other").agg(
+        F.sum(F.col("c") * F.col("_c")).alias("_shared"), F.sum(F.col("s") * F.col("_s")).alias("_dot"))
+    norms = totals.join(vectors.groupBy("group").agg(F.sum(F.col("s") * F.col("s")).alias("norm")), "group", "left").fillna(0.0, ["norm"])
+    side = lambda name, end: norms.select(F.col("group").alias(name), *[F.col(c).alias(c + end) for c in ("members", "ancestors", "norm")])
+    rows = both.join(side("group", "_a"), "group").join(side("other", "_b"), "other")
+    n_a, n_b = F.col("members_a"), F.col("members_b")
+    joint = n_b * F.col("ancestors_a") + n_a * F.col("ancestors_b") - F.col("_shared")
+    square = F.col("norm_a") / (n_a * n_a) + F.col("norm_b") / (n_b * n_b) - 2 * F.col("_dot") / (n_a * n_b)
+    return rows.select(
+        "group", "other", (n_a * n_b).alias("pairs"), (F.col("_shared") / (n_a * n_b)).alias("mean_shared"),
+        F.coalesce(F.try_divide(F.col("_shared"), joint), F.lit(0.0)).alias("shared_ratio"),
+        (F.col("_dot") / (n_a * n_b)).alias("similarity"), F.sqrt(F.greatest(square, F.lit(0.0))).alias("distance"))
+
+
 def pair_statistics(scored: DataFrame, keys: list[str], score: str) -> DataFrame:
     return scored.groupBy(*keys).agg(
         F.avg(score).alias("mean"), F.stddev_pop(score).alias("sd"), F.min(score).alias("min"),
         F.max(score).alias("max"), F.count(F.lit(1)).alias("pairs"))
 
 
-def coherence(within: DataFrame, between: DataFrame, threshold: float = 1.5) -> DataFrame:
-    """One row: mean similarity within and between groups, their ratio, verdict."""
-    inner = within.agg(F.avg("mean").alias("intra"), F.avg(F.col("sd") * F.col("sd")).alias("variance"),
-                       F.count(F.lit(1)).alias("groups"))
-    outer = between.agg(F.avg("mean").alias("inter"), F.avg(1 - F.col("mean")).alias("separation"),
-                        F.var_pop("mean").alias("_between"))
-    one = inner.withColumn("_k", F.lit(1)).join(outer.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    ratio = F.when(F.col("inter") > 0, F.col("intra") / F.col("inter")).otherwise(F.lit(float("inf")))
-    spread = F.when(F.col("variance") > 0, F.col("_between") / F.col("variance") * (F.col("groups") - 1))
-    return one.withColumns({"ratio": ratio, "valid": ratio >= threshold, "calinski_harabasz": spread}).drop("_between")
+def coherence(within: DataFrame, between: DataFrame, vectors: DataFrame, threshold: float = 1.5) -> DataFrame:
+    """One row: mean similarity within and between groups, their ratio and
+    verdict, and the Calinski-Harabasz ratio of the unit vectors."""
+    inner = within.agg(F.avg("similarity").alias("intra"), F.sum("spread").alias("spread"),
+                       F.count(F.lit(1)).alias("groups"), F.sum("members").alias("_members"))
+    outer = between.agg(F.avg("similarity").alias("inter"), F.avg(1 - F.col("similarity")).alias("separation"))
+    several = vectors.join(within.select("group", "members"), "group")
+    means = several.groupBy("group").agg((F.sum(F.col("s") * F.col("s")) / F.max("members")).alias("_m")).agg(F.sum("_m").alias("_means"))
+    whole = several.groupBy("ancestor").agg(F.sum("s").alias("_s")).agg(F.sum(F.col("_s") * F.col("_s")).alias("_whole"))
+    one = inner
+    for part in (outer, means, whole):  # one row each
+        one = one.join(F.broadcast(part))
+    apart = F.col("_means") - F.col("_whole") / F.col("_members")
+    ratio = F.coalesce(F.try_divide(F.col("intra"), F.when(F.col("inter") > 0, F.col("inter"))), F.lit(float("inf")))
+    spread = F.try_divide(apart / (F.col("groups") - 1), F.col("spread") / (F.col("_members") - F.col("groups")))
+    return one.withColumns({"ratio": ratio, "valid": ratio >= threshold, "calinski_harabasz": spread}).drop("_members", "_means", "_whole")
 
 
 def group_separation(within: DataFrame, between: DataFrame) -> DataFrame:
-    """Per group: silhouette-style score and the worst spread-to-distance ratio."""
-    sides = between.select("group", F.col("other"), "mean").unionByName(
-        between.select(F.col("other").alias("group"), F.col("group").alias("other"), "mean"))
-    mate = within.select(F.col("group").alias("other"), F.col("sd").alias("_sd_other"))
-    rows = sides.join(within.select("group", F.col("mean").alias("_intra"), F.col("sd").alias("_sd")), "group").join(mate, "other")
-    gap = 1 - F.col("mean")
-    out = rows.groupBy("group").agg(
-        F.max("_intra").alias("intra"), F.min("mean").alias("nearest"),
-        F.max(F.when(gap > 0, (F.col("_sd") + F.col("_sd_other")) / gap)).alias("davies_bouldin"))
+    """Per group: centroid silhouette and the worst spread-to-distance ratio."""
+    sides = between.select("group", "other", "similarity", "distance").unionByName(
+        between.select(F.col("other").alias("group"), F.col("group").alias("other"), "similarity", "distance"))
+    width = F.sqrt(F.col("spread") / F.col("members"))
+    own = within.select("group", F.col("similarity").alias("_intra"), width.alias("_width"))
+    mate = within.select(F.col("group").alias("other"), width.alias("_width_other"))
+    out = sides.join(own, "group").join(mate, "other").groupBy("group").agg(
+        F.max("_intra").alias("intra"), F.max("similarity").alias("nearest"),
+        F.max(F.try_divide(F.col("_width") + F.col("_width_other"), F.col("distance"))).alias("davies_bouldin"))
     a, b = 1 - F.col("intra"), 1 - F.col("nearest")
     return out.withColumn("silhouette", F.when(F.greatest(a, b) > 0, (b - a) / F.greatest(a, b)).otherwise(0.0))
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.distributions import chi2_upper, f_upper, normal_two_sided, t_two_sided
 from tallyloom.functions.labels import guarded_ratio, log2_fold_change
 from tallyloom.functions.moments import correlation
+from tallyloom.operators.joins import small_side
 from tallyloom.operators.ordering import quantiles, running, top_rows
 
 #: Largest number of columns a correlation table is laid out for.
@@ -460,7 +461,8 @@ def strata(rows: DataFrame, keys: Sequence[str], value: str, cuts: Sequence[floa
     word = F
     for i, name in enumerate(names[:-1]):
         word = word.when(F.col(value) <= F.col(f"_c{i}"), name)
-    return rows.join(edges, list(keys)).withColumn(stratum, word.otherwise(names[-1])).drop(*probs)
+    # one row for each group, sent to the values rather than the values to it
+    return rows.join(small_side(edges), list(keys)).withColumn(stratum, word.otherwise(names[-1])).drop(*probs)
 
 
 def rank_gaps(means: DataFrame, keys: Sequence[str], feature: str, value: str,

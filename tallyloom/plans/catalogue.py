@@ -157,9 +157,9 @@ def p14_search(spark, sf):
     return fl.search(table(spark, sf, "documents"), "License", ["text", "source"]).select("doc_id")
 
 
-@query("p15_sized_sets", f"WITH {SETS} SELECT set_id, count(*) AS size FROM sets GROUP BY 1 HAVING count(*) BETWEEN 5 AND 100")
+@query("p15_sized_sets", f"WITH {SETS} SELECT set_id, count(*) AS size FROM sets GROUP BY 1 HAVING count(*) >= 5")
 def p15_sized_sets(spark, sf):
-    return fl.sized_sets(sets(spark, sf), 5, 100)
+    return fl.sized_sets(sets(spark, sf), 5)
 
 
 @query("p16_focus_sets", f"""WITH {SCORES}, m AS (SELECT set_id, avg(es) AS v FROM scores GROUP BY 1),

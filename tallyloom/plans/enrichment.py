@@ -67,12 +67,11 @@ def e6_mean_value_scores(spark, sf):
 ranked AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY value DESC, feature) AS r,
     rank() OVER (PARTITION BY sample ORDER BY value) + (count(*) OVER (PARTITION BY sample, value) - 1) / 2.0 AS low,
     count(*) OVER (PARTITION BY sample) AS n FROM meas),
-sized AS (SELECT set_id FROM sets WHERE feature IN (SELECT feature FROM meas) GROUP BY 1 HAVING count(*) BETWEEN 5 AND 500),
-hits AS (SELECT *, pow(10000.0 * low / n, 0.25) AS w FROM ranked JOIN sets USING (feature)
-  WHERE set_id IN (SELECT set_id FROM sized)),
-es AS (SELECT sample, set_id, sum(w * (n - r + 1)) / sum(w)
+hits AS (SELECT *, pow(10000.0 * low / n, 0.25) AS w FROM ranked JOIN sets USING (feature)),
+found AS (SELECT sample, set_id, sum(w * (n - r + 1)) / sum(w)
     - CASE WHEN max(n) > count(*) THEN (max(n) * (max(n) + 1) / 2.0 - sum(n - r + 1)) / (max(n) - count(*)) ELSE 0 END AS es
-  FROM hits GROUP BY 1, 2)
+  FROM hits GROUP BY 1, 2),
+es AS (SELECT sample, set_id, coalesce(es, 0) AS es FROM (SELECT DISTINCT sample FROM meas) CROSS JOIN (SELECT DISTINCT set_id FROM sets) LEFT JOIN found USING (sample, set_id))
 SELECT sample, set_id, round(es, 5) AS es, round(es / (SELECT max(es) - min(es) FROM es), 6) AS nes FROM es""")
 def e7_rank_area_scores(spark, sf):
     out = en.rank_area_scores(measurements(spark, sf), sets(spark, sf))

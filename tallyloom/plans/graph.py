@@ -5,6 +5,7 @@ Part k has the parents k div 2 and k div 3 (k > 1), so part 1 is the root.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators import graph as gr
@@ -12,9 +13,6 @@ from tallyloom.plans.common import r6
 from tallyloom.plans.registry import query
 from tallyloom.session import cut, table
 
-_written: dict[tuple[str, str], tuple] = {}
-
-
 def edges(spark, sf):
     terms = table(spark, sf, "part").select(
         F.col("p_partkey").alias("id"),
@@ -23,14 +21,15 @@ def edges(spark, sf):
     return gr.edges_of(terms, "id", {"is_a": "is_a", "part_of": "part_of"})
 
 
+def closure_pairs(spark, sf):
+    return gr.closure(cut(edges(spark, sf)))
+
+
 def written(spark, sf):
-    """Edges, closure, information content and depth, written once per session."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _written:
-        e = cut(edges(spark, sf))
-        pairs = cut(gr.closure(e))
-        _written[key] = (e, pairs, cut(gr.intrinsic_information(gr.nodes_of(e), pairs)), cut(gr.depths(e, pairs)))
-    return _written[key]
+    """Edges, closure, information content and depth, each written once for the query that asks."""
+    e = cut(edges(spark, sf))
+    pairs = gr.closure(e)
+    return e, pairs, cut(gr.intrinsic_information(gr.nodes_of(e), pairs)), cut(gr.depths(e, pairs))
 
 
 EDGES = """e AS (SELECT p_partkey AS child, p_partkey // 2 AS parent, 'is_a' AS relation FROM part WHERE p_partkey > 1
@@ -52,12 +51,12 @@ def d1_edges(spark, sf):
 
 @query("d2_cycles", f"WITH {CLOSURE} SELECT count(*) AS cycle_nodes FROM clo WHERE node = ancestor")
 def d2_cycles(spark, sf):
-    return gr.cycle_nodes(written(spark, sf)[1]).agg(F.count(F.lit(1)).alias("cycle_nodes"))
+    return gr.cycle_nodes(closure_pairs(spark, sf)).agg(F.count(F.lit(1)).alias("cycle_nodes"))
 
 
 @query("d3_ancestors", f"WITH {CLOSURE} SELECT node, ancestor, distance FROM clo")
 def d3_ancestors(spark, sf):
-    return written(spark, sf)[1].select("node", "ancestor", "distance")
+    return closure_pairs(spark, sf)
 
 
 @query("d4_depths", f"WITH {CLOSURE} SELECT node, depth FROM dp")
@@ -69,7 +68,7 @@ def d4_depths(spark, sf):
 SELECT node, max(n) AS ancestors, string_agg(p_name, '; ' ORDER BY i) AS names FROM nm WHERE i <= 5 GROUP BY 1""")
 def d5_ancestor_names(spark, sf):
     from tallyloom.operators.ordering import top_rows
-    pairs = written(spark, sf)[1]
+    pairs = closure_pairs(spark, sf)
     named = pairs.join(table(spark, sf, "part").select(F.col("p_partkey").alias("ancestor"), "p_name"), "ancestor")
     counts = pairs.groupBy("node").agg(F.count(F.lit(1)).alias("ancestors"))
     near = top_rows(named, ["node"], [F.col("distance"), F.col("ancestor")], 5).groupBy("node").agg(
@@ -82,23 +81,23 @@ def d6_intrinsic_information(spark, sf):
     return written(spark, sf)[2].select("node", "descendants", (F.round("ic", 6) + 0).alias("ic"))
 
 
-@query("d7_annotation_information", f"""WITH {CLOSURE}, k AS (SELECT l_partkey AS node, count(*) AS n FROM lineitem WHERE l_partkey > 0 GROUP BY 1),
+@query("d7_annotation_information", f"""WITH {CLOSURE}, k AS (SELECT l_partkey AS node, count(*) AS n FROM lineitem GROUP BY 1),
 u AS (SELECT ancestor AS node, n FROM k JOIN clo USING (node) UNION ALL SELECT node, n FROM k), s AS (SELECT node, sum(n) AS a FROM u GROUP BY 1)
 SELECT node, CAST(a AS BIGINT) AS annotations, round(-ln(a / (SELECT sum(n) FROM k)), 6) + 0 AS ic FROM s""")
 def d7_annotation_information(spark, sf):
-    counts = table(spark, sf, "lineitem").filter("l_partkey > 0").groupBy(F.col("l_partkey").alias("node")).agg(F.count(F.lit(1)).alias("n"))
-    out = gr.annotation_information(counts, written(spark, sf)[1])
+    counts = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    out = gr.annotation_information(counts, closure_pairs(spark, sf))
     return out.select("node", "annotations", (F.round("ic", 6) + 0).alias("ic"))
 
 
-PAIRS = """pr AS (SELECT l_partkey AS a, (l_partkey * 7 + 3) % (SELECT max(p_partkey) FROM part) + 1 AS b FROM lineitem WHERE l_partkey > 0 GROUP BY 1)"""
+PAIRS = """pr AS (SELECT l_partkey AS a, (l_partkey * 7 + 3) % (SELECT max(p_partkey) FROM part) + 1 AS b FROM lineitem GROUP BY 1)"""
 COMMON = f"""{CLOSURE}, {PAIRS}, cm AS (SELECT a, b, x.ancestor FROM pr JOIN rc x ON x.node = a JOIN rc y ON y.node = b AND y.ancestor = x.ancestor),
 lo AS (SELECT * FROM cm WHERE (a, b, ancestor) NOT IN (SELECT cm.a, cm.b, c.ancestor FROM cm JOIN clo c ON c.node = cm.ancestor))"""
 
 
 def node_pairs(spark, sf):
     most = table(spark, sf, "part").agg(F.max("p_partkey")).first()[0]
-    nodes = table(spark, sf, "lineitem").filter("l_partkey > 0").select(F.col("l_partkey").alias("a")).distinct()
+    nodes = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("a")).distinct()
     return nodes.withColumn("b", (F.col("a") * 7 + 3) % most + 1)
 
 
@@ -140,68 +139,95 @@ def d10_overlap_similarities(spark, sf):
     return out.select("a", "b", *[F.round(m, 6).alias(m) for m in ("depth", "jaccard", "simple")])
 
 
-SAMPLE = """sm AS (SELECT p_type AS g, p_partkey AS node FROM part WHERE p_partkey > 0 QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY md5(p_partkey || '|42'), p_partkey) <= 12)"""
-IN_PAIRS = SAMPLE + ", ip AS (SELECT x.g, x.node AS a, y.node AS b FROM sm x JOIN sm y ON x.g = y.g AND x.node < y.node)"
-OUT_PAIRS = SAMPLE + ", op AS (SELECT x.g, y.g AS o, x.node AS a, y.node AS b FROM sm x JOIN sm y ON x.g < y.g)"
-JAC = """nn AS (SELECT node, count(*) AS n FROM clo GROUP BY 1),
-jc AS (SELECT {k}, q.a, q.b, count(y.node) AS c FROM {t} q JOIN clo x ON x.node = q.a LEFT JOIN clo y ON y.node = q.b AND y.ancestor = x.ancestor GROUP BY ALL),
-js AS (SELECT {k}, CASE WHEN c > 0 THEN c * 1.0 / (na.n + nb.n - c) ELSE 0 END AS s FROM jc JOIN nn na ON na.node = a JOIN nn nb ON nb.node = b)"""
-
-
-def members(spark, sf):
-    return table(spark, sf, "part").filter("p_partkey > 1").select(F.col("p_type").alias("group"), F.col("p_partkey").alias("node"))
-
-
-def scored(spark, sf, pairs):
-    _, clo, _, depth = written(spark, sf)
-    pairs = cut(pairs)
-    values = gr.overlap_similarities(pairs.select("a", "b").distinct(), clo, depth)
-    return pairs.join(values, ["a", "b"])
+def vectors_sql(column: str, tag: str = "") -> str:
+    """Vectors, totals and the measures within and between the groups of a part column."""
+    return f"""mem{tag} AS (SELECT {column} AS g, p_partkey AS node FROM part),
+vec{tag} AS (SELECT g, ancestor, count(*) AS c, sum(1 / sqrt(n)) AS s FROM mem{tag} JOIN clo USING (node) JOIN sz USING (node) GROUP BY 1, 2),
+sq{tag} AS (SELECT g, sum(c * (c - 1) / 2.0) AS shared, sum(s * s) AS norm FROM vec{tag} GROUP BY 1),
+tot{tag} AS (SELECT g, k, total, placed, coalesce(shared, 0) AS shared, coalesce(norm, 0) AS norm FROM (SELECT g, count(*) AS k, coalesce(sum(n), 0) AS total, count(n) AS placed
+  FROM mem{tag} LEFT JOIN sz USING (node) GROUP BY 1) LEFT JOIN sq{tag} USING (g)),
+win{tag} AS (SELECT g, k, k * (k - 1) // 2 AS pairs, shared * 2 / (k * (k - 1)) AS mean_shared, coalesce(shared / nullif((k - 1) * total - shared, 0), 0) AS shared_ratio,
+  (norm - placed) / (k * (k - 1)) AS similarity, greatest(placed - norm / k, 0) AS spread FROM tot{tag} WHERE k > 1),
+dot{tag} AS (SELECT x.g, y.g AS o, sum(x.c * y.c) AS shared, sum(x.s * y.s) AS dot FROM vec{tag} x JOIN vec{tag} y ON x.ancestor = y.ancestor AND x.g < y.g GROUP BY 1, 2),
+bet{tag} AS (SELECT d.g, d.o, a.k * b.k AS pairs, d.shared / (a.k * b.k) AS mean_shared, coalesce(d.shared / nullif(b.k * a.total + a.k * b.total - d.shared, 0), 0) AS shared_ratio,
+  dot / (a.k * b.k) AS similarity, sqrt(greatest(a.norm / (a.k * a.k) + b.norm / (b.k * b.k) - 2 * dot / (a.k * b.k), 0)) AS distance
+  FROM dot{tag} d JOIN tot{tag} a ON a.g = d.g JOIN tot{tag} b ON b.g = d.o)"""
 
 
-def within(spark, sf, score="jaccard"):
-    return gr.pair_statistics(scored(spark, sf, gr.sampled_pairs_within(members(spark, sf), 12)), ["group"], score)
+SIZES = "sz AS (SELECT node, count(*) AS n FROM clo GROUP BY 1)"
+GROUPS = f"{CLOSURE}, {SIZES}, {vectors_sql('p_type')}"
 
 
-def between(spark, sf, score="jaccard"):
-    return gr.pair_statistics(scored(spark, sf, gr.sampled_pairs_between(members(spark, sf), 12)), ["group", "other"], score)
+def groups(spark, sf, column="p_type", pairs=None):
+    """Vectors, and the measures within and between groups."""
+    members = table(spark, sf, "part").select(F.col(column).alias("group"), F.col("p_partkey").alias("node"))
+    vectors, totals = gr.group_vectors(members, pairs or closure_pairs(spark, sf))
+    return vectors, gr.within_groups(vectors, totals), gr.between_groups(vectors, totals)
 
 
-SAMPLE_SQL = {k: v.replace("p_partkey > 0", "p_partkey > 1") for k, v in {"i": IN_PAIRS, "o": OUT_PAIRS}.items()}
-
-
-@query("d12_within_groups", f"""WITH {CLOSURE}, {SAMPLE_SQL['i']}, {JAC.format(k='g', t='ip')}
-SELECT g AS "group", round(avg(s), 6) AS mean, round(stddev_pop(s), 6) AS sd, count(*) AS pairs FROM js GROUP BY 1""")
+@query("d12_within_groups", f"""WITH {GROUPS} SELECT g AS "group", k AS members, pairs, round(mean_shared, 6) AS mean_shared, round(shared_ratio, 6) AS shared_ratio,
+  round(similarity, 6) AS similarity, round(spread, 6) AS spread FROM win""")
 def d12_within_groups(spark, sf):
-    return within(spark, sf).select("group", r6("mean", "mean"), r6("sd", "sd"), "pairs")
+    return groups(spark, sf)[1].select("group", "members", "pairs", *[r6(c, c) for c in ("mean_shared", "shared_ratio", "similarity", "spread")])
 
 
-@query("d13_between_groups", f"""WITH {CLOSURE}, {SAMPLE_SQL['o']}, {JAC.format(k='g, o', t='op')}
-SELECT g AS "group", o AS other, round(avg(s), 6) AS mean, count(*) AS pairs FROM js GROUP BY 1, 2""")
+@query("d13_between_groups", f"""WITH {GROUPS} SELECT g AS "group", o AS other, pairs, round(mean_shared, 6) AS mean_shared, round(shared_ratio, 6) AS shared_ratio,
+  round(similarity, 6) AS similarity, round(distance, 5) AS distance FROM bet""")
 def d13_between_groups(spark, sf):
-    return between(spark, sf).select("group", "other", r6("mean", "mean"), "pairs")
+    return groups(spark, sf)[2].select("group", "other", "pairs", *[r6(c, c) for c in ("mean_shared", "shared_ratio", "similarity")],
+                                       F.round("distance", 5).alias("distance"))
+
+
+COHERENCE = """SELECT intra, inter, intra / inter AS ratio, separation, groups, intra / inter >= 1.5 AS valid,
+  ((means - whole / n) / (groups - 1)) / (spread / (n - groups)) AS calinski_harabasz FROM
+  (SELECT avg(similarity) AS intra, sum(spread) AS spread, count(*) AS groups, sum(k) AS n FROM win{t}),
+  (SELECT avg(similarity) AS inter, avg(1 - similarity) AS separation FROM bet{t}),
+  (SELECT sum(norm / k) AS means FROM tot{t} WHERE k > 1), (SELECT sum(s * s) AS whole FROM (SELECT ancestor, sum(s) AS s FROM vec{t} JOIN win{t} USING (g) GROUP BY 1))"""
+COHERENCE_COLUMNS = ["intra", "inter", "ratio", "separation", "calinski_harabasz"]
 
 
-@query("d14_coherence")
+@query("d14_coherence", f"""WITH {GROUPS} SELECT {", ".join(f"round({c}, 5) AS {c}" for c in COHERENCE_COLUMNS)}, groups, valid FROM ({COHERENCE.format(t="")})""")
 def d14_coherence(spark, sf):
-    out = gr.coherence(within(spark, sf), between(spark, sf))
-    return out.select(*[r6(c, c) for c in ("intra", "inter", "ratio", "variance", "separation", "calinski_harabasz")], "groups", "valid")
+    vectors, within, between = groups(spark, sf)
+    out = gr.coherence(within, between, vectors)
+    return out.select(*[F.round(c, 5).alias(c) for c in COHERENCE_COLUMNS], "groups", "valid")
 
 
-@query("d15_group_separation")
+@query("d15_group_separation", f"""WITH {GROUPS}, sd AS (SELECT g, o, similarity, distance FROM bet UNION ALL SELECT o, g, similarity, distance FROM bet),
+x AS (SELECT sd.g, a.similarity AS own, sd.similarity, (sqrt(a.spread / a.k) + sqrt(b.spread / b.k)) / nullif(distance, 0) AS worst FROM sd JOIN win a ON a.g = sd.g JOIN win b ON b.g = sd.o),
+y AS (SELECT g, max(own) AS intra, max(similarity) AS nearest, max(worst) AS davies_bouldin FROM x GROUP BY 1)
+SELECT g AS "group", round(intra, 6) AS intra, round(nearest, 6) AS nearest, round(davies_bouldin, 3) AS davies_bouldin,
+  round((intra - nearest) / greatest(1 - intra, 1 - nearest), 6) AS silhouette FROM y""")
 def d15_group_separation(spark, sf):
-    out = gr.group_separation(cut(within(spark, sf)), cut(between(spark, sf)))
-    return out.select("group", *[r6(c, c) for c in ("intra", "nearest", "silhouette", "davies_bouldin")])
+    _, within, between = groups(spark, sf)
+    out = gr.group_separation(within, between)
+    return out.select("group", *[r6(c, c) for c in ("intra", "nearest", "silhouette")], F.round("davies_bouldin", 3).alias("davies_bouldin"))
 
 
-@query("d16_labelings_compared", f"""WITH {CLOSURE}, {SAMPLE_SQL['i']}, {JAC.format(k='g', t='ip')}
-SELECT 'type' AS labeling, round(avg(m), 6) AS intra, round(max(m), 6) AS best, round(min(m), 6) AS worst FROM (SELECT g, avg(s) AS m FROM js GROUP BY 1)""")
+LABELINGS = {"brand": "p_brand", "type": "p_type"}
+
+
+@query("d16_labelings_compared", f"""WITH {CLOSURE}, {SIZES}, {", ".join(vectors_sql(c, "_" + n) for n, c in LABELINGS.items())},
+l AS ({" UNION ALL ".join(f"SELECT '{n}' AS labeling, * FROM ({COHERENCE.format(t='_' + n)})" for n in LABELINGS)})
+SELECT labeling, round(intra, 5) AS intra, round(inter, 5) AS inter, round(ratio, 5) AS ratio, valid, row_number() OVER (ORDER BY round(ratio, 5) DESC, labeling) AS place FROM l""")
 def d16_labelings_compared(spark, sf):
-    return within(spark, sf).groupBy(F.lit("type").alias("labeling")).agg(
-        r6(F.avg("mean"), "intra"), r6(F.max("mean"), "best"), r6(F.min("mean"), "worst"))
+    pairs, out = closure_pairs(spark, sf), None
+    for name, column in LABELINGS.items():
+        vectors, within, between = groups(spark, sf, column, pairs)
+        one = gr.coherence(within, between, vectors).select(
+            F.lit(name).alias("labeling"), *[F.round(c, 5).alias(c) for c in ("intra", "inter", "ratio")], "valid")
+        out = one if out is None else out.unionByName(one)
+    # as many rows as labelings
+    return out.withColumn("place", F.row_number().over(Window.orderBy(F.col("ratio").desc(), "labeling")))
 
 
-@query("d18_best_and_worst_group", f"""WITH {CLOSURE}, {SAMPLE_SQL['i']}, {JAC.format(k='g', t='ip')}, m AS (SELECT g, round(avg(s), 9) AS m FROM js GROUP BY 1)
+@query("d18_best_and_worst_group", f"""WITH {GROUPS}, m AS (SELECT g, round(similarity, 9) AS m FROM win)
 SELECT arg_max(g, struct_pack(a := m, b := g)) AS best, arg_min(g, struct_pack(a := m, b := g)) AS worst FROM m""")
 def d18_best_and_worst_group(spark, sf):
-    return gr.extremes(within(spark, sf).withColumn("mean", F.round("mean", 9)), F.col("group"))
+    return gr.extremes(groups(spark, sf)[1].withColumn("mean", F.round("similarity", 9)), F.col("group"))
+
+
+@query("d18_most_and_least_similar_groups", f"""WITH {GROUPS}, m AS (SELECT g || '|' || o AS p, round(similarity, 9) AS m FROM bet)
+SELECT arg_max(p, struct_pack(a := m, b := p)) AS best, arg_min(p, struct_pack(a := m, b := p)) AS worst FROM m""")
+def d18_most_and_least_similar_groups(spark, sf):
+    return gr.extremes(groups(spark, sf)[2].withColumn("mean", F.round("similarity", 9)), F.concat_ws("|", "group", "other"))
