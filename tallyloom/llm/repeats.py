@@ -15,7 +15,8 @@ else.  Suffixes are only sorted against those they can share a string with:
 4. Slices of an anchor meet in one task, where two-stage sorting builds their
    suffix array: suffixes smaller than their successor are sorted directly,
    the rest is induced by scans over the buckets.  Neighbours that share
-   ``span`` bytes are repeats.
+   ``span`` bytes are repeats.  Anchors with very many different slices take
+   ``MOST_KINDS``'s way.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ SPAN = 200
 GRAM = 32
 #: Bytes of slices that are sorted together; a group of one anchor is never cut.
 BATCH_BYTES = 1 << 20
+#: An anchor with more different slices than this, such as the edge of a passage
+#: that very many texts share, is not sorted in one task: its strings are
+#: counted by their own 128-bit hash, each in its own group.
+MOST_KINDS = 4096
 #: Texts are hashed in stretches of this many bytes.
 STRETCH = 1 << 22
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
@@ -202,7 +207,8 @@ def find_repeats(docs: DataFrame, span: int = SPAN, text_col: str = "text") -> t
 
     long_texts = texts.where(F.col("size") >= span).select("key", "size", F.col("text").cast("binary"))
     runs = cut(long_texts.mapInArrow(owned, "anchor long, key long, size int, run long"))
-    twice = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # written, so that both sides of the join are plain exchanges, which Spark splits where an anchor is hot
+    twice = cut(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     wanted = runs.join(twice, "anchor").groupBy("key", "size").agg(F.collect_list(F.struct("run", "anchor")).alias("runs"))
 
     def sliced(batches):
@@ -222,8 +228,8 @@ def find_repeats(docs: DataFrame, span: int = SPAN, text_col: str = "text") -> t
                  .mapInArrow(sliced, "anchor long, slice binary, key long, size int, run long, piece binary"))
     kinds = slices.groupBy("anchor", "slice").agg(F.count("*").alias("n"), F.min("piece").alias("piece"))
     kinds = cut(kinds)
-    differing = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
-    to_sort = kinds.join(differing, "anchor").repartition(n, "anchor").sortWithinPartitions("anchor").select("anchor", "slice", "piece")
+    differing = cut(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    to_sort = kinds.join(differing.where(F.col("kinds") <= MOST_KINDS), "anchor").repartition(n, "anchor").sortWithinPartitions("anchor").select("anchor", "slice", "piece")
 
     def sort(batches):
         held, size, last = [], 0, None
@@ -244,9 +250,23 @@ def find_repeats(docs: DataFrame, span: int = SPAN, text_col: str = "text") -> t
         if held:
             yield found()
 
-    hits = to_sort.mapInArrow(sort, "anchor long, slice binary, hits array<struct<first:int,last:int>>")
+    def strings(batches):
+        for batch in batches:
+            for anchor, name, piece in zip(*(c.to_pylist() for c in batch.columns)):
+                starts = range(len(piece) - span + 1)
+                hashes = [hashlib.blake2b(piece[i:i + span], digest_size=16).digest() for i in starts]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([anchor] * len(hashes), pa.int64()), pa.array([name] * len(hashes), pa.binary()),
+                    pa.array(starts, pa.int32()), pa.array(hashes, pa.binary())], names=["anchor", "slice", "at", "string"])
+
+    counted = cut(kinds.join(differing.where(F.col("kinds") > MOST_KINDS), "anchor").select("anchor", "slice", "piece")
+                  .mapInArrow(strings, "anchor long, slice binary, at int, string binary"))
+    again = cut(counted.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string"))
+    counted_hits = counted.join(again, "string").groupBy("anchor", "slice").agg(
+        F.collect_list(F.struct(F.col("at").alias("first"), F.col("at").alias("last"))).alias("hits"))
+    hits = to_sort.mapInArrow(sort, "anchor long, slice binary, hits array<struct<first:int,last:int>>").union(counted_hits)
     whole = kinds.where("n > 1").select("anchor", "slice", F.lit(True).alias("whole"))
-    flagged = whole.join(hits, ["anchor", "slice"], "full").select("anchor", "slice", F.coalesce("whole", F.lit(False)).alias("whole"), "hits")
+    flagged = cut(whole.join(hits, ["anchor", "slice"], "full").select("anchor", "slice", F.coalesce("whole", F.lit(False)).alias("whole"), "hits"))
     first = F.floor(F.col("run") / 256)
     all_starts = F.array(F.struct(F.lit(0).alias("first"), (F.col("run") % 256).cast("int").alias("last")))
     repeats = slices.select("anchor", "slice", "key", "size", "run").join(flagged, ["anchor", "slice"]) \

@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tallyloom.llm import repeats
 
@@ -52,7 +53,9 @@ def test_documents_match_brute_force(spark, odd_docs, odd_rows, no_docs, monkeyp
     assert repeats.repeat_digests(no_docs).count() == 0
 
 
-def test_passages_between_documents(spark):
+@pytest.mark.parametrize("most", [4096, 3])
+def test_passages_between_documents(spark, monkeypatch, most):
+    monkeypatch.setattr(repeats, "MOST_KINDS", most)
     rng = np.random.default_rng(3)
     word = lambda: "".join(map(chr, rng.integers(97, 123, rng.integers(2, 9))))
     text = lambda n: " ".join(word() for _ in range(n))
