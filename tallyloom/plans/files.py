@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallyloom.plans.classification import CLASSIFIED, classified
 from tallyloom.plans.common import r6
 from tallyloom.plans.registry import query
-from tallyloom.plans.studies import ATTRS, VALUES, attributes, values
+from tallyloom.plans.studies import ATTRS, LINES, VALUES, attributes, values
 from tallyloom.sources import matrices as mx
 from tallyloom.sources import ontologies as on
 from tallyloom.sources import platforms as pf
 from tallyloom.sources import sinks, tables
-from tallyloom.session import table
+from tallyloom.session import shared_folder, table
 
 FLAGS = ["A", "N", "R"]
 
@@ -22,12 +24,16 @@ def matrix_lines(spark, sf):
     lines = table(spark, sf, "lineitem")
     wide = lines.groupBy(F.col("l_linestatus").alias("file"), "l_partkey").pivot("l_returnflag", FLAGS).agg(F.max("l_quantity"))
     cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    body = wide.select("file", F.concat_ws("\t", F.concat(F.lit('"'), F.col("l_partkey").cast("string"), F.lit('"')), *[cell(c) for c in FLAGS]).alias("line"))
+    body = wide.select("file", (F.col("l_partkey") + 100).cast("long").alias("line_no"), F.concat_ws(
+        "\t", F.concat(F.lit('"'), F.col("l_partkey").cast("string"), F.lit('"')), *[cell(c) for c in FLAGS]).alias("line"))
     files = lines.select(F.col("l_linestatus").alias("file")).distinct()
-    head = files.select("file", F.explode(F.array(*[F.lit(x) for x in (
-        mx.TABLE_BEGIN, '"ID_REF"\t"A"\t"N"\t"R"', "!series_matrix_table_end", "!Series_type\tExpression profiling by array",
-        "!Series_sample_taxid\t9606", '!Series_sample_id\t"A N R"')])).alias("line"))
-    return head.unionByName(body).withColumn("line_no", F.lit(0).cast("long"))
+    # the header's first cell is another word in each file; behind the end marker stands a line that is no row
+    first = F.concat(F.lit('"PROBE_'), F.col("file"), F.lit('"\t"A"\t"N"\t"R"'))
+    parts = [F.lit("!Series_type\tExpression profiling by array"), F.lit("!Series_sample_taxid\t9606"), F.lit('!Series_sample_id\t"A N R"'), F.lit(mx.TABLE_BEGIN), first]
+    head = files.select("file", F.posexplode(F.array(*parts)).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
+    last = files.select("file", F.posexplode(F.array(F.lit(mx.TABLE_END), F.lit("trailer\t1\t2\t3"))).alias("line_no", "line")) \
+        .withColumn("line_no", F.col("line_no") + F.lit(1 << 40))
+    return head.unionByName(body.select("file", "line_no", "line")).unionByName(last)
 
 
 @query("s1_matrix_values", """SELECT l_linestatus AS file, CAST(l_partkey AS VARCHAR) AS feature, l_returnflag AS sample, max(l_quantity) AS value FROM lineitem GROUP BY 1, 2, 3""")
@@ -38,7 +44,7 @@ def s1_matrix_values(spark, sf):
 @query("s2_lenient_matrix", """SELECT l_linestatus AS file, CAST(l_partkey AS VARCHAR) AS feature, l_returnflag AS sample, max(l_quantity) AS value FROM lineitem GROUP BY 1, 2, 3""")
 def s2_lenient_matrix(spark, sf):
     broken = matrix_lines(spark, sf)
-    extra = broken.select("file").distinct().select("file", F.lit("bad\t1").alias("line"), F.lit(0).cast("long").alias("line_no"))
+    extra = broken.select("file").distinct().select("file", F.lit("bad\t1").alias("line"), F.lit(50).cast("long").alias("line_no"))
     return mx.matrix_values(broken.unionByName(extra), lenient=True)
 
 
@@ -55,36 +61,107 @@ def p3_matrix_verdicts(spark, sf):
     return mx.matrix_verdicts(matrix_lines(spark, sf)).select("file", "table_lines", "samples", "reason")
 
 
-@query("s4_sample_attributes", f"""WITH {ATTRS} SELECT CAST(dataset AS VARCHAR) AS file, CAST(sample AS VARCHAR) AS sample, text FROM attrs WHERE pos = 4 OR pos = 7""")
+@query("s4_sample_attributes", f"""WITH {ATTRS} SELECT dataset || '/' || (sample // 64) AS file, CAST(sample AS VARCHAR) AS sample, text FROM attrs""")
 def s4_sample_attributes(spark, sf):
-    rows = attributes(spark, sf).filter("pos IN (4, 7)")
-    # a file's samples sit side by side in a line, as the format has it
-    packed = rows.groupBy(F.col("dataset").cast("string").alias("file"), "pos").agg(
-        F.array_sort(F.collect_list(F.struct("sample", "text"))).alias("_s"))
+    # a file holds the samples of one dataset with up to 64 neighbouring ids, side by side in its lines
+    samples = table(spark, sf, "customer").select(F.col("c_nationkey").alias("dataset"), F.col("c_custkey").alias("sample"))
+    file = F.concat_ws("/", F.col("dataset").cast("string"), F.expr("sample div 64").cast("string"))
+    places = samples.withColumn("file", file)
+    full = places.select("file", "dataset", "sample", F.explode(F.sequence(F.lit(0), F.lit(len(LINES) - 1))).alias("pos"))
+    texts = full.join(attributes(spark, sf), ["dataset", "sample", "pos"], "left")
+    packed = texts.groupBy("file", "pos").agg(F.array_sort(F.collect_list(F.struct("sample", F.coalesce("text", F.lit("")).alias("text")))).alias("_s"))
     quoted = lambda f: F.array_join(F.transform("_s", lambda e: F.concat(F.lit('"'), e[f].cast("string"), F.lit('"'))), "\t")
-    attrs = packed.select("file", F.col("pos").cast("long").alias("line_no"), F.concat(F.lit("!Sample_characteristics_ch1\t"), quoted("text")).alias("line"))
-    ids = packed.filter("pos = 4").select("file", F.lit(0).cast("long").alias("line_no"), F.concat(F.lit("!Sample_geo_accession\t"), quoted("sample")).alias("line"))
+    attrs = packed.select("file", (F.col("pos") + 1).cast("long").alias("line_no"), F.concat(F.lit("!Sample_characteristics_ch1\t"), quoted("text")).alias("line"))
+    ids = packed.filter("pos = 0").select("file", F.lit(0).cast("long").alias("line_no"), F.concat(F.lit("!Sample_geo_accession\t"), quoted("sample")).alias("line"))
     return mx.sample_attributes(attrs.unionByName(ids)).select("file", "sample", "text")
 
 
-@query("s6_platform_map", """SELECT CAST(p_partkey AS VARCHAR) AS feature, p_brand AS target FROM part WHERE p_partkey % 5 <> 0""")
+@query("s5_study_texts", """SELECT n_name AS file, 'Study of ' || n_name AS title, 'Nation ' || n_nationkey AS summary, 'Region ' || n_regionkey AS design FROM nation""")
+def s5_study_texts(spark, sf):
+    parts = ["concat('!Series_title\t\"Study of ', n_name, '\"')", "concat('!Series_summary\tNation ', n_nationkey)", "concat('!Series_overall_design\tRegion ', n_regionkey)"]
+    lines = table(spark, sf, "nation").selectExpr("n_name AS file", f"posexplode(array({', '.join(parts)})) AS (line_no, line)")
+    return mx.study_texts(lines)
+
+
+def platform_lines(spark, sf, symbol):
+    """A family file for each brand: its platform table between markers, and a
+    sample table of the same width behind it.  Every third row lacks its last,
+    empty cell."""
+    parts = table(spark, sf, "part")
+    row = lambda *cells: F.concat_ws("\t", *cells)
+    body = parts.select(F.col("p_brand").alias("file"), (F.col("p_partkey") + 10).alias("line_no"), F.concat(
+        row(F.col("p_partkey").cast("string"), "p_name", symbol), F.when(F.col("p_partkey") % 3 == 0, "").otherwise("\t")).alias("line"))
+    files = parts.select(F.col("p_brand").alias("file")).distinct()
+    named = F.when(F.expr("ascii(right(file, 1)) % 2 = 0"), "ID\tName\tGene Symbol\tNote").otherwise("PROBE_ID\tName\tSYMBOL\tNote")
+    head = files.select("file", F.posexplode(F.array(F.lit("^PLATFORM = x"), F.lit(pf.PLATFORM_BEGIN), named)).alias("line_no", "line"))
+    tail = files.select("file", F.posexplode(F.array(F.lit(pf.PLATFORM_END), F.lit("!sample_table_begin"), F.lit("ID_REF\tVALUE\tA\tB"), F.lit("7_at\t1.5\tZZ3\tx"))).alias("line_no", "line"))
+    return head.withColumn("line_no", F.col("line_no").cast("long")).unionByName(body).unionByName(tail.withColumn("line_no", F.col("line_no") + F.lit(1 << 40)))
+
+
+@query("s6_platform_map", """SELECT p_brand AS file, CAST(p_partkey AS VARCHAR) AS feature, replace(p_brand, '#', '') AS target FROM part WHERE p_partkey % 5 <> 0""")
 def s6_platform_map(spark, sf):
-    rows = table(spark, sf, "part").select(
-        (F.col("p_partkey") + 1).alias("line_no"),
-        F.concat_ws("\t", F.col("p_partkey").cast("string"), "p_name",
-                    F.when(F.col("p_partkey") % 5 == 0, "---").otherwise(F.concat("p_brand", F.lit(" /// "), "p_type"))).alias("line"))
-    head = table(spark, sf, "region").filter("r_regionkey = 0").select(F.lit(0).cast("long").alias("line_no"), F.lit("ID\tName\tGene Symbol").alias("line"))
-    return pf.platform_map(head.unionByName(rows))
+    brand = F.replace("p_brand", F.lit("#"), F.lit(""))
+    return pf.platform_map(platform_lines(spark, sf, F.when(F.col("p_partkey") % 5 == 0, "---").otherwise(F.concat(brand, F.lit(" /// "), "p_type"))))
 
 
-@query("s7_platform_map_all", """SELECT CAST(p_partkey AS VARCHAR) AS feature, unnest([p_brand, p_type]) AS target FROM part""")
+@query("s7_platform_map_all", """SELECT p_brand AS file, CAST(p_partkey AS VARCHAR) AS feature, unnest([p_brand, p_type]) AS target FROM part""")
 def s7_platform_map_all(spark, sf):
     mark = F.element_at(F.array(*[F.lit(m) for m in pf.SEPARATORS]), (F.col("p_partkey") % 5 + 1).cast("int"))
-    rows = table(spark, sf, "part").select(
-        (F.col("p_partkey") + 1).alias("line_no"),
-        F.concat(F.col("p_partkey").cast("string"), F.lit("\t"), "p_brand", F.lit(" "), mark, F.lit(" "), "p_type").alias("line"))
-    head = table(spark, sf, "region").filter("r_regionkey = 0").select(F.lit(0).cast("long").alias("line_no"), F.lit("ID\tSymbol").alias("line"))
-    return pf.platform_map_all(head.unionByName(rows)).select("feature", F.explode("targets").alias("target"))
+    lines = platform_lines(spark, sf, F.concat("p_brand", F.lit(" "), mark, F.lit(" "), "p_type"))
+    return pf.platform_map_all(lines).select("file", "feature", F.explode("targets").alias("target"))
+
+
+@query("s12_record_features", """SELECT DISTINCT lpad(CAST(l_suppkey AS VARCHAR), 5, '0') AS term_id, 'G' || l_partkey AS feature FROM lineitem""")
+def s12_record_features(spark, sf):
+    # a record for each supplier and stretch of 64 parts
+    genes = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct().groupBy("l_suppkey", F.expr("l_partkey div 64").alias("k")).agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat(F.col("l_partkey").cast("string"), F.lit("  G"), F.col("l_partkey").cast("string"), F.lit("; some gene")))), "\n            ").alias("g"))
+    records = genes.select(F.concat(F.lit("ENTRY       hsa"), F.lpad(F.col("l_suppkey").cast("string"), 5, "0"), F.lit("    Pathway\nNAME        x\nGENE        "), "g", F.lit("\nCOMPOUND    C1  y\n")).alias("record"))
+    return on.record_features(records)
+
+
+@query("s14_joined_study", f"""WITH {VALUES}, go AS (SELECT sample, max(CASE WHEN feature = '1-URGENT/F' THEN value END) AS f FROM vals GROUP BY 1), sy AS (SELECT o_custkey AS sample, avg(ln(o_totalprice)) AS A FROM orders GROUP BY 1)
+SELECT c_custkey AS sample_id, c_mktsegment AS "group", round(coalesce(f, 0), 6) AS f, round(coalesce(A, 0), 6) AS "A" FROM customer JOIN go ON go.sample = c_custkey JOIN sy ON sy.sample = c_custkey WHERE c_custkey % 4 <> 0""")
+def s14_joined_study(spark, sf):
+    info = table(spark, sf, "customer").select(F.col("c_custkey").alias("sample_id"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment")).alias("group"))
+    wide = values(spark, sf).groupBy(F.col("sample").alias("sample_id")).agg(F.max(F.when(F.col("feature") == "1-URGENT/F", F.col("value"))).alias("f"))
+    scores = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("sample_id")).agg(F.avg(F.ln("o_totalprice")).alias("A"))
+    return tables.joined_study(info, wide, scores).select("sample_id", "group", r6("f", "f"), r6("A", "A"))
+
+
+@query("s18_written_by_key", """SELECT o_orderstatus AS status, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1""")
+def s18_written_by_key(spark, sf):
+    path = f"{shared_folder(spark)}/by-key-{uuid.uuid4().hex}"
+    sinks.write_by_key(table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status")), path, "status", batch_rows=1000)
+    back = spark.read.option("header", "true").csv(path, schema="o_orderkey bigint, status string")
+    return back.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@query("s19_appended_once", """SELECT o_orderkey, o_orderstatus FROM orders""")
+def s19_appended_once(spark, sf):
+    path = f"{shared_folder(spark)}/append-{uuid.uuid4().hex}"
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    rows.filter("o_orderkey % 3 = 0").write.parquet(path)
+    sinks.append_new(rows, path, "o_orderkey")
+    sinks.append_new(rows.filter("o_orderkey % 2 = 0"), path, "o_orderkey")
+    return spark.read.parquet(path)
+
+
+@query("s24_run_log", """SELECT 'orders' AS step, 'ok' AS status, count(*) AS "rows" FROM orders UNION ALL SELECT 'lineitem', 'ok', count(*) FROM lineitem""")
+def s24_run_log(spark, sf):
+    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    for name in ("orders", "lineitem"):
+        sinks.observed_run(table(spark, sf, name), path, name).write.format("noop").mode("overwrite").save()
+        sinks.log_observed(spark, path, name)
+    return spark.read.parquet(path).select("step", "status", "rows")
+
+
+@query("s25_archived_dataset", """SELECT CAST(c_custkey AS VARCHAR) AS dataset_id, c_custkey = 7 AS archived, CASE WHEN c_custkey = 7 THEN 'no platform' END AS reason FROM customer""")
+def s25_archived_dataset(spark, sf):
+    from tallyloom.operators.catalogue import move_to_archive
+    kept, gone = move_to_archive(table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("dataset_id")), "7", "no platform")
+    return kept.select("dataset_id", F.lit(False).alias("archived"), F.lit(None).cast("string").alias("reason")).unionByName(
+        gone.select("dataset_id", F.lit(True).alias("archived"), F.col("remove_reason").alias("reason")))
 
 
 @query("s9_ontology_terms", """SELECT 'GO:' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS id, p_name AS name, 'about ' || p_type AS definition,

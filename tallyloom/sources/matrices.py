@@ -1,7 +1,7 @@
 """Measurement matrices and their sample lines, many files in one scan.
 
-A table line of a matrix explains itself once the header is known, so lines
-need no order: the header, one row per file, is joined back on.
+Header and markers are found by line number for each file, and the header, one
+row per file, is joined back on.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from tallyloom.operators.joins import small_side
 
 # Markers and line names of the matrix format.
 TABLE_BEGIN = "!series_matrix_table_begin"
-ID_COLUMNS = ["ID_REF", "ID", "probe_id"]
+TABLE_END = "!series_matrix_table_end"
 SAMPLE_LINES = {
     "accession": "!Sample_geo_accession",
     "title": "!Sample_title",
@@ -44,15 +44,22 @@ def matrix_values(lines: DataFrame, lenient: bool = False) -> DataFrame:
     """(file, feature, sample, value) of the table lines; cells that are no
     number drop out, and with them features that have none.
 
-    ``lenient`` also drops lines of the wrong width and mends header cells that
-    start with ``XGSM``.
+    The header is whatever line follows the begin marker, in a file without
+    one the first line that is no comment; lines behind the end marker are not
+    read.  ``lenient`` also drops lines of the wrong width and mends header
+    cells that start with ``XGSM``.
     """
-    data = lines.filter(~F.col("line").startswith("!") & (F.trim("line") != "")).select("file", _cells().alias("cells"))
-    is_header = F.col("cells")[0].isin(ID_COLUMNS)
-    header = data.filter(is_header).groupBy("file").agg(F.max("cells").alias("header"))
+    line, at = F.col("line"), F.col("line_no")
+    is_row = ~line.startswith("!") & (F.trim(line) != "")
+    marks = lines.groupBy("file").agg(
+        F.min(F.when(line.startswith(TABLE_BEGIN), at)).alias("_begin"), F.min(F.when(line.startswith(TABLE_END), at)).alias("_end"))
+    inside = lines.filter(is_row).join(small_side(marks), "file").filter(
+        (at > F.coalesce("_begin", F.lit(-1))) & (at < F.coalesce("_end", F.lit((1 << 63) - 1)))).drop("_begin", "_end")
+    header = inside.groupBy("file").agg(F.min("line_no").alias("_first"), F.min_by("line", "line_no").alias("_h")) \
+        .select("file", "_first", _cells("_h").alias("header"))
     if lenient:
         header = header.withColumn("header", F.transform("header", lambda h: F.regexp_replace(h, "^XGSM", "GSM")))
-    rows = data.filter(~is_header).join(small_side(header), "file")
+    rows = inside.join(small_side(header), "file").filter(at > F.col("_first")).select("file", "header", _cells().alias("cells"))
     if lenient:
         rows = rows.filter(F.size("cells") == F.size("header"))
     # one struct per cell: position decides the sample

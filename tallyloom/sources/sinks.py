@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.term_rules import SUBSYSTEM_NAMES, SYSTEM_NAMES
@@ -103,3 +105,19 @@ def run_metric(spark: SparkSession, path: str, step: str, status: str, rows: int
     spark.range(1).select(
         F.lit(step).alias("step"), F.lit(status).alias("status"), F.lit(rows).cast("long").alias("rows"),
         F.lit(float(seconds)).alias("seconds"), F.current_timestamp().alias("at")).write.mode("append").parquet(path)
+
+
+_observed: dict[tuple[str, str], tuple[Observation, float]] = {}
+
+
+def observed_run(rows: DataFrame, path: str, step: str) -> DataFrame:
+    """``rows`` unchanged; the job that reads them also counts them for the log at ``path``."""
+    seen = Observation(f"{step}-{uuid.uuid4().hex}")
+    _observed[path, step] = (seen, time.perf_counter())
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"))
+
+
+def log_observed(spark: SparkSession, path: str, step: str) -> None:
+    """Append the finished run of ``step`` to the log."""
+    seen, start = _observed.pop((path, step))
+    run_metric(spark, path, step, "ok", seen.get["rows"], time.perf_counter() - start)

@@ -62,9 +62,9 @@ def test_lenient_matrix(spark, tmp_path):
 
 def test_platform_by_name_and_by_spot(spark, tmp_path):
     (tmp_path / "a.txt").write_text("#c\n!platform_table_begin\nID\tGene Symbol\n1_at\tTP53 /// X\n2_at\t---\n3_at\tcontrol\n!platform_table_end\n")
-    assert [tuple(r) for r in pf.platform_map(mx.read_lines(spark, str(tmp_path / "a.txt"))).collect()] == [("1_at", "TP53")]
+    assert [tuple(r)[1:] for r in pf.platform_map(mx.read_lines(spark, str(tmp_path / "a.txt"))).collect()] == [("1_at", "TP53")]
     (tmp_path / "b.txt").write_text("ID\tSPOT_ID\nENSG01\tTP53\nENSG02\tBRCA1\nENSG03\tMYC\n")
-    got = {tuple(r) for r in pf.platform_map(mx.read_lines(spark, str(tmp_path / "b.txt"))).collect()}
+    got = {tuple(r)[1:] for r in pf.platform_map(mx.read_lines(spark, str(tmp_path / "b.txt"))).collect()}
     assert got == {("ENSG01", "TP53"), ("ENSG02", "BRCA1"), ("ENSG03", "MYC")}
     (tmp_path / "c.txt").write_text("ID\tILMN_Gene\nILMN_1\tA;B\nILMN_2\tC\n")
     got = {r.feature: r.targets for r in pf.platform_map_all(mx.read_lines(spark, str(tmp_path / "c.txt")), pf.ILLUMINA_SYMBOL_COLUMNS).collect()}
@@ -131,3 +131,23 @@ def test_byte_order_mark(spark, tmp_path):
     (tmp_path / "b.csv").write_bytes("﻿dataset_id,name\nD1,x\n".encode())
     row = tables.read_csv(spark, str(tmp_path / "b.csv"), "dataset_id string, name string").first()
     assert (row.dataset_id, row.name) == ("D1", "x")
+
+
+def test_many_matrices_with_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.txt").write_text('!x\n!series_matrix_table_begin\n"PROBE_ID"\t"S1"\nA\t1\n!series_matrix_table_end\nother\t5\n')
+    (tmp_path / "b.txt").write_text('"strange name"\t"S2"\nA\t2\n')
+    got = {(r.file[-5:], r.feature, r["sample"], r.value) for r in mx.matrix_values(mx.read_lines(spark, str(tmp_path / "*.txt"))).collect()}
+    assert got == {("a.txt", "A", "S1", 1.0), ("b.txt", "A", "S2", 2.0)}
+
+
+def test_many_platforms(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("!platform_table_begin\nID\tGene Symbol\tNote\n1_at\tTP53\n2_at\tMYC\tx\ty\n!platform_table_end\n!sample_table_begin\nID_REF\tVALUE\tz\n7\t8\t9\n")
+    (tmp_path / "b.txt").write_text("#c\nPROBE_ID\tname\tSYMBOL\np1\tn\tBRCA1\n")
+    got = {(r.file[-5:], r.feature, r.target) for r in pf.platform_map(mx.read_lines(spark, str(tmp_path / "*.txt"))).collect()}
+    assert got == {("a.txt", "1_at", "TP53"), ("b.txt", "p1", "BRCA1")}
+    labels = "".join(f"id{i}\t{'control' if i % 2 else 'G' + str(i)}\n" for i in range(20))
+    (tmp_path / "c.tsv").write_text("ID\tSPOT_ID\n" + labels)
+    lines = mx.read_lines(spark, str(tmp_path / "c.tsv"))
+    assert pf.symbol_columns(pf.platform_tables(lines)).first().symbol is None
+    with pytest.raises(ValueError):
+        pf.platform_map_all(lines)
