@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: Words, and pieces of words, whose ids one Python worker keeps; the memory is
 #: given up and filled again beyond that.  It changes no result.
-WORD_MEMORY = 250_000
-PIECE_MEMORY = 500_000
+WORD_MEMORY = 150_000
+PIECE_MEMORY = 300_000
 LONGEST_KEPT = 64
 
 # The characters for which the word rule below is the
