@@ -203,3 +203,41 @@ def table_plan(designs: DataFrame) -> DataFrame:
     ])) if any(f in designs.columns for f in EXTRA_TABLES) else F.array().cast("array<string>")
     listed = F.concat(F.array(*[F.lit(n) for n in BASE_TABLES]), by_mode.otherwise(F.array(F.lit("heatmap"), F.lit("correlation"))), extra)
     return designs.withColumn("tables", F.array_distinct(listed))
+
+
+# How the simple form tells times and groups, and the words of a disease study.
+SHORT_TIME = r"(\d+)\s*(day|hour|h|d)"
+TIME_WORDS = ["time", "day", "hour"]
+GROUP_WORDS = ["control", "treatment", "disease", "normal", "patient", "group"]
+DISEASE_STUDY_WORDS = ["disease", "patient", "control", "normal", "treatment"]
+
+
+def simple_labels(items: DataFrame, dataset: str = "dataset") -> DataFrame:
+    """(dataset, sample, time, group) of attribute rows (dataset, sample, pos, text).
+
+    The last attribute that speaks of time gives the time, as number and unit
+    letter where it has them; the last other one with a group word is the group.
+    """
+    lower = F.lower("text")
+    timed = F.lit(False)
+    for word in TIME_WORDS:
+        timed = timed | lower.contains(word)
+    grouped = F.lit(False)
+    for word in GROUP_WORDS:
+        grouped = grouped | lower.contains(word)
+    short = F.concat(F.regexp_extract(lower, SHORT_TIME, 1), F.substring(F.regexp_extract(lower, SHORT_TIME, 2), 1, 1))
+    return items.groupBy(dataset, "sample").agg(
+        F.max_by(F.when(short != "", short).otherwise(F.col("text")), F.when(timed, F.col("pos"))).alias("time"),
+        F.max_by("text", F.when(grouped & ~timed, F.col("pos"))).alias("group"))
+
+
+def dataset_types(labels: DataFrame, dataset: str = "dataset") -> DataFrame:
+    """(dataset, times, groups, type): three distinct times make a time series,
+    two groups with a disease word among them a disease study."""
+    word = F.lit(False)
+    for w in DISEASE_STUDY_WORDS:
+        word = word | F.lower("group").contains(w)
+    out = labels.groupBy(dataset).agg(
+        F.count_distinct("time").alias("times"), F.count_distinct("group").alias("groups"), F.coalesce(F.bool_or(word), F.lit(False)).alias("_word"))
+    kind = F.when(F.col("times") >= 3, TIME_SERIES).when((F.col("groups") >= 2) & F.col("_word"), "disease_control").otherwise("other")
+    return out.withColumn("type", kind).drop("_word")

@@ -244,3 +244,34 @@ def column_report(rows: DataFrame, required: dict[str, str], key: str) -> DataFr
     out = rows.agg(F.array(*parts).alias("_c")).select(F.inline("_c"))
     good = F.col("present") & F.col("fits") & (F.col("duplicates") == 0)
     return out.withColumn("verdict", F.when(good, "PASS").otherwise("FAIL"))
+
+
+# The words of the immune pathways, the class of metabolism, results that are none.
+IMMUNE_WORDS = [
+    "immune", "immunity", "immunodeficiency", "complement", "antigen", "antibody", "cytokine", "chemokine",
+    "toll-like", "nf-kappa", "inflammatory",
+]
+METABOLISM = "Metabolism"
+NO_SYSTEM = ["unclassified", "general"]
+
+
+def metabolism_pathways(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("class_a") == METABOLISM)
+
+
+def immune_pathways(rows: DataFrame) -> DataFrame:
+    """Pathways whose name or class b has an immune word."""
+    return rows.filter(any_hit(F.lower(F.concat_ws(" ", "name", "class_b")), IMMUNE_WORDS))
+
+
+def is_obsolete() -> Column:
+    """Entry whose name or definition says so."""
+    return F.lower(F.concat_ws(" ", "name", "definition")).contains("obsolete")
+
+
+def is_unclassified(kind: str = "kind") -> Column:
+    return F.lower(kind).isin(NO_SYSTEM)
+
+
+def has_polarity(polarity: str = "polarity") -> Column:
+    return F.col(polarity).isNotNull()

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.ordering import running
 from tallyloom.operators.statistics import one_sample_t, rank_sum
+from tallyloom.session import cut
 
 #: Columns MLlib's PCA can hold; wider inputs have to be filtered or transposed.
 PCA_COLUMNS = 65_535
@@ -100,9 +101,11 @@ def cross_validated(rows: DataFrame, label: str, k: int, components: int | None
     if leaky and stages:
         prepared = Pipeline(stages=stages).fit(rows).transform(rows).drop("features", "scaled")
         stages = []
-    prepared = prepared.cache()
+    # written once: every fold reads it, and a lost executor costs nothing
+    prepared = cut(prepared)
+    dealt = prepared.agg(F.max("fold")).first()[0]
     out = None
-    for fold in range(k):
+    for fold in range(min(k, dealt + 1)):  # small classes may allow fewer folds than asked for
         train = prepared.filter(F.col("fold") != fold)
         if classifier == "logistic":
             model = LogisticRegression(featuresCol=column, labelCol=label, regParam=1.0 / max(train.count(), 1),
@@ -161,7 +164,7 @@ def cluster_sweep(rows: DataFrame, ks: Sequence[int], seed: int = 42, bisecting:
     ``elbow`` marks the largest fall of the cost, ``best`` the highest
     silhouette.
     """
-    rows = rows.cache()
+    rows = cut(rows)
     results = []
     for k in ks:
         kind = BisectingKMeans if bisecting else KMeans

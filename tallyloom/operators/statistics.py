@@ -515,6 +515,16 @@ def top_two_overlap(means: DataFrame, expected: DataFrame, dataset: str = "datas
     return out.withColumn("strength", word)
 
 
+def named_rank(scores: DataFrame, name: str, sample: str = "sample", system: str = "system", value: str = "score") -> DataFrame:
+    """(sample, other, difference, rank): rank of one named system in each
+    sample, and by how much it leads every other one."""
+    own = scores.filter(F.col(system) == name).select(sample, F.col(value).alias("_own"))
+    both = scores.filter(F.col(system) != name).join(own, sample)
+    ahead = (F.col(value) > F.col("_own")) | ((F.col(value) == F.col("_own")) & (F.col(system) < name))
+    ranks = both.groupBy(sample).agg((F.count_if(ahead) + 1).alias("rank"))
+    return both.select(sample, F.col(system).alias("other"), (F.col("_own") - F.col(value)).alias("difference")).join(ranks, sample)
+
+
 def relevance(item: Column, expected: Column, system_of) -> Column:
     """2 for an expected set, 1 for one of the same system as the first expected set, else 0."""
     same = system_of(item) == system_of(F.try_element_at(expected, F.lit(1)))

@@ -192,12 +192,28 @@ def p18_column_report(spark, sf):
     return fl.column_report(table(spark, sf, "customer"), required, "c_custkey")
 
 
-@query("p21_successful_runs", """SELECT event_id FROM events WHERE event_type <> 'error' AND props IS NOT NULL AND value IS NOT NULL""")
+@query("p21_successful_runs", """SELECT event_id FROM events WHERE event_type <> 'error' AND props IS NOT NULL AND props <> '{}' AND value IS NOT NULL""")
 def p21_successful_runs(spark, sf):
+    from tallyloom.sources.tables import successful_runs
     runs = table(spark, sf, "events").select(
         "event_id", F.when(F.col("event_type") == "error", F.array(F.lit("failed"))).otherwise(F.array()).alias("errors"),
-        F.col("props").alias("classification"), F.col("value").alias("scores"))
-    return runs.filter((F.size("errors") == 0) & F.col("classification").isNotNull() & F.col("scores").isNotNull()).select("event_id")
+        F.col("props").alias("classification_results"), F.col("value").cast("string").alias("system_scores"))
+    return successful_runs(runs).select("event_id")
+
+
+PATHS = """paths AS (SELECT p_partkey AS id, p_name || CASE p_partkey % 7 WHEN 0 THEN ' Cytokine signaling' WHEN 1 THEN ' toll-like receptor' ELSE '' END AS name,
+  CASE p_partkey % 3 WHEN 0 THEN 'Metabolism' ELSE p_type END AS class_a, CASE p_partkey % 11 WHEN 0 THEN 'Immune system' ELSE p_brand END AS class_b FROM part)"""
+IMMUNE = "immune|immunity|immunodeficiency|complement|antigen|antibody|cytokine|chemokine|toll-like|nf-kappa|inflammatory"
+
+
+@query("p13_pathway_classes", f"""WITH {PATHS} SELECT id, 'metabolism' AS kind FROM paths WHERE class_a = 'Metabolism'
+UNION ALL SELECT id, 'immune' FROM paths WHERE regexp_matches(lower(name || ' ' || class_b), '{IMMUNE}')""")
+def p13_pathway_classes(spark, sf):
+    rows = table(spark, sf, "part").selectExpr(
+        "p_partkey AS id", "p_name || CASE p_partkey % 7 WHEN 0 THEN ' Cytokine signaling' WHEN 1 THEN ' toll-like receptor' ELSE '' END AS name",
+        "CASE p_partkey % 3 WHEN 0 THEN 'Metabolism' ELSE p_type END AS class_a", "CASE p_partkey % 11 WHEN 0 THEN 'Immune system' ELSE p_brand END AS class_b")
+    return fl.metabolism_pathways(rows).select("id", F.lit("metabolism").alias("kind")).unionByName(
+        fl.immune_pathways(rows).select("id", F.lit("immune").alias("kind")))
 
 
 @query("j1_mapped_means", """SELECT l_suppkey AS sample, p_type AS feature, round(avg(ln(l_extendedprice)), 6) AS value

@@ -330,3 +330,12 @@ def p19_confident_examples(spark, sf):
 @query("f29_classification_text", f"""WITH {TERMS} SELECT id, concat_ws(' ', name, definition, namespace) AS text FROM terms""")
 def f29_classification_text(spark, sf):
     return entries(spark, sf).select("id", F.concat_ws(" ", "name", "definition", "namespace").alias("text"))
+
+
+@query("p22_predicates", f"""WITH {CLASSIFIED} SELECT count_if(contains(lower(name || ' ' || coalesce(definition, '')), 'obsolete')) AS obsolete,
+  count_if(kind IN ('unclassified', 'general')) AS unclassified, count_if(polarity IS NOT NULL) AS with_polarity, count(*) AS n FROM cls""")
+def p22_predicates(spark, sf):
+    from tallyloom.operators import filters as fl
+    return classified(spark, sf).agg(
+        F.count_if(fl.is_obsolete()).alias("obsolete"), F.count_if(fl.is_unclassified()).alias("unclassified"),
+        F.count_if(fl.has_polarity()).alias("with_polarity"), F.count(F.lit(1)).alias("n"))

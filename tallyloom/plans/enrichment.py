@@ -194,3 +194,11 @@ def e10_score_agreement(spark, sf):
                               members.filter(tested), least_jaccard=0.02)
     return out.select("known", "tested", "overlap", r6("jaccard", "jaccard"),
                       r6("correlation", "correlation"))
+
+
+@query("e12_measured_features", f"""WITH {MEAS} SELECT count(DISTINCT feature) AS features FROM meas""")
+def e12_measured_features(spark, sf):
+    """The guard counts the features and stops where there are none, or too few of a probe-like kind."""
+    rows = measurements(spark, sf)
+    n = en.require_features(rows, 0.0)
+    return rows.limit(1).select(F.lit(n).cast("long").alias("features"))

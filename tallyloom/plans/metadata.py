@@ -148,12 +148,23 @@ def f24_guarded_arithmetic(spark, sf):
         F.when(ratio < float("inf"), F.round(ratio, 4)).otherwise(ratio).alias("ratio"))
 
 
-@query("f25_ordered_distinct", """SELECT o_custkey, count(DISTINCT o_orderpriority) AS n,
-  string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS priorities FROM orders GROUP BY 1""")
+@query("f25_ordered_distinct", """WITH f AS (SELECT o_custkey, o_orderpriority, min(struct_pack(d := o_orderdate, k := o_orderkey)) AS first FROM orders GROUP BY 1, 2)
+SELECT o_custkey, count(*) AS n, string_agg(o_orderpriority, ',' ORDER BY first) AS priorities FROM f GROUP BY 1""")
 def f25_ordered_distinct(spark, sf):
-    packed = F.array_sort(F.collect_set("o_orderpriority"))  # five priorities exist
-    return table(spark, sf, "orders").groupBy("o_custkey").agg(
-        F.size(packed).cast("long").alias("n"), F.array_join(packed, ",").alias("priorities"))
+    # first-seen order: each value's first place, then the values in that order
+    first = table(spark, sf, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.min(F.struct("o_orderdate", "o_orderkey")).alias("first"))
+    packed = F.transform(F.array_sort(F.collect_list(F.struct("first", "o_orderpriority"))), lambda e: e["o_orderpriority"])
+    return first.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.array_join(packed, ",").alias("priorities"))
+
+
+@query("f11_dataset_types", rf"""WITH {ATTRS}, m AS (SELECT *, lower(text) AS low, regexp_matches(lower(text), 'time|day|hour') AS timed, regexp_matches(lower(text), 'control|treatment|disease|normal|patient|group') AS grouped,
+  regexp_extract(lower(text), '(\d+)\s*(day|hour|h|d)', 1) || substr(regexp_extract(lower(text), '(\d+)\s*(day|hour|h|d)', 2), 1, 1) AS short FROM attrs),
+l AS (SELECT dataset, sample, arg_max(CASE WHEN short <> '' THEN short ELSE text END, pos) FILTER (timed) AS t, arg_max(text, pos) FILTER (grouped AND NOT timed) AS g FROM m GROUP BY 1, 2),
+c AS (SELECT dataset, count(DISTINCT t) AS times, count(DISTINCT g) AS groups, coalesce(bool_or(regexp_matches(lower(g), 'disease|patient|control|normal|treatment')), false) AS w FROM l GROUP BY 1)
+SELECT dataset, times, groups, CASE WHEN times >= 3 THEN 'time_series' WHEN groups >= 2 AND w THEN 'disease_control' ELSE 'other' END AS type FROM c""")
+def f11_dataset_types(spark, sf):
+    from tallyloom.operators import design as dz
+    return dz.dataset_types(dz.simple_labels(attributes(spark, sf)))
 
 
 @query("f26_json_fields", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k,

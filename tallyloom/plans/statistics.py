@@ -534,6 +534,13 @@ def t43_sample_leaders(spark, sf):
                                      at(2, "system").alias("second"), r6(at(2, "score"), "second_score"))
 
 
+@query("t43_named_rank_and_differences", f"""WITH {SYS_SCORES} SELECT x.sample, y.system AS other, round(x.score - y.score, 6) AS difference,
+  (SELECT count(*) + 1 FROM sys z WHERE z.sample = x.sample AND (z.score > x.score OR z.score = x.score AND z.system < x.system)) AS rank
+FROM sys x JOIN sys y ON x.sample = y.sample AND y.system <> 'S1' WHERE x.system = 'S1'""")
+def t43_named_rank_and_differences(spark, sf):
+    return rounded(st.named_rank(system_scores(spark, sf), "S1"), "difference").select("sample", "other", "difference", "rank")
+
+
 @query("t44_activation_map", f"""WITH {MEANS}, r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY score DESC, system) AS place FROM mn QUALIFY place <= 3)
 SELECT system, dataset, place, round(score, 6) AS score, list_contains(expected, system) AS expected FROM r JOIN ex USING (dataset)""")
 def t44_activation_map(spark, sf):
