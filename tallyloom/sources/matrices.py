@@ -118,9 +118,10 @@ def matrix_verdicts(lines: DataFrame) -> DataFrame:
     against it."""
     line, lower = F.col("line"), F.lower("line")
     taxon = line.startswith("!Series_platform_taxid") | line.startswith("!Series_sample_taxid")
-    table_line = ~line.startswith("!") & (F.trim("line") != "")
+    end = lines.groupBy("file").agg(F.min(F.when(line.startswith(TABLE_END), F.col("line_no"))).alias("_end"))
+    table_line = ~line.startswith("!") & (F.trim("line") != "") & (F.col("line_no") < F.coalesce("_end", F.lit((1 << 63) - 1)))
     has = lambda c: F.coalesce(F.max(c.cast("int")), F.lit(0)) == 1
-    out = lines.groupBy("file").agg(
+    out = lines.join(small_side(end), "file").groupBy("file").agg(
         has(lower.contains(TABLE_BEGIN)).alias("has_table"),
         F.count_if(table_line).alias("table_lines"),
         has(line.contains("SuperSeries")).alias("superseries"),
