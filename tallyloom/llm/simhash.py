@@ -301,4 +301,6 @@ def keep_one(docs: DataFrame, size: int = 5, budget: int = 3, similarity: float
     first_of_print = rows.groupBy("fingerprint").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
     kept = first_of_print.join(classes, "fingerprint", "left").groupBy(F.coalesce("root", "fingerprint").alias("root")) \
         .agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
-    return rows.select("doc", "row").join(kept, "row", "left_semi").select("doc.*")
+    # few rows go, so the wide rows meet those and not the many that stay
+    gone = cut(rows.select("row").join(kept, "row", "left_anti"))
+    return rows.select("doc", "row").join(gone, "row", "left_anti").select("doc.*")
