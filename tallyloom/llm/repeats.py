@@ -41,6 +41,7 @@ BATCH_BYTES = 1 << 20
 MOST_KINDS = 4096
 #: Texts are hashed in stretches of this many bytes.
 STRETCH = 1 << 22
+PLACE_BITS = 23
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
 
@@ -85,14 +86,14 @@ def anchors(text: bytes, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.n
     for base in range(0, len(text) - span + 1, STRETCH):
         data = np.frombuffer(text, np.uint8, min(STRETCH + span - 1, len(text) - base), base)
         h = gram_hashes(data)
-        # the low byte tells the place; of equal grams in a window any may own it, since the hash is the same
-        low = (h & ~np.uint64(255)) | (np.uint64(255) - (np.arange(len(h)).astype(np.uint64) & np.uint64(255)))
-        least = sliding_least(low, width)
-        start = np.arange(len(least))
-        place = start + ((255 - (least & np.uint64(255)).astype(np.int64) - start) & 255)
+        # upper bits of the hash, then the place counted down: of equal hashes the rightmost is the least.
+        # Only so do equal strings of one text never share an owner, which would hide them in one slice.
+        places = np.uint64((1 << PLACE_BITS) - 1) - np.arange(len(h)).astype(np.uint64)
+        least = sliding_least(h >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS) | places, width)
+        place = (1 << PLACE_BITS) - 1 - (least & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         last = np.concatenate([first[1:] - 1, [len(place) - 1]])
-        out.append(((least[first] & ~np.uint64(255)).view(np.int64), first + base, last + base))
+        out.append((h[place[first]].view(np.int64), first + base, last + base))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 

@@ -67,6 +67,7 @@ def test_passages_between_documents(spark, monkeypatch, most):
         mid = passage if i % 3 == 0 else (other[i % 7:] if i % 3 == 1 else "")
         texts.append(body[:at] + mid + body[at:])
     texts += [passage[:200], passage[-199:], passage[10:205], texts[5] + "!", "é" * 150 + passage]
+    texts += [text(at) + word()[:period].ljust(period, "-") * (230 // period) + text(at) for at in (5, 20, 37, 60) for period in (3, 8, 9, 11)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert rows_of(repeats.repeat_digests(docs)) == sorted(((i, *b) for i, b in enumerate(brute(texts, 200))), key=repr)
     kept = {r.doc_id: r for r in repeats.without_repeats(docs).collect()}
