@@ -261,14 +261,16 @@ def with_components(rows: DataFrame, budget: int) -> DataFrame:
 def similar_links(rows: DataFrame, similarity: float) -> DataFrame:
     """``(a long, b long)``: fingerprints of texts whose shingle sets are found to be ``similarity`` alike or more.
 
-    ``rows (row, fingerprint, shingles, bands)``.  Rows that agree in a band
-    meet its first row, never each other, so a group costs as many checks as
-    it has members; every row has another first row in each of its bands.
+    ``rows (row, id, fingerprint, shingles, bands)``.  Rows that agree in a band
+    meet its first row (of least id), never each other, so a group costs as many
+    checks as it has members; each band has its own first row.
     The check itself is exact.
     """
-    sets = rows.groupBy("fingerprint", F.xxhash64("shingles").alias("digest")).agg(F.min("row").alias("row"), F.first("bands").alias("bands"))
-    in_band = sets.select("row", "fingerprint", F.explode("bands").alias("band"))
-    first = in_band.groupBy("band").agg(F.min(F.struct("row", "fingerprint")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # first by id, so that the order of the input's files changes nothing
+    at = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    sets = rows.groupBy("fingerprint", F.xxhash64("shingles").alias("digest")).agg(F.min(at).alias("at"), F.first("bands").alias("bands"))
+    in_band = sets.select("at", F.col("at.row").alias("row"), "fingerprint", F.explode("bands").alias("band"))
+    first = in_band.groupBy("band").agg(F.min(F.struct("at", "row", "fingerprint")).alias("first"), F.count("*").alias("n")).where("n > 1")
     pairs = cut(
         in_band.join(first, "band")
         .where("fingerprint != first.fingerprint")
@@ -296,7 +298,7 @@ def keep_one(docs: DataFrame, size: int = 5, budget: int = 3, similarity: float
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"),
         sketch(F.col(text_col), size).alias("s")).select("doc", "id", "row", "s.*"))
     prints = cut(rows.select("fingerprint").distinct())
-    links = near_links(prints, budget=budget).union(similar_links(rows.select("row", "fingerprint", "shingles", "bands"), similarity))
+    links = near_links(prints, budget=budget).union(similar_links(rows.select("row", "id", "fingerprint", "shingles", "bands"), similarity))
     classes = connected_components(links).withColumnRenamed("node", "fingerprint")
     first_of_print = rows.groupBy("fingerprint").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
     kept = first_of_print.join(classes, "fingerprint", "left").groupBy(F.coalesce("root", "fingerprint").alias("root")) \
