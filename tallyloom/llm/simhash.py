@@ -28,6 +28,8 @@ STEP = 4
 #: Min-hash bands for texts beyond the fingerprint's budget: at a similarity of
 #: 0.8 a band agrees with a chance of 0.41, one of all with 0.99997.
 BANDS, ROWS = 20, 4
+#: Texts and shingles of a block that meets another block of its band (one text alone may have more shingles).
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 
 
 def fingerprint_of(text: str | None, size: int) -> int:
@@ -258,33 +260,99 @@ def with_components(rows: DataFrame, budget: int) -> DataFrame:
     return rows.join(of_print.hint("merge"), "fingerprint")
 
 
-def similar_links(rows: DataFrame, similarity: float) -> DataFrame:
-    """``(a long, b long)``: fingerprints of texts whose shingle sets are found to be ``similarity`` alike or more.
+def similar_links(rows: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """``(a long, b long)``: links that connect, with ``links``, all texts of a common band whose shingle sets are ``similarity`` alike or more.
 
-    ``rows (row, id, fingerprint, shingles, bands)``.  Rows that agree in a band
-    meet its first row (of least id), never each other, so a group costs as many
-    checks as it has members; each band has its own first row.
-    The check itself is exact.
+    ``rows (row, id, fingerprint, shingles, bands)``, ``links (a, b)`` of
+    fingerprints.  Every row of a band meets the band's first row (of least
+    id), which joins most of a group at the price of its members.  The rows of
+    a band that are still in different components then meet each other, block
+    by block.  All checks are exact.
     """
     # first by id, so that the order of the input's files changes nothing
     at = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    sets = rows.groupBy("fingerprint", F.xxhash64("shingles").alias("digest")).agg(F.min(at).alias("at"), F.first("bands").alias("bands"))
-    in_band = sets.select("at", F.col("at.row").alias("row"), "fingerprint", F.explode("bands").alias("band"))
+    sets = rows.groupBy("fingerprint", F.xxhash64("shingles").alias("digest")).agg(
+        F.min(at).alias("at"), F.first("bands").alias("bands"), F.first(F.size("shingles")).alias("size"))
+    in_band = sets.select("at", F.col("at.row").alias("row"), "fingerprint", "size", F.explode("bands").alias("band"))
     first = in_band.groupBy("band").agg(F.min(F.struct("at", "row", "fingerprint")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    pairs = cut(
-        in_band.join(first, "band")
-        .where("fingerprint != first.fingerprint")
-        .select("row", F.col("first.row").alias("other"), F.col("fingerprint").alias("a"), F.col("first.fingerprint").alias("b")).distinct()
-    )
-    wanted = pairs.select("row").union(pairs.select("other")).distinct()
+    met = cut(in_band.join(first, "band").where("row != first.row").select(
+        "band", "row", "size", "fingerprint", F.col("first.row").alias("other"), F.col("first.fingerprint").alias("first")))
+    pairs = cut(met.where("fingerprint != first").select("row", "other", F.col("fingerprint").alias("a"), F.col("first").alias("b")).distinct())
+    wanted = met.select("row").union(met.select("other")).distinct()
     shingles = cut(rows.select("row", "shingles").join(wanted, "row", "left_semi"))
     both = F.size(F.array_intersect("mine", "theirs"))
-    alike = (
+    alike = cut(links.union(
         pairs.join(shingles.withColumnRenamed("shingles", "mine"), "row")
         .join(shingles.select(F.col("row").alias("other"), F.col("shingles").alias("theirs")), "other")
-        .where(both >= similarity * (F.size("mine") + F.size("theirs") - both))
-    )
-    return alike.select("a", "b")
+        .where(both >= similarity * (F.size("mine") + F.size("theirs") - both)).select("a", "b")
+    ))
+    roots = connected_components(alike).withColumnRenamed("node", "fingerprint")
+    return alike.union(block_links(met, roots, shingles, similarity))
+
+
+def block_links(met: DataFrame, roots: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """``(a long, b long)``: links between rows of a band whose fingerprints have different ``roots (fingerprint, root)``.
+
+    ``met (band, row, size, fingerprint)``, ``shingles (row, shingles)``.
+    Bands of the same rows are one.  A band's rows are dealt into blocks of
+    bounded size, those of a large component into blocks of their own, which
+    needn't meet each other.  A task checks one pair of blocks and returns a
+    spanning forest of its links.
+    """
+    spark = met.sparkSession
+    known = met.join(roots, "fingerprint", "left").select("band", "row", "size", "fingerprint", F.coalesce("root", "fingerprint").alias("root"))
+    mixed = known.groupBy("band").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("row")).alias("x"), F.sum(F.hash("row").cast("long")).alias("y")).where("low != high")
+    left = cut(known.join(mixed.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band"), "band", "left_semi"))
+    if left.isEmpty():
+        return spark.createDataFrame([], "a long, b long")
+
+    need = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    of_root = left.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("size").alias("total")).withColumn("own", need)
+    of_band = of_root.where("own = 1").groupBy("band").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).select("band", need.alias("shared"))
+    large = of_root.where("own > 1").select("band", "root", "own")
+    salt = F.pmod(F.xxhash64("row"), F.coalesce("own", "shared")).cast("int")
+    owner = F.when(F.col("own").isNotNull(), F.col("root"))
+    dealt = cut(left.join(large, ["band", "root"], "left").join(of_band, "band", "left")
+                .select("band", "row", "fingerprint", "root", F.struct(owner.alias("owner"), salt.alias("salt")).alias("block")))
+    blocks = dealt.select("band", "block").distinct()
+    met_blocks = blocks.withColumnRenamed("block", "x").join(blocks.withColumnRenamed("block", "y"), "band") \
+        .where("x <= y AND (x.owner IS NULL OR y.owner IS NULL OR x.owner != y.owner)")
+    sides = met_blocks.select("band", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    work = dealt.join(sides, ["band", "block"]).join(shingles, "row").select(
+        "band", "x", "y", (F.col("block") == F.col("x")).alias("on_x"), (F.col("block") == F.col("y")).alias("on_y"), "fingerprint", "root", "shingles")
+
+    def check(members: pa.Table) -> pa.Table:
+        fingerprints, group = (members.column(c).to_numpy() for c in ("fingerprint", "root"))
+        lists = [x.values.to_numpy() for x in members.column("shingles")]
+        on_x, on_y = (np.flatnonzero(members.column(c).to_numpy()) for c in ("on_x", "on_y"))
+        i, j = alike_forest(lists, group.copy(), on_x, on_y, similarity)
+        return pa.table({"a": fingerprints[i], "b": fingerprints[j]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return work.groupBy("band", "x", "y").applyInArrow(check, "a long, b long")
+
+
+def alike_forest(lists: list[np.ndarray], group: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i of ``x``, j of ``y``) between sets that are ``similarity`` alike, as few as join their ``group`` numbers, which are changed."""
+    out: list[tuple[int, int]] = []
+    sizes = np.array([len(v) for v in lists], np.int64)
+    values = np.concatenate([lists[j] for j in y]) if len(y) else np.zeros(0, np.int32)
+    owners = np.repeat(np.arange(len(y)), sizes[y])
+    order = np.argsort(values, kind="stable")
+    values, owners = values[order], owners[order]
+    for i in x:
+        if (group[y] == group[i]).all():
+            continue
+        low, high = (np.searchsorted(values, lists[i], side) for side in ("left", "right"))
+        n = high - low
+        places = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(owners[places], minlength=len(y))
+        for j in y[common >= similarity * (sizes[i] + sizes[y] - common)]:
+            if group[j] != group[i]:
+                out.append((i, j))
+                group[group == group[j]] = group[i]
+    return tuple(np.array(out, np.int64).reshape(-1, 2).T)
 
 
 def keep_one(docs: DataFrame, size: int = 5, budget: int = 3, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,7 +366,7 @@ def keep_one(docs: DataFrame, size: int = 5, budget: int = 3, similarity: float
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"),
         sketch(F.col(text_col), size).alias("s")).select("doc", "id", "row", "s.*"))
     prints = cut(rows.select("fingerprint").distinct())
-    links = near_links(prints, budget=budget).union(similar_links(rows.select("row", "id", "fingerprint", "shingles", "bands"), similarity))
+    links = similar_links(rows.select("row", "id", "fingerprint", "shingles", "bands"), near_links(prints, budget=budget), similarity)
     classes = connected_components(links).withColumnRenamed("node", "fingerprint")
     first_of_print = rows.groupBy("fingerprint").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
     kept = first_of_print.join(classes, "fingerprint", "left").groupBy(F.coalesce("root", "fingerprint").alias("root")) \

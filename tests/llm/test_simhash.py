@@ -92,3 +92,63 @@ def test_keep_one(spark, odd_docs, odd_rows, no_docs):
             groups.append((i, s))
     assert got == sorted((i for i, _ in groups), key=repr)
     assert simhash.keep_one(no_docs).count() == 0
+
+
+def brute_kept(rows, similarity=0.8):
+    sets = [shingles(t) for _, t in rows]
+    left, kept = list(range(len(rows))), []
+    while left:
+        todo, group = [left.pop()], []
+        while todo:
+            i = todo.pop()
+            group.append(i)
+            near = [j for j in left if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+            left = [j for j in left if j not in near]
+            todo += near
+        kept.append(min(rows[i][0] for i in group))
+    return sorted(kept)
+
+
+def edited_copies(rng, base, n):
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for at in rng.choice(len(base), 4, replace=False):
+            words[at] = f"new{rng.integers(1 << 40)}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_keep_one_joins_a_group_whose_centre_has_any_id(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows, expected = [], []
+    for place in (0, 15, 30):  # of the text itself, among 30 copies that are like it but not like each other
+        base = [f"w{i}" for i in rng.integers(0, 1 << 40, 200)]
+        texts = edited_copies(rng, base, 30)
+        texts.insert(place, " ".join(base))
+        expected.append(len(rows))
+        rows += [(len(rows) + k, t) for k, t in enumerate(texts)]
+    assert brute_kept(rows) == expected
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == expected
+    for block, most in ((4, 1 << 20), (1024, 1000)):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        monkeypatch.setattr(simhash, "BLOCK_SHINGLES", most)
+        assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == expected
+
+
+def test_blocks_of_a_band_find_every_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 3)
+    rng = np.random.default_rng(13)
+    sets = []
+    for k in range(12):  # groups of sets, one of them in one large component, the others apart until they meet
+        core = rng.integers(-1 << 31, 1 << 31, 40)
+        sets += [np.unique(np.concatenate([core, rng.integers(-1 << 31, 1 << 31, m)])).astype(np.int32) for m in (0, 3, 8)]
+    roots = [(i, min(i, 10)) for i in range(10, 20)]
+    met = spark.createDataFrame([(b, i, len(s), i) for i, s in enumerate(sets) for b in (1, 2)], "band long, row long, size int, fingerprint long")
+    found = simhash.block_links(met, spark.createDataFrame([(f, 10) for f, _ in roots], "fingerprint long, root long"),
+                                spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "row long, shingles array<int>"), 0.8).collect()
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    classes = lambda links: simhash.forest(len(sets), *np.array(links + [(f, 10) for f, _ in roots]).T).tolist()
+    assert near and classes([(r.a, r.b) for r in found]) == classes(near)
+    assert all((max(r), min(r)) in near for r in found)
