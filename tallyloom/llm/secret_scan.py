@@ -1,9 +1,12 @@
 """Secret scan: fixed patterns, and a battery of randomness tests for the rest.
 
 Everything is built from column functions.  Candidates are long runs of
-encoding characters that hold a digit.  The smallest alphabet that has all
-their characters is taken as the encoding, under which a random string has
-independent, uniform symbols.  Three tests ask for that:
+encoding characters that hold a digit and a letter ('=' only ends a run), what
+is left of a run without the words before it, and its long parts between '/',
+'-' and '_', since a secret may stand behind a name or in a path.
+The smallest alphabet that has all characters of a candidate is taken as the
+encoding, under which a random string has independent, uniform symbols.
+Three tests ask for that:
 
 * chi-squared of the symbol counts (Wilson-Hilferty), both tails,
 * runs above and below the middle of the alphabet,
@@ -30,7 +33,12 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),  # the runs of [0-9a-f]+ that are long enough
 )
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Whole runs; runs from the first part on that doesn't look like a word of a name or path; parts.  '=' may only end them.
+CANDIDATES = (
+    r"[A-Za-z0-9+/_-]{20,}=*",
+    r"(?<![A-Za-z0-9+])(?!(?:[A-Z]?[a-z]{0,15}|[A-Z]{0,15})[0-9]{0,2}(?![A-Za-z0-9+]))[A-Za-z0-9+/_-]{20,}=*",
+    r"[A-Za-z0-9+]{20,}=*",
+)
 #: Name, pattern of the whole string, alphabet in the order of its symbols.
 ENCODINGS = (
     ("hex", r"[0-9a-f]+|[0-9A-F]+", "0123456789abcdef"),
@@ -160,22 +168,27 @@ def battery(value: Column) -> Column:
     return out
 
 
-def candidates(text: Column) -> Column:
-    """Array of (start, end, encoding, band, p) of the candidate runs that hold a digit and a letter."""
+def found_values(text: Column, pattern: str) -> Column:
+    """Array of (start, end, value) of the leftmost matches of ``pattern``."""
     def place(found):
         def with_gaps(gaps):
             sizes = F.transform(found, lambda m, i: F.length(gaps[i]) + F.when(i > 0, F.length(F.get(found, i - 1))).otherwise(0))
-            spans = let(running(sizes), lambda starts: F.transform(found, lambda m, i: F.struct(
+            return let(running(sizes), lambda starts: F.transform(found, lambda m, i: F.struct(
                 starts[i].alias("start"), (starts[i] + F.length(m)).alias("end"), m.alias("value"))))
-            mixed = F.filter(spans, lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
-                             & (F.length(F.regexp_replace(s["value"], "=+$", "")) >= BANDS[0]))
-            return F.transform(mixed, lambda s: let(battery(s["value"]), lambda b: F.struct(
-                s["start"].alias("start"), s["end"].alias("end"), b["encoding"].alias("encoding"), b["band"].alias("band"), b["p"].alias("p"))))
 
-        return let(F.split(text, CANDIDATE, -1), with_gaps)
+        return let(F.split(text, pattern, -1), with_gaps)
 
-    none = F.array().cast("array<struct<start:int,end:int,encoding:int,band:int,p:double>>")
-    return let(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda found: F.when(F.size(found) == 0, none).otherwise(place(found)))
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, none).otherwise(place(found)))
+
+
+def candidates(text: Column) -> Column:
+    """Array of (start, end, encoding, band, p) of the candidates that hold a digit and a letter; some hold others."""
+    spans = F.array_distinct(F.concat(*(found_values(text, pattern) for pattern in CANDIDATES)))
+    mixed = F.filter(spans, lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
+                     & (F.length(F.regexp_replace(s["value"], "=+$", "")) >= BANDS[0]))
+    return F.transform(mixed, lambda s: let(battery(s["value"]), lambda b: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), b["encoding"].alias("encoding"), b["band"].alias("band"), b["p"].alias("p"))))
 
 
 def thresholds(docs: DataFrame, text_col: str = "text") -> list[list[float]]:
@@ -210,17 +223,21 @@ def lowest_threshold(counts: Sequence[int]) -> float:
 
 
 def all_spans(text: Column, limits: list[list[float]]) -> Column:
-    """Base spans and discoveries that overlap none of them, by start, then kind."""
+    """Base spans and discoveries that overlap none of them, by start, then kind; of discoveries within each other the outermost."""
     limit = F.array(*(F.array(*(F.lit(x) for x in bands)) for bands in limits))
 
-    def joined(base):
-        found = F.filter(candidates(text), lambda c: (c["p"] >= limit[c["encoding"]][c["band"]]) & ~F.exists(
-            base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-        added = F.transform(found, lambda c: F.struct(
+    def joined(s):
+        return let(F.filter(s["found"], lambda c: (c["p"] >= limit[c["encoding"]][c["band"]]) & ~F.exists(
+            s["base"], lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))), lambda found: with_base(s["base"], found))
+
+    def with_base(base, found):
+        outermost = F.filter(found, lambda c: ~F.exists(found, lambda o: (o["start"] <= c["start"]) & (c["end"] <= o["end"])
+                                                        & (o["end"] - o["start"] > c["end"] - c["start"])))
+        added = F.transform(outermost, lambda c: F.struct(
             c["start"].alias("start"), c["end"].alias("end"), F.lit(len(BASE)).alias("rank"), F.lit("random").alias("kind")))
         return F.struct(base.alias("base"), F.array_sort(F.concat(base, added)).alias("spans"))
 
-    return let(base_spans(text), joined)
+    return let(F.struct(base_spans(text).alias("base"), candidates(text).alias("found")), joined)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: list[list[float]] | None = None) -> DataFrame:

@@ -47,3 +47,27 @@ def test_threshold():
     assert secret_scan.lowest_threshold([900] + [10] * 19) == 0.05
     assert secret_scan.lowest_threshold([900, 100, 40] + [10] * 17) > 0.1
     assert secret_scan.lowest_threshold([50] + [0] * 19) > 1
+
+
+def test_battery_finds_secrets_behind_names_and_paths(spark):
+    rng = random.Random(6)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = {"hex": "0123456789ABCDEF", "base32": upper + "234567", "alnum": lower + digits, "base62": upper + lower + digits,
+                 "base64": upper + lower + digits + "+/"}
+    forms = ("aws_secret_access_key={}", "auth={}", "https://example.org/client/secret/v1/{}", "prefix_{}", "/keys/{}/rotate")
+    planted = [(a, f, "".join(rng.choices(chars, k=40))) for a, chars in alphabets.items() for f in forms for _ in range(60)]
+    names = [f"chapter-{i:02d}-section-{i % 7}-the-river-and-the-boats/{i % 90}" for i in range(300)]
+    texts = [f"see {f.format(key)} here" for _, f, key in planted] + [f"see {n} here" for n in names]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hits, found = {(a, f): 0 for a, f, _ in planted}, 0
+    for r in secret_scan.scan(docs).collect():
+        spans = [(s.start, s.end) for s in r.spans]
+        if r.doc_id < len(planted):
+            a, f, key = planted[r.doc_id]
+            at = texts[r.doc_id].index(key)
+            hits[a, f] += any(start <= at and at + len(key) <= end for start, end in spans)
+            assert all(start >= at for start, _ in spans) or not f.endswith("={}")
+        else:
+            found += len(spans)
+    assert min(hits.values()) >= 0.8 * 60, hits
+    assert found <= 0.05 * sum(hits.values())
