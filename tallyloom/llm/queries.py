@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import codec, language, mixing, packing, quality, repeats, secret_scan, simhash, toxicity, winnow
+from tallyloom.llm import codec, language, minhash, mixing, packing, quality, repeats, secret_scan, simhash, toxicity, trie, variants, winnow
 from tallyloom.session import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,18 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     known = language.profiles(docs.where(language.remainder(F.col("doc_id"), 3) != 1))
     return language.identify(docs, known).select(
         "doc_id", F.coalesce(language.remainder(F.col("doc_id"), 3) == 1, F.lit(True)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op11_minhash_components")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"), size=3, percent=85)
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, folder, "documents"))
+
+
+@query("op13_prefix_trie")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, folder, "conversations"))
