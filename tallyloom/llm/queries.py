@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import codec, language, minhash, mixing, packing, quality, repeats, secret_scan, simhash, toxicity, trie, variants, winnow
+from tallyloom.llm.sql import OP11_SQL, OP12_SQL, OP13_SQL
 from tallyloom.session import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,16 +125,16 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.coalesce(language.remainder(F.col("doc_id"), 3) == 1, F.lit(True)).alias("held_out"), "lang_pred", "score")
 
 
-@query("op11_minhash_components")
+@query("op11_minhash_components", OP11_SQL)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), size=3, percent=85)
 
 
-@query("op12_spelling_variants")
+@query("op12_spelling_variants", OP12_SQL)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return variants.spelling_variants(table(spark, folder, "documents"))
 
 
-@query("op13_prefix_trie")
+@query("op13_prefix_trie", OP13_SQL)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return trie.prefix_trie(table(spark, folder, "conversations"))
