@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators.joins import small_side
-from tallyloom.operators.ordering import running, tie_ranks
+from tallyloom.operators.ordering import running, tie_ranks, tied_positions
 from tallyloom.session import broadcast_rows, cut, window_rows
 
 #: Set ids carried in one row when the sample x set grid is laid out.
@@ -136,19 +136,13 @@ def rank_area_scores(
     if max_size is not None:
         sized = sized.filter(F.col("size") <= max_size)
     kept = sets.join(sized, "set_id", "left_semi") if min_size > 1 or max_size is not None else sets
-    ranked = running(
-        rows, keys, [F.col("value").desc(), F.col("feature")],
-        totals={"n": None}, position="r", small=small,
-    )
-    level = tie_ranks(rows, keys, "value", name="low_rank").select(
-        *keys, "feature", "low_rank"
-    )
-    scored = ranked.join(level, [*keys, "feature"])
+    scored = tied_positions(rows, keys, "value", ["feature"], descending=True, small=small).withColumnRenamed("group_rows", "n")
     # normalised value: average rank on a 10,000 scale, smallest value lowest
+    low_rank = F.col("n") + 1 - (F.col("tie_first") + F.col("tie_last")) / F.lit(2.0)
     hits = scored.join(_members(kept), "feature").withColumn(
-        "w", F.pow(F.lit(10000.0) * F.col("low_rank") / F.col("n"), F.lit(alpha))
+        "w", F.pow(F.lit(10000.0) * low_rank / F.col("n"), F.lit(alpha))
     )
-    reach = F.col("n") - F.col("r") + 1
+    reach = F.col("n") - F.col("position") + 1
     sums = hits.groupBy(*keys, "set_id").agg(
         F.max("n").alias("n"),
         F.count(F.lit(1)).alias("hits"),
@@ -179,8 +173,8 @@ def rank_percentile_scores(
     """
     keys = list(keys)
     rows = present_values(values).select(*keys, "feature", "value")
-    sizes, _ = _sizes(rows, keys)
-    ranked = tie_ranks(rows, keys, "value", name="rank", descending=True)
+    sizes, small = _sizes(rows, keys)
+    ranked = tie_ranks(rows, keys, "value", name="rank", descending=True, small=small)
     means = (
         ranked.join(_members(sets), "feature")
         .groupBy(*keys, "set_id")

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.windows import seeded_sample
+from tallyloom.operators.joins import small_side
+from tallyloom.operators.ordering import running
 from tallyloom.session import cut
 
+#: Group names in one packed row when every two groups are laid out.
+GROUP_CHUNK = 1000
+#: Ancestors of more groups than this are carried as dense vectors, so many of them at most.
+HOT_GROUPS, HOT_ANCESTORS = 64, 256
+
 
 def edges_of(terms: DataFrame, key: str, relations: dict[str, str]) -> DataFrame:
     """(child, parent, relation) out of array columns; parents that are no term
@@ -45,6 +53,54 @@ def cycle_nodes(pairs: DataFrame) -> DataFrame:
     return pairs.filter(F.col("node") == F.col("ancestor")).select("node")
 
 
+def peeled(edges: DataFrame) -> DataFrame:
+    """``(child, parent)``: what is left of the edges once nodes without parents,
+    and nodes without children, are taken away round by round.
+
+    Nothing is left of an acyclic graph.  Else every cycle is left, and the
+    paths that lead from one cycle to another.  A round reads only the edges
+    that the one before it left; there are half as many as the longest path
+    has nodes.
+    """
+    left = cut(edges.select("child", "parent").distinct())
+    n = left.count()
+    while n:
+        below, above = left.select(F.col("child").alias("parent")).distinct(), left.select(F.col("parent").alias("child")).distinct()
+        # an edge stays if its parent has a parent itself, and its child a child
+        left = cut(left.join(below, "parent", "left_semi").join(above, "child", "left_semi"))
+        now = left.count()
+        if now == n:
+            break
+        n = now
+    return left
+
+
+def is_acyclic(edges: DataFrame) -> bool:
+    return peeled(edges).isEmpty()
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """``(cycle, node)``: nodes that lie on a common cycle, named by the smallest of them.
+
+    Two nodes are on one cycle if each can be reached from the other; reach is
+    only worked out for what peeling left.
+    """
+    reach = closure(peeled(edges)).select("node", "ancestor")
+    back = reach.select(F.col("ancestor").alias("node"), F.col("node").alias("ancestor"))
+    mutual = reach.join(back, ["node", "ancestor"], "left_semi")
+    return mutual.groupBy("node").agg(F.min("ancestor").alias("cycle")).select("cycle", "node")
+
+
+def graph_statistics(nodes: DataFrame, edges: DataFrame, relations: Sequence[str]) -> DataFrame:
+    """One row: nodes, edges, edges of each relation, roots, leaves, and ``acyclic``."""
+    above = edges.select(F.col("child").alias("node")).distinct().withColumn("_up", F.lit(1))
+    below = edges.select(F.col("parent").alias("node")).distinct().withColumn("_down", F.lit(1))
+    of_nodes = nodes.select("node").distinct().join(above, "node", "left").join(below, "node", "left").agg(
+        F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("_up").isNull()).alias("roots"), F.count_if(F.col("_down").isNull()).alias("leaves"))
+    of_edges = edges.agg(F.count(F.lit(1)).alias("edges"), *[F.count_if(F.col("relation") == r).alias(r) for r in relations])
+    return of_nodes.join(F.broadcast(of_edges)).withColumn("acyclic", F.lit(is_acyclic(edges)))  # one row each
+
+
 def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("child").alias("node")).unionByName(edges.select(F.col("parent").alias("node"))).distinct()
 
@@ -106,7 +162,7 @@ def similarities(node_pairs: DataFrame, pairs: DataFrame, information: DataFrame
     ancestors is the one over the lowest; depth needs the lowest themselves.
     """
     upward = with_self(pairs, information)
-    common = common_ancestors(node_pairs, upward)
+    common = cut(common_ancestors(node_pairs, upward))
     lowest = lowest_common_ancestors(common, pairs)
     largest = information.agg(F.max("ic")).first()[0]
     ic = information.select(F.col("node").alias("ancestor"), "ic")
@@ -151,32 +207,6 @@ def overlap_similarities(node_pairs: DataFrame, pairs: DataFrame, depth: DataFra
     )
 
 
-def sampled_pairs_within(members: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """Pairs inside each group's seeded sample of ``n`` members (group, a, b).
-
-    Sampling is the operator here: a group yields at most n(n-1)/2 pairs,
-    whatever its size, so they can sit in one array per group.
-    """
-    picked = seeded_sample(members, ["group"], "node", n, seed).groupBy("group").agg(
-        F.array_sort(F.collect_list("node")).alias("_m"))
-    first = picked.select("group", F.posexplode("_m").alias("_i", "a"), "_m")
-    return first.select("group", "a", F.explode(F.slice("_m", F.col("_i") + 2, n)).alias("b"))
-
-
-def sampled_pairs_between(members: DataFrame, n: int, seed: int = 42, labels: list | None = None) -> DataFrame:
-    """Pairs across the seeded samples of every two groups (group, other, a, b)."""
-    if labels is None:
-        labels = sorted(r[0] for r in members.select("group").distinct().limit(1001).collect())
-    if len(labels) > 1000:
-        raise ValueError("more than 1000 groups; pass the labels to compare")
-    picked = seeded_sample(members, ["group"], "node", n, seed).groupBy("group").agg(
-        F.array_sort(F.collect_list("node")).alias("_m"))
-    later = F.filter(F.array(*[F.lit(x) for x in labels]), lambda x: x > F.col("group"))
-    left = picked.select("group", F.col("_m").alias("_a"), F.explode(later).alias("other"))
-    both = left.join(picked.select(F.col("group").alias("other"), F.col("_m").alias("_b")), "other")
-    return both.select("group", "other", F.explode("_a").alias("a"), "_b").select("group", "other", "a", F.explode("_b").alias("b"))
-
-
 def group_vectors(members: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sums from which the similarity of all pairs of members follows, without a pair row.
 
@@ -210,14 +240,43 @@ def within_groups(vectors: DataFrame, totals: DataFrame) -> DataFrame:
         F.greatest(F.col("placed") - F.col("_norm") / F.col("members"), F.lit(0.0)).alias("spread"))
 
 
+def every_two_groups(totals: DataFrame) -> DataFrame:
+    """``(group, other)``, group before other, from packed lists of the groups; as many rows as the result has to have."""
+    groups = totals.select("group").distinct()
+    chunks = max(1, -(-groups.count() // GROUP_CHUNK))
+    packed = groups.groupBy(F.pmod(F.xxhash64("group"), F.lit(chunks)).alias("_chunk")).agg(F.array_sort(F.collect_list("group")).alias("_groups"))
+    each = groups.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+    later = F.filter("_groups", lambda g: g > F.col("group"))
+    return each.join(small_side(packed), "_chunk").select("group", F.explode(later).alias("other"))
+
+
 def between_groups(vectors: DataFrame, totals: DataFrame) -> DataFrame:
-    """The same measures over all pairs of members of every two groups (group < other), and the distance of their mean vectors."""
-    right = vectors.select(F.col("group").alias("other"), "ancestor", F.col("c").alias("_c"), F.col("s").alias("_s"))
-    both = vectors.join(right, "ancestor").filter("group < other").groupBy("group", "other").agg(
-        F.sum(F.col("c") * F.col("_c")).alias("_shared"), F.sum(F.col("s") * F.col("_s")).alias("_dot"))
-    norms = totals.join(vectors.groupBy("group").agg(F.sum(F.col("s") * F.col("s")).alias("norm")), "group", "left").fillna(0.0, ["norm"])
-    side = lambda name, end: norms.select(F.col("group").alias(name), *[F.col(c).alias(c + end) for c in ("members", "ancestors", "norm")])
-    rows = both.join(side("group", "_a"), "group").join(side("other", "_b"), "other")
+    """The same measures over all pairs of members of every two groups (group < other), and the distance of their mean vectors.
+
+    Groups without a common ancestor have a similarity of 0.  The ancestors
+    that most groups hold, a bounded number, would meet all groups in one
+    task: they are carried along with each group as a dense vector, and only
+    the others are joined.
+    """
+    held = vectors.groupBy("ancestor").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_GROUPS)
+    hot = cut(held.orderBy(F.col("_n").desc(), "ancestor").limit(HOT_ANCESTORS).select("ancestor", F.lit(True).alias("_hot")))
+    split = cut(vectors.join(F.broadcast(hot), "ancestor", "left"))
+    dense = split.filter("_hot").groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("ancestor", F.struct("c", "s")))).alias("_dense"))
+    cold = split.filter("_hot IS NULL")
+    right = cold.select(F.col("group").alias("other"), "ancestor", F.col("c").alias("_c"), F.col("s").alias("_s"))
+    both = cold.join(right, "ancestor").filter("group < other").groupBy("group", "other").agg(
+        F.sum(F.col("c") * F.col("_c")).alias("_cold_shared"), F.sum(F.col("s") * F.col("_s")).alias("_cold_dot"))
+    norms = totals.join(vectors.groupBy("group").agg(F.sum(F.col("s") * F.col("s")).alias("norm")), "group", "left").fillna(0.0, ["norm"]).join(dense, "group", "left")
+    side = lambda name, end: norms.select(F.col("group").alias(name), *[F.col(c).alias(c + end) for c in ("members", "ancestors", "norm", "_dense")])
+    rows = every_two_groups(totals).join(side("group", "_a"), "group").join(side("other", "_b"), "other").join(both, ["group", "other"], "left")
+    common = F.array_intersect(F.map_keys("_dense_a"), F.map_keys("_dense_b"))
+
+    def product(field: str, start: Column) -> Column:
+        return F.coalesce(F.aggregate(common, start, lambda t, a: t + F.col("_dense_a")[a][field] * F.col("_dense_b")[a][field]), start)
+
+    rows = rows.withColumns({
+        "_shared": F.coalesce("_cold_shared", F.lit(0)) + product("c", F.lit(0).cast("long")),
+        "_dot": F.coalesce("_cold_dot", F.lit(0.0)) + product("s", F.lit(0.0))})
     n_a, n_b = F.col("members_a"), F.col("members_b")
     joint = n_b * F.col("ancestors_a") + n_a * F.col("ancestors_b") - F.col("_shared")
     square = F.col("norm_a") / (n_a * n_a) + F.col("norm_b") / (n_b * n_b) - 2 * F.col("_dot") / (n_a * n_b)
@@ -233,36 +292,82 @@ def pair_statistics(scored: DataFrame, keys: list[str], score: str) -> DataFrame
         F.max(score).alias("max"), F.count(F.lit(1)).alias("pairs"))
 
 
-def coherence(within: DataFrame, between: DataFrame, vectors: DataFrame, threshold: float = 1.5) -> DataFrame:
+def coherence(within: DataFrame, vectors: DataFrame, totals: DataFrame, threshold: float = 1.5) -> DataFrame:
     """One row: mean similarity within and between groups, their ratio and
-    verdict, and the Calinski-Harabasz ratio of the unit vectors."""
+    verdict, and the Calinski-Harabasz ratio of the unit vectors.
+
+    Groups of two members or more count.  The mean over all pairs of groups
+    follows from the sum of the groups' mean vectors, so no pair of groups is
+    looked at, and those without a common ancestor count as 0.
+    """
     inner = within.agg(F.avg("similarity").alias("intra"), F.sum("spread").alias("spread"),
                        F.count(F.lit(1)).alias("groups"), F.sum("members").alias("_members"))
-    outer = between.agg(F.avg("similarity").alias("inter"), F.avg(1 - F.col("similarity")).alias("separation"))
-    several = vectors.join(within.select("group", "members"), "group")
-    means = several.groupBy("group").agg((F.sum(F.col("s") * F.col("s")) / F.max("members")).alias("_m")).agg(F.sum("_m").alias("_means"))
-    whole = several.groupBy("ancestor").agg(F.sum("s").alias("_s")).agg(F.sum(F.col("_s") * F.col("_s")).alias("_whole"))
+    several = vectors.join(totals.filter("members > 1").select("group", "members"), "group").withColumn("_mean", F.col("s") / F.col("members"))
+    own = several.agg(F.sum(F.col("s") * F.col("_mean")).alias("_means"), F.sum(F.col("_mean") * F.col("_mean")).alias("_squares"))
+    whole = several.groupBy("ancestor").agg(F.sum("s").alias("_s"), F.sum("_mean").alias("_m")).agg(
+        F.sum(F.col("_s") * F.col("_s")).alias("_whole"), F.sum(F.col("_m") * F.col("_m")).alias("_sum"))
     one = inner
-    for part in (outer, means, whole):  # one row each
+    for part in (own, whole):  # one row each
         one = one.join(F.broadcast(part))
+    pairs = F.col("groups") * (F.col("groups") - 1) / 2
+    one = one.withColumn("inter", F.when(pairs > 0, F.coalesce((F.col("_sum") - F.col("_squares")) / 2, F.lit(0.0)) / pairs))
     apart = F.col("_means") - F.col("_whole") / F.col("_members")
-    ratio = F.coalesce(F.try_divide(F.col("intra"), F.when(F.col("inter") > 0, F.col("inter"))), F.lit(float("inf")))
+    # what rounding leaves of groups that share nothing is no similarity
+    ratio = F.when(F.col("inter") > 1e-12, F.col("intra") / F.col("inter")).otherwise(F.lit(float("inf")))
     spread = F.try_divide(apart / (F.col("groups") - 1), F.col("spread") / (F.col("_members") - F.col("groups")))
-    return one.withColumns({"ratio": ratio, "valid": ratio >= threshold, "calinski_harabasz": spread}).drop("_members", "_means", "_whole")
+    return one.withColumns({"separation": 1 - F.col("inter"), "ratio": ratio, "valid": ratio >= threshold, "calinski_harabasz": spread}).select(
+        "intra", "spread", "groups", "inter", "separation", "ratio", "valid", "calinski_harabasz")
 
 
 def group_separation(within: DataFrame, between: DataFrame) -> DataFrame:
-    """Per group: centroid silhouette and the worst spread-to-distance ratio."""
+    """Per group: centroid silhouette, the worst spread-to-distance ratio, and the mean similarity to the other groups
+    with the score it gives; ``between`` must hold every two groups."""
     sides = between.select("group", "other", "similarity", "distance").unionByName(
         between.select(F.col("other").alias("group"), F.col("group").alias("other"), "similarity", "distance"))
     width = F.sqrt(F.col("spread") / F.col("members"))
     own = within.select("group", F.col("similarity").alias("_intra"), width.alias("_width"))
     mate = within.select(F.col("group").alias("other"), width.alias("_width_other"))
     out = sides.join(own, "group").join(mate, "other").groupBy("group").agg(
-        F.max("_intra").alias("intra"), F.max("similarity").alias("nearest"),
+        F.max("_intra").alias("intra"), F.max("similarity").alias("nearest"), F.avg("similarity").alias("others"),
         F.max(F.try_divide(F.col("_width") + F.col("_width_other"), F.col("distance"))).alias("davies_bouldin"))
     a, b = 1 - F.col("intra"), 1 - F.col("nearest")
-    return out.withColumn("silhouette", F.when(F.greatest(a, b) > 0, (b - a) / F.greatest(a, b)).otherwise(0.0))
+    most = F.greatest("intra", "others")
+    return out.withColumns({
+        "silhouette": F.when(F.greatest(a, b) > 0, (b - a) / F.greatest(a, b)).otherwise(0.0),
+        "score": F.when(most > 0, (F.col("intra") - F.col("others")) / most)})
+
+
+def significant(tests: DataFrame, p: str = "p_value", alpha: float = 0.05) -> DataFrame:
+    """Tests with ``significant``: p below ``alpha``; without a p it is not."""
+    return tests.withColumn("significant", F.coalesce(F.col(p) < alpha, F.lit(False)))
+
+
+def permutation_test(members: DataFrame, pairs: DataFrame, permutations: int = 99, seed: int = 42) -> DataFrame:
+    """One row ``(intra, permutations, as_high, p_value)``: how often labels dealt at random make groups as alike as theirs.
+
+    Each permutation orders the members by a seeded hash and deals the labels
+    out in that order, so group sizes stay.  All permutations are labels of
+    one aggregation over the members' ancestors.
+    """
+    known = cut(members.select("group", "node"))
+    labels = running(known.withColumn("_all", F.lit(0)), ["_all"], [F.col("group"), F.col("node")], position="_at").select("_at", "group")
+    drawn = known.select("node", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("draw")).withColumn(
+        "_key", F.xxhash64("node", "draw", F.lit(seed)))
+    dealt = running(drawn, ["draw"], [F.col("_key"), F.col("node")], position="_at").join(labels, "_at").select("draw", "group", "node")
+    every = cut(dealt.unionByName(known.withColumn("draw", F.lit(0))))
+    sizes = pairs.groupBy("node").agg(F.count(F.lit(1)).alias("_n"))
+    weighed = pairs.select("node", "ancestor").join(sizes, "node")
+    keys = ["draw", "group"]
+    sums = every.join(weighed, "node").groupBy(*keys, "ancestor").agg(F.sum(1 / F.sqrt("_n")).alias("s")).groupBy(*keys).agg(
+        F.sum(F.col("s") * F.col("s")).alias("norm"))
+    totals = every.join(sizes, "node", "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count("_n").alias("placed"))
+    alike = (F.coalesce("norm", F.lit(0.0)) - F.col("placed")) / (F.col("n") * (F.col("n") - 1))
+    means = cut(totals.filter("n > 1").join(sums, keys, "left").groupBy("draw").agg(F.avg(alike).alias("intra")))
+    own = means.filter("draw = 0").select(F.col("intra").alias("_own"))
+    # rounding keeps equal means equal whatever the order of the sums
+    as_high = F.count_if((F.col("draw") > 0) & (F.round("intra", 10) >= F.round("_own", 10)))
+    out = means.join(F.broadcast(own)).agg(F.max("_own").alias("intra"), F.lit(permutations).alias("permutations"), as_high.alias("as_high"))
+    return out.withColumn("p_value", (F.col("as_high") + 1) / (F.col("permutations") + 1))
 
 
 def extremes(statistics: DataFrame, label: Column, value: str = "mean") -> DataFrame:

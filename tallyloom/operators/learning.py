@@ -10,16 +10,12 @@ from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.ordering import running
+from tallyloom.operators.ordering import running, top_rows
 from tallyloom.operators.statistics import one_sample_t, rank_sum
-from tallyloom.session import cut
-
-#: Columns MLlib's PCA can hold; wider inputs have to be filtered or transposed.
-PCA_COLUMNS = 65_535
-
+from tallyloom.session import cut, cut_all
 
 def vectors(rows: DataFrame, array: str, keep: Sequence[str]) -> DataFrame:
     return rows.select(*keep, array_to_vector(F.col(array).cast("array<double>")).alias("features"))
@@ -42,37 +38,6 @@ def scaled_pca(k: int) -> list:
     ]
 
 
-def fit_pca(rows: DataFrame, k: int):
-    width = len(rows.select("features").first()[0])
-    if width > PCA_COLUMNS:
-        raise ValueError(f"{width} columns; PCA takes {PCA_COLUMNS}")
-    return Pipeline(stages=scaled_pca(min(k, width))).fit(rows)
-
-
-def explained_variance(spark: SparkSession, model) -> DataFrame:
-    """(component, variance, cumulative) of a fitted PCA; as many rows as
-    components."""
-    parts = [float(v) for v in model.stages[-1].explainedVariance]
-    rows, total = [], 0.0
-    for i, v in enumerate(parts):
-        total += v
-        rows.append((i + 1, v, total))
-    return spark.createDataFrame(rows, "component int, variance double, cumulative double")
-
-
-def components_needed(variance: DataFrame, thresholds: Sequence[float]) -> DataFrame:
-    needed = [F.struct(F.lit(t).alias("threshold"), F.min(F.when(F.col("cumulative") >= t, F.col("component"))).alias("needed"))
-              for t in thresholds]
-    return variance.agg(F.array(*needed).alias("_n")).select(F.inline("_n"))
-
-
-def top_loadings(spark: SparkSession, model, n: int, component: int = 0) -> DataFrame:
-    """Features with the largest absolute loading on a component."""
-    pc = model.stages[-1].pc.toArray()[:, component]
-    rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(pc)], "feature int, loading double")
-    return rows.withColumn("strength", F.abs("loading")).orderBy(F.col("strength").desc(), "feature").limit(n)
-
-
 def stratified_folds(rows: DataFrame, key: str, label: str, k: int, seed: int = 42) -> DataFrame:
     """Adds ``fold`` 0..k-1: within each class rows are dealt out in a seeded
     order, so folds have the classes in equal shares."""
@@ -88,12 +53,13 @@ def fold_count(rows: DataFrame, label: str, k: int) -> int:
 
 
 def cross_validated(rows: DataFrame, label: str, k: int, components: int | None = None, leaky: bool = False,
-                    classifier: str = "logistic") -> DataFrame:
-    """(fold, label, prediction, score) of every row, predicted by a model that
-    did not see its fold.
+                    classifier: str = "logistic", keep: Sequence[str] = ()) -> DataFrame:
+    """One written table (*keep, fold, label, prediction, score) of every row,
+    predicted by a model that did not see its fold.
 
     Scaling and PCA are fitted inside the folds; ``leaky`` fits them on all
-    rows first.
+    rows first.  ``classifier`` is ``logistic`` or ``forest``; ``score`` is the
+    probability of class 1, by which rows of any classifier are ranked for the AUC.
     """
     column = "components" if components else "features"
     prepared = rows
@@ -104,20 +70,24 @@ def cross_validated(rows: DataFrame, label: str, k: int, components: int | None
     # written once: every fold reads it, and a lost executor costs nothing
     prepared = cut(prepared)
     dealt = prepared.agg(F.max("fold")).first()[0]
-    out = None
-    for fold in range(min(k, dealt + 1)):  # small classes may allow fewer folds than asked for
+
+    def predicted(fold: int) -> DataFrame:
         train = prepared.filter(F.col("fold") != fold)
         if classifier == "logistic":
             model = LogisticRegression(featuresCol=column, labelCol=label, regParam=1.0 / max(train.count(), 1),
                                        elasticNetParam=0.0, standardization=False, maxIter=100)
-        else:
+        elif classifier == "forest":
             model = RandomForestClassifier(featuresCol=column, labelCol=label, numTrees=100, seed=42)
+        else:
+            raise ValueError(f"unknown classifier {classifier}")
         fitted = Pipeline(stages=[*stages, model]).fit(train)
-        scored = fitted.transform(prepared.filter(F.col("fold") == fold)).select(
-            "fold", F.col(label).cast("double").alias("label"), "prediction",
+        return fitted.transform(prepared.filter(F.col("fold") == fold)).select(
+            *keep, "fold", F.col(label).cast("double").alias("label"), "prediction",
             vector_to_array("probability").getItem(1).alias("score"))
-        out = scored if out is None else out.unionByName(scored)
-    return out
+
+    # each fold's predictions are written before the next model is fitted, so no model is part of a later plan;
+    # small classes may allow fewer folds than asked for
+    return cut_all(predicted(fold) for fold in range(min(k, dealt + 1)))
 
 
 def fold_scores(predictions: DataFrame, binary: bool) -> DataFrame:
@@ -179,8 +149,11 @@ def cluster_sweep(rows: DataFrame, ks: Sequence[int], seed: int = 42, bisecting:
         "k int, cost double, silhouette double, drop double, elbow boolean, best boolean")
 
 
-def clusters(rows: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    return KMeans(k=k, seed=seed, featuresCol="features").fit(rows).transform(rows)
+def assigned(rows: DataFrame, k: int, keep: Sequence[str], seed: int = 42, bisecting: bool = False) -> DataFrame:
+    """One written table ``(*keep, cluster)``: which cluster each row was put into."""
+    kind = BisectingKMeans if bisecting else KMeans
+    fitted = kind(k=k, seed=seed, featuresCol="features").fit(rows)
+    return cut(fitted.transform(rows).select(*keep, F.col("prediction").alias("cluster")))
 
 
 def cluster_profiles(values: DataFrame, cluster: str, feature: str, value: str) -> DataFrame:
@@ -189,3 +162,24 @@ def cluster_profiles(values: DataFrame, cluster: str, feature: str, value: str)
     means = values.groupBy(cluster, feature).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
     return means.join(overall, feature).withColumn(
         "fold", F.when(F.col("overall") != 0, F.col("mean") / F.col("overall")))
+
+
+def cluster_summary(values: DataFrame, cluster: str, feature: str, value: str, member: str, n: int = 3) -> DataFrame:
+    """``(cluster, size, dominant, leading)``: members, the feature of highest mean, and the ``n`` features of highest mean in order."""
+    sizes = values.groupBy(cluster).agg(F.count_distinct(member).alias("size"))
+    means = values.groupBy(cluster, feature).agg(F.avg(value).alias("_m"))
+    best = top_rows(means, [cluster], [F.round("_m", 12).desc(), F.col(feature)], n).groupBy(cluster).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", feature))), lambda e: e[feature]).alias("leading"))
+    return sizes.join(best, cluster).select(cluster, "size", F.get("leading", F.lit(0)).alias("dominant"), "leading")
+
+
+def cluster_membership(assignment: DataFrame, groups: DataFrame, member: str, group: str = "set_id") -> DataFrame:
+    """``(cluster, group, members, share, fold)``: members of each cluster in each group, and that share against the group's share of all."""
+    sizes = assignment.groupBy("cluster").agg(F.count(F.lit(1)).alias("_size"))
+    n = assignment.count()
+    joined = assignment.join(groups.select(member, group).distinct(), member)
+    counts = joined.groupBy("cluster", group).agg(F.count(F.lit(1)).alias("members"))
+    overall = joined.groupBy(group).agg(F.count(F.lit(1)).alias("_all"))
+    share = F.col("members") / F.col("_size")
+    return counts.join(sizes, "cluster").join(overall, group).select(
+        "cluster", group, "members", share.alias("share"), (share / (F.col("_all") / F.lit(n))).alias("fold"))

@@ -126,29 +126,101 @@ def with_group_size(df: DataFrame, keys: Sequence[str], name: str = "group_rows"
     return df.join(sizes, list(keys))
 
 
-def tie_ranks(
+def tied_positions(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
-    name: str = "rank",
+    tiebreak: Sequence[str] = (),
     descending: bool = False,
-    method: str = "average",
+    small: bool | None = None,
 ) -> DataFrame:
-    """Rank of ``value`` in its group (null values are left out); equal values
-    share their average rank, or with ``method="min"`` their first.
+    """Add ``position`` (if there is a ``tiebreak``), ``tie_first``, ``tie_last``
+    and ``group_rows``: where a row stands in its group's order of ``value``,
+    and where the rows of the same value begin and end.
 
-    Ties are counted before anything is ordered, so a group's hottest value is
-    one row of the ordered table.
+    Rows without a value are left out.  One ordering gives all of them: inside
+    a group a rank and a running count share its sort, and where a group is
+    cut into slices, ties are carried over their edges, of which a slice has two.
     """
     present = df.filter(F.col(value).isNotNull())
-    counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_ties"))
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    upto, ties = F.col("_upto"), F.col("_ties")
-    rank = upto - (ties - 1) / F.lit(2.0) if method == "average" else upto - ties + 1
-    placed = running(counts, keys, [order], {"_upto": "_ties"}, position="_pos").select(
-        *keys, value, rank.alias(name)
+    if small is None:
+        small = fits_window(present, keys)
+    by = F.col(value).desc() if descending else F.col(value).asc()
+
+    def marks(*group: str) -> dict[str, Column]:
+        within = Window.partitionBy(*group)
+        peers = within.orderBy(by)
+        upto = peers.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        own = {"position": F.row_number().over(within.orderBy(by, *tiebreak)).cast("long")} if tiebreak else {}
+        return own | {
+            "tie_first": F.rank().over(peers).cast("long"),
+            "tie_last": F.count(F.lit(1)).over(upto),
+            "group_rows": F.count(F.lit(1)).over(within),
+        }
+
+    if small:
+        return present.withColumns(marks(*keys))
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # without a tiebreak equal values are spread by the rest of their row
+    spread = list(tiebreak) or [F.xxhash64(*df.columns)]
+    placed = cut(
+        present.repartitionByRange(parts, *[F.col(k) for k in keys], by, *spread).withColumn(SLICE, F.spark_partition_id())
+    )
+    inside = cut(placed.withColumns(marks(*keys, SLICE)))
+    slices = inside.groupBy(*keys, SLICE).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.min_by(value, "tie_first").alias("_head"), F.max(F.when(F.col("tie_first") == 1, F.col("tie_last"))).alias("_head_rows"),
+        F.max_by(value, "tie_first").alias("_tail"), F.max("tie_first").alias("_tail_at"),
     )
-    return present.join(placed, [*keys, value])
+    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    ends = slices.select(
+        *keys, "_before", F.inline(F.array(
+            F.struct(F.col("_head").alias("_value"), F.lit(1).cast("long").alias("_at"), F.col("_head_rows").alias("_n")),
+            # a slice of one value has no tail of its own
+            F.struct(F.when(F.col("_tail_at") > 1, F.col("_tail")).alias("_value"), F.col("_tail_at").alias("_at"),
+                     (F.col("_rows") - F.col("_tail_at") + 1).alias("_n")))))
+    ties = ends.filter("_value IS NOT NULL").groupBy(*keys, "_value").agg(
+        F.min(F.col("_before") + F.col("_at")).alias("_first"), F.sum("_n").alias("_ties"))
+    totals = slices.groupBy(*keys).agg(F.sum("_rows").alias("_all"))
+
+    def tie_of(end: str) -> DataFrame:
+        return ties.select(*keys, F.col("_value").alias(end), F.col("_first").alias(f"{end}_first"), (F.col("_first") + F.col("_ties") - 1).alias(f"{end}_last"))
+
+    edges = slices.select(*keys, SLICE, "_before", "_head", "_tail")
+    for side, on in ((tie_of("_head"), "_head"), (tie_of("_tail"), "_tail"), (totals, None)):
+        condition = _match("l", "r", [*keys, *([on] if on else [])])
+        edges = edges.alias("l").join(side.alias("r"), condition).select(
+            "l.*", *[F.col(f"r.{c}") for c in side.columns if c not in (*keys, on)])
+    joined = inside.alias("l").join(edges.alias("r"), _match("l", "r", [*keys, SLICE]))
+
+    def carried(name: str) -> Column:
+        at = F.col(f"l.{value}")
+        end = "first" if name == "tie_first" else "last"
+        return F.when(at == F.col("r._head"), F.col(f"r._head_{end}")).when(
+            at == F.col("r._tail"), F.col(f"r._tail_{end}")).otherwise(F.col(f"l.{name}") + F.col("r._before"))
+
+    own = [(F.col("l.position") + F.col("r._before")).alias("position")] if tiebreak else []
+    return joined.select(
+        *[F.col(f"l.{c}") for c in df.columns], *own, carried("tie_first").alias("tie_first"),
+        carried("tie_last").alias("tie_last"), F.col("r._all").alias("group_rows"))
+
+
+def tie_ranks(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    name: str = "rank",
+    descending: bool = False,
+    method: str = "average",
+    small: bool | None = None,
+) -> DataFrame:
+    """Rank of ``value`` in its group (null values are left out); equal values
+    share their average rank, or with ``method="min"`` their first."""
+    placed = tied_positions(df, keys, value, descending=descending, small=small)
+    rank = (F.col("tie_first") + F.col("tie_last")) / F.lit(2.0) if method == "average" else F.col("tie_first")
+    return placed.withColumn(name, rank).drop("tie_first", "tie_last", "group_rows")
 
 
 def quantiles(

@@ -18,8 +18,9 @@ from tallyloom.functions.labels import guarded_ratio, log2_fold_change
 from tallyloom.functions.moments import correlation
 from tallyloom.operators.joins import small_side
 from tallyloom.operators.ordering import quantiles, running, top_rows
+from tallyloom.session import cut
 
-#: Largest number of columns a correlation table is laid out for.
+#: Up to so many named features are laid out as columns of one aggregation; more go block by block.
 CORRELATION_COLUMNS = 200
 
 
@@ -299,27 +300,27 @@ def trend(points: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
     )
 
 
-def mann_kendall(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Monotone-trend statistic S with its normal p.
+def mann_kendall(points: DataFrame, keys: Sequence[str], ties: bool = False, slice_rows: int | None = None) -> DataFrame:
+    """Monotone-trend statistic S with its normal p; ``(*keys, n, s, z, p_value)``.
 
-    The time means of a key (as many as there are times) sit in one array, and
-    the signs are summed inside it; no pair rows are made.
+    The signs of all pairs are summed by counting inversions, so a series may
+    have any length.  ``ties`` takes equal means out of the variance; without
+    it the variance is that of a series without ties; ``slice_rows`` is the
+    length from which a series is cut into slices.
     """
-    series = points.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "mean"))), lambda e: e["mean"]).alias("_v")
-    )
-    signs = F.transform(
-        "_v",
-        lambda x, i: F.aggregate(
-            F.slice("_v", i + 2, F.size("_v")), F.lit(0.0), lambda s, y: s + F.signum(y - x)
-        ),
-    )
-    n = F.size("_v")
-    out = series.select(*keys, n.alias("n"), F.aggregate(signs, F.lit(0.0), lambda s, x: s + x).alias("s"))
-    n, s = F.col("n"), F.col("s")
-    spread = F.sqrt(n * (n - 1) * (2 * n + 5) / 18)
-    z = F.when(n < 3, 0.0).when(s > 0, (s - 1) / spread).when(s < 0, (s + 1) / spread).otherwise(0.0)
-    return out.withColumn("z", z).withColumn("p_value", normal_two_sided(F.col("z")))
+    from tallyloom.operators.trend import sign_sums
+
+    present = points.filter(F.col("mean").isNotNull()).select(*keys, F.col("i").cast("long").alias("t"), F.col("mean").cast("double").alias("v"),
+                                                             F.lit(1).cast("long").alias("w"))
+    rows = cut(present)
+    same = rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).cast("double").alias("_c"))
+    counts = same.groupBy(*keys).agg(F.sum("_c").cast("long").alias("n"), F.sum(F.col("_c") * (F.col("_c") - 1) * (2 * F.col("_c") + 5)).alias("_t"))
+    n, s = F.col("n").cast("double"), F.col("s")
+    all_pairs = n * (n - 1) * (2 * n + 5)
+    spread = F.sqrt((all_pairs - F.col("_t") if ties else all_pairs) / 18)
+    z = F.when((F.col("n") < 3) | (spread <= 0), 0.0).when(s > 0, (s - 1) / spread).when(s < 0, (s + 1) / spread).otherwise(0.0)
+    out = counts.join(sign_sums(rows, keys, slice_rows), list(keys)).withColumn("s", s.cast("double")).withColumn("z", z).drop("_t")
+    return out.withColumn("p_value", normal_two_sided(F.col("z")))
 
 
 def phase_shifts(points: DataFrame, system: str, time: str, early_until: float = 3.0) -> DataFrame:
@@ -388,14 +389,21 @@ def linear_fit(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFram
 
 
 def pair_correlations(rows: DataFrame, by: Sequence[str], sample: str, feature: str, value: str,
-                      features: Sequence[str]) -> DataFrame:
-    """Correlation over samples of every pair of a short list of features.
+                      features: Sequence[str] | None = None) -> DataFrame:
+    """Correlation over samples of every pair of features.
 
-    Features become columns and one aggregation computes all pairs, with
-    partial sums per task; no pair of rows is ever joined.
+    A short list of ``features`` becomes columns and one aggregation computes
+    all pairs, with partial sums per task.  All features (``None``), or a list
+    too long for columns, go block by block; both ways give the same rows.
     """
-    if len(features) > CORRELATION_COLUMNS:
-        raise ValueError(f"{len(features)} features; a correlation table takes {CORRELATION_COLUMNS}")
+    if features is None or len(features) > CORRELATION_COLUMNS:
+        from tallyloom.operators.correlation import all_pair_correlations
+
+        kept = rows
+        if features is not None:
+            listed = rows.sparkSession.createDataFrame([(f,) for f in sorted(set(features))], [feature])
+            kept = rows.join(small_side(listed), feature, "left_semi")
+        return all_pair_correlations(kept, by, sample, feature, value)
     names = sorted(features)
     wide = rows.groupBy(*by, sample).pivot(feature, names).agg(F.avg(value))
     pairs = list(combinations(range(len(names)), 2))

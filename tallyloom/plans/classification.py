@@ -131,17 +131,13 @@ def c6_two_sided_scores(spark, sf):
     return classified(spark, sf).filter("kind = 'complex'").select("id", "destructive_score", "constructive_score")
 
 
-@query("c8_decision_steps", f"""WITH {CLASSIFIED} SELECT CASE WHEN kind = 'general' THEN 'excluded_general_term' WHEN len(systems) = 0 THEN 'default_to_system_0'
+@query("c8_decision_steps", f"""WITH {CLASSIFIED} SELECT CASE WHEN kind = 'general' THEN 'excluded_general_term' WHEN kind = 'complex' THEN 'complex_pathway_analysis'
   WHEN about = 'threat' AND std <> 'B' THEN 'inflammation_threat_clearance_rule' WHEN about = 'tolerance' THEN 'inflammation_tolerance_rule'
   WHEN about = 'resolution' THEN 'inflammation_resolution_rule' WHEN about = 'repair' AND std <> 'A' THEN 'inflammation_repair_rule'
-  WHEN len(systems) = 1 THEN 'single_match_' || std ELSE 'priority_rule_' || std END AS last_step, count(*) AS n
-FROM cls WHERE kind <> 'complex' AND NOT (len(systems) = 0 AND about IS NOT NULL) GROUP BY 1""")
+  WHEN len(systems) = 0 THEN 'default_to_system_0' WHEN len(systems) = 1 THEN 'single_match_' || std ELSE 'priority_rule_' || std END AS last_step, count(*) AS n
+FROM cls GROUP BY 1""")
 def c8_decision_steps(spark, sf):
-    rows = classified(spark, sf).filter("kind <> 'complex'").filter(
-        ~((F.element_at("path", 1) == "no_pattern_match") & (F.size("path") > 2)
-          | (F.element_at("path", 1) == "no_pattern_match") & (F.col("kind") == "inflammation")
-          & F.col("system").isin("A", "B")))
-    return rows.groupBy(F.element_at("path", -1).alias("last_step")).agg(F.count(F.lit(1)).alias("n"))
+    return classified(spark, sf).groupBy(F.element_at("path", -1).alias("last_step")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("c8_system_counts", f"WITH {CLASSIFIED} SELECT unnest(string_split(all_systems, ',')) AS system, count(*) AS n FROM cls WHERE all_systems <> '' GROUP BY 1")

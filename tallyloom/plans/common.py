@@ -48,9 +48,9 @@ def hierarchy(spark: SparkSession, sf: str) -> DataFrame:
     return sets(spark, sf).select("set_id").distinct().withColumn("system", system_of())
 
 
-def scores(spark: SparkSession, sf: str) -> DataFrame:
+def scores(spark: SparkSession, sf: str, values: DataFrame | None = None) -> DataFrame:
     """(sample, set_id, es), computed once and cut, as every statistic reads it."""
-    es = running_extreme_scores(measurements(spark, sf), sets(spark, sf))
+    es = running_extreme_scores(values or measurements(spark, sf), sets(spark, sf))
     return cut(es)
 
 

@@ -126,8 +126,9 @@ SELECT set_id, round(avg(es), 6) AS mean_es, round(stddev_pop(es), 6) AS std_es,
   round(quantile_cont(es, 0.5), 6) AS median_es, max(members) AS members, max(matched) AS matched
 FROM scores JOIN cov USING (set_id) GROUP BY 1""")
 def g1_set_summary(spark, sf):
-    es = scores(spark, sf)
-    cover = jn.set_coverage(sets(spark, sf), measurements(spark, sf))
+    values = measurements(spark, sf)
+    es = scores(spark, sf, values)
+    cover = jn.set_coverage(sets(spark, sf), values)
     out = agg.set_summary(es, cover)
     return out.select("set_id", r6("mean", "mean_es"), r6("std", "std_es"),
                       r6("median", "median_es"), "members", "matched")
@@ -138,8 +139,9 @@ SELECT set_id, round(avg(es), 6) AS mean_es, round(min(es), 6) AS min_es, round(
   round(100.0 * max(matched) / max(members), 6) AS overlap_pct
 FROM scores JOIN cov USING (set_id) GROUP BY 1""")
 def g2_set_summary_with_range(spark, sf):
-    es = scores(spark, sf)
-    cover = jn.set_coverage(sets(spark, sf), measurements(spark, sf))
+    values = measurements(spark, sf)
+    es = scores(spark, sf, values)
+    cover = jn.set_coverage(sets(spark, sf), values)
     out = agg.set_summary(es, cover)
     return out.select("set_id", r6("mean", "mean_es"), r6("min", "min_es"), r6("max", "max_es"),
                       r6(F.col("coverage") * 100, "overlap_pct"))
@@ -167,13 +169,13 @@ def j4_set_coverage(spark, sf):
     return jn.set_coverage(sets(spark, sf), measured).withColumn("coverage", F.round("coverage", 6))
 
 
-@query("j4_classified_features", """WITH m AS (SELECT DISTINCT l_partkey AS f FROM lineitem),
-c AS (SELECT p_partkey AS f FROM part WHERE p_type = 'SMALL')
+@query("j4_classified_features", """WITH c AS (SELECT DISTINCT l_partkey AS f FROM lineitem WHERE l_returnflag <> 'R')
 SELECT count(*) AS measured, count(c.f) AS classified, count(*) - count(c.f) AS unclassified,
-  round(count(c.f) * 1.0 / count(*), 6) AS coverage FROM m LEFT JOIN c USING (f)""")
+  round(count(c.f) * 1.0 / count(*), 6) AS coverage FROM part LEFT JOIN c ON p_partkey = f""")
 def j4_classified_features(spark, sf):
-    measured = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("feature"))
-    members = sets(spark, sf).filter("set_id = 'Type#SMALL'")
+    """All parts, against the sets of those that were sold and kept, by supplier."""
+    measured = table(spark, sf, "part").select(F.col("p_partkey").alias("feature"))
+    members = table(spark, sf, "lineitem").filter("l_returnflag <> 'R'").select(F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("feature"))
     return jn.covered_features(members, measured).withColumn("coverage", F.round("coverage", 6))
 
 

@@ -232,10 +232,14 @@ def s21_export_check(spark, sf):
     return sinks.check_export(table(spark, sf, "documents"), ["doc_id", "text", "quality"], "text")
 
 
-@query("s22_wide_scores", f"""WITH {VALUES} SELECT sample, round(coalesce(max(CASE WHEN feature = '1-URGENT/F' THEN value END), 0), 6) AS urgent, round(coalesce(max(CASE WHEN feature = '5-LOW/O' THEN value END), 0), 6) AS low FROM vals GROUP BY 1""")
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+FEATURES = [f"{priority}/{status}" for priority in PRIORITIES for status in "FOP"]
+
+
+@query("s22_wide_scores", f"""WITH {VALUES} SELECT sample, {", ".join(f"round(coalesce(max(CASE WHEN feature = '{f}' THEN value END), 0), 6) AS " + f'"{f}"' for f in FEATURES)} FROM vals GROUP BY 1""")
 def s22_wide_scores(spark, sf):
-    out = sinks.wide_scores(values(spark, sf), "sample", "feature", "value", ["1-URGENT/F", "5-LOW/O"])
-    return out.select("sample", r6("1-URGENT/F", "urgent"), r6("5-LOW/O", "low"))
+    out = sinks.wide_scores(values(spark, sf), "sample", "feature", "value", FEATURES)
+    return out.select("sample", *[r6(f"`{f}`", f) for f in FEATURES])
 
 
 @query("s23_time_table", """SELECT year(o_orderdate) AS y, round(avg(CASE WHEN o_orderstatus = 'F' THEN ln(o_totalprice) END), 6) AS "F", round(avg(CASE WHEN o_orderstatus = 'O' THEN ln(o_totalprice) END), 6) AS "O" FROM orders GROUP BY 1""")

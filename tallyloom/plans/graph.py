@@ -51,7 +51,27 @@ def d1_edges(spark, sf):
 
 @query("d2_cycles", f"WITH {CLOSURE} SELECT count(*) AS cycle_nodes FROM clo WHERE node = ancestor")
 def d2_cycles(spark, sf):
-    return gr.cycle_nodes(closure_pairs(spark, sf)).agg(F.count(F.lit(1)).alias("cycle_nodes"))
+    return gr.cycles(edges(spark, sf)).agg(F.count(F.lit(1)).alias("cycle_nodes"))
+
+
+# lines link a supplier to the one seven further on by part, so suppliers form rings; every third ring is cut open
+RINGS = """e AS (SELECT DISTINCT l_suppkey AS child, CASE WHEN l_suppkey % 5 < 4 THEN l_suppkey + 1 WHEN l_suppkey % 15 < 10 THEN l_suppkey - 4 ELSE l_suppkey + 1 END AS parent FROM lineitem)"""
+
+
+@query("d2_cycle_members", f"""WITH RECURSIVE {RINGS}, w AS (SELECT child AS node, parent AS ancestor FROM e UNION SELECT w.node, e.parent FROM w JOIN e ON w.ancestor = e.child)
+SELECT x.node, min(x.ancestor) AS cycle FROM w x JOIN w y ON y.node = x.ancestor AND y.ancestor = x.node GROUP BY 1""")
+def d2_cycle_members(spark, sf):
+    key = F.col("l_suppkey")
+    up = F.when(key % 5 < 4, key + 1).when(key % 15 < 10, key - 4).otherwise(key + 1)
+    return gr.cycles(table(spark, sf, "lineitem").select(key.alias("child"), up.alias("parent")))
+
+
+@query("g14_graph_statistics", f"""WITH {EDGES} SELECT (SELECT count(*) FROM part) AS nodes, count(*) AS edges, count(*) FILTER (relation = 'is_a') AS is_a, count(*) FILTER (relation = 'part_of') AS part_of,
+  (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT child FROM e)) AS roots, (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT parent FROM e)) AS leaves, true AS acyclic FROM e""")
+def g14_graph_statistics(spark, sf):
+    """Nodes, edges by relation, roots, leaves, and whether there is no cycle."""
+    e = cut(edges(spark, sf))
+    return gr.graph_statistics(table(spark, sf, "part").select(F.col("p_partkey").alias("node")), e, ["is_a", "part_of"])
 
 
 @query("d3_ancestors", f"WITH {CLOSURE} SELECT node, ancestor, distance FROM clo")
@@ -162,7 +182,12 @@ def groups(spark, sf, column="p_type", pairs=None):
     """Vectors, and the measures within and between groups."""
     members = table(spark, sf, "part").select(F.col(column).alias("group"), F.col("p_partkey").alias("node"))
     vectors, totals = gr.group_vectors(members, pairs or closure_pairs(spark, sf))
-    return vectors, gr.within_groups(vectors, totals), gr.between_groups(vectors, totals)
+    return vectors, gr.within_groups(vectors, totals), totals
+
+
+def between(spark, sf):
+    vectors, _, totals = groups(spark, sf)
+    return gr.between_groups(vectors, totals)
 
 
 @query("d12_within_groups", f"""WITH {GROUPS} SELECT g AS "group", k AS members, pairs, round(mean_shared, 6) AS mean_shared, round(shared_ratio, 6) AS shared_ratio,
@@ -174,7 +199,7 @@ def d12_within_groups(spark, sf):
 @query("d13_between_groups", f"""WITH {GROUPS} SELECT g AS "group", o AS other, pairs, round(mean_shared, 6) AS mean_shared, round(shared_ratio, 6) AS shared_ratio,
   round(similarity, 6) AS similarity, round(distance, 5) AS distance FROM bet""")
 def d13_between_groups(spark, sf):
-    return groups(spark, sf)[2].select("group", "other", "pairs", *[r6(c, c) for c in ("mean_shared", "shared_ratio", "similarity")],
+    return between(spark, sf).select("group", "other", "pairs", *[r6(c, c) for c in ("mean_shared", "shared_ratio", "similarity")],
                                        F.round("distance", 5).alias("distance"))
 
 
@@ -188,8 +213,8 @@ COHERENCE_COLUMNS = ["intra", "inter", "ratio", "separation", "calinski_harabasz
 
 @query("d14_coherence", f"""WITH {GROUPS} SELECT {", ".join(f"round({c}, 5) AS {c}" for c in COHERENCE_COLUMNS)}, groups, valid FROM ({COHERENCE.format(t="")})""")
 def d14_coherence(spark, sf):
-    vectors, within, between = groups(spark, sf)
-    out = gr.coherence(within, between, vectors)
+    vectors, within, totals = groups(spark, sf)
+    out = gr.coherence(within, vectors, totals)
     return out.select(*[F.round(c, 5).alias(c) for c in COHERENCE_COLUMNS], "groups", "valid")
 
 
@@ -199,11 +224,53 @@ y AS (SELECT g, max(own) AS intra, max(similarity) AS nearest, max(worst) AS dav
 SELECT g AS "group", round(intra, 6) AS intra, round(nearest, 6) AS nearest, round(davies_bouldin, 3) AS davies_bouldin,
   round((intra - nearest) / greatest(1 - intra, 1 - nearest), 6) AS silhouette FROM y""")
 def d15_group_separation(spark, sf):
-    _, within, between = groups(spark, sf)
-    out = gr.group_separation(within, between)
+    vectors, within, totals = groups(spark, sf)
+    out = gr.group_separation(within, gr.between_groups(vectors, totals))
     return out.select("group", *[r6(c, c) for c in ("intra", "nearest", "silhouette")], F.round("davies_bouldin", 3).alias("davies_bouldin"))
 
 
+# parts by oddness: the parent keeps it, so there are two hierarchies that share no ancestor
+FOREST = """RECURSIVE e AS (SELECT p_partkey AS child, (p_partkey // 4) * 2 + p_partkey % 2 AS parent FROM part WHERE p_partkey > 3),
+clo AS (SELECT child AS node, parent AS ancestor FROM e UNION SELECT w.node, e.parent FROM clo w JOIN e ON w.ancestor = e.child),
+mem AS (SELECT p_type || p_partkey % 2 AS g, p_partkey AS node FROM part), sz AS (SELECT node, count(*) AS n FROM clo GROUP BY 1),
+vec AS (SELECT g, ancestor, count(*) AS c, sum(1 / sqrt(n)) AS s FROM mem JOIN clo USING (node) JOIN sz USING (node) GROUP BY 1, 2),
+tot AS (SELECT g, count(*) AS k, coalesce(sum(n), 0) AS total, count(n) AS placed FROM mem LEFT JOIN sz USING (node) GROUP BY 1),
+dots AS (SELECT a.g, b.g AS o, coalesce(sum(x.s * y.s), 0) AS dot, coalesce(sum(x.c * y.c), 0) AS shared, max(a.k) AS ka, max(b.k) AS kb
+  FROM tot a JOIN tot b ON a.g < b.g LEFT JOIN vec x ON x.g = a.g LEFT JOIN vec y ON y.g = b.g AND y.ancestor = x.ancestor GROUP BY 1, 2),
+bet AS (SELECT *, dot / (ka * kb) AS similarity FROM dots)"""
+
+
+def forest(spark, sf):
+    key = F.col("p_partkey")
+    part = table(spark, sf, "part")
+    e = part.filter(key > 3).select(key.alias("child"), (F.expr("p_partkey div 4") * 2 + key % 2).alias("parent"))
+    members = part.select(F.concat("p_type", (key % 2).cast("string")).alias("group"), key.alias("node"))
+    return members, gr.closure(e)
+
+
+@query("d13_groups_of_two_hierarchies", f"""WITH {FOREST} SELECT g AS "group", o AS other, ka * kb AS pairs, round(shared / (ka * kb), 6) AS mean_shared, round(similarity, 6) AS similarity FROM bet""")
+def d13_groups_of_two_hierarchies(spark, sf):
+    """Groups of different hierarchies have no common ancestor and still a row."""
+    vectors, totals = gr.group_vectors(*forest(spark, sf))
+    return gr.between_groups(vectors, totals).select("group", "other", "pairs", r6("mean_shared", "mean_shared"), r6("similarity", "similarity"))
+
+
+@query("d14_coherence_of_two_hierarchies", f"""WITH {FOREST}, nm AS (SELECT g, sum(s * s) AS norm FROM vec GROUP BY 1),
+win AS (SELECT g, (norm - placed) / (k * (k - 1)) AS similarity FROM tot JOIN nm USING (g) WHERE k > 1)
+SELECT round(intra, 6) AS intra, round(inter, 6) AS inter, round(intra / inter, 5) AS ratio, intra / inter >= 1.5 AS valid, groups FROM
+ (SELECT avg(similarity) AS intra, count(*) AS groups FROM win), (SELECT avg(similarity) AS inter FROM bet WHERE ka > 1 AND kb > 1)""")
+def d14_coherence_of_two_hierarchies(spark, sf):
+    vectors, totals = gr.group_vectors(*forest(spark, sf))
+    out = gr.coherence(gr.within_groups(vectors, totals), vectors, totals)
+    return out.select(r6("intra", "intra"), r6("inter", "inter"), F.round("ratio", 5).alias("ratio"), "valid", "groups")
+
+
+@query("d18_permutation_test")
+def d18_permutation_test(spark, sf):
+    """Whether the two hierarchies' groups are more alike than labels dealt at random."""
+    return gr.significant(gr.permutation_test(*forest(spark, sf))).withColumn("intra", F.round("intra", 6))
+
+
 LABELINGS = {"brand": "p_brand", "type": "p_type"}
 
 
@@ -213,8 +280,8 @@ SELECT labeling, round(intra, 5) AS intra, round(inter, 5) AS inter, round(ratio
 def d16_labelings_compared(spark, sf):
     pairs, out = closure_pairs(spark, sf), None
     for name, column in LABELINGS.items():
-        vectors, within, between = groups(spark, sf, column, pairs)
-        one = gr.coherence(within, between, vectors).select(
+        vectors, within, totals = groups(spark, sf, column, pairs)
+        one = gr.coherence(within, vectors, totals).select(
             F.lit(name).alias("labeling"), *[F.round(c, 5).alias(c) for c in ("intra", "inter", "ratio")], "valid")
         out = one if out is None else out.unionByName(one)
     # as many rows as labelings
@@ -230,4 +297,4 @@ def d18_best_and_worst_group(spark, sf):
 @query("d18_most_and_least_similar_groups", f"""WITH {GROUPS}, m AS (SELECT g || '|' || o AS p, round(similarity, 9) AS m FROM bet)
 SELECT arg_max(p, struct_pack(a := m, b := p)) AS best, arg_min(p, struct_pack(a := m, b := p)) AS worst FROM m""")
 def d18_most_and_least_similar_groups(spark, sf):
-    return gr.extremes(groups(spark, sf)[2].withColumn("mean", F.round("similarity", 9)), F.concat_ws("|", "group", "other"))
+    return gr.extremes(between(spark, sf).withColumn("mean", F.round("similarity", 9)), F.concat_ws("|", "group", "other"))

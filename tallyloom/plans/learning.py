@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyloom.operators import components as pca
 from tallyloom.operators import learning as ml
 from tallyloom.operators.ordering import top_rows
-from tallyloom.plans.common import r6
+from tallyloom.plans.common import r6, sets
 from tallyloom.plans.registry import query
 from tallyloom.session import table
 
@@ -34,20 +35,86 @@ def m1_standardised(spark, sf):
     return ml.standardised(long(spark, sf), ["dim"], "x").select("vec_id", "dim", (F.round("z", 5) + 0).alias("z"))
 
 
+def fitted(spark, sf, k=None):
+    return pca.fit(long(spark, sf), "vec_id", "dim", "x", k)
+
+
 @query("m2_explained_variance")
 def m2_explained_variance(spark, sf):
-    return ml.explained_variance(spark, ml.fit_pca(rows(spark, sf), 10))
+    return fitted(spark, sf, 10).variance
+
+
+# what SQL can tell of the spectrum: the variances add up to the number of varying columns, their squares to those of all correlations
+SPECTRUM = """SELECT count(*) AS columns, round(CAST(count(*) AS DOUBLE), 6) AS total,
+  round((SELECT sum(r * r) FROM (SELECT corr(a.x, b.x) AS r FROM cells a JOIN cells b ON a.row = b.row GROUP BY a.col, b.col)), 4) AS squares
+FROM (SELECT col FROM cells GROUP BY 1 HAVING stddev_pop(x) > 0)"""
+
+
+def spectrum(model):
+    columns = model.scaling.agg(F.count(F.lit(1)).alias("columns"))
+    sums = model.variance.agg((F.round(F.sum("variance"), 6) + 0).alias("total"), F.round(F.sum(F.pow("variance", F.lit(2))), 4).alias("squares"))
+    return columns.join(F.broadcast(sums), F.lit(True))  # one row each
+
+
+@query("m2_spectrum", f"WITH {LONG}, cells AS (SELECT vec_id AS row, dim AS col, x FROM lg) {SPECTRUM}")
+def m2_spectrum(spark, sf):
+    return spectrum(fitted(spark, sf))
+
+
+#: suppliers by parts: far more columns than rows, most cells missing (they count as the column's mean)
+WIDE = """m AS (SELECT l_suppkey AS row, l_partkey AS col, ln(avg(l_extendedprice)) AS v FROM lineitem GROUP BY 1, 2),
+cells AS (SELECT r.row, c.col, coalesce(m.v, c.mean) AS x FROM (SELECT DISTINCT row FROM m) r CROSS JOIN (SELECT col, avg(v) AS mean FROM m GROUP BY 1 HAVING stddev_pop(v) > 0) c
+  LEFT JOIN m ON m.row = r.row AND m.col = c.col),
+k AS (SELECT col, avg(x) AS mean, stddev_pop(x) AS sd FROM cells GROUP BY 1),
+z AS (SELECT row, col, (x - mean) / sd AS z FROM cells JOIN k USING (col)),
+g AS (SELECT a.row AS a, b.row AS b, sum(a.z * b.z) AS g FROM z a JOIN z b ON a.col = b.col GROUP BY 1, 2)"""
+
+
+def wide(spark, sf):
+    return table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("sample"), F.col("l_partkey").alias("feature")).agg(
+        F.ln(F.avg("l_extendedprice")).alias("x"))
+
+
+@query("m2_wide_spectrum", f"""WITH {WIDE} SELECT (SELECT count(*) FROM k) AS columns, round(CAST((SELECT count(*) FROM k) AS DOUBLE), 6) AS total,
+  round((SELECT sum(g * g) FROM g) / power((SELECT count(DISTINCT row) FROM cells), 2), 4) AS squares""")
+def m2_wide_spectrum(spark, sf):
+    """The components of a wide table, from the products of its shorter side."""
+    return spectrum(pca.fit(wide(spark, sf), "sample", "feature", "x"))
+
+
+@query("m2_scores", f"""WITH {LONG} SELECT component, 0.0 AS mean, rows FROM (SELECT unnest(range(1, 6))::INT AS component), (SELECT count(*) AS rows FROM embeddings)""")
+def m2_scores(spark, sf):
+    """Rows projected on five components: every row has a score, and scores lie round zero."""
+    scores = fitted(spark, sf, 5).transform(long(spark, sf))
+    return scores.groupBy("component").agg((F.abs(F.round(F.avg("score"), 6)) + 0).alias("mean"), F.count(F.lit(1)).alias("rows"))
 
 
 @query("m3_components_needed")
 def m3_components_needed(spark, sf):
-    variance = ml.explained_variance(spark, ml.fit_pca(rows(spark, sf), 64))
-    return ml.components_needed(variance, [0.5, 0.8, 0.9, 0.95])
+    return pca.components_needed(fitted(spark, sf).variance, [0.5, 0.8, 0.9, 0.95])
 
 
 @query("m4_top_loadings")
 def m4_top_loadings(spark, sf):
-    return ml.top_loadings(spark, ml.fit_pca(rows(spark, sf), 5), 10)
+    return pca.top_loadings(fitted(spark, sf, 5), 10)
+
+
+@query("m4_membership_profile", """WITH lead AS (SELECT least(100, count(*)) AS n FROM (SELECT l_partkey FROM (SELECT l_suppkey, l_partkey, ln(avg(l_extendedprice)) AS v FROM lineitem GROUP BY 1, 2) GROUP BY 1 HAVING stddev_pop(v) > 0))
+SELECT kind, n AS chosen, 1.0 AS share FROM lead, (SELECT unnest(['Brand', 'Type']) AS kind)""")
+def m4_membership_profile(spark, sf):
+    """The hundred leading parts of the first component: every one of them is in one brand and one type."""
+    top = pca.top_loadings(pca.fit(wide(spark, sf), "sample", "feature", "x", 2), 100)
+    profile = pca.membership_profile(top, sets(spark, sf), "feature")
+    return profile.groupBy(F.split_part("set_id", F.lit("#"), F.lit(1)).alias("kind")).agg(
+        F.sum("chosen").alias("chosen"), (F.round(F.sum("share"), 6) + 0).alias("share"))
+
+
+@query("m12_feature_classes")
+def m12_feature_classes(spark, sf):
+    """Sets by how much more often they hold a leading part than by chance."""
+    top = pca.top_loadings(pca.fit(wide(spark, sf), "sample", "feature", "x", 2), 100)
+    return pca.membership_profile(top, sets(spark, sf), "feature").select(
+        "set_id", "members", "chosen", r6("expected", "expected"), r6("enrichment", "enrichment"))
 
 
 @query("m5_stratified_folds", """SELECT vec_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(vec_id || '|42'), vec_id) - 1) % 5 AS INT) AS fold FROM embeddings""")
@@ -68,6 +135,21 @@ def m6_representations_compared(spark, sf):
     return ml.compare_representations(full, small)
 
 
+@query("m7_forest_scores")
+def m7_forest_scores(spark, sf):
+    """Accuracy, F1 and AUC of a forest of 100 trees on folds it has not seen."""
+    return ml.score_summary(ml.fold_scores(ml.cross_validated(folded(spark, sf), "two", 5, classifier="forest"), True))
+
+
+@query("m5_predicted_rows", """WITH d AS (SELECT vec_id, label >= 5 AS two FROM embeddings),
+f AS (SELECT *, (row_number() OVER (PARTITION BY two ORDER BY md5(vec_id || '|42'), vec_id) - 1) % 5 AS fold FROM d)
+SELECT CAST(fold AS INT) AS fold, count(*) AS rows, count(*) FILTER (two) AS positive FROM f GROUP BY 1""")
+def m5_predicted_rows(spark, sf):
+    """Every row is predicted once, in the fold it was dealt to."""
+    return ml.cross_validated(folded(spark, sf), "two", 5, components=5).groupBy("fold").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("label") == 1).alias("positive"))
+
+
 @query("m7_forest_importances")
 def m7_forest_importances(spark, sf):
     return ml.forest_importances(rows(spark, sf), "two")
@@ -92,6 +174,28 @@ def m10_dominant_dimensions(spark, sf):
     return top_rows(out.select("label", "dim", "mean"), ["label"], [F.col("mean").desc(), F.col("dim")], 3).drop("mean")
 
 
+@query("m10_fitted_balance", f"WITH {LONG} SELECT dim, round(avg(x), 5) + 0 AS overall, count(*) AS members FROM lg GROUP BY 1")
+def m10_fitted_balance(spark, sf):
+    """Clusters share out all rows: their means, weighted by size, give the mean of all."""
+    member = ml.assigned(rows(spark, sf), 4, ["vec_id"])
+    profiles = ml.cluster_profiles(long(spark, sf).join(member, "vec_id"), "cluster", "dim", "x")
+    return profiles.groupBy("dim").agg((F.round(F.sum(F.col("mean") * F.col("n")) / F.sum("n"), 5) + 0).alias("overall"), F.sum("n").alias("members"))
+
+
+@query("m10_fitted_profiles")
+def m10_fitted_profiles(spark, sf):
+    member = ml.assigned(rows(spark, sf), 4, ["vec_id"])
+    return ml.cluster_summary(long(spark, sf).join(member, "vec_id"), "cluster", "dim", "x", "vec_id")
+
+
+@query("m12_cluster_membership", "SELECT label, count(*) AS members FROM embeddings GROUP BY 1")
+def m12_cluster_membership(spark, sf):
+    """Labels of the members of fitted clusters; every row is in one cluster."""
+    member = ml.assigned(rows(spark, sf), 4, ["vec_id"])
+    held = ml.cluster_membership(member, table(spark, sf, "embeddings"), "vec_id", "label")
+    return held.groupBy("label").agg(F.sum("members").alias("members"))
+
+
 @query("m11_bisecting_clusters")
 def m11_bisecting_clusters(spark, sf):
     return ml.cluster_sweep(rows(spark, sf), range(2, 6), bisecting=True)

@@ -105,12 +105,15 @@ def q7_failure_reasons(spark, sf):
     return rounded(failures(spark, sf), "suggestion_confidence").drop("text")
 
 
-@query("q8_result_validity", f"WITH {CLASSIFIED} SELECT CASE WHEN confidence > 0.85 THEN 'suspicious' END AS type, count(*) AS n FROM cls WHERE confidence > 0.85 GROUP BY 1")
+@query("q8_result_validity", f"""WITH {CLASSIFIED}, found AS (SELECT unnest([CASE WHEN system NOT IN ('A', 'B', 'C', 'D', 'E', '0') THEN 'unknown_system' END,
+  CASE WHEN confidence NOT BETWEEN 0 AND 1 THEN 'out_of_range' END, CASE WHEN system IS NULL THEN 'missing_system' END, CASE WHEN subsystem IS NULL THEN 'missing_subsystem' END,
+  CASE WHEN confidence > 0.85 THEN 'suspicious' END]) AS type FROM cls) SELECT type, count(*) AS n FROM found WHERE type IS NOT NULL GROUP BY 1""")
 def q8_result_validity(spark, sf):
     checks_ = [
         ("unknown_system", "error", "system", ~F.col("system").isin("A", "B", "C", "D", "E", "0")),
         ("out_of_range", "error", "confidence", ~F.col("confidence").between(0, 1)),
-        ("missing", "error", "system", F.col("system").isNull()),
+        ("missing_system", "error", "system", F.col("system").isNull()),
+        ("missing_subsystem", "warning", "subsystem", F.col("subsystem").isNull()),
         ("suspicious", "info", "confidence", F.col("confidence") > 0.85),
     ]
     return ql.issues(classified(spark, sf), "id", checks_).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
@@ -248,10 +251,13 @@ def t39_table_plan(spark, sf):
     return dz.table_plan(designs).select("dataset", F.array_join("tables", ",").alias("tables"))
 
 
-@query("t40_heat_table", f"""WITH {VALUES} SELECT dataset, sample, {", ".join(f"round(avg(CASE WHEN feature = '{p}/F' THEN value END), 6) AS "
-    f'"{p}/F"' for p in PRIORITIES)} FROM vals GROUP BY 1, 2""")
+FEATURES = [f"{priority}/{status}" for priority in PRIORITIES for status in "FOP"]
+
+
+@query("t40_heat_table", f"""WITH {VALUES} SELECT dataset, sample, {", ".join(f"round(avg(CASE WHEN feature = '{f}' THEN value END), 6) AS "
+    f'"{f}"' for f in FEATURES)} FROM vals GROUP BY 1, 2""")
 def t40_heat_table(spark, sf):
-    names = [f"{p}/F" for p in PRIORITIES]
+    names = FEATURES
     wide = values(spark, sf).groupBy("dataset", "sample").pivot("feature", names).agg(F.avg("value"))
     return rounded(wide, *names)
 

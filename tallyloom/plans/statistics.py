@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import labels
 from tallyloom.functions.distributions import t_quantile
+from tallyloom.operators import correlation as co
 from tallyloom.operators import design as dz
 from tallyloom.operators import statistics as st
 from tallyloom.operators import windows as win
 from tallyloom.operators.aggregates import group_profiles
 from tallyloom.operators.joins import baseline_deltas, phase_pairs
 from tallyloom.operators.ordering import running, top_rows
-from tallyloom.plans.common import ROUND, SYS_SCORES, r6, system_scores
+from tallyloom.plans.common import MEAS, ROUND, SYS_SCORES, measurements, r6, system_scores
 from tallyloom.plans.registry import query
 from tallyloom.plans.studies import DESIGN, MODES, VALUES, design, values
 from tallyloom.plans.summaries import MONTHLY, monthly
@@ -269,6 +270,21 @@ def t14_mann_kendall(spark, sf):
     return out.select("feature", F.col("n").cast("long").alias("n"), "s", r6("z", "z"), F.round("p_value", 4).alias("p_value"))
 
 
+DAILY = """pt AS (SELECT l_returnflag AS feature, epoch(l_shipdate) // 86400 AS i, round(avg(l_quantity)) AS mean FROM lineitem GROUP BY 1, 2)"""
+
+
+@query("t14_tied_series", f"""WITH {DAILY}, k AS (SELECT a.feature, sum(sign(b.mean - a.mean)) AS s FROM pt a JOIN pt b ON a.feature = b.feature AND a.i < b.i GROUP BY 1),
+c AS (SELECT feature, mean, CAST(count(*) AS DOUBLE) AS c FROM pt GROUP BY 1, 2), n AS (SELECT feature, sum(c) AS n, sum(c * (c - 1) * (2 * c + 5)) AS t FROM c GROUP BY 1),
+z AS (SELECT feature, n, s, CASE WHEN s > 0 THEN (s - 1) WHEN s < 0 THEN (s + 1) ELSE 0 END / sqrt((n * (n - 1) * (2 * n + 5) - t) / 18) AS z FROM k JOIN n USING (feature))
+SELECT feature, CAST(n AS BIGINT) AS n, CAST(s AS DOUBLE) AS s, round(z, 6) AS z, round({tail_sql('abs(z)')}, 4) AS p_value FROM z""")
+def t14_tied_series(spark, sf):
+    """Daily means in whole units: thousands of times, most values tied; cut into slices of 512."""
+    daily = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("feature"), F.unix_date(F.to_date("l_shipdate")).alias("i")).agg(
+        F.round(F.avg("l_quantity")).alias("mean"))
+    out = st.mann_kendall(daily, ["feature"], ties=True, slice_rows=512)
+    return out.select("feature", "n", "s", r6("z", "z"), F.round("p_value", 4).alias("p_value"))
+
+
 SUB = ROWS + """,
 g AS (SELECT dataset, feature, subtype, count(*) AS n, avg(value) AS mean FROM rows WHERE subtype <> 'unknown' GROUP BY 1, 2, 3 HAVING count(*) >= 2),
 w AS (SELECT *, max(mean) OVER k - min(mean) OVER k AS spread, count(*) OVER k AS groups,
@@ -396,6 +412,55 @@ def t24_pairwise_correlation(spark, sf):
     return out.select("a", "b", r6("r", "r"), labels.correlation_strength(F.col("r")).alias("strength"))
 
 
+@query("t23_extreme_pairs", f"""WITH {SYS_SCORES}, p AS (SELECT x.system AS a, y.system AS b, round(corr(x.score, y.score), 6) AS r FROM sys x JOIN sys y ON x.sample = y.sample AND x.system < y.system GROUP BY 1, 2)
+SELECT 'top' AS side, row_number() OVER (ORDER BY r DESC, a, b) AS place, a, b, r FROM p QUALIFY place <= 3
+UNION ALL SELECT 'bottom', row_number() OVER (ORDER BY r, a, b) AS place, a, b, r FROM p QUALIFY place <= 3""")
+def t23_extreme_pairs(spark, sf):
+    """The three pairs of systems that go together most, and least."""
+    return rounded(co.extreme_pairs(st.pair_correlations(system_scores(spark, sf), [], "sample", "system", "score"), []).drop("n"), "r")
+
+
+#: two-sided p of Student's t for whole degrees of freedom, by its finite series in the angle atan(t / sqrt(df))
+T_SERIES = """CASE WHEN {df} % 2 = 1 THEN 1 - 2 / pi() * ({a} + CASE WHEN {df} = 1 THEN 0 ELSE sin({a}) * {sum} END) ELSE 1 - sin({a}) * {sum} END"""
+
+
+def t_tail_sql(t: str, df: str) -> str:
+    angle = f"atan(abs({t}) / sqrt({df}))"
+    # terms cos, cos^3 2/3, cos^5 2*4/(3*5) .. for odd, 1, cos^2 1/2, cos^4 1*3/(2*4) .. for even degrees
+    product = "list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(1, j + 1), lambda q: CASE WHEN {df} % 2 = 1 THEN 2.0 * q / (2 * q + 1) ELSE (2.0 * q - 1) / (2 * q) END)), lambda u, v: u * v)"
+    terms = ("list_sum(list_transform(range(0, CAST(({df} - CASE WHEN {df} % 2 = 1 THEN 1 ELSE 0 END) // 2 AS BIGINT)), lambda j: " + product
+             + " * power(cos({a}), 2 * j + CASE WHEN {df} % 2 = 1 THEN 1 ELSE 0 END)))")
+    return T_SERIES.replace("{sum}", terms).replace("{a}", angle).replace("{df}", df)
+
+
+@query("t24_tested_pairs", f"""WITH {SYS_SCORES}, p AS (SELECT x.system AS a, y.system AS b, corr(x.score, y.score) AS r, count(*) AS n
+  FROM sys x JOIN sys y ON x.sample = y.sample AND x.system < y.system GROUP BY 1, 2),
+t AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t, n - 2 AS df FROM p)
+SELECT a, b, round(r, 6) AS r, n, round({t_tail_sql('t', 'df')}, 6) + 0 AS p_value,
+  CASE WHEN abs(r) >= 0.7 THEN 'Strong' WHEN abs(r) >= 0.3 THEN 'Moderate' ELSE 'Weak' END AS strength FROM t""")
+def t24_tested_pairs(spark, sf):
+    pairs = st.pair_correlations(system_scores(spark, sf), [], "sample", "system", "score")
+    return co.tested_pairs(pairs).select("a", "b", r6("r", "r"), "n", (F.round("p_value", 6) + 0).alias("p_value"), "strength")
+
+
+PART_PAIRS = f"""WITH {MEAS}, x AS (SELECT *, value - avg(value) OVER (PARTITION BY feature) AS c FROM meas),
+p AS (SELECT x.feature AS a, y.feature AS b, corr(x.c, y.c) AS r, count(*) AS n FROM x JOIN x AS y ON x.sample = y.sample AND x.feature < y.feature
+  GROUP BY 1, 2 HAVING count(*) >= 5)"""
+
+
+@query("j11_part_pairs", PART_PAIRS + """ SELECT a, b, round(r, 6) AS r, n FROM p WHERE abs(r) >= 0.9""")
+def j11_part_pairs(spark, sf):
+    """Pairs of all parts that move together over the suppliers that sell both."""
+    return rounded(co.all_pair_correlations(measurements(spark, sf), [], "sample", "feature", "value", least_n=5, least_r=0.9), "r")
+
+
+@query("t24_part_pairs_by_strength", PART_PAIRS + """ SELECT CASE WHEN abs(round(r, 9)) >= 0.7 THEN 'Strong' WHEN abs(round(r, 9)) >= 0.3 THEN 'Moderate' ELSE 'Weak' END AS strength, count(*) AS pairs, round(avg(r), 6) AS mean_r
+FROM p GROUP BY 1""")
+def t24_part_pairs_by_strength(spark, sf):
+    pairs = co.all_pair_correlations(measurements(spark, sf), [], "sample", "feature", "value", least_n=5)
+    return pairs.groupBy(labels.correlation_strength(F.round("r", 9)).alias("strength")).agg(F.count(F.lit(1)).alias("pairs"), r6(F.avg("r"), "mean_r"))
+
+
 @query("t25_correlation_difference", f"""WITH {SYS_SCORES}, g AS (SELECT sys.*, CASE WHEN s_acctbal > 4500 THEN 'rich' ELSE 'poor' END AS g FROM sys JOIN supplier ON sample = s_suppkey),
 c AS (SELECT x.g, x.system AS a, y.system AS b, corr(x.score, y.score) AS r FROM g x JOIN g y ON x.sample = y.sample AND x.system < y.system GROUP BY 1, 2, 3
   HAVING count(*) >= 3 AND stddev_pop(x.score) > 0 AND stddev_pop(y.score) > 0),

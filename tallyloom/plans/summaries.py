@@ -79,14 +79,15 @@ def g17_contingency(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in ("pct_of_parent", "pct_of_total")})
 
 
-@query("g18_feature_assignment", f"""WITH {SETS}, x AS (SELECT feature, count(DISTINCT {SYSTEM}) AS s FROM sets
-  WHERE set_id IN ('Type#SMALL', 'Brand#1', 'Brand#2', 'Brand#3') GROUP BY 1)
+@query("g18_feature_assignment", """WITH x AS (SELECT o_custkey AS feature, count(DISTINCT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'fast' ELSE 'slow' END) AS s FROM orders GROUP BY 1)
 SELECT CASE WHEN coalesce(s, 0) = 0 THEN 'unassigned' WHEN s = 1 THEN 'single' ELSE 'multi' END AS assignment,
-  count(*) AS n FROM part LEFT JOIN x ON p_partkey = feature GROUP BY 1""")
+  count(*) AS n FROM customer LEFT JOIN x ON c_custkey = feature GROUP BY 1""")
 def g18_feature_assignment(spark, sf):
-    members = sets(spark, sf).filter(F.col("set_id").isin("Type#SMALL", "Brand#1", "Brand#2", "Brand#3"))
-    features = table(spark, sf, "part").select(F.col("p_partkey").alias("feature"))
-    return agg.assignment_counts(features, members, hierarchy(spark, sf))
+    """Customers as features, the priorities of their orders as sets, in two systems."""
+    members = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("set_id"), F.col("o_custkey").alias("feature"))
+    above = members.select("set_id").distinct().withColumn("system", F.when(F.col("set_id").isin("1-URGENT", "2-HIGH"), "fast").otherwise("slow"))
+    features = table(spark, sf, "customer").select(F.col("c_custkey").alias("feature"))
+    return agg.assignment_counts(features, members, above)
 
 
 @query("g19_top_words", f"""WITH w AS (SELECT lang, unnest(regexp_split_to_array(
@@ -297,10 +298,10 @@ def u2_intersection(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("feature")).intersect(returned)
 
 
-@query("u3_difference", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("u3_difference", "SELECT l_partkey AS part, l_suppkey AS supplier FROM lineitem EXCEPT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'")
 def u3_difference(spark, sf):
-    buyers = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"))
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).subtract(buyers)
+    sold = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), "l_returnflag")
+    return sold.select("part", "supplier").subtract(sold.filter("l_returnflag = 'R'").select("part", "supplier"))
 
 
 @query("u4_append_new", """SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'

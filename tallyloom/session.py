@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,6 +75,18 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_all(parts: Iterable[DataFrame]) -> DataFrame:
+    """One written table of tables with the same columns; each is written before the next is asked for."""
+    path, first = None, None
+    for part in parts:
+        path = path or f"{shared_folder(part.sparkSession)}/table-{uuid.uuid4().hex}"
+        part.write.mode("append").option("compression", "zstd").parquet(path)
+        first = first or part
+    if first is None:
+        raise ValueError("no table to write")
+    return first.sparkSession.read.schema(first.schema).parquet(path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-spread rows over the cores when the scan yields fewer partitions.
 

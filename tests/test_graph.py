@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.operators import graph as gr
 
@@ -28,6 +29,75 @@ def test_closure_and_depth(diamond):
 def test_cycle_is_found_and_ends(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "child int, parent int")
     assert {r.node for r in gr.cycle_nodes(gr.closure(edges)).collect()} == {1, 2, 3}
+    assert {tuple(r) for r in gr.cycles(edges).collect()} == {(1, 1), (1, 2), (1, 3)}
+
+
+def test_peeling(spark, diamond):
+    assert gr.peeled(diamond[0]).isEmpty() and gr.is_acyclic(diamond[0]) and gr.cycles(diamond[0]).isEmpty()
+    # two rings with a path between them, a tail above and one below, a loop of one node
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 6), (6, 4), (6, 7), (7, 8), (0, 1), (9, 9), (10, 9)], "child int, parent int")
+    left = {tuple(r) for r in gr.peeled(edges).collect()}
+    assert left == {(1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 6), (6, 4), (9, 9)}
+    assert {tuple(r) for r in gr.cycles(edges).collect()} == {(1, 1), (1, 2), (4, 4), (4, 5), (4, 6), (9, 9)} and not gr.is_acyclic(edges)
+
+
+def brute_between(members, ancestors):
+    groups = {}
+    for g, v in members:
+        groups.setdefault(g, []).append(ancestors.get(v, set()))
+    cosine = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b)) if a and b else 0.0
+    return {(g, h): [cosine(a, b) for a in groups[g] for b in groups[h]] for g in groups for h in groups if g < h}
+
+
+@pytest.mark.parametrize("hot", [64, 0])
+def test_groups_without_a_common_ancestor(spark, monkeypatch, hot):
+    monkeypatch.setattr(gr, "HOT_GROUPS", hot)
+    monkeypatch.setattr(gr, "HOT_ANCESTORS", 2)
+    edges = [(k, k // 2) for k in range(2, 30)] + [(100 + k, 100 + k // 2) for k in range(2, 20)]
+    pairs = gr.closure(spark.createDataFrame(edges, "child int, parent int"))
+    ancestors = {}
+    for r in pairs.collect():
+        ancestors.setdefault(r.node, set()).add(r.ancestor)
+    members = [(f"g{k % 3}", k) for k in range(1, 30)] + [(f"h{k % 2}", 100 + k) for k in range(1, 20)] + [("lone", 1000), ("lone", 1001), ("one", 5)]
+    df = spark.createDataFrame(members, "group string, node int")
+    vectors, totals = gr.group_vectors(df, pairs)
+    want = brute_between(members, ancestors)
+    between = gr.between_groups(vectors, totals)
+    got = {(r.group, r.other): r for r in between.collect()}
+    assert set(got) == set(want)
+    for key, values in want.items():
+        assert got[key].similarity == pytest.approx(sum(values) / len(values)) and got[key].pairs == len(values)
+    assert got["g0", "h1"].similarity == 0.0 and got["g0", "lone"].mean_shared == 0.0
+    within = gr.within_groups(vectors, totals)
+    one = gr.coherence(within, vectors, totals).first()
+    several = {k: v for k, v in want.items() if "one" not in k}
+    assert one.inter == pytest.approx(sum(sum(v) / len(v) for v in several.values()) / len(several)) and one.groups == 6
+    assert one.separation == pytest.approx(1 - one.inter)
+    apart = {r.group: r for r in gr.group_separation(within, between).collect()}
+    assert apart["lone"].nearest == 0.0 and set(apart) == {"g0", "g1", "g2", "h0", "h1", "lone"}
+
+
+def test_permutations_against_all_labelings(spark):
+    from itertools import permutations as orders
+
+    edges = [(11, 1), (12, 1), (13, 1), (21, 2), (22, 2), (23, 2)]
+    pairs = gr.closure(spark.createDataFrame(edges, "child int, parent int"))
+    nodes = [11, 12, 13, 21, 22, 23]
+    members = spark.createDataFrame([("a" if v < 20 else "b", v) for v in nodes], "group string, node int")
+    got = gr.permutation_test(members, pairs, permutations=400).first()
+    assert got.intra == 1.0
+    every = [order for order in orders(nodes) if len({v // 10 for v in order[:3]}) == 1]
+    exact = len(every) / math.factorial(6)  # labelings that keep both families together
+    assert abs(got.p_value - exact) < 0.05
+    assert not gr.significant(spark.createDataFrame([(0.2,), (None,)], "p_value double")).filter("significant").count()
+    assert gr.significant(spark.createDataFrame([(0.01,)], "p_value double")).first().significant
+
+
+def test_graph_statistics(spark, diamond):
+    edges = diamond[0].withColumn("relation", F.lit("is_a"))
+    nodes = gr.nodes_of(edges).union(spark.createDataFrame([(50,)], "node int"))
+    got = gr.graph_statistics(nodes, edges, ["is_a", "part_of"]).first().asDict()
+    assert got == {"nodes": 8, "roots": 3, "leaves": 3, "edges": 6, "is_a": 6, "part_of": 0, "acyclic": True}
 
 
 def test_dangling_parents_drop_out(spark):
@@ -58,8 +128,3 @@ def test_annotation_information(spark, diamond):
     assert got[1] == (4, 0.0) and got[4][0] == 3 and got[4][1] == pytest.approx(-math.log(3 / 4))
 
 
-def test_sampled_pairs(spark):
-    members = spark.createDataFrame([("x", i) for i in range(30)] + [("y", i) for i in range(3)], "group string, node int")
-    within = gr.sampled_pairs_within(members, 5).groupBy("group").count().collect()
-    assert {r["group"]: r["count"] for r in within} == {"x": 10, "y": 3}
-    assert gr.sampled_pairs_between(members, 5).count() == 15

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tallyloom.operators.enrichment import rank_area_scores, running_extreme_scores
-from tallyloom.operators.ordering import quantiles, running, tie_ranks
+from tallyloom.operators.ordering import quantiles, running, tie_ranks, tied_positions
 from tallyloom.operators.statistics import adjust, rank_sum
 
 
@@ -45,6 +45,33 @@ def test_tie_rank_forms_agree(spark):
         assert small == spread
 
 
+def test_tied_positions_by_loop(spark):
+    """Ties over the edges of slices, a value that fills several slices, and a group of one value."""
+    data = [(g, i, None if i % 17 == 0 else float(v)) for g, values in (("a", [1] * 90 + [2] * 7 + list(range(3, 40))), ("b", [5] * 40), ("c", [7, 6]))
+            for i, v in enumerate(values)]
+    want = []
+    for descending in (False, True):
+        for g, i, v in data:
+            own = [(x, j) for h, j, x in data if h == g and x is not None]
+            if v is not None:
+                before = [x for x, _ in own if (x > v if descending else x < v)]
+                same = [j for x, j in own if x == v]
+                want.append((descending, g, i, len(before) + 1, len(before) + len(same), len(before) + 1 + sum(j < i for j in same), len(own)))
+
+    def got(small):
+        t = spark.createDataFrame(data, "g string, id int, v double")
+        return sorted((d, r.g, r.id, r.tie_first, r.tie_last, r.position, r.group_rows)
+                      for d in (False, True) for r in tied_positions(t, ["g"], "v", ["id"], d, small).collect())
+
+    assert got(True) == sorted(want) and got(False) == sorted(want)
+
+
+def test_ranks_need_one_shuffle(spark, capsys):
+    tie_ranks(table(spark).repartition(3, "id"), ["g"], "v").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning(g#") == 1 and "hashpartitioning(g#" in plan and "Join" not in plan
+
+
 def test_quantile_forms_agree(spark):
     small, spread = both(spark, lambda t: quantiles(t, ["g"], "v", {"a": 0.25, "b": 0.5, "c": 1 / 3, "d": 1.0}))
     assert small == spread

@@ -8,7 +8,6 @@ from tallyloom.plans.registry import QUERIES
 from check import TABLES, rows_of
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"m5_cross_validated_pca", "m6_representations_compared", "m8_cluster_sweep", "m11_bisecting_clusters"}
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +19,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     df = queries()[name](spark, FOLDER)
     got = rows_of(df.columns, df.collect())
