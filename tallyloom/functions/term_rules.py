@@ -314,3 +314,21 @@ SET_ANCESTORS = {
     "C": ["metabolic process"],
 }
 SET_PRIORITY = ["E", "B", "D neuro", "D endo", "A", "C"]
+
+# Name and description of each subcategory.
+SUBCATEGORY_TEXTS = {
+    "A1": ("Genomic Stability and Repair", "DNA damage sensing/repair, chromatin maintenance, telomere maintenance"),
+    "A2": ("Somatic Maintenance and Identity Preservation", "Stem/progenitor maintenance, differentiation, senescence programs"),
+    "A3": ("Cellular Homeostasis and Structural Maintenance", "Proteostasis, autophagy, organelle biogenesis and repair"),
+    "A4": ("Inflammation Resolution and Damage Containment", "Efferocytosis, pro-resolving mediators, tissue homeostasis restoration"),
+    "B1": ("Innate Immunity", "Pattern recognition, inflammatory signaling, phagocytosis"),
+    "B2": ("Adaptive Immunity", "Antigen-specific responses, immune memory, targeted effectors"),
+    "B3": ("Immune Regulation and Tolerance", "Negative feedback control, checkpoint regulation, tolerance mechanisms"),
+    "C1": ("Energy Metabolism and Catabolism", "Nutrient breakdown, ATP generation, redox balancing"),
+    "C2": ("Biosynthesis and Anabolism", "Macromolecular building blocks synthesis, growth demands"),
+    "C3": ("Detoxification and Metabolic Stress Handling", "Xenobiotic transformation, harmful metabolite elimination"),
+    "D1": ("Neural Regulation and Signal Transmission", "Neural signaling, synaptic communication, sensor-motor integration"),
+    "D2": ("Endocrine and Autonomic Regulation", "Hormonal signaling, autonomic control, physiological set-points"),
+    "E1": ("Reproduction", "Gametogenesis, reproductive endocrine, fertilization, gestation"),
+    "E2": ("Development and Reproductive Maturation", "Embryonic development, sex differentiation, reproductive competence"),
+}

@@ -318,3 +318,49 @@ def set_labels(entries: DataFrame, name: str, definition: str, ancestor_names: s
     rows = rows.withColumn("labels", labels)
     otherwise = F.when(text.rlike("(regulation|signaling)"), "General Regulation").otherwise("General Process")
     return rows.withColumn("primary", F.coalesce(F.try_element_at("labels", F.lit(1)), otherwise)).drop("_t")
+
+
+def pattern_matches(entries: DataFrame, key: str, rules: Rules | None = None, name: str = "name", definition: str | None = "definition") -> DataFrame:
+    """``(key, scope, code, pattern)``: every word of the rules that occurs in an entry, by system, subsystem and polarity."""
+    rules = rules or Rules()
+    lists = [("system", s, words) for s, words in rules.systems.items()]
+    lists += [("subsystem", code, words) for subs in rules.subsystems.values() for code, words in subs.items()]
+    lists += [("polarity", p, words) for p, words in rules.polarities.items()]
+    found = with_found(entries.select(key, *dict.fromkeys(c for c in (name, definition) if c)), search_text(name, definition),
+                       [w for *_, words in lists for w in words]).select(key, "_found")
+    each = F.array(*[
+        F.struct(F.lit(scope).alias("scope"), F.lit(code).alias("code"), F.expr(f"filter(_found, w -> w IN ({', '.join(_quoted(words))}))").alias("patterns"))
+        for scope, code, words in lists if words])
+    return found.select(key, F.inline(each)).select(key, "scope", "code", F.explode("patterns").alias("pattern"))
+
+
+def classification_text(name: Column, definition: Column, classes: Column, ancestors: Column, most: int = 5) -> Column:
+    """Name, definition, class names and the first ``most`` ancestor names, those that there are, by blanks."""
+    listed = lambda a: F.filter(F.coalesce(a, F.array().cast("array<string>")), lambda w: w.isNotNull() & (w != ""))
+    parts = F.concat(F.array(name, definition), listed(classes), F.slice(listed(ancestors), 1, most))
+    return F.array_join(F.filter(parts, lambda w: w.isNotNull() & (w != "")), " ")
+
+
+def entries_to_classify(terms: DataFrame, pathways: DataFrame) -> DataFrame:
+    """Process terms that are not obsolete, and pathways, in one table of entries.
+
+    ``terms (id, name, definition, namespace, is_obsolete)``, ``pathways (id, name, description)``.
+    """
+    kept = terms.filter((F.col("namespace") == "biological_process") & ~F.coalesce("is_obsolete", F.lit(False)))
+    own = kept.select(F.col("id").cast("string").alias("id"), "name", "definition", F.lit("GO").alias("source"), "namespace")
+    return own.unionByName(pathways.select(
+        F.col("id").cast("string").alias("id"), "name", F.coalesce("description", F.lit("")).alias("definition"), F.lit("KEGG").alias("source"),
+        F.lit("pathway").alias("namespace")))
+
+
+def result_table(classified: DataFrame, stamp: str, version: str) -> DataFrame:
+    """The fifteen columns of a delivered classification, with the subcategory's name and description."""
+    details = F.create_map(*[x for code, (name, text) in tr.SUBCATEGORY_TEXTS.items() for x in (F.lit(code), F.struct(F.lit(name).alias("name"), F.lit(text).alias("text")))])
+    own = F.try_element_at(details, F.coalesce("subsystem", F.lit("")))
+    return classified.select(
+        F.col("id").alias("ID"), F.col("name").alias("Name"), F.col("definition").alias("Definition"), F.col("source").alias("Source"),
+        F.col("namespace").alias("Namespace"), F.col("system").alias("Primary_System"), F.col("subsystem").alias("Subcategory_Code"),
+        F.coalesce(own["name"], F.lit("")).alias("Subcategory_Name"), F.coalesce(own["text"], F.lit("")).alias("Subcategory_Description"),
+        F.array_join("all_systems", ", ").alias("All_Systems"), F.coalesce("polarity", F.lit("")).alias("Inflammation_Polarity"),
+        F.col("confidence").alias("Confidence_Score"), F.array_join("path", " > ").alias("Decision_Path"), F.lit(stamp).alias("Classification_Date"),
+        F.lit(version).alias("Version"))

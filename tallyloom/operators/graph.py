@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators.joins import small_side
-from tallyloom.operators.ordering import running
+from tallyloom.operators.ordering import running, top_rows
 from tallyloom.session import cut
 
 #: Group names in one packed row when every two groups are laid out.
@@ -53,6 +53,34 @@ def cycle_nodes(pairs: DataFrame) -> DataFrame:
     return pairs.filter(F.col("node") == F.col("ancestor")).select("node")
 
 
+def nearest_ancestors(edges: DataFrame, n: int = 5) -> DataFrame:
+    """``(node, ancestor, distance, place)``: the ``n`` nearest ancestors of every node, equally near ones in order.
+
+    Climbs level by level, and a node stops once it has ``n``: at most ``n``
+    rounds, and no closure.
+    """
+    up = cut(edges.select("child", "parent").distinct())
+    level = up.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
+    known = cut(top_rows(level, ["node"], [F.col("ancestor")], n).drop("place"))
+    front = known
+    for distance in range(2, n + 1):
+        full = known.groupBy("node").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= n).select("node")
+        # a level is only climbed from by nodes that are not full, and those hold the whole level
+        above = front.join(full, "node", "left_anti").join(up.withColumnRenamed("child", "ancestor"), "ancestor").select(
+            "node", F.col("parent").alias("ancestor")).distinct().join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti")
+        front = cut(top_rows(above.filter("node <> ancestor"), ["node"], [F.col("ancestor")], n).drop("place").withColumn("distance", F.lit(distance)))
+        if front.isEmpty():
+            break
+        known = cut(known.unionByName(front))
+    return top_rows(known, ["node"], [F.col("distance"), F.col("ancestor")], n)
+
+
+def ancestor_names(nearest: DataFrame, names: DataFrame) -> DataFrame:
+    """``(node, ancestor_names)``: names of the nearest ancestors, nearest first; ``names (node, name)``."""
+    named = nearest.join(names.select(F.col("node").alias("ancestor"), "name"), "ancestor")
+    return named.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda e: e["name"]).alias("ancestor_names"))
+
+
 def peeled(edges: DataFrame) -> DataFrame:
     """``(child, parent)``: what is left of the edges once nodes without parents,
     and nodes without children, are taken away round by round.

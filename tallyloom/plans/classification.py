@@ -65,6 +65,15 @@ def best_in(counts: dict[str, str]) -> str:
     return "CASE WHEN " + top + " <= 0 THEN NULL " + " ".join(f"WHEN {c} = {top} THEN '{k}'" for k, c in counts.items()) + " END"
 
 
+STANDARD_PATH = """CASE len(systems) WHEN 0 THEN 'no_pattern_match > default_to_system_0' WHEN 1 THEN 'pattern_matching > single_match_' || std ELSE 'pattern_matching > priority_rule_' || std END"""
+PATH = f"""CASE kind WHEN 'general' THEN 'excluded_general_term' WHEN 'complex' THEN CASE
+    WHEN d > c * 1.5 THEN 'complex_pathway > destructive_dominant > ' || CASE WHEN o_threat_elimination OR o_immune_defense THEN 'system_B' ELSE 'system_A' END
+    WHEN c > d * 1.5 THEN 'complex_pathway > constructive_dominant > ' || CASE WHEN o_tissue_repair OR o_structural_maintenance THEN 'system_A' WHEN o_metabolic_support THEN 'system_C' ELSE 'system_A_default' END
+    WHEN objective IS NULL THEN {STANDARD_PATH} || ' > balanced_pathway_standard_classification' ELSE 'complex_pathway > balanced > objective_based > system_' || system END || ' > complex_pathway_analysis'
+  ELSE {STANDARD_PATH} || CASE WHEN kind <> 'inflammation' OR about IS NULL THEN '' WHEN about = 'threat' AND std <> 'B' THEN ' > inflammation_threat_clearance_rule' WHEN about = 'tolerance' THEN ' > inflammation_tolerance_rule'
+    WHEN about = 'resolution' THEN ' > inflammation_resolution_rule' WHEN about = 'repair' AND std <> 'A' THEN ' > inflammation_repair_rule' ELSE '' END END"""
+
+
 def classified_ctes(terms: str) -> str:
     vocabulary = cl.Rules().vocabulary()
     pick = lambda col: "CASE " + col + " " + " ".join(f"WHEN '{s}' THEN sub_{s}" for s in tr.SUBSYSTEM_WORDS) + " END"
@@ -95,7 +104,7 @@ dc AS (SELECT *, CASE kind WHEN 'general' THEN '0' WHEN 'complex' THEN CASE
 cls AS (SELECT id, name, definition, source, namespace, kind, system, CAST(confidence AS DOUBLE) AS confidence, systems, d, c,
   CASE WHEN general THEN NULL WHEN kind = 'inflammation' AND about = 'tolerance' THEN 'B3' WHEN kind = 'inflammation' AND about = 'resolution' THEN 'A4' ELSE {pick('system')} END AS subsystem,
   CASE WHEN NOT general THEN pol END AS polarity, CASE WHEN general THEN '0' ELSE array_to_string(systems, ',') END AS all_systems,
-  CASE WHEN kind = 'inflammation' THEN about END AS about, std FROM dc)"""
+  CASE WHEN kind = 'inflammation' THEN about END AS about, std, {PATH} AS path FROM dc)"""
 
 
 CLASSIFIED = classified_ctes(TERMS)
@@ -233,6 +242,77 @@ def c13_result_table(spark, sf):
                       F.array_join("all_systems", ",").alias("all_systems"), "polarity", r6("confidence", "confidence"))
 
 
+SCOPES = [("system", k, w) for k, w in tr.SYSTEM_WORDS.items()] + [("subsystem", c, w) for subs in tr.SUBSYSTEM_WORDS.values() for c, w in subs.items()] + [
+    ("polarity", p, w) for p, w in tr.POLARITY_WORDS.items()]
+
+
+@query("c1_matched_patterns", f"""WITH {TERMS}, x AS (SELECT id, lower(concat_ws(' ', name, definition)) AS t FROM terms),
+m AS (SELECT id, unnest([{", ".join(f"struct_pack(scope := '{s}', code := '{c}', ws := list_filter({lst(w)}, lambda w: contains(t, w)))" for s, c, w in SCOPES)}]) AS m FROM x)
+SELECT id, m.scope AS scope, m.code AS code, unnest(m.ws) AS pattern FROM m""")
+def c1_matched_patterns(spark, sf):
+    return cl.pattern_matches(entries(spark, sf), "id")
+
+
+OBSOLETE = "o_orderkey % 17 = 3"
+FULL_TERMS = f"""terms AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, name, CASE WHEN source = 'KEGG' THEN coalesce(definition, '') ELSE definition END AS definition, source, namespace
+  FROM (SELECT *, {', '.join(f"{e} AS {n}" for n, e in entry_sql(False).items() if n != "id")} FROM orders) WHERE source = 'KEGG' OR (namespace = 'biological_process' AND NOT {OBSOLETE}))"""
+DETAIL_CASE = lambda i: "CASE subsystem " + " ".join(f"WHEN '{c}' THEN '{t[i]}'" for c, t in tr.SUBCATEGORY_TEXTS.items()) + " ELSE '' END"
+STAMP, VERSION = "2025-01-01 00:00:00", "v8.0"
+
+
+@query("c13_delivered_table", f"""WITH {classified_ctes(FULL_TERMS)} SELECT id AS "ID", name AS "Name", definition AS "Definition", source AS "Source", namespace AS "Namespace", system AS "Primary_System",
+  subsystem AS "Subcategory_Code", {DETAIL_CASE(0)} AS "Subcategory_Name", {DETAIL_CASE(1)} AS "Subcategory_Description", replace(all_systems, ',', ', ') AS "All_Systems",
+  coalesce(polarity, '') AS "Inflammation_Polarity", round(confidence, 6) AS "Confidence_Score", path AS "Decision_Path", '{STAMP}' AS "Classification_Date", '{VERSION}' AS "Version" FROM cls""")
+def c13_delivered_table(spark, sf):
+    """All fifteen columns, of process terms that are not obsolete and of all pathways."""
+    rows = entries(spark, sf)
+    terms = rows.filter("source = 'GO'").withColumn("is_obsolete", F.expr(OBSOLETE.replace("o_orderkey", "id")))
+    pathways = rows.filter("source = 'KEGG'").withColumnRenamed("definition", "description")
+    out = cl.result_table(cl.classify(cl.entries_to_classify(terms, pathways)), STAMP, VERSION)
+    return out.withColumn("Confidence_Score", F.round("Confidence_Score", 6))
+
+
+# a term's parents are the entries with half and a third of its number, as far as they exist
+TERM_EDGES = f"""{TERMS}, e AS (SELECT x.id AS child, p.id AS parent FROM (SELECT id, id // 2 AS up FROM terms UNION SELECT id, id // 3 FROM terms) x JOIN terms p ON p.id = x.up WHERE x.id <> p.id),
+clo AS (SELECT child AS node, parent AS ancestor, 1 AS distance FROM e UNION SELECT w.node, e.parent, w.distance + 1 FROM clo w JOIN e ON w.ancestor = e.child WHERE w.distance < 5),
+sh AS (SELECT node, ancestor, min(distance) AS distance FROM clo GROUP BY 1, 2),
+nr AS (SELECT node, ancestor, distance, row_number() OVER (PARTITION BY node ORDER BY distance, ancestor) AS place FROM sh QUALIFY place <= 5),
+an AS (SELECT node, list(name ORDER BY place) AS names FROM nr JOIN terms ON id = ancestor GROUP BY 1)"""
+
+
+def nearest(spark, sf):
+    from tallyloom.operators import graph as gr
+
+    rows = entries(spark, sf)
+    up = rows.select(F.col("id").alias("child"), F.explode(F.array(F.expr("id div 2"), F.expr("id div 3"))).alias("parent")).distinct()
+    known = up.join(rows.select(F.col("id").alias("parent")), "parent", "left_semi").filter("child <> parent")
+    near = gr.nearest_ancestors(known)
+    return near, gr.ancestor_names(near, rows.select(F.col("id").alias("node"), "name"))
+
+
+@query("d5_nearest_ancestors", f"WITH RECURSIVE {TERM_EDGES} SELECT node, ancestor, distance, place FROM nr")
+def d5_nearest_ancestors(spark, sf):
+    return nearest(spark, sf)[0]
+
+
+@query("f29_text_with_ancestors", f"""WITH RECURSIVE {TERM_EDGES} SELECT t.id, concat_ws(' ', nullif(name, ''), nullif(definition, ''),
+  CASE WHEN source = 'KEGG' THEN o_orderpriority || ' ' || o_orderstatus END, array_to_string(names, ' ')) AS text FROM terms t JOIN orders ON o_orderkey = t.id LEFT JOIN an ON an.node = t.id""")
+def f29_text_with_ancestors(spark, sf):
+    """Pathways carry their two class names, terms the names of at most five nearest ancestors."""
+    classes = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.array("o_orderpriority", "o_orderstatus").alias("classes"))
+    rows = entries(spark, sf).join(classes, "id").join(nearest(spark, sf)[1].withColumnRenamed("node", "id"), "id", "left")
+    return rows.select("id", cl.classification_text(F.col("name"), F.col("definition"), F.when(F.col("source") == "KEGG", F.col("classes")), F.col("ancestor_names")).alias("text"))
+
+
+@query("c12_labels_by_ancestors", rf"""WITH RECURSIVE {TERM_EDGES}, a AS (SELECT id, lower(concat_ws(' ', name, definition)) AS t, lower(coalesce(array_to_string(names, '|'), '')) AS anc FROM terms LEFT JOIN an ON node = id),
+l AS (SELECT id, t, {set_sql()} AS labels FROM a)
+SELECT id, array_to_string(labels, ',') AS labels, CASE WHEN len(labels) > 0 THEN labels[1] WHEN regexp_matches(t, '(regulation|signaling)') THEN 'General Regulation' ELSE 'General Process' END AS "primary" FROM l""")
+def c12_labels_by_ancestors(spark, sf):
+    named = entries(spark, sf).join(nearest(spark, sf)[1].withColumnRenamed("node", "id"), "id", "left")
+    out = cl.set_labels(named, "name", "definition", "ancestor_names")
+    return out.select("id", F.array_join("labels", ",").alias("labels"), "primary")
+
+
 @query("c14_added_words", f"""WITH {TERMS} SELECT id FROM terms WHERE contains(lower(concat_ws(' ', name, definition)), 'nothing else')
   AND lower(trim(name)) NOT IN ({', '.join(f"'{n}'" for n in tr.GENERAL_NAMES)})""")
 def c14_added_words(spark, sf):
