@@ -10,6 +10,8 @@ shingle sets.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +24,7 @@ from tallyloom.session import cut
 #: Coordinates, and how many must agree: at a similarity of 0.85 fewer agree with a chance of 7e-8.
 COORDINATES, MATCHES = 48, 26
 #: Documents and shingles of a block of one list (one document alone may have more shingles).
-BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -34,11 +36,22 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(g), 7) for g in grams), np.uint64))
 
 
-def coordinate_values(hashes: np.ndarray) -> np.ndarray:
-    """One number a coordinate: its index in the upper half, its least hash in the lower."""
+@functools.cache
+def orders() -> tuple[np.ndarray, np.ndarray]:
+    """The coordinates' orders of the hashes: odd factors, and shifts as a column."""
     rng = np.random.default_rng(3)
     factors, shifts = (rng.integers(0, 1 << 64, COORDINATES, np.uint64) for _ in range(2))
-    least = np.array([(hashes * (f | np.uint64(1)) + s).min() for f, s in zip(factors, shifts)], np.uint64)
+    return factors | np.uint64(1), shifts[:, None]
+
+
+def coordinate_values(hashes: np.ndarray) -> np.ndarray:
+    """One number a coordinate: its index in the upper half, its least hash in the lower."""
+    factors, shifts = orders()
+    least = np.full(COORDINATES, np.iinfo(np.uint64).max)
+    for k in range(0, len(hashes), 4096):
+        ordered = np.multiply.outer(factors, hashes[k:k + 4096])
+        ordered += shifts
+        np.minimum(least, ordered.min(1), out=least)
     return (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32) | least >> np.uint64(32)).view(np.int64)
 
 
@@ -142,8 +155,8 @@ def list_links(posted: DataFrame, roots: DataFrame, tokens: DataFrame, shingles:
     # block b meets blocks 0..blocks-1, each pair of blocks once
     sides = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     prefixes = posted.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("p")).select("row", F.col("p.token").alias("prefix"))
-    work = sides.select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "row", "root") \
-        .join(tokens, "row").join(prefixes, "row").join(shingles, "row")
+    documents = cut(prefixes.join(tokens, "row").join(shingles, "row"))
+    work = sides.select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "row", "root").join(documents, "row")
 
     def check(members: pa.Table) -> pa.Table:
         token, x, y = (members.column(c)[0].as_py() for c in ("token", "x", "y"))
@@ -177,6 +190,15 @@ def collisions(lists: list[np.ndarray], matches: int) -> tuple[np.ndarray, np.nd
     return found[enough], counts[enough]
 
 
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Numbers that two sets have in common, both sorted alike."""
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return int((b[at] == a).sum())
+
+
 def merged_forest(token: int, tokens: list[np.ndarray], prefixes: list[np.ndarray], shingles: list[np.ndarray], group: np.ndarray,
                   x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (i of ``x``, j of ``y``) between documents ``percent`` alike, as few as join their ``group`` numbers, which are changed.
@@ -188,7 +210,7 @@ def merged_forest(token: int, tokens: list[np.ndarray], prefixes: list[np.ndarra
     owners = np.repeat(np.arange(len(y)), [len(tokens[j]) for j in y])
     order = np.lexsort((owners, values))
     values, owners = values[order], owners[order]
-    held = {}
+    first_in, held = [p.tolist() for p in prefixes], {}
     for i in x:
         if (group[y] == group[i]).all():
             continue
@@ -198,10 +220,10 @@ def merged_forest(token: int, tokens: list[np.ndarray], prefixes: list[np.ndarra
             if group[j] == group[i]:
                 continue
             if j not in held:
-                held[j] = set(prefixes[j].tolist())
-            if next(t for t in prefixes[i].tolist() if t in held[j]) != token:
+                held[j] = set(first_in[j])
+            if next(t for t in first_in[i] if t in held[j]) != token:
                 continue
-            both = len(np.intersect1d(shingles[i], shingles[j], assume_unique=True))
+            both = common(shingles[i], shingles[j])
             if 100 * both >= percent * (len(shingles[i]) + len(shingles[j]) - both):
                 out.append((i, j))
                 group[group == group[j]] = group[i]
