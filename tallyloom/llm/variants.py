@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,7 +165,7 @@ def whole_groups(batches, keys: int):
         new_m = np.zeros(len(table), bool)
         for k in range(keys):
             values = table.column(k).combine_chunks()
-            differs = pa.compute.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)
+            differs = pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)
             change[1:] |= differs
             if k == 0:
                 new_m[1:] = differs
