@@ -16,6 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.llm.columns import named
 from tallyloom.session import cut
 
 #: Bits of the block number, and of the cells in which a cut is looked for.
@@ -143,7 +144,7 @@ def mix(docs: DataFrame, budget_share: float = 1.0, target_entropy_share: float
     plan = plan_sources(counted, budget_share, target_entropy_share, most_passes)
     # collected so that the broadcast is of known size: one row for each source
     known = docs.sparkSession.createDataFrame([tuple(r) for r in plan.collect()], "key string, weight double, passes long, `cut` long")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("source_key"), digest.alias("digest"), tokens.alias("tokens"))
+    rows = docs.select(F.struct(*named(docs.columns)).alias("row"), key.alias("source_key"), digest.alias("digest"), tokens.alias("tokens"))
     last = place_in_pass(F.col("digest"), F.col("source_key"), F.col("passes")) <= F.col("cut")
     epochs = rows.join(F.broadcast(known.withColumnRenamed("key", "source_key")), "source_key").withColumn(
         "n", F.col("passes") + F.when((F.col("tokens") > 0) & last, 1).otherwise(0)).where("n > 0") \

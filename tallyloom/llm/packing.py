@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.tokens import end_bytes, word_ids
+from tallyloom.llm.columns import named
 from tallyloom.session import cut
 
 
@@ -128,7 +129,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, length_col: str = "length") ->
     own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     salts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = cut(pieces.select(
-        F.struct(*own).alias("row"),
+        F.struct(*named(own)).alias("row"),
         F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("size"),
         F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int").alias("salt"),
     ))

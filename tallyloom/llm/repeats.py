@@ -177,9 +177,9 @@ def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist()))
 
 
-def packed(first, last):
-    """First start and number of further starts in one long; a run never has more than 255."""
-    return first * 256 + (last - first)
+def packed(first, last, span: int):
+    """First start and number of further starts in one long; the starts of one anchor lie within a span."""
+    return first * span + (last - first)
 
 
 def find_repeats(docs: DataFrame, span: int = SPAN, text_col: str = "text") -> tuple[DataFrame, DataFrame, str]:
@@ -204,7 +204,7 @@ def find_repeats(docs: DataFrame, span: int = SPAN, text_col: str = "text") -> t
             if sum(counts):
                 anchor, first, last = (np.concatenate(c) for c in zip(*rows))
                 keys = (np.repeat(batch.column(c).to_numpy(), counts) for c in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, *keys, packed(first, last))], names=["anchor", "key", "size", "run"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, *keys, packed(first, last, span))], names=["anchor", "key", "size", "run"])
 
     long_texts = texts.where(F.col("size") >= span).select("key", "size", F.col("text").cast("binary"))
     runs = cut(long_texts.mapInArrow(owned, "anchor long, key long, size int, run long"))
@@ -219,7 +219,7 @@ def find_repeats(docs: DataFrame, span: int = SPAN, text_col: str = "text") -> t
                 part = batch.slice(at, 64)
                 for key, size, data, runs in zip(*(c.to_pylist() for c in part.columns)):
                     for r in runs:
-                        first, more = divmod(r["run"], 256)
+                        first, more = divmod(r["run"], span)
                         piece = data[first:first + more + span]
                         out.append((r["anchor"], hashlib.blake2b(piece, digest_size=16).digest(), key, size, r["run"], piece))
                 kinds = pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary()
@@ -268,8 +268,8 @@ def find_repeats(docs: DataFrame, span: int = SPAN, text_col: str = "text") -> t
     hits = to_sort.mapInArrow(sort, "anchor long, slice binary, hits array<struct<first:int,last:int>>").union(counted_hits)
     whole = kinds.where("n > 1").select("anchor", "slice", F.lit(True).alias("whole"))
     flagged = cut(whole.join(hits, ["anchor", "slice"], "full").select("anchor", "slice", F.coalesce("whole", F.lit(False)).alias("whole"), "hits"))
-    first = F.floor(F.col("run") / 256)
-    all_starts = F.array(F.struct(F.lit(0).alias("first"), (F.col("run") % 256).cast("int").alias("last")))
+    first = F.floor(F.col("run") / span)
+    all_starts = F.array(F.struct(F.lit(0).alias("first"), (F.col("run") % span).cast("int").alias("last")))
     repeats = slices.select("anchor", "slice", "key", "size", "run").join(flagged, ["anchor", "slice"]) \
         .select("key", "size", F.explode(F.when(F.col("whole"), all_starts).otherwise(F.col("hits"))).alias("h"), first.alias("at")) \
         .groupBy("key", "size").agg(F.collect_list(F.struct((F.col("at") + F.col("h.first")).alias("first"), (F.col("at") + F.col("h.last")).alias("last"))).alias("runs"))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.columns import named
 from tallyloom.llm.components import connected_components
 from tallyloom.session import cut
 
@@ -363,7 +364,7 @@ def keep_one(docs: DataFrame, size: int = 5, budget: int = 3, similarity: float
     kept as they are.  Texts without words are one group.
     """
     rows = cut(docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"),
+        F.struct(*named(docs.columns)).alias("doc"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"),
         sketch(F.col(text_col), size).alias("s")).select("doc", "id", "row", "s.*"))
     prints = cut(rows.select("fingerprint").distinct())
     links = similar_links(rows.select("row", "id", "fingerprint", "shingles", "bands"), near_links(prints, budget=budget), similarity)

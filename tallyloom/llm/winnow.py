@@ -1,10 +1,12 @@
 """Document fingerprints by winnowing, all in column functions.
 
-A text is read as units: stretches of up to ``UNIT`` characters without white
-space, counted from the start of each word.  Grams of ``GRAM`` units are
-hashed; of every ``WINDOW`` neighbouring grams the least hash is kept with its
-place, the rightmost of equal ones.  Two texts that share ``GRAM + WINDOW - 1``
-units in a row share a kept hash.
+A text is read as units that don't depend on what stands before them: a word
+of up to ``UNIT`` characters is one, and in a longer run without white space
+(scripts without blanks, encoded data) every character begins one, of up to
+``RUN_UNIT`` characters.  Grams of ``GRAM`` units are hashed, each anew; of
+every ``WINDOW`` neighbouring grams the least hash is kept with its place, the
+rightmost of equal ones.  Two texts that share ``GRAM + WINDOW - 1`` units in a
+row share a kept hash.
 """
 
 from __future__ import annotations
@@ -12,7 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-UNIT = 12
+UNIT, RUN_UNIT = 12, 8
+WORD = rf"(?<!\S)\S{{1,{UNIT}}}(?!\S)"
+#: The group is the unit, the whole match only what it moves on by.
+UNITS = rf"(?=({WORD}|\S{{1,{RUN_UNIT}}}))(?:{WORD}|\S)"
 GRAM = 3
 WINDOW = 10
 #: A kept gram is one long: 35 bits of hash, then how far its place is from the
@@ -40,7 +45,7 @@ def prints(text: Column) -> Column:
         ends = F.sequence(F.lit(1), F.greatest(F.size(grams) - WINDOW + 1, F.lit(1)))
         return F.array_distinct(F.transform(ends, lambda k: F.array_min(F.slice(grams, k, F.lit(WINDOW)))))
 
-    return let(F.regexp_extract_all(text, F.lit(rf"\S{{1,{UNIT}}}"), F.lit(0)), of_units)
+    return let(F.regexp_extract_all(text, F.lit(UNITS), F.lit(1)), of_units)
 
 
 def hashes(kept: Column) -> Column:

@@ -2,7 +2,7 @@
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, fingerprint string, row string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, fingerprint string, row string, `a.b` string"
 
 WORDS = "the river carries small boats past quiet stone houses where people trade grain wool salt and old stories".split()
 
@@ -27,8 +27,8 @@ def odd_texts() -> list[str | None]:
 @pytest.fixture(scope="session")
 def odd_rows():
     texts = odd_texts()
-    rows = [(i, t, "en" if i % 2 else None, f"s{i % 3}" if i % 5 else None, len(t or ""), False, "clash", "clash") for i, t in enumerate(texts)]
-    return rows + [rows[0], rows[2], (None, "a text without an id that is long enough to be kept by most of the rules", None, None, None, None, None, None)]
+    rows = [(i, t, "en" if i % 2 else None, f"s{i % 3}" if i % 5 else None, len(t or ""), False, "clash", "clash", "dotted") for i, t in enumerate(texts)]
+    return rows + [rows[0], rows[2], (None, "a text without an id that is long enough to be kept by most of the rules", None, None, None, None, None, None, None)]
 
 
 @pytest.fixture(scope="session")

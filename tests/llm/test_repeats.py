@@ -72,3 +72,14 @@ def test_passages_between_documents(spark, monkeypatch, most):
     assert rows_of(repeats.repeat_digests(docs)) == sorted(((i, *b) for i, b in enumerate(brute(texts, 200))), key=repr)
     kept = {r.doc_id: r for r in repeats.without_repeats(docs).collect()}
     assert all(len(r.kept) + sum(x["to"] - x["from"] for x in r.removed) == r.n_bytes for r in kept.values())
+
+
+def test_spans_longer_than_a_byte_counts(spark):
+    rng = np.random.default_rng(12)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    shared = letters(2000)
+    texts = [letters(300) + shared + letters(100), shared + letters(700), letters(50) + shared, letters(900)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for span in (500, 288):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.repeat_digests(df, span=span).collect()}
+        assert [got[i] for i in range(len(texts))] == brute(texts, span)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import xxhash
@@ -8,7 +9,10 @@ from tallyloom.llm import winnow
 
 
 def units_of(text):
-    return re.findall(r"\S{1,12}", text or "", re.ASCII)
+    out = []
+    for run in re.finditer(r"\S+", text or "", re.ASCII):
+        out += [run[0]] if len(run[0]) <= 12 else [run[0][k:k + 8] for k in range(len(run[0]))]
+    return out
 
 
 def brute_prints(text):
@@ -56,6 +60,17 @@ def test_shared_runs_share_a_print(spark):
     assert set.intersection(*kept)
 
 
+def test_moved_text_without_blanks(spark):
+    """A run without white space shares its prints with itself wherever it begins."""
+    rng = random.Random(4)
+    run = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(2000))
+    moved = [run, *(run[:k] + run for k in (1, 5, 11)), "x" + run, run[:900] + "y" + run[900:]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(moved)], "doc_id long, text string")
+    kept = {r.doc_id: set(r.h) for r in winnow.fingerprints(df).select("doc_id", winnow.hashes(F.col("prints")).alias("h")).collect()}
+    for i in range(1, len(moved)):
+        assert len(kept[0] & kept[i]) >= 0.9 * len(kept[0]), i
+
+
 def test_likeness(spark):
     df = spark.createDataFrame([("a b c d", "a b c d"), ("", ""), ("", "a"), ("one two three", "four five six")], "x string, y string")
     got = [r[0] for r in df.select(winnow.likeness(winnow.prints(F.col("x")), winnow.prints(F.col("y")))).collect()]
