@@ -19,13 +19,20 @@ LEVEL = 3
 CHUNK = 2048
 #: Chunks shorter than this (only a last one can be) are not judged.
 LEAST_CHUNK = 512
-#: Least and most ratio of a whole document from so many bytes on.  Clean
-#: prose lies well inside: about 1.5 at 256 bytes, 2 at 2 KB, 3.5 at 1 MB.
-WHOLE_BANDS = ((0, 0.0, 8.0), (128, 0.9, 2.6), (256, 1.1, 2.8), (512, 1.2, 3.2), (1024, 1.3, 3.6), (4096, 1.4, 4.5),
-               (16384, 1.4, 5.5), (1 << 18, 1.4, 7.0), (1 << 22, 1.4, 9.0))
+#: Least and most ratio of a whole document from so many bytes on.  The lower
+#: limits lie close under clean prose (at least 1.7 at 1 KB, 1.9 at 2 KB, 2.1 at
+#: 4 KB, 2.3 at 16 KB) and above words of random letters (1.6 to 1.7 from 1 KB)
+#: and, from 4 KB, of random hex digits (1.9).
+WHOLE_BANDS = ((0, 0.0, 8.0), (128, 0.99, 2.6), (192, 1.12, 2.6), (256, 1.2, 2.8), (512, 1.36, 3.2), (768, 1.46, 3.2), (1024, 1.64, 3.6), (1280, 1.67, 3.6),
+               (1536, 1.72, 3.6), (2048, 1.75, 3.8), (4096, 1.92, 4.5),
+               (16384, 2.06, 5.5), (1 << 16, 2.17, 6.0), (1 << 18, 2.2, 7.0), (1 << 22, 2.2, 9.0))
 #: The same for one chunk; up to this share of a document's judged chunks may lie outside.
-CHUNK_BANDS = ((LEAST_CHUNK, 1.1, 3.2), (1024, 1.2, 4.0))
+CHUNK_BANDS = ((LEAST_CHUNK, 1.25, 3.2), (1024, 1.64, 4.0), (CHUNK, 1.75, 4.0))
 CHUNK_SHARE = 0.2
+#: Scripts of several bytes a character compress less by the byte: from so many
+#: bytes a character on the lower limits are these instead.
+WIDE_CHARS = 1.5
+WIDE_LEAST = ((0, 0.0), (128, 0.9), (256, 1.1), (512, 1.2), (1024, 1.3), (4096, 1.4))
 
 # Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -65,8 +72,10 @@ def ratio(data: bytes) -> float:
     return len(data) / len(compressor().compress(data))
 
 
-def in_band(size: int, value: float, bands) -> bool:
+def in_band(size: int, value: float, bands, wide: bool = False) -> bool:
     low, high = [(low, high) for least, low, high in bands if size >= least][-1]
+    if wide:
+        low = [low for least, low in WIDE_LEAST if size >= least][-1]
     return low <= value <= high
 
 
@@ -79,11 +88,12 @@ def report(text: str | None) -> tuple:
     failed = n_words < LEAST_WORDS or 100 * repeated > REPEAT_PERCENT * n_words
     whole = ratio(data) if data else 0.0
     chunks = [c for c in (data[i:i + CHUNK] for i in range(0, len(data), CHUNK)) if len(c) >= LEAST_CHUNK]
-    odd = sum(not in_band(len(c), ratio(c), CHUNK_BANDS) for c in chunks)
+    wide = len(data) >= WIDE_CHARS * len(text)
+    odd = sum(not in_band(len(c), ratio(c), CHUNK_BANDS, wide) for c in chunks)
     return (
         n_words, len(text) - (len(data) - sum(map(len, words))), sum(map(text.count, SYMBOLS)),
         len(lines) - len(set(lines)), repeated, failed, whole, odd, len(chunks),
-        not failed and in_band(len(data), whole, WHOLE_BANDS) and odd <= CHUNK_SHARE * len(chunks),
+        not failed and in_band(len(data), whole, WHOLE_BANDS, wide) and odd <= CHUNK_SHARE * len(chunks),
     )
 
 

@@ -34,3 +34,30 @@ def test_bands_reject_repetition_and_noise():
     repeated = " ".join(f"Item number {i} is on sale today only." for i in range(400))
     assert not quality.report(repeated)[-1] and not quality.report(" ".join(noise[i:i + 9] for i in range(0, 6000, 9)))[-1]
     assert not quality.report(prose[:6000] + repeated)[-1]
+
+
+def random_words(rng, alphabet, size):
+    out = ""
+    while len(out.encode()) < size:
+        out += "".join(rng.choices(alphabet, k=rng.randint(3, 9))) + " "
+    return out
+
+
+def test_noise_of_every_alphabet_by_length():
+    """From the length on from which an alphabet compresses less than prose, its words are rejected."""
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    base64 = letters + letters.upper() + "0123456789+/"
+    printable = "".join(map(chr, range(33, 127)))
+    for alphabet, sizes in ((printable, (150, 300, 700, 1000, 2000)), (base64, (200, 300, 700, 1000, 2000)), (letters, (1100, 1400, 1700, 2000, 2500)), ("0123456789abcdef", ())):
+        for size in (*sizes, 4500, 9000, 20_000, 70_000, 300_000):
+            assert not quality.report(random_words(rng, alphabet, size))[-1], (alphabet[:4], size)
+    assert not quality.report(random_words(rng, "0123456789", 70_000))[-1]
+
+
+def test_scripts_of_several_bytes_are_kept():
+    rng = random.Random(9)
+    words = ["".join(chr(0x4E00 + min(int(rng.expovariate(0.01)), 3000)) for _ in range(rng.randint(1, 3))) for _ in range(300)]
+    for n in (100, 400, 2000):
+        text = " ".join(words[min(int(rng.expovariate(0.02)), 299)] for _ in range(n))
+        assert quality.report(text)[-1], n
