@@ -12,16 +12,19 @@ Three tests ask for that:
 * runs above and below the middle of the alphabet,
 * serial correlation of neighbouring symbols.
 
-A candidate's p is three times the least of the three.  Random strings have p
-spread over 0..1, ordinary ones near 0, but short ones give the tests little
-to see.  So the threshold is set for each encoding and length band from the
-counts of p over all documents: the upper half of the p tells how many are
-random, the rest above a threshold are false discoveries, and the lowest
-threshold that keeps their share within ``FALSE_SHARE`` is used.
+The three p are combined by Fisher's method.  Random strings have p spread over
+0..1, ordinary ones near 0, but short ones give the tests little to see.  So
+the threshold is set for each encoding and length band, from two references of
+strings that are no secrets: names made of common words, and the runs of the
+documents themselves that hold no digit.  Their tails tell how many of the
+ordinary candidates, counted by the lowest p over all documents, would pass a
+threshold; the lowest one that keeps those within ``FALSE_SHARE`` of all that
+pass is used.  Where none does, the battery adds nothing.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -50,6 +53,14 @@ ENCODINGS = (
 BANDS = (20, 28, 40, 64, 128)
 P_BINS = 20
 FALSE_SHARE = 0.05
+#: Reference names for each encoding and length band, and how many runs without a digit a band needs to be a reference.
+REFERENCE_NAMES, LEAST_RUNS = 2000, 50
+#: Common words of names and paths, and pieces of hexadecimal numbers that are no secrets.
+NAME_WORDS = ("user data file name list item page view test main core base code type value index table column row key map set get put post log info error "
+              "debug config server client cache queue event source target input output build release version module package service handler factory "
+              "manager session request response message content image video audio report summary detail record field label group member account profile "
+              "section chapter history archive backup order product customer invoice payment river house stone market garden winter summer").split()
+HEX_PIECES = "00 01 02 10 20 ff 0000 ffff 1234 2024 2023 0101 1231 dead beef cafe face babe feed abcd 00ff a0 b1 c2 0a 0b 0c 80 7f 55 aa".split()
 #: Symbols of a candidate that the tests read at a time; longer ones are judged by all their pieces.
 GROUP = 512
 
@@ -143,10 +154,11 @@ def correlation(symbols: Column, size: int) -> Column:
 
 
 def p_of(symbols: Column, size: int) -> Column:
-    """Three times the least of the three tests' p, 1 at most; over groups of a long candidate, the least again."""
+    """Fisher's combination of the three tests' p; over groups of a long candidate, the least times their number."""
     def of(group):
-        tests = [normal_tails(test(group, size)) for test in (uniformity, runs, correlation)]
-        return F.least(F.lit(1.0), 3 * F.least(*tests))
+        logs = [F.ln(F.greatest(normal_tails(test(group, size)), F.lit(1e-300))) for test in (uniformity, runs, correlation)]
+        # the chance that three uniform numbers have a product as small as theirs
+        return let(-(logs[0] + logs[1] + logs[2]), lambda x: F.least(F.lit(1.0), F.exp(-x) * (1 + x + x * x / 2)))
 
     last = F.floor((F.size(symbols) - 1) / GROUP).cast("int")
     parts = F.filter(F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(symbols, k * GROUP + 1, F.lit(GROUP))),
@@ -182,44 +194,89 @@ def found_values(text: Column, pattern: str) -> Column:
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, none).otherwise(place(found)))
 
 
-def candidates(text: Column) -> Column:
-    """Array of (start, end, encoding, band, p) of the candidates that hold a digit and a letter; some hold others."""
+def candidates(text: Column, plain: bool = False) -> Column:
+    """Array of (start, end, encoding, band, p, plain) of the candidates that hold a digit and a letter; some hold others.
+
+    ``plain`` adds the runs that hold no digit, marked as such: no secrets.
+    """
     spans = F.array_distinct(F.concat(*(found_values(text, pattern) for pattern in CANDIDATES)))
-    mixed = F.filter(spans, lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
-                     & (F.length(F.regexp_replace(s["value"], "=+$", "")) >= BANDS[0]))
+    wanted = (lambda s: s["value"].rlike("[A-Za-z]")) if plain else (lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
+    mixed = F.filter(spans, lambda s: wanted(s) & (F.length(F.regexp_replace(s["value"], "=+$", "")) >= BANDS[0]))
     return F.transform(mixed, lambda s: let(battery(s["value"]), lambda b: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), b["encoding"].alias("encoding"), b["band"].alias("band"), b["p"].alias("p"))))
+        s["start"].alias("start"), s["end"].alias("end"), b["encoding"].alias("encoding"), b["band"].alias("band"), b["p"].alias("p"),
+        (~s["value"].rlike("[0-9]") if plain else F.lit(False)).alias("plain"))))
+
+
+def reference_names() -> list[tuple[str]]:
+    """Names made of common words, ``REFERENCE_NAMES`` for each encoding and length band, the same in every run."""
+    rng = random.Random(5)
+    pick = rng.choice
+
+    def name(kind: str, length: int) -> str:
+        if kind == "hex":
+            join, piece = "", lambda: pick(HEX_PIECES)
+        elif kind == "base64":
+            join, piece = pick("-_/"), lambda: pick((pick(NAME_WORDS), pick(NAME_WORDS), pick(NAME_WORDS).title(), str(rng.randrange(100))))
+        elif kind == "base62":
+            join, piece = "", lambda: pick((pick(NAME_WORDS).title(), pick(NAME_WORDS).title(), pick(NAME_WORDS), str(rng.randrange(100))))
+        elif kind == "base32":
+            join, piece = "", lambda: pick((pick(NAME_WORDS).upper(), pick(NAME_WORDS).upper(), pick("234567")))
+        else:
+            join, piece = "", lambda: pick((pick(NAME_WORDS), pick(NAME_WORDS), str(rng.randrange(100))))
+        out = piece()
+        while len(out) < length:
+            out += join + piece()
+        return out[:length]
+
+    ends = (*BANDS[1:], 2 * BANDS[-1])
+    return [(name(kind, rng.randrange(low, high)),) for kind, *_ in ENCODINGS for low, high in zip(BANDS, ends) for _ in range(REFERENCE_NAMES)]
+
+
+def binned(found: DataFrame) -> DataFrame:
+    """``(encoding, band, plain, bin, n)`` of candidates ``c``."""
+    p_bin = F.least(F.floor(F.col("c.p") * P_BINS), F.lit(P_BINS - 1)).cast("int").alias("bin")
+    return found.groupBy("c.encoding", "c.band", "c.plain", p_bin).agg(F.count("*").alias("n"))
 
 
 def thresholds(docs: DataFrame, text_col: str = "text") -> list[list[float]]:
     """Least p of a discovery for each encoding and length band, above 1 where there is none.
 
-    Counts over all documents; at most one row for each encoding, band and bin
-    (5 x 5 x 20) comes to the driver.
+    Counts over all documents; at most one row for each encoding, band, bin
+    and kind (5 x 5 x 20 x 2) comes to the driver.
     """
+    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    counted = (
-        docs.select(F.explode(candidates(text)).alias("c"))
-        .groupBy("c.encoding", "c.band", F.least(F.floor(F.col("c.p") * P_BINS), F.lit(P_BINS - 1)).cast("int").alias("bin"))
-        .count().collect()
-    )
-    bins = [[[0] * P_BINS for _ in BANDS] for _ in ENCODINGS]
-    for r in counted:
-        bins[r.encoding][r.band][r.bin] += r["count"]
-    return [[lowest_threshold(b) for b in bands] for bands in bins]
-
-
-def lowest_threshold(counts: Sequence[int]) -> float:
-    """Lowest bin edge whose discoveries exceed the random ones expected there by ``FALSE_SHARE`` at most."""
-    half = len(counts) // 2
-    # p is capped at 1, so its upper half holds at least half of the random strings
-    random = 2 * sum(counts[half:])
-    for k in range(1, half):
+    names = spark.createDataFrame(reference_names(), "name string").repartition(spark.sparkContext.defaultParallelism)
+    # a name is judged as a whole, whatever runs it would fall into
+    known = names.select(battery(F.col("name")).alias("b")).select(F.struct("b.encoding", "b.band", "b.p", F.lit(True).alias("plain")).alias("c"))
+    count = lambda rows: [[[[0] * P_BINS for _ in BANDS] for _ in ENCODINGS] for _ in range(rows)]
+    reference, (own, plain) = count(1)[0], count(2)
+    for r in binned(known).collect():
+        reference[r.encoding][r.band][r.bin] += r.n
+    for r in binned(docs.select(F.explode(candidates(text, plain=True)).alias("c"))).collect():
+        (plain if r.plain else own)[r.encoding][r.band][r.bin] += r.n
+    return [[lowest_threshold(own[e][b], [reference[e][b]] + [plain[e][b]] * (sum(plain[e][b]) >= LEAST_RUNS)) for b in range(len(BANDS))]
+            for e in range(len(ENCODINGS))]
+
+
+def tail(counts: Sequence[int], k: int) -> float:
+    """Share of a reference from bin ``k`` on, never less than one string beyond it would make it."""
+    return (1 + sum(counts[k:])) / (1 + sum(counts))
+
+
+def lowest_threshold(counts: Sequence[int], references: Sequence[Sequence[int]]) -> float:
+    """Lowest bin edge at which the ordinary strings expected to pass are within ``FALSE_SHARE`` of all that do; 2 if there is none.
+
+    The ordinary ones among the candidates follow from the lowest bin, where
+    hardly anything else is, and the references' share of it.
+    """
+    least = max(1 - max(tail(r, 1) for r in references), 1 / P_BINS)
+    ordinary = min(sum(counts), counts[0] / least)
+    for k in range(1, len(counts)):
         found = sum(counts[k:])
-        expected = min(found, random * (1 - k / len(counts)))
-        if found and found - expected <= FALSE_SHARE * found:
+        if found and ordinary * max(tail(r, k) for r in references) <= FALSE_SHARE * found:
             return k / len(counts)
-    return 0.5 if random else 2.0
+    return 2.0
 
 
 def all_spans(text: Column, limits: list[list[float]]) -> Column:

@@ -44,9 +44,39 @@ def test_battery_finds_random_strings_and_leaves_names(spark):
 
 
 def test_threshold():
-    assert secret_scan.lowest_threshold([900] + [10] * 19) == 0.05
-    assert secret_scan.lowest_threshold([900, 100, 40] + [10] * 17) > 0.1
-    assert secret_scan.lowest_threshold([50] + [0] * 19) > 1
+    names = [1900] + [5] * 19 + [0] * 0
+    assert secret_scan.lowest_threshold([0] + [10] * 19, [names]) == 0.05  # nothing ordinary among them
+    assert secret_scan.lowest_threshold([1000] + [1] * 19, [names]) == 2.0  # what passes is what names let expect
+    assert 0.05 < secret_scan.lowest_threshold([1000] + [60] * 19, [[1800] + [100] + [5] * 18]) < 1
+    assert secret_scan.lowest_threshold([1000] + [60] * 19, [names, [100] + [100] * 19]) == 2.0  # the stricter reference counts
+    assert secret_scan.lowest_threshold([0] * 20, [names]) == 2.0
+
+
+def ordinary_names(rng, n):
+    words = secret_scan.NAME_WORDS[::2] + "quarter monthly revenue estimate deviation temperature humidity pressure sensor calibration".split()
+    forms = (lambda w: "".join(x.title() for x in w) + str(rng.randrange(100)), lambda w: "_".join(w) + f"_v{rng.randrange(10)}",
+             lambda w: "-".join(w) + f"-{rng.randrange(2000, 2030)}", lambda w: "/".join(w) + f"/part{rng.randrange(50)}")
+    return [rng.choice(forms)(rng.choices(words, k=rng.randint(4, 6))) for _ in range(n)]
+
+
+def test_a_corpus_without_secrets_has_no_span(spark):
+    rng = random.Random(21)
+    docs = spark.createDataFrame([(i, f"see {n} and {m} here") for i, (n, m) in enumerate(zip(ordinary_names(rng, 1600), ordinary_names(rng, 1600)))], "doc_id long, text string")
+    found = sum(len(r.spans) for r in secret_scan.scan(docs).collect())
+    assert found <= 3, found
+
+
+def test_few_secrets_among_many_names(spark):
+    """One text in a hundred holds a key: what is found is right within twice the stated share."""
+    rng = random.Random(22)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    names = ordinary_names(rng, 3960)
+    keys = ["".join(rng.choices(alphabet, k=64)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, f"see {v} here") for i, v in enumerate(keys + names)], "doc_id long, text string")
+    found = [r.doc_id for r in secret_scan.scan(docs).collect() if r.spans]
+    wrong = sum(i >= len(keys) for i in found)
+    assert wrong <= 2 * secret_scan.FALSE_SHARE * max(len(found), 20), (wrong, len(found))
+    assert len(found) - wrong >= 20, len(found)
 
 
 def test_battery_finds_secrets_behind_names_and_paths(spark):
