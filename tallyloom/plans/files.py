@@ -104,6 +104,53 @@ def s6_platform_map(spark, sf):
     return pf.platform_map(platform_lines(spark, sf, F.when(F.col("p_partkey") % 5 == 0, "---").otherwise(F.concat(brand, F.lit(" /// "), "p_type"))))
 
 
+@query("s6_platform_verdicts", """SELECT p_brand AS file, CASE WHEN ascii(right(p_brand, 1)) % 2 = 0 THEN 'ID' ELSE 'PROBE_ID' END AS key,
+  CASE WHEN p_brand = 'Brand#1' THEN NULL WHEN ascii(right(p_brand, 1)) % 2 = 0 THEN 'Gene Symbol' ELSE 'SYMBOL' END AS symbol, p_brand <> 'Brand#1' AS usable,
+  CASE WHEN p_brand = 'Brand#1' THEN 'no_symbol_column' ELSE 'ok' END AS reason FROM part GROUP BY p_brand""")
+def s6_platform_verdicts(spark, sf):
+    """One file has no symbol column; it is reported and doesn't stop the others."""
+    lines = platform_lines(spark, sf, F.lit("TP53"))
+    worse = lines.withColumn("line", F.when((F.col("file") == "Brand#1") & F.col("line").contains("\tNote"), "PROBE_ID\tName\tLocus\tNote").otherwise(F.col("line")))
+    return pf.platform_verdicts(worse).select("file", "key", "symbol", "usable", "reason")
+
+
+@query("s8_second_vendor", """SELECT CAST(p_partkey AS VARCHAR) AS feature, replace(p_brand, '#', '') AS target FROM part WHERE p_partkey % 5 <> 0""")
+def s8_second_vendor(spark, sf):
+    """The second vendor's layout: its own column names, its own order of preference among them."""
+    parts = table(spark, sf, "part")
+    symbol = F.when(F.col("p_partkey") % 5 == 0, "---").otherwise(F.replace("p_brand", F.lit("#"), F.lit("")))
+    body = parts.select((F.col("p_partkey") + 10).alias("line_no"), F.concat_ws("\t", F.col("p_partkey").cast("string"), F.lit("other"), symbol).alias("line"))
+    head = spark.range(1).select(F.lit(0).cast("long").alias("line_no"), F.lit("ID\tSymbol\tILMN_Gene").alias("line"))
+    return pf.platform_map(head.unionByName(body), pf.ILLUMINA_SYMBOL_COLUMNS)
+
+
+@query("s27_imputed_matrix", """WITH v AS (SELECT l_linestatus AS file, CAST(l_partkey // 2 AS VARCHAR) AS feature, l_returnflag AS sample, avg(q) AS value
+  FROM (SELECT l_linestatus, l_partkey, l_returnflag, max(l_quantity) AS q FROM lineitem WHERE (l_partkey // 2) % 10 <> 0 GROUP BY 1, 2, 3) GROUP BY 1, 2, 3),
+m AS (SELECT file, sample, avg(value) AS mean FROM v GROUP BY 1, 2)
+SELECT f.file, f.feature, m.sample, round(coalesce(v.value, m.mean), 6) AS value FROM (SELECT DISTINCT file, feature FROM v) f JOIN m ON m.file = f.file
+  LEFT JOIN v ON v.file = f.file AND v.feature = f.feature AND v.sample = m.sample""")
+def s27_imputed_matrix(spark, sf):
+    """Two neighbouring parts share a feature name; every tenth name is one of the vendor's own."""
+    renamed = F.regexp_replace("line", '^"([0-9]+)"', F.concat(F.lit('"'), F.expr("CAST(CAST(regexp_extract(line, '^\"([0-9]+)\"', 1) AS BIGINT) div 2 AS STRING)"), F.lit('"')))
+    lines = matrix_lines(spark, sf).withColumn("line", F.when(F.col("line").rlike('^"[0-9]+"'), renamed).otherwise(F.col("line")))
+    out = mx.imputed_matrix(lines, F.coalesce(F.expr("try_cast(feature AS BIGINT)") % 10 == 0, F.lit(False)))
+    return out.withColumn("value", F.round("value", 6))
+
+
+@query("j15_positional_samples", f"""SELECT n_nationkey AS file, CAST(pos AS INT) AS pos, 'col' || pos AS sample, CASE WHEN pos < n_nationkey % 4 THEN n_name || ' ' || pos ELSE 'col' || pos END AS title,
+  CASE WHEN pos < n_nationkey % 4 THEN CASE WHEN pos % 2 = 0 THEN 'even' ELSE 'odd' END ELSE 'Unknown' END AS "group" FROM nation, (SELECT unnest(range(4)) AS pos)""")
+def j15_positional_samples(spark, sf):
+    """Each nation's file names fewer samples than its score table has columns."""
+    nations = table(spark, sf, "nation")
+    quoted = lambda value: F.array_join(F.transform(F.slice(F.array(*[F.lit(k) for k in range(4)]), F.lit(1), (F.col("n_nationkey") % 4).cast("int")), lambda k: F.concat(F.lit('"'), value(k), F.lit('"'))), "\t")
+    titles = F.concat(F.lit("!Sample_title\t"), quoted(lambda k: F.concat("n_name", F.lit(" "), k.cast("string"))))
+    sources = F.concat(F.lit("!Sample_source_name_ch1\t"), quoted(lambda k: F.when(k % 2 == 0, "even").otherwise("odd")))
+    lines = nations.select(F.col("n_nationkey").alias("file"), F.posexplode(F.array(titles, sources)).alias("line_no", "line"))
+    columns = nations.select(F.col("n_nationkey").alias("file"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pos")).withColumn(
+        "sample", F.concat(F.lit("col"), F.col("pos").cast("string")))
+    return mx.positional_samples(columns, lines, F.col("source")).drop("source")
+
+
 @query("s7_platform_map_all", """SELECT p_brand AS file, CAST(p_partkey AS VARCHAR) AS feature, unnest([p_brand, p_type]) AS target FROM part""")
 def s7_platform_map_all(spark, sf):
     mark = F.element_at(F.array(*[F.lit(m) for m in pf.SEPARATORS]), (F.col("p_partkey") % 5 + 1).cast("int"))

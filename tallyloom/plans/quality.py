@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import design as dz
 from tallyloom.operators import quality as ql
+from tallyloom.operators import rule_tables as rt
 from tallyloom.operators import statistics as st
 from tallyloom.operators.ordering import top_rows
 from tallyloom.plans.classification import CLASSIFIED, TERMS, classified, entries
@@ -154,6 +155,84 @@ def q13_recommendation_codes(spark, sf):
     return ql.threshold_codes(metrics, rules).select("metric", "code")
 
 
+METRICS = f"""{CLASSIFIED}, own AS (SELECT source, count(*) AS n, count(*) FILTER (namespace = 'biological_process') AS process, avg(CASE WHEN definition IS NULL THEN 1.0 ELSE 0 END) AS undefined,
+  avg(CASE WHEN id % 17 = 3 THEN 1.0 ELSE 0 END) AS obsolete, count(*) FILTER (contains(name, 'metabolism') OR contains(coalesce(definition, ''), 'metabolism')) AS metabolism,
+  count(*) FILTER (system = '0') AS unclassified FROM cls GROUP BY 1),
+sizes AS (SELECT count(*) AS k FROM cls WHERE system <> '0' GROUP BY system),
+metrics AS (SELECT 'terms' AS scope, unnest(['process_terms', 'obsolete_share', 'missing_definition_share', 'errors']) AS metric, unnest([process * 1.0, obsolete, undefined, 0.0]) AS value FROM own WHERE source = 'GO'
+  UNION ALL SELECT 'pathways', unnest(['pathways', 'metabolism_pathways', 'warnings']), unnest([n * 1.0, metabolism * 1.0, unclassified * 1.0]) FROM own WHERE source = 'KEGG'
+  UNION ALL SELECT 'coverage', 'coverage', 1 - sum(unclassified) / sum(n) FROM own UNION ALL SELECT 'coverage', 'largest_to_smallest_system', max(k) * 1.0 / min(k) FROM sizes)"""
+
+
+def quality_metrics(spark, sf):
+    rows = classified(spark, sf)
+    share = lambda c: F.avg(c.cast("double"))
+    own = cut(rows.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("namespace") == "biological_process").alias("process"), share(F.col("definition").isNull()).alias("undefined"),
+        share(F.col("id") % 17 == 3).alias("obsolete"), F.count_if(F.col("name").contains("metabolism") | F.coalesce("definition", F.lit("")).contains("metabolism")).alias("metabolism"),
+        F.count_if(F.col("system") == "0").alias("unclassified")))
+    named = lambda scope, **figures: F.array(*[F.struct(F.lit(scope).alias("scope"), F.lit(k).alias("metric"), F.col(c).cast("double").alias("value")) if isinstance(c, str)
+                                              else F.struct(F.lit(scope).alias("scope"), F.lit(k).alias("metric"), F.lit(c).alias("value")) for k, c in figures.items()])
+    terms = own.filter("source = 'GO'").select(F.inline(named("terms", process_terms="process", obsolete_share="obsolete", missing_definition_share="undefined", errors=0.0)))
+    pathways = own.filter("source = 'KEGG'").select(F.inline(named("pathways", pathways="n", metabolism_pathways="metabolism", warnings="unclassified")))
+    covered = own.agg((1 - F.sum("unclassified") / F.sum("n")).alias("c")).select(F.inline(named("coverage", coverage="c")))
+    sizes = rows.filter("system <> '0'").groupBy("system").agg(F.count(F.lit(1)).alias("k")).agg((F.max("k") / F.min("k")).alias("k"))
+    return terms.unionByName(pathways).unionByName(covered).unionByName(sizes.select(F.inline(named("coverage", largest_to_smallest_system="k"))))
+
+
+RULE_ROWS = ", ".join(f"('{s}', '{m}', '{o}', {x}, '{c}', '{v}', {p})" for s, m, o, x, c, v, p in rt.SHIPPED_THRESHOLDS)
+
+
+@query("q13_shipped_thresholds", f"""WITH {METRICS}, rules(scope, metric, op, lim, code, severity, priority) AS (VALUES {RULE_ROWS}),
+fit AS (SELECT m.scope, m.metric, m.value, code, severity, row_number() OVER (PARTITION BY m.scope, m.metric ORDER BY priority, code) AS i FROM metrics m JOIN rules r ON r.metric = m.metric AND r.scope IN (m.scope, '*')
+  AND CASE op WHEN '<' THEN value < lim WHEN '<=' THEN value <= lim WHEN '>' THEN value > lim WHEN '>=' THEN value >= lim ELSE value = lim END)
+SELECT scope, metric, round(value, 6) AS value, code, severity FROM fit WHERE i = 1""")
+def q13_shipped_thresholds(spark, sf):
+    return rounded(rt.broken_thresholds(quality_metrics(spark, sf), rt.threshold_frame(spark)), "value")
+
+
+@query("q11_issue_priorities", f"""WITH {CLASSIFIED}, k AS (SELECT 'errors' AS category, count(*) FILTER (name IS NULL OR name = '') AS n FROM cls UNION ALL SELECT 'warnings', count(*) FILTER (definition IS NULL) FROM cls
+  UNION ALL SELECT 'low_coverage', CASE WHEN avg(CASE WHEN system = '0' THEN 1.0 ELSE 0 END) > 0.2 THEN count(*) FILTER (system = '0') ELSE 0 END FROM cls
+  UNION ALL SELECT 'no_match', count(*) FILTER (system = '0' AND kind <> 'general') FROM cls UNION ALL SELECT 'general', count(*) FILTER (kind = 'general') FROM cls),
+r AS (SELECT category, CASE WHEN category IN ('errors', 'low_coverage', 'system_error') THEN 'high' ELSE 'medium' END AS priority, n AS "count",
+  CASE category WHEN 'errors' THEN 'critical' WHEN 'low_coverage' THEN 'high' ELSE 'moderate' END AS impact FROM k WHERE n > 0)
+SELECT *, row_number() OVER (ORDER BY CASE priority WHEN 'high' THEN 3 ELSE 2 END DESC, "count" DESC, category) AS place FROM r""")
+def q11_issue_priorities(spark, sf):
+    rows = classified(spark, sf)
+    missed = F.col("system") == "0"
+    one = rows.agg(
+        F.count_if(F.col("name").isNull() | (F.col("name") == "")).alias("errors"), F.count_if(F.col("definition").isNull()).alias("warnings"),
+        F.when(F.avg(missed.cast("double")) > 0.2, F.count_if(missed)).otherwise(0).alias("low_coverage"),
+        F.count_if(missed & (F.col("kind") != "general")).alias("no_match"), F.count_if(F.col("kind") == "general").alias("general"))
+    return rt.issue_priorities(cut(one.unpivot([], one.columns, "category", "count")))
+
+
+@query("q11_estimated_gain", f"""WITH {CLASSIFIED}, f AS (SELECT source, count(*) FILTER (definition IS NULL AND id % 7 = 0) AS errors, count(*) FILTER (system = '0' AND kind <> 'general') AS recoverable, count(*) AS entries FROM cls GROUP BY 1),
+g AS (SELECT *, least(20.0, errors * 2.0) AS error_gain, recoverable * 100.0 / entries AS coverage_gain FROM f)
+SELECT source, errors, recoverable, entries, CAST(error_gain AS DOUBLE) AS error_gain, round(coverage_gain, 6) AS coverage_gain, round(error_gain + coverage_gain * 0.6, 6) AS total_gain,
+  CASE WHEN errors > 10 THEN 'high' WHEN errors > 0 THEN 'medium' END AS error_effort, CASE WHEN errors = 0 AND recoverable = 0 THEN 'minimal' ELSE 'low' END AS effort FROM g""")
+def q11_estimated_gain(spark, sf):
+    figures = classified(spark, sf).groupBy("source").agg(
+        F.count_if(F.col("definition").isNull() & (F.col("id") % 7 == 0)).alias("errors"),
+        F.count_if((F.col("system") == "0") & (F.col("kind") != "general")).alias("recoverable"), F.count(F.lit(1)).alias("entries"))
+    return rounded(rt.estimated_gain(figures), "coverage_gain", "total_gain")
+
+
+TITLE_RULES = [("1-URGENT", 1, "^F of 199[0-6]", "early"), ("1-URGENT", 2, "^F ", "done"), ("2-HIGH", 1, "7$", "seventh"), ("*", 1, "^O ", "open"), ("*", 2, "of 1998", "last")]
+
+
+@query("f13_title_groups", f"""WITH t AS (SELECT o_orderkey AS sample, o_orderpriority AS dataset, o_orderstatus || ' of ' || year(o_orderdate) AS title FROM orders),
+rules(scope, priority, pattern, effect) AS (VALUES {", ".join(f"('{a}', {b}, '{c}', '{d}')" for a, b, c, d in TITLE_RULES)}),
+m AS (SELECT sample, effect, row_number() OVER (PARTITION BY sample ORDER BY scope = '*', priority, effect) AS i FROM t JOIN rules ON scope IN (dataset, '*') AND regexp_matches(title, pattern))
+SELECT t.sample, coalesce(effect, 'Unknown') AS "group" FROM t LEFT JOIN (SELECT * FROM m WHERE i = 1) m USING (sample)""")
+def f13_title_groups(spark, sf):
+    """Rules by dataset for what a sample's title says of its group."""
+    titles = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("sample"), F.col("o_orderpriority").alias("dataset"),
+        F.concat("o_orderstatus", F.lit(" of "), F.year("o_orderdate").cast("string")).alias("title"))
+    return rt.first_by_rule(titles, rt.rule_frame(spark, TITLE_RULES), ["sample"], "dataset", "title", "group", "Unknown").select("sample", "group")
+
+
 @query("g14_ontology_statistics", f"""WITH {TERMS} SELECT namespace, count(*) AS n, count(definition) AS defined, count(DISTINCT name) AS names FROM terms GROUP BY 1""")
 def g14_ontology_statistics(spark, sf):
     return entries(spark, sf).groupBy("namespace").agg(

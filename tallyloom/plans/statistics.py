@@ -32,6 +32,19 @@ def tail_sql(z: str) -> str:
     return TAIL.replace("{t}", t).replace("{z}", z)
 
 
+#: two-sided p of Student's t for whole degrees of freedom, by its finite series in the angle atan(t / sqrt(df))
+T_SERIES = """CASE WHEN {df} % 2 = 1 THEN 1 - 2 / pi() * ({a} + CASE WHEN {df} = 1 THEN 0 ELSE sin({a}) * {sum} END) ELSE 1 - sin({a}) * {sum} END"""
+
+
+def t_tail_sql(t: str, df: str) -> str:
+    angle = f"atan(abs({t}) / sqrt({df}))"
+    # terms cos, cos^3 2/3, cos^5 2*4/(3*5) .. for odd, 1, cos^2 1/2, cos^4 1*3/(2*4) .. for even degrees
+    product = "list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(1, j + 1), lambda q: CASE WHEN {df} % 2 = 1 THEN 2.0 * q / (2 * q + 1) ELSE (2.0 * q - 1) / (2 * q) END)), lambda u, v: u * v)"
+    terms = ("list_sum(list_transform(range(0, CAST(({df} - CASE WHEN {df} % 2 = 1 THEN 1 ELSE 0 END) // 2 AS BIGINT)), lambda j: " + product
+             + " * power(cos({a}), 2 * j + CASE WHEN {df} % 2 = 1 THEN 1 ELSE 0 END)))")
+    return T_SERIES.replace("{sum}", terms).replace("{a}", angle).replace("{df}", df)
+
+
 def rows(spark, sf):
     return values(spark, sf).join(design(spark, sf), ["dataset", "sample"])
 
@@ -93,9 +106,11 @@ def t4_mean_variance_d(spark, sf):
     return rounded(st.pooled_t(two_groups(spark, sf), d_by="mean"), "d").select(*KEYS, "d")
 
 
-@query("t4_pooled_t_p_values")
+@query("t4_pooled_t_p_values", f"""WITH {TWO}, t AS (SELECT dataset, feature, n_a + n_b - 2 AS df, diff / (sd * sqrt(1.0 / n_a + 1.0 / n_b)) AS t, diff / sd AS d FROM e),
+p AS (SELECT *, round({t_tail_sql('t', 'df')}, 6) + 0 AS p FROM t)
+SELECT dataset, feature, p AS p_value, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars,
+  CASE WHEN abs(d) >= 0.8 THEN 'Large' WHEN abs(d) >= 0.5 THEN 'Medium' WHEN abs(d) >= 0.2 THEN 'Small' ELSE 'Negligible' END AS effect FROM p""")
 def t4_pooled_t_p_values(spark, sf):
-    """p of the pooled t (no t distribution in SQL)."""
     out = st.pooled_t(two_groups(spark, sf))
     return rounded(out, "p_value").select(*KEYS, "p_value", labels.stars(F.col("p_value")).alias("stars"),
                                           labels.effect_word(F.col("d")).alias("effect"))
@@ -130,7 +145,12 @@ def t7_one_way_anova(spark, sf):
     return rounded(out, "f", "eta2").select("feature", "groups", "n", "f", "eta2")
 
 
-@query("t7_anova_p_values")
+@query("t7_anova_p_values", f"""WITH {ROWS}, g AS (SELECT feature, response, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM rows GROUP BY 1, 2),
+o AS (SELECT feature, sum(n * m) / sum(n) AS grand FROM g GROUP BY 1),
+p AS (SELECT feature, count(*) AS k, CAST(sum(n) AS BIGINT) AS n, sum(n * (m - grand) * (m - grand)) AS ssb, sum((n - 1) * coalesce(v, 0)) AS ssw FROM g JOIN o USING (feature) GROUP BY 1),
+f AS (SELECT feature, k - 1 AS df1, n - k AS df2, (ssb / (k - 1)) / (ssw / (n - k)) AS f, ssb / (ssb + ssw) AS eta2 FROM p)
+SELECT feature, df1, df2, round(CASE df1 WHEN 2 THEN power(1 + 2 * f / df2, -df2 / 2.0) WHEN 1 THEN {t_tail_sql('sqrt(f)', 'df2')} END, 6) + 0 AS p_value,
+  CASE WHEN eta2 >= 0.14 THEN 'Large' WHEN eta2 >= 0.06 THEN 'Medium' ELSE 'Small' END AS size FROM f""")
 def t7_anova_p_values(spark, sf):
     out = st.anova(st.group_moments(rows(spark, sf), ["feature"], "response"), ["feature"])
     return rounded(out, "p_value").select("feature", "df1", "df2", "p_value", labels.eta_word(F.col("eta2")).alias("size"))
@@ -255,7 +275,9 @@ def t13_trend(spark, sf):
     return rounded(out, "r", "range", "cv", "change").select("feature", "times", "r", "range", "cv", "change_point", "change")
 
 
-@query("t13_trend_classes")
+@query("t13_trend_classes", f"""WITH {POINTS}, c AS (SELECT feature, count(*) AS n, corr(i, mean) AS r FROM pt GROUP BY 1), t AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t, n - 2 AS df FROM c),
+p AS (SELECT *, {t_tail_sql('t', 'df')} AS p FROM t)
+SELECT feature, CASE WHEN r > 0.3 AND p < 0.05 THEN 'increasing' WHEN r < -0.3 AND p < 0.05 THEN 'decreasing' ELSE 'stable' END AS trend, round(p, 6) + 0 AS p_value FROM p""")
 def t13_trend_classes(spark, sf):
     out = st.trend(st.time_points(monthly(spark, sf), ["feature"], "t"), ["feature"], "t")
     return rounded(out, "p_value").select("feature", "trend", "p_value")
@@ -327,7 +349,9 @@ def t18_correlation_with_size(spark, sf):
     return rounded(st.trait_association(x, ["feature"], "s"), "r", "r2")
 
 
-@query("t18_correlation_p_values")
+@query("t18_correlation_p_values", f"""WITH x AS (SELECT p_brand AS feature, p_size AS s, ln(l_extendedprice) AS v FROM lineitem JOIN part ON l_partkey = p_partkey),
+c AS (SELECT feature, count(*) AS n, round(corr(s, v), 6) AS r FROM x GROUP BY 1), t AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t, n - 2 AS df FROM c)
+SELECT feature, round({t_tail_sql('t', 'df')}, 6) + 0 AS p_value, CASE WHEN abs(r) >= 0.5 THEN 'Large' WHEN abs(r) >= 0.3 THEN 'Medium' WHEN abs(r) >= 0.1 THEN 'Small' ELSE 'Negligible' END AS effect FROM t""")
 def t18_correlation_p_values(spark, sf):
     out = t18_correlation_with_size(spark, sf)
     return out.select("feature", F.round(st.correlation_p(F.col("r"), F.col("n")), 6).alias("p_value"),
@@ -420,19 +444,6 @@ def t23_extreme_pairs(spark, sf):
     return rounded(co.extreme_pairs(st.pair_correlations(system_scores(spark, sf), [], "sample", "system", "score"), []).drop("n"), "r")
 
 
-#: two-sided p of Student's t for whole degrees of freedom, by its finite series in the angle atan(t / sqrt(df))
-T_SERIES = """CASE WHEN {df} % 2 = 1 THEN 1 - 2 / pi() * ({a} + CASE WHEN {df} = 1 THEN 0 ELSE sin({a}) * {sum} END) ELSE 1 - sin({a}) * {sum} END"""
-
-
-def t_tail_sql(t: str, df: str) -> str:
-    angle = f"atan(abs({t}) / sqrt({df}))"
-    # terms cos, cos^3 2/3, cos^5 2*4/(3*5) .. for odd, 1, cos^2 1/2, cos^4 1*3/(2*4) .. for even degrees
-    product = "list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(1, j + 1), lambda q: CASE WHEN {df} % 2 = 1 THEN 2.0 * q / (2 * q + 1) ELSE (2.0 * q - 1) / (2 * q) END)), lambda u, v: u * v)"
-    terms = ("list_sum(list_transform(range(0, CAST(({df} - CASE WHEN {df} % 2 = 1 THEN 1 ELSE 0 END) // 2 AS BIGINT)), lambda j: " + product
-             + " * power(cos({a}), 2 * j + CASE WHEN {df} % 2 = 1 THEN 1 ELSE 0 END)))")
-    return T_SERIES.replace("{sum}", terms).replace("{a}", angle).replace("{df}", df)
-
-
 @query("t24_tested_pairs", f"""WITH {SYS_SCORES}, p AS (SELECT x.system AS a, y.system AS b, corr(x.score, y.score) AS r, count(*) AS n
   FROM sys x JOIN sys y ON x.sample = y.sample AND x.system < y.system GROUP BY 1, 2),
 t AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t, n - 2 AS df FROM p)

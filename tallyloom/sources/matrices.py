@@ -1,17 +1,18 @@
 """Measurement matrices and their sample lines, many files in one scan.
 
-Header and markers are found by line number for each file, and the header, one
-row per file, is joined back on.
+Lines are numbered by file across its splits.  Header and markers are found by
+these numbers, and the header, one row per file, is joined back on.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.filters import MIN_SAMPLES_MATRIX, NON_EXPRESSION_TYPES, to_number
 from tallyloom.functions.rules import any_hit
 from tallyloom.operators.joins import small_side
+from tallyloom.session import cut
 
 # Markers and line names of the matrix format.
 TABLE_BEGIN = "!series_matrix_table_begin"
@@ -28,12 +29,18 @@ STUDY_LINES = {"title": "!Series_title", "summary": "!Series_summary", "design":
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, line) of text files; gzip is read as well.
 
-    ``line_no`` orders the lines of a file read in one split (every gzip file,
-    and any file smaller than a split).
+    ``line_no`` counts a file's lines from 0, however many splits it is read
+    in: the lines of each split are counted first, a row for each split, and a
+    line's number is its place in its split behind those of the splits before.
     """
-    return spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"),
-        F.regexp_replace("value", "\r$", "").alias("line"))
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"), "value")
+    splits = cut(raw.groupBy("file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first")))
+    earlier = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    placed = splits.select("file", "_start", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return raw.join(small_side(placed), ["file", "_start"]).select(
+        "file", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line_no"), F.regexp_replace("value", "\r$", "").alias("line"))
 
 
 def _cells(line: str = "line") -> Column:
@@ -51,6 +58,8 @@ def matrix_values(lines: DataFrame, lenient: bool = False) -> DataFrame:
     """
     line, at = F.col("line"), F.col("line_no")
     is_row = ~line.startswith("!") & (F.trim(line) != "")
+    # written once: markers, header and rows all read it
+    lines = cut(lines.filter(is_row | line.startswith(TABLE_BEGIN) | line.startswith(TABLE_END)).select("file", "line_no", "line"))
     marks = lines.groupBy("file").agg(
         F.min(F.when(line.startswith(TABLE_BEGIN), at)).alias("_begin"), F.min(F.when(line.startswith(TABLE_END), at)).alias("_end"))
     inside = lines.filter(is_row).join(small_side(marks), "file").filter(
@@ -136,3 +145,33 @@ def matrix_verdicts(lines: DataFrame) -> DataFrame:
         .when(F.col("other_type"), "not_expression").when(F.col("mouse"), "mouse")
         .when(F.col("samples") < MIN_SAMPLES_MATRIX, "too_few_samples").otherwise("ok"))
     return out.withColumn("reason", reason).withColumn("usable", F.col("reason") == "ok")
+
+
+def positional_samples(columns: DataFrame, lines: DataFrame, group: Column | None = None) -> DataFrame:
+    """(file, pos, sample, title, source, group): score columns with what the sample lines of their file say at the same place.
+
+    ``columns (file, pos, sample)`` are the columns of a score table, from 0.
+    A place without a line keeps the column's name as its title and ``Unknown``
+    as its group; ``group`` is worked out of title and source.
+    """
+    cells = sample_lines(lines)
+    at = lambda name: F.max(F.when(F.col("name") == name, F.nullif(F.trim("text"), F.lit(""))))
+    known = cells.filter("name IN ('title', 'source')").groupBy("file", "pos").agg(at("title").alias("title"), at("source").alias("source"))
+    joined = columns.select("file", "pos", "sample").join(known, ["file", "pos"], "left")
+    return joined.withColumn("group", F.coalesce(group if group is not None else F.lit(None).cast("string"), F.lit("Unknown"))).withColumn(
+        "title", F.coalesce("title", "sample")).select("file", "pos", "sample", "title", "source", "group")
+
+
+def imputed_matrix(lines: DataFrame, vendor: Column) -> DataFrame:
+    """(file, feature, sample, value): a matrix read, repeated features averaged, gaps filled with the sample's mean, vendor ids left out.
+
+    ``vendor`` says of a column ``feature`` whether it is one of the vendor's
+    own ids; those count for the means no more than for the result.
+    """
+    values = matrix_values(lines).filter(~vendor).groupBy("file", "feature", "sample").agg(F.avg("value").alias("value"))
+    values = cut(values)
+    features, samples = (values.select("file", c).distinct() for c in ("feature", "sample"))
+    means = values.groupBy("file", "sample").agg(F.avg("value").alias("_mean"))
+    # as many rows as the full matrix, which is the result
+    return features.join(samples, "file").join(values, ["file", "feature", "sample"], "left").join(means, ["file", "sample"]).select(
+        "file", "feature", "sample", F.coalesce("value", "_mean").alias("value"))

@@ -99,16 +99,29 @@ def symbol_columns(rows: DataFrame, candidates: list[str] | None = None) -> Data
     return profile.join(lengths, "file", "left").select("file", "key", symbol.alias("symbol"), "texts")
 
 
+def _usable(free_text: bool) -> Column:
+    return F.col("symbol").isNotNull() | (F.col("texts").isNotNull() if free_text else F.lit(False))
+
+
 def _placed(lines: DataFrame, candidates: list[str] | None, free_text: bool) -> DataFrame:
+    """Rows of the files that have a symbol column; the others are named by ``platform_verdicts``."""
     rows = platform_tables(lines)
     chosen = cut(symbol_columns(rows, candidates))  # one row for each file
-    usable = F.col("symbol").isNotNull() | (F.col("texts").isNotNull() if free_text else F.lit(False))
-    counts = chosen.agg(F.count(F.lit(1)).alias("n"), F.count_if(~usable).alias("bad"), F.min_by("file", F.when(~usable, F.col("file"))).alias("file")).first()
+    counts = chosen.agg(F.count(F.lit(1)).alias("n"), F.count_if(_usable(free_text)).alias("usable")).first()
     if not counts["n"]:
         raise ValueError("no platform table found")
-    if counts["bad"]:
-        raise ValueError(f"no symbol column in {counts['bad']} platform tables, such as {counts['file']!r}")
-    return rows.join(small_side(chosen), "file")
+    if not counts["usable"]:
+        raise ValueError(f"no symbol column in any of {counts['n']} platform tables")
+    return rows.join(small_side(chosen.filter(_usable(free_text))), "file")
+
+
+def platform_verdicts(lines: DataFrame, candidates: list[str] | None = None, free_text: bool = True) -> DataFrame:
+    """(file, key, symbol, texts, usable, reason): how each file with lines would be read, and why one is left out."""
+    named = lines if "file" in lines.columns else lines.withColumn("file", F.lit(""))
+    chosen = symbol_columns(platform_tables(lines), candidates)
+    known = named.select("file").distinct().join(chosen.withColumn("_table", F.lit(True)), "file", "left")
+    reason = F.when(F.col("_table").isNull(), "no_table").when(~_usable(free_text), "no_symbol_column").otherwise("ok")
+    return known.withColumn("reason", reason).withColumn("usable", F.col("reason") == "ok").select("file", "key", "symbol", "texts", "usable", "reason")
 
 
 def _own_columns(out: DataFrame, lines: DataFrame) -> DataFrame:

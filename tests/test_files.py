@@ -151,3 +151,35 @@ def test_many_platforms(spark, tmp_path):
     assert pf.symbol_columns(pf.platform_tables(lines)).first().symbol is None
     with pytest.raises(ValueError):
         pf.platform_map_all(lines)
+
+
+def test_line_numbers_over_many_splits(spark, tmp_path):
+    """Files cut into splits of a few hundred bytes keep the order of their lines, and with it markers and header."""
+    rows = [f'"p{k}"\t{k}\t{k + 1}\t{k + 2}' for k in range(300)]
+    for name, trailer in (("a", 'trailer\t9\t9\t9\n'), ("b", "")):
+        (tmp_path / f"{name}.txt").write_text("!Series_title\t\"x\"\njunk before the table\n!series_matrix_table_begin\n\"ID_REF\"\t\"S1\"\t\"S2\"\t\"S3\"\n"
+                                              + "\n".join(rows) + "\n!series_matrix_table_end\n" + trailer)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        lines = mx.read_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        for name in ("a", "b"):
+            got = [r.line for r in lines.filter(F.col("file").endswith(f"/{name}.txt")).orderBy("line_no").collect()]
+            assert got == (tmp_path / f"{name}.txt").read_text().splitlines()
+        numbers = [r.line_no for r in lines.filter(F.col("file").endswith("/a.txt")).orderBy("line_no").collect()]
+        assert numbers == list(range(306))
+        values = mx.matrix_values(lines).collect()
+        assert len(values) == 2 * 900 and {r.sample for r in values} == {"S1", "S2", "S3"} and {r.feature for r in values} == {f"p{k}" for k in range(300)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_one_bad_platform_file_does_not_stop_the_others(spark):
+    lines = spark.createDataFrame([("good", 0, "ID\tGene Symbol"), ("good", 1, "1\tTP53"), ("bad", 0, "ID\tLocus"), ("bad", 1, "2\t77"), ("none", 0, "!nothing")],
+                                  "file string, line_no long, line string")
+    assert [tuple(r) for r in pf.platform_map(lines).collect()] == [("good", "1", "TP53")]
+    got = {r.file: (r.usable, r.reason) for r in pf.platform_verdicts(lines).collect()}
+    assert got == {"good": (True, "ok"), "bad": (False, "no_symbol_column"), "none": (False, "no_table")}
