@@ -202,7 +202,19 @@ def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return kept.unionByName(new)
 
 
-def link_by_pattern(files: DataFrame, column: str, pattern: str, catalogue: DataFrame, key: str) -> DataFrame:
-    """Files joined to the catalogue row whose id appears in the file name."""
+def link_by_pattern(files: DataFrame, column: str, pattern: str, catalogue: DataFrame, key: str, any_other: bool = False) -> DataFrame:
+    """Files joined to the catalogue row whose id appears in the file name.
+
+    ``any_other`` gives a file without such a row the catalogue's first one
+    (least id) instead, with ``matched`` telling which it is.
+    """
     named = files.withColumn(key, F.nullif(F.regexp_extract(column, pattern, 1), F.lit("")))
-    return named.join(catalogue, key, "left")
+    if not any_other:
+        return named.join(catalogue, key, "left")
+    joined = named.join(catalogue.withColumn("_hit", F.lit(True)), key, "left")
+    others = [c for c in catalogue.columns if c != key]
+    first = catalogue.agg(F.min_by(F.struct(*catalogue.columns), key).alias("_first"))  # one row
+    filled = joined.join(F.broadcast(first), F.lit(True), "left")
+    return filled.select(
+        *[c for c in files.columns if c != key], F.when(F.col("_hit"), F.col(key)).otherwise(F.col(f"_first.{key}")).alias(key),
+        *[F.when(F.col("_hit"), F.col(c)).otherwise(F.col(f"_first.{c}")).alias(c) for c in others], F.coalesce("_hit", F.lit(False)).alias("matched"))

@@ -335,6 +335,15 @@ def j13_link_by_name(spark, sf):
     return jn.link_by_pattern(files, "url", r"example\.([a-z]+)", domains, "tld").select("page_id", "tld", "rank")
 
 
+@query("j13_link_or_any", r"""SELECT page_id, CASE regexp_extract(url, 'example\.([a-z]+)', 1) WHEN 'net' THEN 'net' ELSE 'com' END AS tld,
+  CASE regexp_extract(url, 'example\.([a-z]+)', 1) WHEN 'net' THEN 1 ELSE 0 END AS rank, regexp_extract(url, 'example\.([a-z]+)', 1) IN ('com', 'net') AS matched FROM pages""")
+def j13_link_or_any(spark, sf):
+    domains = table(spark, sf, "region").filter("r_regionkey < 2").selectExpr(
+        "CASE r_regionkey WHEN 0 THEN 'com' ELSE 'net' END AS tld", "r_regionkey AS rank")
+    files = table(spark, sf, "pages").select("page_id", "url")
+    return jn.link_by_pattern(files, "url", r"example\.([a-z]+)", domains, "tld", any_other=True).select("page_id", "tld", "rank", "matched")
+
+
 @query("j14_first_known", """SELECT d.doc_id, coalesce(CASE WHEN l.quality = 1 THEN 'good' END, d.source) AS name FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def j14_first_known(spark, sf):
     good = table(spark, sf, "labels").filter("quality = 1").select("doc_id", F.lit("good").alias("name"))

@@ -369,6 +369,16 @@ def g12_quality_metrics(spark, sf):
     return out.join(middle, "_all").drop("_all").withColumn("median_confidence", F.round("median_confidence", 6))
 
 
+@query("g12_path_lengths", f"""WITH {CLASSIFIED}, l AS (SELECT kind, len(string_split(path, ' > ')) AS steps FROM cls)
+SELECT kind, count(*) AS n, round(avg(steps), 6) AS mean_steps, min(steps) AS least, max(steps) AS most, round(coalesce(stddev_samp(steps), 0), 6) AS sd FROM l GROUP BY 1""")
+def g12_path_lengths(spark, sf):
+    """Steps of the decision paths by kind of decision."""
+    rows = classified(spark, sf).select("kind", F.size("path").alias("steps"))
+    return rows.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg("steps"), "mean_steps"), F.min("steps").alias("least"), F.max("steps").alias("most"),
+        r6(F.coalesce(F.stddev_samp("steps"), F.lit(0.0)), "sd"))
+
+
 @query("g12_gini", f"""WITH {CLASSIFIED}, k AS (SELECT count(*) AS v FROM cls GROUP BY system), r AS (SELECT v, row_number() OVER (ORDER BY v) AS i, count(*) OVER () AS n FROM k)
 SELECT round(2 * sum(i * v) / (max(n) * sum(v)) - (max(n) + 1.0) / max(n), 6) AS gini FROM r""")
 def g12_gini(spark, sf):
