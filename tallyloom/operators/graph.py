@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.joins import small_side
 from tallyloom.operators.ordering import running, top_rows
-from tallyloom.session import cut
+from tallyloom.session import add, cut, new_table
 
+#: Levels below the roots that the closure finishes one by one.
+LEVELS = 64
 #: Group names in one packed row when every two groups are laid out.
 GROUP_CHUNK = 1000
 #: Ancestors of more groups than this are carried as dense vectors, so many of them at most.
@@ -31,21 +33,61 @@ def edges_of(terms: DataFrame, key: str, relations: dict[str, str]) -> DataFrame
 def closure(edges: DataFrame) -> DataFrame:
     """(node, ancestor, distance) for every pair, distance by the shortest path.
 
-    Path doubling: each round joins the pairs found so far with themselves, so
-    the rounds grow with the logarithm of the depth.  A round writes one table;
-    it also ends on cycles, once neither pairs nor distances change.
+    Nodes are finished level by level from the roots on: a node whose parents
+    are all finished takes over their lists, so a pair is derived once for each
+    parent that has it, and travels packed.  What ``LEVELS`` levels don't reach,
+    cycles and what lies below them or very long chains, is closed by doubling
+    and then takes over the lists of the finished nodes it ends at.
     """
-    measure = lambda pairs: tuple(pairs.agg(F.count(F.lit(1)), F.sum("distance")).first())
+    left, finished, path = cut(edges.select("child", "parent").distinct()), None, new_table(edges.sparkSession)
+    for _ in range(LEVELS):
+        waiting = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child").distinct()
+        marked = cut(left.join(waiting.withColumn("_waits", F.lit(True)), "child", "left"))
+        ready, left = marked.filter("_waits IS NULL").select("child", "parent"), marked.filter("_waits").select("child", "parent")
+        if ready.isEmpty():
+            break
+        finished = add(_lists(ready, finished), path)
+    pairs = None if finished is None else _unpacked(finished)
+    if left.isEmpty():
+        return _unpacked(_lists(left, None)) if pairs is None else pairs
+    rest = _doubled(left)
+    if pairs is None:
+        return rest
+    upper = pairs.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_up"), F.col("distance").alias("_more"))
+    further = rest.join(upper, "ancestor").select("node", F.col("_up").alias("ancestor"), (F.col("distance") + F.col("_more")).alias("distance"))
+    return pairs.unionByName(cut(rest.unionByName(further).groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))))
+
+
+def _lists(ready: DataFrame, finished: DataFrame | None) -> DataFrame:
+    """(node, distance, ancestors) of nodes whose parents are finished."""
+    one = F.lit(1).cast("long")
+    taken = ready.select("child", one.alias("distance"), F.array("parent").alias("ancestors"))
+    if finished is not None:
+        above = finished.withColumnRenamed("node", "parent")
+        taken = taken.unionByName(ready.join(above.hint("merge"), "parent").select("child", (F.col("distance") + 1).alias("distance"), "ancestors"))
+    # lists are unpacked only once they have come to their node
+    each = taken.repartition("child").select("child", "distance", F.explode("ancestors").alias("ancestor"))
+    nearest = each.groupBy("child", "ancestor").agg(F.min("distance").alias("distance"))
+    return nearest.groupBy(F.col("child").alias("node"), "distance").agg(F.sort_array(F.collect_list("ancestor")).alias("ancestors"))
+
+
+def _unpacked(lists: DataFrame) -> DataFrame:
+    return lists.select("node", F.explode("ancestors").alias("ancestor"), "distance")
+
+
+def _doubled(edges: DataFrame) -> DataFrame:
+    """The closure by doubling: a round joins the pairs of exactly the longest distance so far with all that lie above
+    their ends, which gives every pair up to twice as far; it ends once no pair is that far, so on cycles too."""
     known = cut(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("distance")).distinct())
-    before = measure(known)
+    reach = 1
     while True:
+        far = known.filter(F.col("distance") == reach)
+        if far.isEmpty():
+            return known
         upper = known.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_up"), F.col("distance").alias("_more"))
-        further = known.join(upper, "ancestor").select("node", F.col("_up").alias("ancestor"), (F.col("distance") + F.col("_more")).alias("distance"))
+        further = far.join(upper, "ancestor").select("node", F.col("_up").alias("ancestor"), (F.col("distance") + F.col("_more")).alias("distance"))
         known = cut(known.unionByName(further).groupBy("node", "ancestor").agg(F.min("distance").alias("distance")))
-        now = measure(known)
-        if now == before:
-            return known
-        before = now
+        reach *= 2
 
 
 def cycle_nodes(pairs: DataFrame) -> DataFrame:
@@ -137,7 +179,7 @@ def depths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Shortest distance from a root (a node without parents); roots are 0."""
     nodes = nodes_of(edges)
     roots = nodes.join(edges.select(F.col("child").alias("node")), "node", "left_anti")
-    below = pairs.join(roots.select(F.col("node").alias("ancestor")), "ancestor", "left_semi").groupBy("node").agg(
+    below = pairs.join(small_side(cut(roots.select(F.col("node").alias("ancestor")))), "ancestor", "left_semi").groupBy("node").agg(
         F.min("distance").alias("_d"))
     return nodes.join(below, "node", "left").select("node", F.coalesce("_d", F.lit(0)).alias("depth"))
 
@@ -145,7 +187,7 @@ def depths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 def intrinsic_information(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """-ln of the share of descendants (self included) of the largest such count."""
     below = pairs.groupBy(F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("_n"))
-    sized = nodes.join(below, "node", "left").select("node", (F.coalesce("_n", F.lit(0)) + 1).alias("descendants"))
+    sized = cut(nodes.join(below, "node", "left").select("node", (F.coalesce("_n", F.lit(0)) + 1).alias("descendants")))
     most = sized.agg(F.max("descendants")).first()[0]
     return sized.withColumn("ic", -F.ln(F.col("descendants") / F.lit(most)))
 

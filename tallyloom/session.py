@@ -70,16 +70,27 @@ def cut(df: DataFrame) -> DataFrame:
     twice, once to count and once to write.)
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = new_table(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_table(spark: SparkSession) -> str:
+    """Path of a table that is not there yet, in the shared folder."""
+    return f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
+def add(part: DataFrame, path: str) -> DataFrame:
+    """Write ``part`` beside what the table at ``path`` holds, and read all of it."""
+    part.write.mode("append").option("compression", "zstd").parquet(path)
+    return part.sparkSession.read.schema(part.schema).parquet(path)
+
+
 def cut_all(parts: Iterable[DataFrame]) -> DataFrame:
     """One written table of tables with the same columns; each is written before the next is asked for."""
     path, first = None, None
     for part in parts:
-        path = path or f"{shared_folder(part.sparkSession)}/table-{uuid.uuid4().hex}"
+        path = path or new_table(part.sparkSession)
         part.write.mode("append").option("compression", "zstd").parquet(path)
         first = first or part
     if first is None:

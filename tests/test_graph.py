@@ -128,3 +128,32 @@ def test_annotation_information(spark, diamond):
     assert got[1] == (4, 0.0) and got[4][0] == 3 and got[4][1] == pytest.approx(-math.log(3 / 4))
 
 
+def shuffled_rows(spark):
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_closure_grows_with_its_pairs(spark):
+    edges = spark.createDataFrame([(k, k // d) for k in range(2, 6000) for d in (2, 3) if k >= d], "child int, parent int").distinct()
+    before = shuffled_rows(spark)
+    n = gr.closure(edges).count()
+    assert shuffled_rows(spark) - before < 3 * n
+
+
+@pytest.mark.parametrize("levels", [0, 2, 64])
+def test_closure_below_the_levels_and_on_cycles(spark, monkeypatch, levels):
+    monkeypatch.setattr(gr, "LEVELS", levels)
+    # a chain with shortcuts, a ring between two tails
+    edges = [(k, k - 1) for k in range(1, 12)] + [(k, k - 4) for k in range(4, 12, 3)] + [(20, 5), (21, 20), (22, 21), (20, 22), (23, 22), (24, 23), (24, 2)]
+    up = {}
+    for child, parent in edges:
+        up.setdefault(child, set()).add(parent)
+    want = {}
+    for node in up:
+        front, distance = {node}, 0
+        while front:
+            distance += 1
+            front = {p for v in front for p in up.get(v, ()) if (node, p) not in want}
+            want.update({(node, p): distance for p in front})
+    got = gr.closure(spark.createDataFrame(edges, "child int, parent int")).collect()
+    assert {(r.node, r.ancestor): r.distance for r in got} == want and len(got) == len(want)
