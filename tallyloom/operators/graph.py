@@ -207,8 +207,11 @@ def common_ancestors(node_pairs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def lowest_common_ancestors(common: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Common ancestors no other common ancestor lies below."""
-    higher = common.join(pairs.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_up")), "ancestor").select(
+    """Common ancestors no other common ancestor lies below.
+
+    All ancestors of a common one are common too, so one that has others below it has one of them as a child.
+    """
+    higher = common.join(pairs.filter("distance = 1").select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_up")), "ancestor").select(
         "a", "b", F.col("_up").alias("ancestor"))
     return common.join(higher, ["a", "b", "ancestor"], "left_anti")
 
