@@ -75,3 +75,20 @@ def test_extremes_and_tests(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], "sample string, feature string, value double")
     assert co.all_pair_correlations(empty, [], "sample", "feature", "value").count() == 0
+
+
+@pytest.mark.parametrize("cost", [0, 10**9])
+def test_wide_tables_keep_pairs_of_few_samples_in_their_task(spark, monkeypatch, cost):
+    for name, value in (("WIDE", 64), ("WIDE_BLOCK", 128), ("WIDE_CHUNK", 16), ("SAMPLE_COST", cost)):
+        monkeypatch.setattr(co, name, value, raising=False)
+    rows = cells(40, 260, 0.8, 4)
+    df = spark.createDataFrame(rows, "dataset string, sample string, feature string, value double")
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    shuffled = lambda: sum(stages().apply(i).shuffleWriteRecords() for i in range(stages().size()))
+    before = shuffled()
+    got = {(r.a, r.b): (r.r, r.n) for r in co.all_pair_correlations(df, [], "sample", "feature", "value", least_n=5).collect()}
+    assert shuffled() - before < 20_000  # 30,000 pairs share a sample
+    want = {k: v for k, v in expected(rows).items() if v[1] >= 5}
+    assert set(got) == set(want)
+    for key, (r, n) in want.items():
+        assert got[key][1] == n and got[key][0] == pytest.approx(r, abs=1e-9)
