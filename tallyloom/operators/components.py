@@ -54,12 +54,8 @@ def scaled_cells(values: DataFrame, scaling: DataFrame, feature: str, value: str
     return present.join(scaling, feature).withColumn("_z", (F.col(value) - F.col("mean")) / F.col("sd"))
 
 
-def fit(values: DataFrame, sample: str, feature: str, value: str, k: int | None = None, gram_side: int = GRAM_SIDE) -> Components:
-    """Principal components of ``values (sample, feature, value)``; the first ``k``, or all that vary.
-
-    A component's sign is free; here its largest entry on the shorter side is
-    positive.  ``k`` is needed where both sides are longer than ``gram_side``.
-    """
+def standard(values: DataFrame, sample: str, feature: str, value: str) -> tuple[int, int, DataFrame, DataFrame]:
+    """How many samples there are, how many features vary, ``(feature, mean, sd)`` of these and their cells ``(sample, feature, _z)``."""
     present = cut(values.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(sample, feature, value))
     n = present.select(sample).distinct().count()
     # a missing cell counts as its feature's mean, which is that of the cells there are; the sd is over all samples
@@ -69,6 +65,16 @@ def fit(values: DataFrame, sample: str, feature: str, value: str, k: int | None
     if not p:
         raise ValueError("no feature varies")
     cells = cut(scaled_cells(present, scaling, feature, value).select(sample, feature, "_z"))
+    return n, p, scaling, cells
+
+
+def fit(values: DataFrame, sample: str, feature: str, value: str, k: int | None = None, gram_side: int = GRAM_SIDE) -> Components:
+    """Principal components of ``values (sample, feature, value)``; the first ``k``, or all that vary.
+
+    A component's sign is free; here its largest entry on the shorter side is
+    positive.  ``k`` is needed where both sides are longer than ``gram_side``.
+    """
+    n, p, scaling, cells = standard(values, sample, feature, value)
     if min(n, p) <= gram_side:
         own, other = (sample, feature) if n <= p else (feature, sample)
         values_of, vectors = gram_eigenvectors(cells, own, other, n)
@@ -93,6 +99,21 @@ def fit(values: DataFrame, sample: str, feature: str, value: str, k: int | None
     return Components(scaling, cut(loadings.select(feature, "component", "loading")), variance, sample, feature, value)
 
 
+def spectrum_sums(values: DataFrame, sample: str, feature: str, value: str) -> DataFrame:
+    """One row ``(columns, total, squares)``: features that vary, and the sums of all variances and of their squares.
+
+    They are sums over the products of the shorter side, which stay distributed: no eigenvectors, so no limit of size.
+    """
+    n, p, _, cells = standard(values, sample, feature, value)
+    own, other = (sample, feature) if n <= p else (feature, sample)
+    lengths = cells.groupBy(own).agg(F.sum(F.col("_z") * F.col("_z")).alias("s"))
+    alone = lengths.agg(F.sum("s").alias("_total"), F.sum(F.col("s") * F.col("s")).alias("_own"))
+    both = pair_sums(cells, [], other, own, "_z", raw=True).agg(F.coalesce(F.sum(F.col("sxy") * F.col("sxy")), F.lit(0.0)).alias("_both"))
+    return alone.join(F.broadcast(both)).select(  # one row each
+        F.lit(p).cast("long").alias("columns"), (F.col("_total") / n).alias("total"),
+        ((F.col("_own") + 2 * F.col("_both")) / F.lit(float(n) * n)).alias("squares"))
+
+
 def gram_eigenvectors(cells: DataFrame, own: str, other: str, n: int) -> tuple[np.ndarray, DataFrame]:
     """Eigenvalues (of the covariance of standardised values) and ``(own, component, entry)`` of the products of ``own`` with ``own``."""
     sums = pair_sums(cells, [], other, own, "_z", raw=True).select("a", "b", "sxy").toArrow()

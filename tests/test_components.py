@@ -101,3 +101,12 @@ def test_clusters(spark):
     values = spark.createDataFrame([(i, j, float(i % 3 == j)) for i in range(30) for j in range(3)], "id long, dim long, x double")
     profile = ml.cluster_summary(values.join(member, "id"), "cluster", "dim", "x", "id", 2).collect()
     assert {r.size for r in profile} == {10} and all(len(r.leading) == 2 and r.leading[0] == r.dominant for r in profile)
+
+
+@pytest.mark.parametrize("n,p", [(25, 18), (12, 30)])
+def test_sums_of_a_spectrum_of_any_size(spark, monkeypatch, n, p):
+    monkeypatch.setattr(pca, "GRAM_SIDE", 2)  # both sides are too long for the driver
+    x = matrix(n, p, 7)
+    _, values, _ = reference(x)
+    got = pca.spectrum_sums(long(spark, x), "sample", "feature", "value").first()
+    assert got.columns == p - 1 and got.total == pytest.approx(p - 1) and got.squares == pytest.approx((values ** 2).sum())
