@@ -420,20 +420,22 @@ def permutation_test(members: DataFrame, pairs: DataFrame, permutations: int = 9
 
     Each permutation orders the members by a seeded hash and deals the labels
     out in that order, so group sizes stay.  All permutations are labels of
-    one aggregation over the members' ancestors.
+    one aggregation over the members' ancestors.  Tables as long as the members
+    are merged: a written table looks small enough for the driver to send, as
+    its files are compressed.
     """
     known = cut(members.select("group", "node"))
     labels = running(known.withColumn("_all", F.lit(0)), ["_all"], [F.col("group"), F.col("node")], position="_at").select("_at", "group")
     drawn = known.select("node", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("draw")).withColumn(
         "_key", F.xxhash64("node", "draw", F.lit(seed)))
-    dealt = running(drawn, ["draw"], [F.col("_key"), F.col("node")], position="_at").join(labels, "_at").select("draw", "group", "node")
+    dealt = running(drawn, ["draw"], [F.col("_key"), F.col("node")], position="_at").join(labels.hint("merge"), "_at").select("draw", "group", "node")
     every = cut(dealt.unionByName(known.withColumn("draw", F.lit(0))))
     sizes = pairs.groupBy("node").agg(F.count(F.lit(1)).alias("_n"))
-    weighed = pairs.select("node", "ancestor").join(sizes, "node")
+    weighed = pairs.select("node", "ancestor").join(sizes.hint("merge"), "node")
     keys = ["draw", "group"]
-    sums = every.join(weighed, "node").groupBy(*keys, "ancestor").agg(F.sum(1 / F.sqrt("_n")).alias("s")).groupBy(*keys).agg(
+    sums = every.join(weighed.hint("merge"), "node").groupBy(*keys, "ancestor").agg(F.sum(1 / F.sqrt("_n")).alias("s")).groupBy(*keys).agg(
         F.sum(F.col("s") * F.col("s")).alias("norm"))
-    totals = every.join(sizes, "node", "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count("_n").alias("placed"))
+    totals = every.join(sizes.hint("merge"), "node", "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count("_n").alias("placed"))
     alike = (F.coalesce("norm", F.lit(0.0)) - F.col("placed")) / (F.col("n") * (F.col("n") - 1))
     means = cut(totals.filter("n > 1").join(sums, keys, "left").groupBy("draw").agg(F.avg(alike).alias("intra")))
     own = means.filter("draw = 0").select(F.col("intra").alias("_own"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import graph as gr
+from tallyloom.session import cut
 
 #   1 <- 2 <- 4 <- 5     1 <- 3 <- 4     7 -> 6 (second root)
 EDGES = [(2, 1), (3, 1), (4, 2), (4, 3), (5, 4), (7, 6)]
@@ -157,3 +158,18 @@ def test_closure_below_the_levels_and_on_cycles(spark, monkeypatch, levels):
             want.update({(node, p): distance for p in front})
     got = gr.closure(spark.createDataFrame(edges, "child int, parent int")).collect()
     assert {(r.node, r.ancestor): r.distance for r in got} == want and len(got) == len(want)
+
+
+def test_permutations_send_no_table_of_members(spark, monkeypatch):
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString())
+        return cut(df)
+
+    edges = spark.createDataFrame([(k, k // 2) for k in range(2, 200)], "child int, parent int")
+    pairs = gr.closure(edges)
+    members = cut(spark.createDataFrame([(f"g{k % 3}", k) for k in range(1, 200)], "group string, node int"))
+    monkeypatch.setattr(gr, "cut", kept)
+    gr.permutation_test(members, pairs, permutations=3)
+    assert plans and not [p for p in plans if "BroadcastHashJoin" in p]
