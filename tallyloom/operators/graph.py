@@ -11,8 +11,10 @@ from tallyloom.operators.joins import small_side
 from tallyloom.operators.ordering import running, top_rows
 from tallyloom.session import add, cut, new_table
 
-#: Levels below the roots that the closure finishes one by one.
+#: Layers of a graph that are taken away and finished one by one.
 LEVELS = 64
+#: Edges whose lists one task merges.
+LIST_EDGES = 25_000
 #: Group names in one packed row when every two groups are laid out.
 GROUP_CHUNK = 1000
 #: Ancestors of more groups than this are carried as dense vectors, so many of them at most.
@@ -30,48 +32,69 @@ def edges_of(terms: DataFrame, key: str, relations: dict[str, str]) -> DataFrame
         "child", "parent", "relation").distinct()
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """(node, ancestor, distance) for every pair, distance by the shortest path.
+def layers(edges: DataFrame) -> tuple[list[tuple[DataFrame, int]], DataFrame, bool]:
+    """Edges dealt by when their children are taken away from below, nodes without children first.
 
-    Nodes are finished level by level from the roots on: a node whose parents
-    are all finished takes over their lists, so a pair is derived once for each
-    parent that has it, and travels packed.  What ``LEVELS`` levels don't reach,
-    cycles and what lies below them or very long chains, is closed by doubling
-    and then takes over the lists of the finished nodes it ends at.
+    Returns the layers from the top down, each with its number of edges, then the edges that
+    ``LEVELS`` rounds did not reach and whether there are any: cycles, what lies above them, the
+    top of very long chains.  Parents of a layer's children lie in layers above it or in the
+    rest.  A round reads only what the one before it left, so where most nodes lie low all
+    rounds together read little more than the first.
     """
-    left, finished, path = cut(edges.select("child", "parent").distinct()), None, new_table(edges.sparkSession)
+    left, dealt, more = cut(edges.select("child", "parent").distinct()), [], True
     for _ in range(LEVELS):
-        waiting = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child").distinct()
-        marked = cut(left.join(waiting.withColumn("_waits", F.lit(True)), "child", "left"))
-        ready, left = marked.filter("_waits IS NULL").select("child", "parent"), marked.filter("_waits").select("child", "parent")
-        if ready.isEmpty():
+        inner = left.select(F.col("parent").alias("child")).distinct().withColumn("_inner", F.lit(True))
+        marked = cut(left.join(inner.hint("merge"), "child", "left"))
+        n, kept = marked.agg(F.count_if(F.col("_inner").isNull()), F.count("_inner")).first()
+        if n:
+            dealt.append((marked.filter("_inner IS NULL").select("child", "parent"), n))
+        left, more = marked.filter("_inner").select("child", "parent"), kept > 0
+        if not n or not kept:
             break
-        finished = add(_lists(ready, finished), path)
-    pairs = None if finished is None else _unpacked(finished)
-    if left.isEmpty():
-        return _unpacked(_lists(left, None)) if pairs is None else pairs
-    rest = _doubled(left)
-    if pairs is None:
-        return rest
-    upper = pairs.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_up"), F.col("distance").alias("_more"))
-    further = rest.join(upper, "ancestor").select("node", F.col("_up").alias("ancestor"), (F.col("distance") + F.col("_more")).alias("distance"))
-    return pairs.unionByName(cut(rest.unionByName(further).groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))))
-
-
-def _lists(ready: DataFrame, finished: DataFrame | None) -> DataFrame:
-    """(node, distance, ancestors) of nodes whose parents are finished."""
+    return dealt[::-1], left, more if LEVELS else not left.isEmpty()
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(node, ancestor, distance) for every pair, distance by the shortest path."""
+    return unpacked(closure_lists(edges))
+
+
+def closure_lists(edges: DataFrame, layered: tuple | None = None) -> DataFrame:
+    """The closure as ``(node, distance, ancestors)``, the ancestors of a node at one distance in one list.
+
+    Nodes are finished layer by layer from the roots on: a node whose parents
+    are all finished takes over their lists, so a pair is derived once for each
+    parent that has it, and travels packed.  What the ``layers`` don't reach is
+    closed by doubling first.
+    """
+    levels, rest, more = layered or layers(edges)
+    path = new_table(edges.sparkSession)
+    finished = add(_packed(_doubled(rest)), path) if more else None
+    for ready, n in levels:
+        finished = add(_lists(ready, finished, n), path)
+    return _lists(rest, None, 0) if finished is None else finished
+
+
+def _lists(ready: DataFrame, finished: DataFrame | None, n: int) -> DataFrame:
+    """(node, distance, ancestors) of nodes whose parents are finished; ``n`` edges."""
     one = F.lit(1).cast("long")
     taken = ready.select("child", one.alias("distance"), F.array("parent").alias("ancestors"))
     if finished is not None:
         above = finished.withColumnRenamed("node", "parent")
         taken = taken.unionByName(ready.join(above.hint("merge"), "parent").select("child", (F.col("distance") + 1).alias("distance"), "ancestors"))
-    # lists are unpacked only once they have come to their node
-    each = taken.repartition("child").select("child", "distance", F.explode("ancestors").alias("ancestor"))
-    nearest = each.groupBy("child", "ancestor").agg(F.min("distance").alias("distance"))
-    return nearest.groupBy(F.col("child").alias("node"), "distance").agg(F.sort_array(F.collect_list("ancestor")).alias("ancestors"))
+    # lists are unpacked only once they have come to their node; a task has a bounded number of them
+    each = taken.repartition(1 + n // LIST_EDGES, "child").select(F.col("child").alias("node"), "distance", F.explode("ancestors").alias("ancestor"))
+    return _packed(each.groupBy("node", "ancestor").agg(F.min("distance").alias("distance")))
+
 
+def _packed(pairs: DataFrame) -> DataFrame:
+    """Pairs as lists; lists stay as they are."""
+    if "ancestors" in pairs.columns:
+        return pairs
+    return pairs.groupBy("node", "distance").agg(F.sort_array(F.collect_list("ancestor")).alias("ancestors"))
 
-def _unpacked(lists: DataFrame) -> DataFrame:
+
+def unpacked(lists: DataFrame) -> DataFrame:
     return lists.select("node", F.explode("ancestors").alias("ancestor"), "distance")
 
 
@@ -175,13 +198,25 @@ def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("child").alias("node")).unionByName(edges.select(F.col("parent").alias("node"))).distinct()
 
 
-def depths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Shortest distance from a root (a node without parents); roots are 0."""
+def depths(edges: DataFrame, pairs: DataFrame | None = None, layered: tuple | None = None) -> DataFrame:
+    """Shortest distance from a root (a node without parents); roots are 0, and so are nodes without a root above them.
+
+    Layers take it over from their parents, without the closure; only what the
+    ``layers`` don't reach needs the ``pairs`` among itself.
+    """
+    levels, rest, more = layered or layers(edges)
     nodes = nodes_of(edges)
-    roots = nodes.join(edges.select(F.col("child").alias("node")), "node", "left_anti")
-    below = pairs.join(small_side(cut(roots.select(F.col("node").alias("ancestor")))), "ancestor", "left_semi").groupBy("node").agg(
-        F.min("distance").alias("_d"))
-    return nodes.join(below, "node", "left").select("node", F.coalesce("_d", F.lit(0)).alias("depth"))
+    roots = nodes.join(edges.select(F.col("child").alias("node")).hint("merge"), "node", "left_anti")
+    path = new_table(edges.sparkSession)
+    known = add(roots.select("node", F.lit(0).cast("long").alias("depth")), path)
+    if more:
+        below = (_doubled(rest) if pairs is None else pairs.join(rest.select(F.col("child").alias("node")).hint("merge"), "node", "left_semi"))
+        known = add(below.join(small_side(cut(roots.select(F.col("node").alias("ancestor")))), "ancestor", "left_semi").groupBy("node").agg(
+            F.min("distance").alias("depth")), path)
+    for ready, _ in levels:
+        above = known.withColumnRenamed("node", "parent")
+        known = add(ready.join(above.hint("merge"), "parent").groupBy(F.col("child").alias("node")).agg((F.min("depth") + 1).alias("depth")), path)
+    return nodes.join(known.hint("merge"), "node", "left").select("node", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def intrinsic_information(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -195,7 +230,8 @@ def intrinsic_information(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def annotation_information(counts: DataFrame, pairs: DataFrame, node: str = "node", n: str = "n") -> DataFrame:
     """-ln of the share of annotations at or below each node."""
     total = counts.agg(F.sum(n)).first()[0]
-    up = counts.join(pairs, node).select(F.col("ancestor").alias("node"), n)
+    lists = _packed(pairs).withColumnRenamed("node", node)
+    up = counts.join(lists.hint("merge"), node).select(F.explode("ancestors").alias("node"), n)
     spread = up.unionByName(counts.select(F.col(node).alias("node"), n)).groupBy("node").agg(F.sum(n).alias("annotations"))
     return spread.withColumn("ic", -F.ln(F.col("annotations") / F.lit(total)))
 
@@ -264,13 +300,16 @@ def similarities(node_pairs: DataFrame, pairs: DataFrame, information: DataFrame
 def overlap_similarities(node_pairs: DataFrame, pairs: DataFrame, depth: DataFrame) -> DataFrame:
     """Depth (over all common ancestors), Jaccard and simple similarity on
     proper ancestors, as the coherence report uses them."""
+    own = _packed(pairs).groupBy("node").agg(F.flatten(F.collect_list("ancestors")).alias("_all"))
+    side = depth.join(own.hint("merge"), "node", "left")
+    end = lambda s: side.select(F.col("node").alias(s), F.col("depth").alias(f"_d_{s}"), F.col("_all").alias(f"_all_{s}")).hint("merge")
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).otherwise(0)
+    # a node's list travels to its pair whole; only what both have is unpacked
+    met = cut(node_pairs.join(end("a"), "a").join(end("b"), "b").select(
+        "a", "b", "_d_a", "_d_b", size("_all_a").alias("_n_a"), size("_all_b").alias("_n_b"), F.array_intersect("_all_a", "_all_b").alias("_both")))
     dp = depth.select(F.col("node").alias("ancestor"), "depth")
-    common = common_ancestors(node_pairs, pairs).join(dp, "ancestor").groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("_common"), F.max("depth").alias("_deep"))
-    sizes = pairs.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    side = depth.join(sizes, "node", "left").fillna(0, ["n"])
-    own = lambda s: side.select(F.col("node").alias(s), F.col("depth").alias(f"_d_{s}"), F.col("n").alias(f"_n_{s}"))
-    rows = node_pairs.join(own("a"), "a").join(own("b"), "b").join(common, ["a", "b"], "left").fillna(0, ["_common", "_deep"])
+    deep = met.select("a", "b", F.explode("_both").alias("ancestor")).join(dp.hint("merge"), "ancestor").groupBy("a", "b").agg(F.max("depth").alias("_deep"))
+    rows = met.join(deep.hint("merge"), ["a", "b"], "left").withColumn("_common", size("_both")).fillna(0, ["_deep"])
     deepest, total = F.greatest("_d_a", "_d_b"), F.col("_n_a") + F.col("_n_b")
     return rows.select(
         "a", "b",
@@ -286,13 +325,14 @@ def group_vectors(members: DataFrame, pairs: DataFrame) -> tuple[DataFrame, Data
     Vectors ``(group, ancestor, c, s)``: how many members have the ancestor,
     and the sum of the members' unit vectors.  Totals ``(group, members,
     ancestors, placed)``: members, their ancestors together, and those that
-    have any.  Both are written once.
+    have any.  Both are written once.  ``pairs`` may be the closure's lists.
     """
-    sizes = pairs.groupBy("node").agg(F.count(F.lit(1)).alias("_n"))
-    weighed = pairs.select("node", "ancestor").join(sizes, "node")
-    vectors = cut(members.join(weighed, "node").groupBy("group", "ancestor").agg(
-        F.count(F.lit(1)).alias("c"), F.sum(1 / F.sqrt("_n")).alias("s")))
-    totals = cut(members.join(sizes, "node", "left").groupBy("group").agg(
+    lists = _packed(pairs)
+    sizes = cut(lists.groupBy("node").agg(F.sum(F.size("ancestors").cast("long")).alias("_n")))
+    # lists are unpacked only once their node's group is known, and are added up before they travel
+    weighed = members.join(sizes.hint("merge"), "node").join(lists.hint("merge"), "node").select("group", "_n", F.explode("ancestors").alias("ancestor"))
+    vectors = cut(weighed.groupBy("group", "ancestor").agg(F.count(F.lit(1)).alias("c"), F.sum(1 / F.sqrt("_n")).alias("s")))
+    totals = cut(members.join(sizes.hint("merge"), "node", "left").groupBy("group").agg(
         F.count(F.lit(1)).alias("members"), F.coalesce(F.sum("_n"), F.lit(0)).alias("ancestors"), F.count("_n").alias("placed")))
     return vectors, totals
 

@@ -25,11 +25,16 @@ def closure_pairs(spark, sf):
     return gr.closure(cut(edges(spark, sf)))
 
 
+def closure_lists(spark, sf):
+    return gr.closure_lists(cut(edges(spark, sf)))
+
+
 def written(spark, sf):
     """Edges, closure, information content and depth, each written once for the query that asks."""
     e = cut(edges(spark, sf))
-    pairs = gr.closure(e)
-    return e, pairs, cut(gr.intrinsic_information(gr.nodes_of(e), pairs)), cut(gr.depths(e, pairs))
+    layered = gr.layers(e)
+    pairs = gr.unpacked(gr.closure_lists(e, layered))
+    return e, pairs, cut(gr.intrinsic_information(gr.nodes_of(e), pairs)), cut(gr.depths(e, pairs, layered))
 
 
 EDGES = """e AS (SELECT p_partkey AS child, p_partkey // 2 AS parent, 'is_a' AS relation FROM part WHERE p_partkey > 1
@@ -81,7 +86,7 @@ def d3_ancestors(spark, sf):
 
 @query("d4_depths", f"WITH {CLOSURE} SELECT node, depth FROM dp")
 def d4_depths(spark, sf):
-    return written(spark, sf)[3]
+    return gr.depths(cut(edges(spark, sf)))
 
 
 @query("d5_ancestor_names", f"""WITH {CLOSURE}, nm AS (SELECT c.node, p_name, row_number() OVER (PARTITION BY c.node ORDER BY distance, ancestor) AS i, count(*) OVER (PARTITION BY c.node) AS n FROM clo c JOIN part ON p_partkey = c.ancestor)
@@ -98,7 +103,8 @@ def d5_ancestor_names(spark, sf):
 
 @query("d6_intrinsic_information", f"WITH {CLOSURE} SELECT node, descendants, round(ic, 6) + 0 AS ic FROM ic")
 def d6_intrinsic_information(spark, sf):
-    return written(spark, sf)[2].select("node", "descendants", (F.round("ic", 6) + 0).alias("ic"))
+    e = cut(edges(spark, sf))
+    return gr.intrinsic_information(gr.nodes_of(e), gr.closure(e)).select("node", "descendants", (F.round("ic", 6) + 0).alias("ic"))
 
 
 @query("d7_annotation_information", f"""WITH {CLOSURE}, k AS (SELECT l_partkey AS node, count(*) AS n FROM lineitem GROUP BY 1),
@@ -106,7 +112,7 @@ u AS (SELECT ancestor AS node, n FROM k JOIN clo USING (node) UNION ALL SELECT n
 SELECT node, CAST(a AS BIGINT) AS annotations, round(-ln(a / (SELECT sum(n) FROM k)), 6) + 0 AS ic FROM s""")
 def d7_annotation_information(spark, sf):
     counts = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("node")).agg(F.count(F.lit(1)).alias("n"))
-    out = gr.annotation_information(counts, closure_pairs(spark, sf))
+    out = gr.annotation_information(counts, closure_lists(spark, sf))
     return out.select("node", "annotations", (F.round("ic", 6) + 0).alias("ic"))
 
 
@@ -154,8 +160,9 @@ j AS (SELECT pr.a, pr.b, coalesce(k, 0) AS k, coalesce(md, 0) AS md, greatest(da
 SELECT a, b, CASE WHEN a = b THEN 1.0 WHEN k > 0 AND dd > 0 THEN round(md * 1.0 / dd, 6) ELSE 0 END AS depth,
   CASE WHEN a = b THEN 1.0 WHEN k > 0 THEN round(k * 1.0 / (t - k), 6) ELSE 0 END AS jaccard, CASE WHEN a = b THEN 1.0 WHEN k > 0 THEN round(k / (t / 2.0), 6) ELSE 0 END AS simple FROM j""")
 def d10_overlap_similarities(spark, sf):
-    _, pairs, _, depth = written(spark, sf)
-    out = gr.overlap_similarities(node_pairs(spark, sf), pairs, depth)
+    e = cut(edges(spark, sf))
+    layered = gr.layers(e)
+    out = gr.overlap_similarities(node_pairs(spark, sf), gr.closure_lists(e, layered), cut(gr.depths(e, layered=layered)))
     return out.select("a", "b", *[F.round(m, 6).alias(m) for m in ("depth", "jaccard", "simple")])
 
 
@@ -178,10 +185,10 @@ SIZES = "sz AS (SELECT node, count(*) AS n FROM clo GROUP BY 1)"
 GROUPS = f"{CLOSURE}, {SIZES}, {vectors_sql('p_type')}"
 
 
-def groups(spark, sf, column="p_type", pairs=None):
+def groups(spark, sf, column="p_type", lists=None):
     """Vectors, and the measures within and between groups."""
     members = table(spark, sf, "part").select(F.col(column).alias("group"), F.col("p_partkey").alias("node"))
-    vectors, totals = gr.group_vectors(members, pairs or closure_pairs(spark, sf))
+    vectors, totals = gr.group_vectors(members, lists or closure_lists(spark, sf))
     return vectors, gr.within_groups(vectors, totals), totals
 
 
@@ -278,9 +285,9 @@ LABELINGS = {"brand": "p_brand", "type": "p_type"}
 l AS ({" UNION ALL ".join(f"SELECT '{n}' AS labeling, * FROM ({COHERENCE.format(t='_' + n)})" for n in LABELINGS)})
 SELECT labeling, round(intra, 5) AS intra, round(inter, 5) AS inter, round(ratio, 5) AS ratio, valid, row_number() OVER (ORDER BY round(ratio, 5) DESC, labeling) AS place FROM l""")
 def d16_labelings_compared(spark, sf):
-    pairs, out = closure_pairs(spark, sf), None
+    lists, out = closure_lists(spark, sf), None
     for name, column in LABELINGS.items():
-        vectors, within, totals = groups(spark, sf, column, pairs)
+        vectors, within, totals = groups(spark, sf, column, lists)
         one = gr.coherence(within, vectors, totals).select(
             F.lit(name).alias("labeling"), *[F.round(c, 5).alias(c) for c in ("intra", "inter", "ratio")], "valid")
         out = one if out is None else out.unionByName(one)

@@ -141,6 +141,26 @@ def test_closure_grows_with_its_pairs(spark):
     assert shuffled_rows(spark) - before < 3 * n
 
 
+@pytest.mark.parametrize("levels", [0, 2, 64])
+def test_depths_without_the_closure(spark, monkeypatch, levels):
+    monkeypatch.setattr(gr, "LEVELS", levels)
+    # a shortcut, a ring that no root is above with a tail below it, and one below a root
+    edges = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (4, 1), (5, 4), (11, 12), (12, 11), (13, 12), (14, 13), (14, 5), (21, 1), (21, 22), (22, 21)], "child int, parent int")
+    got = {r.node: r.depth for r in gr.depths(edges).collect()}
+    assert got == {1: 0, 2: 1, 3: 2, 4: 1, 5: 2, 11: 0, 12: 0, 13: 0, 14: 3, 21: 1, 22: 2}
+    assert got == {r.node: r.depth for r in gr.depths(edges, gr.closure(edges)).collect()}
+
+
+def test_vectors_are_summed_from_packed_lists(spark):
+    edges = spark.createDataFrame([(k, k // d) for k in range(2, 3000) for d in (2, 3) if k >= d], "child int, parent int").distinct()
+    lists = cut(gr.closure_lists(edges))
+    n = gr.unpacked(lists).count()
+    members = spark.range(1, 3000).select((F.col("id") % 3).alias("group"), F.col("id").cast("int").alias("node"))
+    before = shuffled_rows(spark)
+    vectors, totals = gr.group_vectors(members, lists)
+    assert shuffled_rows(spark) - before < n and totals.agg(F.sum("ancestors")).first()[0] == vectors.agg(F.sum("c")).first()[0] == n
+
+
 @pytest.mark.parametrize("levels", [0, 2, 64])
 def test_closure_below_the_levels_and_on_cycles(spark, monkeypatch, levels):
     monkeypatch.setattr(gr, "LEVELS", levels)
