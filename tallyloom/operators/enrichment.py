@@ -19,6 +19,8 @@ from tallyloom.session import broadcast_rows, cut, window_rows
 
 #: Set ids carried in one row when the sample x set grid is laid out.
 GRID_CHUNK = 1000
+#: Rows of samples, or hits of sets, that one task orders.
+TASK_ROWS = 500_000
 
 
 def present_values(values: DataFrame, value: str = "value") -> DataFrame:
@@ -47,11 +49,23 @@ def sample_set_grid(samples: DataFrame, sets: DataFrame, set_id: str = "set_id")
     return joined.select(*samples.columns, F.explode("_ids").alias(set_id))
 
 
-def _sizes(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, bool]:
+def _sizes(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, bool, int]:
     """One row per sample with its size, written once (it serves as the list of
-    samples too), and whether every sample fits a window."""
+    samples too), whether every sample fits a window, and all rows."""
     sizes = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
-    return sizes, (sizes.agg(F.max("n")).first()[0] or 0) <= window_rows(rows.sparkSession)
+    most, total = sizes.agg(F.max("n"), F.sum("n")).first()
+    return sizes, (most or 0) <= window_rows(rows.sparkSession), total or 0
+
+
+def _dealt(rows: DataFrame, keys: Sequence[str], total: int, small: bool) -> DataFrame:
+    """Whole groups dealt to as many tasks as ``total`` rows ask for, so that what one task sorts doesn't grow with the table."""
+    return rows.repartition(1 + total // TASK_ROWS, *keys) if small else rows
+
+
+def _hits(total: int, sets: DataFrame) -> int:
+    """About how many rows ``total`` rows become once their sets are joined on."""
+    members, features = sets.agg(F.count(F.lit(1)), F.count_distinct("feature")).first()
+    return total * members // max(features, 1)
 
 
 def _complete(scores: DataFrame, samples: DataFrame, sets: DataFrame, keys: Sequence[str],
@@ -78,16 +92,17 @@ def running_extreme_scores(
     """
     keys = list(keys)
     rows = present_values(values).select(*keys, "feature", "value")
-    sizes, small = _sizes(rows, keys)
+    sizes, small, total = _sizes(rows, keys)
     ranked = running(
-        rows, keys, [F.col("value").desc(), F.col("feature")],
+        _dealt(rows, keys, total, small), keys, [F.col("value").desc(), F.col("feature")],
         totals={"n": None}, position="r", small=small,
     )
     hits = ranked.join(_members(sets), "feature").withColumn(
         "w", F.pow(F.abs("value"), F.lit(alpha))
     )
+    group = [*keys, "set_id"]
     curve = running(
-        hits.select(*keys, "set_id", "r", "n", "w"), [*keys, "set_id"], [F.col("r")],
+        _dealt(hits.select(*group, "r", "n", "w"), group, _hits(total, sets), small), group, [F.col("r")],
         sums={"cw": "w"}, totals={"hits": None, "weight": "w"}, position="k", small=small,
     )
     miss = F.when(F.col("n") > F.col("hits"), 1 / (F.col("n") - F.col("hits"))).otherwise(0.0)
@@ -126,7 +141,7 @@ def rank_area_scores(
     """
     keys = list(keys)
     rows = present_values(values).select(*keys, "feature", "value")
-    sizes, small = _sizes(rows, keys)
+    sizes, small, total = _sizes(rows, keys)
     measured = rows.select("feature").distinct()
     sized = (
         sets.select("set_id", "feature").distinct().join(measured, "feature", "left_semi")
@@ -136,7 +151,7 @@ def rank_area_scores(
     if max_size is not None:
         sized = sized.filter(F.col("size") <= max_size)
     kept = sets.join(sized, "set_id", "left_semi") if min_size > 1 or max_size is not None else sets
-    scored = tied_positions(rows, keys, "value", ["feature"], descending=True, small=small).withColumnRenamed("group_rows", "n")
+    scored = tied_positions(_dealt(rows, keys, total, small), keys, "value", ["feature"], descending=True, small=small).withColumnRenamed("group_rows", "n")
     # normalised value: average rank on a 10,000 scale, smallest value lowest
     low_rank = F.col("n") + 1 - (F.col("tie_first") + F.col("tie_last")) / F.lit(2.0)
     hits = scored.join(_members(kept), "feature").withColumn(
@@ -173,8 +188,8 @@ def rank_percentile_scores(
     """
     keys = list(keys)
     rows = present_values(values).select(*keys, "feature", "value")
-    sizes, small = _sizes(rows, keys)
-    ranked = tie_ranks(rows, keys, "value", name="rank", descending=True, small=small)
+    sizes, small, total = _sizes(rows, keys)
+    ranked = tie_ranks(_dealt(rows, keys, total, small), keys, "value", name="rank", descending=True, small=small)
     means = (
         ranked.join(_members(sets), "feature")
         .groupBy(*keys, "set_id")

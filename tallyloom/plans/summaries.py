@@ -13,7 +13,7 @@ from tallyloom.plans.common import (SCORES, SETS, SYS_SCORES, SYSTEM, hierarchy,
                                     score_ctes, scores, sets, system_of, system_scores)
 from tallyloom.plans.enrichment import BY_FLAG, BY_YEAR
 from tallyloom.plans.registry import query
-from tallyloom.session import spread, table
+from tallyloom.session import cut, spread, table
 
 #: Words left out of word counts.
 STOP_WORDS = ["the", "and", "for", "with", "from", "that", "this", "into", "process", "regulation",
@@ -177,8 +177,8 @@ SELECT day, system, round(mean, 6) AS mean, round(sd, 6) AS sd, n,
   row_number() OVER (PARTITION BY day ORDER BY mean DESC, system) AS place FROM m QUALIFY place <= 10""")
 def g27_timepoint_rankings(spark, sf):
     lines = table(spark, sf, "lineitem")
-    values = lines.groupBy(F.year("l_shipdate").alias("day"), F.col("l_suppkey").alias("sample"),
-                           F.col("l_partkey").alias("feature")).agg(F.avg("l_extendedprice").alias("value"))
+    values = cut(lines.groupBy(F.year("l_shipdate").alias("day"), F.col("l_suppkey").alias("sample"),
+                               F.col("l_partkey").alias("feature")).agg(F.avg("l_extendedprice").alias("value")))
     es = running_extreme_scores(values, sets(spark, sf), ["day", "sample"]).withColumn("system", system_of())
     means = agg.group_profiles(es, ["day", "system"], "es")
     out = top_rows(means, ["day"], [F.col("mean").desc(), F.col("system")], 10)

@@ -2,8 +2,10 @@
 
 import math
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.operators import enrichment as en
 
@@ -92,3 +94,16 @@ def test_rank_area_by_loop(spark):
         assert got[key].es == pytest.approx(area, abs=1e-9)
         assert got[key].nes == pytest.approx(area / span, abs=1e-9)
         assert math.isfinite(got[key].nes)
+
+
+def test_a_task_orders_a_bounded_number_of_hits(spark, monkeypatch):
+    monkeypatch.setattr(en, "TASK_ROWS", 50)
+    values = spark.range(20 * 30).select((F.col("id") % 20).alias("sample"), F.expr("id div 20").alias("feature"), F.expr("double(id * 7 % 101)").alias("value"))
+    sets = spark.range(30).select(F.expr("explode(array('x' || id % 2, 'y' || id % 3))").alias("set_id"), F.col("id").alias("feature"))
+    scores = en.running_extreme_scores(values, sets)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    tasks = [int(n) for n in re.findall(r"hashpartitioning\(sample#\d+L?(?:, set_id#\d+)?, (\d+)\)", plan)]
+    assert 600 // 50 + 1 in tasks and 1200 // 50 + 1 in tasks
+    got = {(r.sample, r.set_id): r.es for r in scores.collect()}
+    monkeypatch.setattr(en, "TASK_ROWS", 1_000_000)
+    assert got == {(r.sample, r.set_id): r.es for r in en.running_extreme_scores(values, sets).collect()} and len(got) == 100
