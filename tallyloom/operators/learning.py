@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.ordering import running, top_rows
 from tallyloom.operators.statistics import one_sample_t, rank_sum
-from tallyloom.session import cut, cut_all
+from tallyloom.session import cut, cut_all, new_table
 
 def vectors(rows: DataFrame, array: str, keep: Sequence[str]) -> DataFrame:
     return rows.select(*keep, array_to_vector(F.col(array).cast("array<double>")).alias("features"))
@@ -38,6 +38,13 @@ def scaled_pca(k: int) -> list:
     ]
 
 
+def bare(model: PipelineModel, path: str) -> PipelineModel:
+    """``model`` written to ``path`` and read back, which leaves out its training summaries: they hold the
+    session, and a session with tags cannot be sent to the tasks."""
+    model.write().save(path)
+    return PipelineModel.load(path)
+
+
 def stratified_folds(rows: DataFrame, key: str, label: str, k: int, seed: int = 42) -> DataFrame:
     """Adds ``fold`` 0..k-1: within each class rows are dealt out in a seeded
     order, so folds have the classes in equal shares."""
@@ -80,7 +87,7 @@ def cross_validated(rows: DataFrame, label: str, k: int, components: int | None
             model = RandomForestClassifier(featuresCol=column, labelCol=label, numTrees=100, seed=42)
         else:
             raise ValueError(f"unknown classifier {classifier}")
-        fitted = Pipeline(stages=[*stages, model]).fit(train)
+        fitted = bare(Pipeline(stages=[*stages, model]).fit(train), new_table(rows.sparkSession))
         return fitted.transform(prepared.filter(F.col("fold") == fold)).select(
             *keep, "fold", F.col(label).cast("double").alias("label"), "prediction",
             vector_to_array("probability").getItem(1).alias("score"))

@@ -91,6 +91,17 @@ def test_every_row_is_predicted_out_of_its_fold(spark, classifier, capsys):
     assert "UDF" not in capsys.readouterr().out  # a plain scan: no model is left in the plan
 
 
+@pytest.mark.parametrize("classifier", ["logistic", "forest"])
+def test_models_do_not_take_the_session_along(spark, classifier):
+    base = spark.createDataFrame([(i, float(i % 2), [float(i % 2), float(i % 7)]) for i in range(40)], "id long, two double, x array<double>")
+    rows = ml.stratified_folds(ml.vectors(base, "x", ["id", "two"]), "id", "two", 2)
+    spark.addTag("tagged")  # from here on the session itself can't be serialized
+    try:
+        assert ml.cross_validated(rows, "two", 2, classifier=classifier).count() == 40
+    finally:
+        spark.clearTags()
+
+
 def test_clusters(spark):
     rows = ml.vectors(spark.createDataFrame([(i, [float(i % 3) * 10 + 1, float(i % 3 == 1) + 1]) for i in range(30)], "id long, x array<double>"), "x", ["id"])
     member = ml.assigned(rows, 3, ["id"])
