@@ -5,8 +5,10 @@ the mean).  The products of the shorter side, samples with samples or features
 with features, are summed block by block on the executors.  Only that matrix,
 at most ``GRAM_SIDE`` numbers wide, comes to the driver for its eigenvectors;
 the other side follows from them by one aggregation.  Where both sides are
-longer, the leading components are found by orthogonal iteration instead, which
-brings only k x k numbers to the driver.
+longer, the leading components are found by orthogonal iteration instead: cells
+stay where they were written, packed by the longer side, and a round only moves
+some vectors over the shorter side, which the driver holds up to ``HELD`` numbers.
+Beyond that both sides are tables, and only k x k numbers come to the driver.
 """
 
 from __future__ import annotations
@@ -15,16 +17,21 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators.correlation import pair_sums
 from tallyloom.operators.joins import small_side
-from tallyloom.operators.ordering import top_rows
+from tallyloom.operators.ordering import running, top_rows
 from tallyloom.session import cut
 
 #: Rows and columns of the matrix that the driver may hold (2048 x 2048 numbers are 32 MB).
 GRAM_SIDE = 2048
+#: Numbers in the vectors over the shorter side that the driver may hold in an iteration; as many as in that matrix.
+HELD = GRAM_SIDE ** 2
+#: Rows of sums that a task hands over at once.
+OUT_ROWS = 65_536
 #: Rounds of the orthogonal iteration, and components carried beyond those asked for.
 ROUNDS, SPARE = 30, 6
 
@@ -82,7 +89,8 @@ def fit(values: DataFrame, sample: str, feature: str, value: str, k: int | None
         raise ValueError(f"{n} samples and {p} features: say how many components")
     else:
         own, other = feature, sample
-        values_of, vectors = iterated(cells, sample, feature, n, k)
+        step = held_iteration if min(n, p) * (k + SPARE) <= HELD else iterated
+        values_of, vectors = step(cells, sample, feature, n, k)
     take = len(values_of) if k is None else min(k, len(values_of))
     parts = [float(v) for v in values_of[:take]]
     spark = values.sparkSession
@@ -136,13 +144,110 @@ def gram_eigenvectors(cells: DataFrame, own: str, other: str, n: int) -> tuple[n
     return values, cut(table)
 
 
+def starting(feature: str, m: int) -> list:
+    """Numbers from -1 to 1 that depend on the feature alone."""
+    return [(F.pmod(F.xxhash64(feature, F.lit(c)), F.lit(2_000_003)) / 1_000_001.5 - 1).alias(f"_c{c}") for c in range(m)]
+
+
+def segments(batch: pa.RecordBatch) -> tuple:
+    """Of packed rows: where each begins, its number of cells, and of all cells their place on the shorter side and their value."""
+    cells = batch.column("cells")
+    at, z = (part.to_numpy() for part in cells.flatten().flatten())
+    lengths = cells.value_lengths().to_numpy()
+    return np.cumsum(lengths) - lengths, lengths, at, z
+
+
+def held_iteration(cells: DataFrame, sample: str, feature: str, n: int, k: int) -> tuple[np.ndarray, DataFrame]:
+    """The ``k`` leading components of the features, by orthogonal iteration over cells that are not moved.
+
+    A packed row has all cells of one key of the longer side, so a task multiplies its rows both ways at once; it is sent
+    the vectors over the shorter side and hands over one sum for each of their entries that it has cells of.
+    """
+    spark, m = cells.sparkSession, k + SPARE
+    columns = [f"_c{c}" for c in range(m)]
+    sizes = {side: cells.select(side).distinct().count() for side in (sample, feature)}
+    short, long = (sample, feature) if sizes[sample] <= sizes[feature] else (feature, sample)
+    size = sizes[short]
+    keys = cells.select(short).distinct().withColumn("_all", F.lit(0))
+    index = cut(running(keys, ["_all"], [F.col(short)], position="_at").select(short, (F.col("_at") - 1).cast("int").alias("at")))
+    packed = cut(cells.join(small_side(index), short).groupBy(long).agg(F.collect_list(F.struct("at", F.col("_z").alias("z"))).alias("cells")))
+    # every task hands over up to ``size`` rows a round, so there are as many tasks as cores, however large the table
+    packed = packed.coalesce(max(spark.sparkContext.defaultParallelism, 1))
+    summed = "at int, " + ", ".join(f"{c} double" for c in columns)
+
+    def collected(parts: DataFrame) -> np.ndarray:
+        rows = parts.toArrow()
+        out = np.zeros((size, m))
+        out[rows.column("at").to_numpy()] = np.column_stack([rows.column(c).to_numpy() for c in columns])
+        return out
+
+    def multiplied(vectors: np.ndarray | None) -> np.ndarray:
+        """The products of the shorter side with itself times ``vectors``; without them, its products with the longer side's start."""
+        sent = None if vectors is None else spark.sparkContext.broadcast(np.ascontiguousarray(vectors.T))
+
+        def multiply(batches):
+            total, seen = np.zeros((m, size)), np.zeros(size, bool)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                starts, lengths, at, z = segments(batch)
+                seen[at] = True
+                for c in range(m):
+                    own = batch.column(columns[c]).to_numpy() if sent is None else np.add.reduceat(z * sent.value[c][at], starts)
+                    np.add.at(total[c], at, z * np.repeat(own, lengths))
+            there = np.flatnonzero(seen)
+            for start in range(0, len(there), OUT_ROWS):
+                rows = there[start:start + OUT_ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *(pa.array(t[rows]) for t in total)], names=["at", *columns])
+
+        rows = packed.select("cells", *(starting(long, m) if sent is None else []))
+        out = collected(rows.mapInArrow(multiply, summed).groupBy("at").agg(*[F.sum(c).alias(c) for c in columns]))
+        if sent is not None:
+            sent.destroy()
+        return out
+
+    basis = multiplied(None) if short == sample else collected(index.select("at", *starting(feature, m)))
+    before = None
+    for turn in range(ROUNDS):
+        basis = np.linalg.qr(basis)[0]
+        image = multiplied(basis)
+        products = basis.T @ image
+        by = np.eye(products.shape[0])
+        if short == sample:  # the features' vectors are those of the samples times the cells, and have these products
+            lengths, turned = np.linalg.eigh((products + products.T) / 2)
+            wide = lengths > 1e-12 * lengths[-1]
+            by = turned[:, wide] / np.sqrt(lengths[wide])
+            products = by.T @ (image.T @ image) @ by
+        values, vectors = np.linalg.eigh((products + products.T) / 2 / n)
+        order = np.argsort(-values)[:k]
+        values, by = values[order], by @ vectors[:, order]
+        if turn == ROUNDS - 1 or before is not None and np.allclose(values, before, rtol=1e-10):
+            break
+        before, basis = values, image
+    final = basis @ by
+    if short == feature:
+        names = index.orderBy("at").toArrow().column(feature)
+        entries = spark.createDataFrame(pa.table([names, *(pa.array(v) for v in final.T)], names=[feature, *columns[:len(values)]]))
+        parts = F.inline(F.array(*[F.struct(F.lit(c + 1).alias("component"), F.col(f"_c{c}").alias("entry")) for c in range(len(values))]))
+        return values, cut(entries.select(feature, parts))
+    sent, take = spark.sparkContext.broadcast(np.ascontiguousarray(final.T)), len(values)
+
+    def project(batches):
+        for batch in batches:
+            if batch.num_rows:
+                starts, _, at, z = segments(batch)
+                for c in range(take):
+                    yield pa.RecordBatch.from_arrays([batch.column(feature), pa.array(np.full(batch.num_rows, c + 1, np.int32)),
+                                                      pa.array(np.add.reduceat(z * sent.value[c][at], starts))], names=[feature, "component", "entry"])
+
+    return values, cut(packed.select(feature, "cells").mapInArrow(project, f"`{feature}` {cells.schema[feature].dataType.simpleString()}, component int, entry double"))
+
+
 def iterated(cells: DataFrame, sample: str, feature: str, n: int, k: int) -> tuple[np.ndarray, DataFrame]:
     """The same for the ``k`` leading components of the features, by orthogonal iteration with both sides distributed."""
     m = k + SPARE
     columns = [f"_c{c}" for c in range(m)]
-    # a start that depends on the feature alone
-    start = [(F.pmod(F.xxhash64(feature, F.lit(c)), F.lit(2_000_003)) / 1_000_001.5 - 1).alias(columns[c]) for c in range(m)]
-    basis = cut(cells.select(feature).distinct().select(feature, *start))
+    basis = cut(cells.select(feature).distinct().select(feature, *starting(feature, m)))
 
     def products(table: DataFrame) -> np.ndarray:
         pairs = [(a, b) for a in range(m) for b in range(a, m)]

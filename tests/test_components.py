@@ -54,6 +54,25 @@ def test_iteration_finds_the_same(spark, monkeypatch):
     assert abs(first @ vectors[:, 0]) == pytest.approx(1, abs=1e-3)
 
 
+@pytest.mark.parametrize("n,p", [(25, 18), (18, 25)])
+def test_cells_are_packed_once_and_rounds_write_nothing(spark, monkeypatch, n, p):
+    x = matrix(n, p, 5)
+    x[2, 3:6] = np.nan  # missing cells count as the feature's mean
+    filled = np.where(np.isnan(x), np.nanmean(x, 0), x)
+    z, values, vectors = reference(filled)
+    monkeypatch.setattr(pca, "SPARE", 4)
+    written, cut = [], pca.cut
+    monkeypatch.setattr(pca, "cut", lambda df: written.append(1) or cut(df))
+    held = pca.fit(long(spark, x), "sample", "feature", "value", 2, gram_side=10)
+    assert len(written) <= 7  # before: two tables a round
+    monkeypatch.setattr(pca, "HELD", 0)
+    spread = pca.fit(long(spark, x), "sample", "feature", "value", 2, gram_side=10)
+    parts = [[v.variance for v in model.variance.orderBy("component").collect()] for model in (held, spread)]
+    assert np.allclose(parts[0], values[:2], rtol=1e-5) and np.allclose(parts[0], parts[1], rtol=1e-7)
+    loadings = held.loadings.toPandas().pivot(index="feature", columns="component", values="loading").to_numpy()
+    assert np.allclose(loadings.T @ loadings, np.eye(2), atol=1e-8) and np.allclose(np.abs(np.sum(loadings * vectors[:, :2], 0)), 1, atol=1e-3)
+
+
 def test_top_loadings_and_membership(spark):
     x = matrix(30, 8, 2)
     model = pca.fit(long(spark, x), "sample", "feature", "value", 2)
