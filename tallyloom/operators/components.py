@@ -144,23 +144,38 @@ def gram_eigenvectors(cells: DataFrame, own: str, other: str, n: int) -> tuple[n
     return values, cut(table)
 
 
+def start_of(feature, c: int):
+    """A number from -1 to 1 that depends on the feature alone."""
+    return F.pmod(F.xxhash64(feature, F.lit(c)), F.lit(2_000_003)) / 1_000_001.5 - 1
+
+
 def starting(feature: str, m: int) -> list:
-    """Numbers from -1 to 1 that depend on the feature alone."""
-    return [(F.pmod(F.xxhash64(feature, F.lit(c)), F.lit(2_000_003)) / 1_000_001.5 - 1).alias(f"_c{c}") for c in range(m)]
+    return [start_of(feature, c).alias(f"_c{c}") for c in range(m)]
+
+
+def blocked(batches):
+    """Rows ``(key, cells)`` as blocks of binaries, which cost nothing to hand to Python again."""
+    for batch in batches:
+        if batch.num_rows:
+            cells = batch.column(1)
+            lengths = cells.value_lengths().to_numpy().astype(np.int32)
+            at, z = (part.to_numpy() for part in cells.flatten().flatten())
+            keys = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
+            yield pa.RecordBatch.from_arrays([keys, *(pa.array([v.tobytes()], pa.binary()) for v in (lengths, at.astype(np.int32), z.astype(np.float64)))],
+                                             names=["keys", "lengths", "at", "z"])
 
 
-def segments(batch: pa.RecordBatch) -> tuple:
-    """Of packed rows: where each begins, its number of cells, and of all cells their place on the shorter side and their value."""
-    cells = batch.column("cells")
-    at, z = (part.to_numpy() for part in cells.flatten().flatten())
-    lengths = cells.value_lengths().to_numpy()
-    return np.cumsum(lengths) - lengths, lengths, at, z
+def blocks_of(batch: pa.RecordBatch):
+    """Row number of each block; where its keys' cells begin, how many they are, and of all cells their place on the shorter side and their value."""
+    for i in range(batch.num_rows):
+        lengths, at, z = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("lengths", np.int32), ("at", np.int32), ("z", np.float64)))
+        yield i, np.cumsum(lengths) - lengths, lengths, at, z
 
 
 def held_iteration(cells: DataFrame, sample: str, feature: str, n: int, k: int) -> tuple[np.ndarray, DataFrame]:
     """The ``k`` leading components of the features, by orthogonal iteration over cells that are not moved.
 
-    A packed row has all cells of one key of the longer side, so a task multiplies its rows both ways at once; it is sent
+    A block has all cells of some keys of the longer side, so a task multiplies it both ways at once; it is sent
     the vectors over the shorter side and hands over one sum for each of their entries that it has cells of.
     """
     spark, m = cells.sparkSession, k + SPARE
@@ -170,7 +185,9 @@ def held_iteration(cells: DataFrame, sample: str, feature: str, n: int, k: int)
     size = sizes[short]
     keys = cells.select(short).distinct().withColumn("_all", F.lit(0))
     index = cut(running(keys, ["_all"], [F.col(short)], position="_at").select(short, (F.col("_at") - 1).cast("int").alias("at")))
-    packed = cut(cells.join(small_side(index), short).groupBy(long).agg(F.collect_list(F.struct("at", F.col("_z").alias("z"))).alias("cells")))
+    by_key = cells.join(small_side(index), short).groupBy(long).agg(F.collect_list(F.struct("at", F.col("_z").alias("z"))).alias("cells"))
+    key_type = cells.schema[long].dataType.simpleString()
+    packed = cut(by_key.mapInArrow(blocked, f"keys array<{key_type}>, lengths binary, at binary, z binary"))
     # every task hands over up to ``size`` rows a round, so there are as many tasks as cores, however large the table
     packed = packed.coalesce(max(spark.sparkContext.defaultParallelism, 1))
     summed = "at int, " + ", ".join(f"{c} double" for c in columns)
@@ -186,21 +203,21 @@ def held_iteration(cells: DataFrame, sample: str, feature: str, n: int, k: int)
         sent = None if vectors is None else spark.sparkContext.broadcast(np.ascontiguousarray(vectors.T))
 
         def multiply(batches):
+            own_of = None if sent is None else sent.value  # once a task: every look at it costs
             total, seen = np.zeros((m, size)), np.zeros(size, bool)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                starts, lengths, at, z = segments(batch)
-                seen[at] = True
-                for c in range(m):
-                    own = batch.column(columns[c]).to_numpy() if sent is None else np.add.reduceat(z * sent.value[c][at], starts)
-                    np.add.at(total[c], at, z * np.repeat(own, lengths))
+                for i, starts, lengths, at, z in blocks_of(batch):
+                    seen[at] = True
+                    for c in range(m):
+                        own = batch.column(columns[c])[i].values.to_numpy() if own_of is None else np.add.reduceat(z * own_of[c][at], starts)
+                        np.add.at(total[c], at, z * np.repeat(own, lengths))
             there = np.flatnonzero(seen)
             for start in range(0, len(there), OUT_ROWS):
                 rows = there[start:start + OUT_ROWS]
                 yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *(pa.array(t[rows]) for t in total)], names=["at", *columns])
 
-        rows = packed.select("cells", *(starting(long, m) if sent is None else []))
+        first = [F.transform("keys", lambda key: start_of(key, c)).alias(columns[c]) for c in range(m)] if sent is None else []
+        rows = packed.select("lengths", "at", "z", *first)
         out = collected(rows.mapInArrow(multiply, summed).groupBy("at").agg(*[F.sum(c).alias(c) for c in columns]))
         if sent is not None:
             sent.destroy()
@@ -233,14 +250,14 @@ def held_iteration(cells: DataFrame, sample: str, feature: str, n: int, k: int)
     sent, take = spark.sparkContext.broadcast(np.ascontiguousarray(final.T)), len(values)
 
     def project(batches):
+        own_of = sent.value
         for batch in batches:
-            if batch.num_rows:
-                starts, _, at, z = segments(batch)
+            for i, starts, _, at, z in blocks_of(batch):
                 for c in range(take):
-                    yield pa.RecordBatch.from_arrays([batch.column(feature), pa.array(np.full(batch.num_rows, c + 1, np.int32)),
-                                                      pa.array(np.add.reduceat(z * sent.value[c][at], starts))], names=[feature, "component", "entry"])
+                    yield pa.RecordBatch.from_arrays([batch.column("keys")[i].values, pa.array(np.full(len(starts), c + 1, np.int32)),
+                                                      pa.array(np.add.reduceat(z * own_of[c][at], starts))], names=[feature, "component", "entry"])
 
-    return values, cut(packed.select(feature, "cells").mapInArrow(project, f"`{feature}` {cells.schema[feature].dataType.simpleString()}, component int, entry double"))
+    return values, cut(packed.mapInArrow(project, f"`{feature}` {key_type}, component int, entry double"))
 
 
 def iterated(cells: DataFrame, sample: str, feature: str, n: int, k: int) -> tuple[np.ndarray, DataFrame]:
