@@ -208,9 +208,10 @@ def held_iteration(cells: DataFrame, sample: str, feature: str, n: int, k: int)
             for batch in batches:
                 for i, starts, lengths, at, z in blocks_of(batch):
                     seen[at] = True
+                    row = np.repeat(np.arange(len(lengths)), lengths)
                     for c in range(m):
                         own = batch.column(columns[c])[i].values.to_numpy() if own_of is None else np.add.reduceat(z * own_of[c][at], starts)
-                        np.add.at(total[c], at, z * np.repeat(own, lengths))
+                        total[c] += np.bincount(at, z * own[row], size)
             there = np.flatnonzero(seen)
             for start in range(0, len(there), OUT_ROWS):
                 rows = there[start:start + OUT_ROWS]
