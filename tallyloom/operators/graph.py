@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.joins import small_side
 from tallyloom.operators.ordering import running, top_rows
-from tallyloom.session import add, cut, new_table
+from tallyloom.session import add, broadcast_rows, cut, new_table
 
 #: Layers of a graph that are taken away and finished one by one.
 LEVELS = 64
 #: Edges whose lists one task merges.
 LIST_EDGES = 25_000
+#: Edges that one task joins while layers are taken away.
+TASK_EDGES = 500_000
+#: Lists of a node with at most this many parents are merged in one row.
+ROW_LISTS = 64
 #: Group names in one packed row when every two groups are laid out.
 GROUP_CHUNK = 1000
 #: Ancestors of more groups than this are carried as dense vectors, so many of them at most.
@@ -42,9 +46,11 @@ def layers(edges: DataFrame) -> tuple[list[tuple[DataFrame, int]], DataFrame, bo
     rounds together read little more than the first.
     """
     left, dealt, more = cut(edges.select("child", "parent").distinct()), [], True
+    kept = left.count()
     for _ in range(LEVELS):
-        inner = left.select(F.col("parent").alias("child")).distinct().withColumn("_inner", F.lit(True))
-        marked = cut(left.join(inner.hint("merge"), "child", "left"))
+        tasks = 1 + kept // TASK_EDGES
+        inner = left.select(F.col("parent").alias("child")).repartition(tasks, "child").distinct().withColumn("_inner", F.lit(True))
+        marked = cut(left.repartition(tasks, "child").join(inner.hint("merge"), "child", "left"))
         n, kept = marked.agg(F.count_if(F.col("_inner").isNull()), F.count("_inner")).first()
         if n:
             dealt.append((marked.filter("_inner IS NULL").select("child", "parent"), n))
@@ -87,6 +93,54 @@ def _lists(ready: DataFrame, finished: DataFrame | None, n: int) -> DataFrame:
     return _packed(each.groupBy("node", "ancestor").agg(F.min("distance").alias("distance")))
 
 
+def ancestor_lists(edges: DataFrame, layered: tuple | None = None) -> DataFrame:
+    """The closure without distances as ``(node, ancestors)``, all ancestors of a node in one list.
+
+    For whoever asks only which ancestors a node has: the lists of its parents
+    are merged whole, where ``closure_lists`` has to look at each pair to find
+    its distance.  A graph in which some node has over ``ROW_LISTS`` parents
+    is merged pair by pair, as that node's lists together may fill no row.
+    """
+    levels, rest, more = layered or layers(edges)
+    wide = (edges.select("child", "parent").distinct().groupBy("child").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) > ROW_LISTS
+    path = new_table(edges.sparkSession)
+    finished, above = None, 0
+    if more:
+        finished, above = add(_whole(_doubled(rest)), path), rest.count()
+    for ready, n in levels:
+        finished = add(_merged(ready, finished, n, above, wide), path)
+        above += n
+    return _merged(rest, None, 0, 0, wide) if finished is None else finished
+
+
+def _merged(ready: DataFrame, finished: DataFrame | None, n: int, above: int, wide: bool) -> DataFrame:
+    """(node, ancestors) of nodes whose parents are finished; ``n`` edges, below about ``above`` finished nodes at most."""
+    taken = ready.select("child", F.array("parent").alias("ancestors"))
+    if finished is not None:
+        taken = taken.unionByName(_upward(ready, finished, n, 1 + max(n, above) // LIST_EDGES).select("child", "ancestors"))
+    dealt = taken.repartition(1 + n // LIST_EDGES, "child").withColumnRenamed("child", "node")
+    if wide:
+        return _whole(dealt.select("node", F.explode("ancestors").alias("ancestor")).distinct())
+    return dealt.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("ancestors"))).alias("ancestors"))
+
+
+def _upward(ready: DataFrame, finished: DataFrame, n: int, tasks: int) -> DataFrame:
+    """Edges with what is known of their parents; a bounded number of edges goes to the finished nodes, which then stay."""
+    known = finished.withColumnRenamed("node", "parent")
+    if n <= broadcast_rows(ready.sparkSession):
+        return known.join(F.broadcast(ready), "parent")
+    return ready.repartition(tasks, "parent").join(known.repartition(tasks, "parent").hint("merge"), "parent")
+
+
+def _whole(pairs: DataFrame) -> DataFrame:
+    """One row a node, with all of its ancestors; such rows stay as they are."""
+    if "ancestors" not in pairs.columns:
+        return pairs.groupBy("node").agg(F.collect_list("ancestor").alias("ancestors"))
+    if "distance" not in pairs.columns:
+        return pairs
+    return pairs.groupBy("node").agg(F.flatten(F.collect_list("ancestors")).alias("ancestors"))
+
+
 def _packed(pairs: DataFrame) -> DataFrame:
     """Pairs as lists; lists stay as they are."""
     if "ancestors" in pairs.columns:
@@ -95,7 +149,7 @@ def _packed(pairs: DataFrame) -> DataFrame:
 
 
 def unpacked(lists: DataFrame) -> DataFrame:
-    return lists.select("node", F.explode("ancestors").alias("ancestor"), "distance")
+    return lists.select("node", F.explode("ancestors").alias("ancestor"), *[c for c in lists.columns if c == "distance"])
 
 
 def _doubled(edges: DataFrame) -> DataFrame:
@@ -213,9 +267,11 @@ def depths(edges: DataFrame, pairs: DataFrame | None = None, layered: tuple | No
         below = (_doubled(rest) if pairs is None else pairs.join(rest.select(F.col("child").alias("node")).hint("merge"), "node", "left_semi"))
         known = add(below.join(small_side(cut(roots.select(F.col("node").alias("ancestor")))), "ancestor", "left_semi").groupBy("node").agg(
             F.min("distance").alias("depth")), path)
-    for ready, _ in levels:
-        above = known.withColumnRenamed("node", "parent")
-        known = add(ready.join(above.hint("merge"), "parent").groupBy(F.col("child").alias("node")).agg((F.min("depth") + 1).alias("depth")), path)
+    placed = 0
+    for ready, n in levels:
+        placed += n
+        met = _upward(ready, known, n, 1 + placed // TASK_EDGES)
+        known = add(met.groupBy(F.col("child").alias("node")).agg((F.min("depth") + 1).alias("depth")), path)
     return nodes.join(known.hint("merge"), "node", "left").select("node", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 

@@ -25,8 +25,8 @@ def closure_pairs(spark, sf):
     return gr.closure(cut(edges(spark, sf)))
 
 
-def closure_lists(spark, sf):
-    return gr.closure_lists(cut(edges(spark, sf)))
+def ancestor_lists(spark, sf):
+    return gr.ancestor_lists(cut(edges(spark, sf)))
 
 
 def written(spark, sf):
@@ -104,7 +104,7 @@ def d5_ancestor_names(spark, sf):
 @query("d6_intrinsic_information", f"WITH {CLOSURE} SELECT node, descendants, round(ic, 6) + 0 AS ic FROM ic")
 def d6_intrinsic_information(spark, sf):
     e = cut(edges(spark, sf))
-    return gr.intrinsic_information(gr.nodes_of(e), gr.closure(e)).select("node", "descendants", (F.round("ic", 6) + 0).alias("ic"))
+    return gr.intrinsic_information(gr.nodes_of(e), gr.unpacked(gr.ancestor_lists(e))).select("node", "descendants", (F.round("ic", 6) + 0).alias("ic"))
 
 
 @query("d7_annotation_information", f"""WITH {CLOSURE}, k AS (SELECT l_partkey AS node, count(*) AS n FROM lineitem GROUP BY 1),
@@ -112,7 +112,7 @@ u AS (SELECT ancestor AS node, n FROM k JOIN clo USING (node) UNION ALL SELECT n
 SELECT node, CAST(a AS BIGINT) AS annotations, round(-ln(a / (SELECT sum(n) FROM k)), 6) + 0 AS ic FROM s""")
 def d7_annotation_information(spark, sf):
     counts = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("node")).agg(F.count(F.lit(1)).alias("n"))
-    out = gr.annotation_information(counts, closure_lists(spark, sf))
+    out = gr.annotation_information(counts, ancestor_lists(spark, sf))
     return out.select("node", "annotations", (F.round("ic", 6) + 0).alias("ic"))
 
 
@@ -162,7 +162,7 @@ SELECT a, b, CASE WHEN a = b THEN 1.0 WHEN k > 0 AND dd > 0 THEN round(md * 1.0
 def d10_overlap_similarities(spark, sf):
     e = cut(edges(spark, sf))
     layered = gr.layers(e)
-    out = gr.overlap_similarities(node_pairs(spark, sf), gr.closure_lists(e, layered), cut(gr.depths(e, layered=layered)))
+    out = gr.overlap_similarities(node_pairs(spark, sf), gr.ancestor_lists(e, layered), cut(gr.depths(e, layered=layered)))
     return out.select("a", "b", *[F.round(m, 6).alias(m) for m in ("depth", "jaccard", "simple")])
 
 
@@ -188,7 +188,7 @@ GROUPS = f"{CLOSURE}, {SIZES}, {vectors_sql('p_type')}"
 def groups(spark, sf, column="p_type", lists=None):
     """Vectors, and the measures within and between groups."""
     members = table(spark, sf, "part").select(F.col(column).alias("group"), F.col("p_partkey").alias("node"))
-    vectors, totals = gr.group_vectors(members, lists or closure_lists(spark, sf))
+    vectors, totals = gr.group_vectors(members, lists or ancestor_lists(spark, sf))
     return vectors, gr.within_groups(vectors, totals), totals
 
 
@@ -285,7 +285,7 @@ LABELINGS = {"brand": "p_brand", "type": "p_type"}
 l AS ({" UNION ALL ".join(f"SELECT '{n}' AS labeling, * FROM ({COHERENCE.format(t='_' + n)})" for n in LABELINGS)})
 SELECT labeling, round(intra, 5) AS intra, round(inter, 5) AS inter, round(ratio, 5) AS ratio, valid, row_number() OVER (ORDER BY round(ratio, 5) DESC, labeling) AS place FROM l""")
 def d16_labelings_compared(spark, sf):
-    lists, out = closure_lists(spark, sf), None
+    lists, out = ancestor_lists(spark, sf), None
     for name, column in LABELINGS.items():
         vectors, within, totals = groups(spark, sf, column, lists)
         one = gr.coherence(within, vectors, totals).select(

@@ -193,3 +193,36 @@ def test_permutations_send_no_table_of_members(spark, monkeypatch):
     monkeypatch.setattr(gr, "cut", kept)
     gr.permutation_test(members, pairs, permutations=3)
     assert plans and not [p for p in plans if "BroadcastHashJoin" in p]
+
+
+@pytest.mark.parametrize("levels", [0, 2, 64])
+@pytest.mark.parametrize("rows, broadcast", [(64, 200_000), (1, 200_000), (64, 0)])
+def test_ancestor_lists_hold_what_the_closure_holds(spark, monkeypatch, levels, rows, broadcast):
+    monkeypatch.setattr(gr, "LEVELS", levels)
+    monkeypatch.setattr(gr, "ROW_LISTS", rows)
+    monkeypatch.setattr(gr, "LIST_EDGES", 3)
+    monkeypatch.setattr(gr, "TASK_EDGES", 4)
+    monkeypatch.setattr(gr, "broadcast_rows", lambda _: broadcast)
+    # shortcuts, an edge given twice, a node of many parents, a ring between two tails
+    edges = spark.createDataFrame([(k, k - 1) for k in range(1, 9)] + [(8, k) for k in range(7)] + [(8, 7), (20, 5), (21, 20), (20, 21), (22, 21), (23, 22)],
+                                  "child int, parent int")
+    lists = gr.ancestor_lists(edges)
+    got = [(r.node, a) for r in lists.collect() for a in r.ancestors]
+    assert lists.columns == ["node", "ancestors"] and lists.groupBy("node").count().filter("count > 1").isEmpty()
+    assert len(got) == len(set(got)) and set(got) == {(r.node, r.ancestor) for r in gr.closure(edges).collect()}
+    assert gr.ancestor_lists(edges.limit(0)).count() == 0
+
+
+def test_ancestors_are_counted_from_whole_lists(spark):
+    edges = cut(spark.createDataFrame([(k, k // d) for k in range(2, 3000) for d in (2, 3) if k >= d], "child int, parent int").distinct())
+    layered = gr.layers(edges)
+    before = shuffled_rows(spark)
+    pairs = gr.closure_lists(edges, layered)
+    by_distance = shuffled_rows(spark) - before
+    lists = gr.ancestor_lists(edges, layered)
+    whole = shuffled_rows(spark) - before - by_distance
+    # one row an edge and list, not one for each distance in it
+    assert whole < by_distance / 3
+    nodes = gr.nodes_of(edges)
+    want = {tuple(r) for r in gr.intrinsic_information(nodes, gr.unpacked(pairs)).collect()}
+    assert {tuple(r) for r in gr.intrinsic_information(nodes, gr.unpacked(lists)).collect()} == want
