@@ -285,9 +285,12 @@ def intrinsic_information(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def annotation_information(counts: DataFrame, pairs: DataFrame, node: str = "node", n: str = "n") -> DataFrame:
     """-ln of the share of annotations at or below each node."""
+    counts = cut(counts)
     total = counts.agg(F.sum(n)).first()[0]
-    lists = _packed(pairs).withColumnRenamed("node", node)
-    up = counts.join(lists.hint("merge"), node).select(F.explode("ancestors").alias("node"), n)
+    lists = cut(_whole(pairs)) if "ancestor" in pairs.columns else pairs
+    tasks = 1 + lists.count() // LIST_EDGES
+    up = counts.repartition(tasks, node).join(lists.withColumnRenamed("node", node).repartition(tasks, node).hint("merge"), node).select(
+        F.explode("ancestors").alias("node"), n)
     spread = up.unionByName(counts.select(F.col(node).alias("node"), n)).groupBy("node").agg(F.sum(n).alias("annotations"))
     return spread.withColumn("ic", -F.ln(F.col("annotations") / F.lit(total)))
 

@@ -226,3 +226,26 @@ def test_ancestors_are_counted_from_whole_lists(spark):
     nodes = gr.nodes_of(edges)
     want = {tuple(r) for r in gr.intrinsic_information(nodes, gr.unpacked(pairs)).collect()}
     assert {tuple(r) for r in gr.intrinsic_information(nodes, gr.unpacked(lists)).collect()} == want
+
+
+def tasks_of(df):
+    """Numbers of tasks that the plan asks for by itself."""
+    import re
+    return {int(n) for n in re.findall(r"RepartitionByExpression \[[^\]]*\], (\d+)", df._jdf.queryExecution().optimizedPlan().toString())}
+
+
+def test_annotations_are_counted_once_and_spread_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(gr, "LIST_EDGES", 10)
+    edges = spark.createDataFrame([(k, k // 2) for k in range(2, 100)], "child int, parent int")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(k):
+        seen.add(1)
+        return k
+
+    counts = spark.range(1, 100).select(F.udf(counted, "int")(F.col("id").cast("int")).alias("node"), F.lit(2).cast("long").alias("n"))
+    out = gr.annotation_information(counts, gr.ancestor_lists(edges))
+    assert tasks_of(out) == {1 + 98 // 10}
+    got = {r.node: r.annotations for r in out.collect()}
+    assert got[1] == 198 and got[2] == 2 * 63 and got[99] == 2 and len(got) == 99
+    assert seen.value == 99
