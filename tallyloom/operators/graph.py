@@ -359,16 +359,28 @@ def similarities(node_pairs: DataFrame, pairs: DataFrame, information: DataFrame
 def overlap_similarities(node_pairs: DataFrame, pairs: DataFrame, depth: DataFrame) -> DataFrame:
     """Depth (over all common ancestors), Jaccard and simple similarity on
     proper ancestors, as the coherence report uses them."""
-    own = _packed(pairs).groupBy("node").agg(F.flatten(F.collect_list("ancestors")).alias("_all"))
-    side = depth.join(own.hint("merge"), "node", "left")
-    end = lambda s: side.select(F.col("node").alias(s), F.col("depth").alias(f"_d_{s}"), F.col("_all").alias(f"_all_{s}")).hint("merge")
+    own = (cut(_whole(pairs)) if "ancestor" in pairs.columns else _whole(pairs)).withColumnRenamed("ancestors", "_all")
+    # a task has a bounded number of nodes and of pairs, each with its lists
+    node_pairs = cut(node_pairs)
+    of_nodes, of_pairs = 1 + depth.count() // LIST_EDGES, 1 + node_pairs.count() // LIST_EDGES
+    side = depth.repartition(of_nodes, "node").join(own.repartition(of_nodes, "node").hint("merge"), "node", "left")
+    end = lambda s: side.select(F.col("node").alias(s), F.col("depth").alias(f"_d_{s}"), F.col("_all").alias(f"_all_{s}")).repartition(of_pairs, s).hint("merge")
     size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).otherwise(0)
     # a node's list travels to its pair whole; only what both have is unpacked
-    met = cut(node_pairs.join(end("a"), "a").join(end("b"), "b").select(
+    met = cut(node_pairs.repartition(of_pairs, "a").join(end("a"), "a").repartition(of_pairs, "b").join(end("b"), "b").select(
         "a", "b", "_d_a", "_d_b", size("_all_a").alias("_n_a"), size("_all_b").alias("_n_b"), F.array_intersect("_all_a", "_all_b").alias("_both")))
     dp = depth.select(F.col("node").alias("ancestor"), "depth")
-    deep = met.select("a", "b", F.explode("_both").alias("ancestor")).join(dp.hint("merge"), "ancestor").groupBy("a", "b").agg(F.max("depth").alias("_deep"))
-    rows = met.join(deep.hint("merge"), ["a", "b"], "left").withColumn("_common", size("_both")).fillna(0, ["_deep"])
+    each = met.select("a", "b", F.explode("_both").alias("ancestor"))
+    held = cut(each.groupBy("ancestor").agg(F.count(F.lit(1)).alias("_n")))
+    tasks = 1 + (held.agg(F.sum("_n")).first()[0] or 0) // TASK_EDGES
+    # ancestors that would fill a task alone are fewer than tasks: their depths are sent, only the others are joined
+    hot = cut(held.filter(F.col("_n") > TASK_EDGES).select("ancestor").join(dp, "ancestor").withColumnRenamed("depth", "_hot"))
+    split = each.join(F.broadcast(hot), "ancestor", "left")
+    cold = split.filter("_hot IS NULL").select("a", "b", "ancestor").repartition(tasks, "ancestor").join(
+        dp.repartition(tasks, "ancestor").hint("merge"), "ancestor").select("a", "b", "depth")
+    deep = split.filter("_hot IS NOT NULL").select("a", "b", F.col("_hot").alias("depth")).unionByName(cold).repartition(tasks, "a", "b").groupBy(
+        "a", "b").agg(F.max("depth").alias("_deep"))
+    rows = met.repartition(tasks, "a", "b").join(deep.hint("merge"), ["a", "b"], "left").withColumn("_common", size("_both")).fillna(0, ["_deep"])
     deepest, total = F.greatest("_d_a", "_d_b"), F.col("_n_a") + F.col("_n_b")
     return rows.select(
         "a", "b",

@@ -249,3 +249,27 @@ def test_annotations_are_counted_once_and_spread_in_bounded_tasks(spark, monkeyp
     got = {r.node: r.annotations for r in out.collect()}
     assert got[1] == 198 and got[2] == 2 * 63 and got[99] == 2 and len(got) == 99
     assert seen.value == 99
+
+
+@pytest.mark.parametrize("task", [7, 500_000])
+def test_overlaps_meet_in_bounded_tasks(spark, monkeypatch, task):
+    monkeypatch.setattr(gr, "LIST_EDGES", 10)
+    monkeypatch.setattr(gr, "TASK_EDGES", task)
+    edges = [(k, k // d) for k in range(2, 60) for d in (2, 3) if k >= d]
+    up = {k: set() for k in range(60)}
+    for child, parent in edges:
+        up[child] |= {parent} | up[parent]
+    depth = {k: 0 for k in range(2)}
+    for k in range(2, 60):
+        depth[k] = 1 + min(depth[p] for c, p in edges if c == k)
+    df = spark.createDataFrame(edges, "child int, parent int").distinct()
+    asked = spark.createDataFrame([(k, (7 * k + 3) % 59 + 1) for k in range(1, 60)], "a int, b int")
+    out = gr.overlap_similarities(asked, gr.ancestor_lists(df), gr.depths(df))
+    assert not task == 7 or min(tasks_of(out)) > 1
+    rows = {(r.a, r.b): r for r in out.collect()}
+    assert len(rows) == 59
+    for (a, b), r in rows.items():
+        both, most = up[a] & up[b], max(depth[a], depth[b])
+        want = 1.0 if a == b else max(depth[c] for c in both) / most if both and most else 0.0
+        assert r.depth == pytest.approx(want)
+        assert r.jaccard == pytest.approx(1.0 if a == b else len(both) / len(up[a] | up[b]) if both else 0.0)
