@@ -62,6 +62,16 @@ def _dealt(rows: DataFrame, keys: Sequence[str], total: int, small: bool) -> Dat
     return rows.repartition(1 + total // TASK_ROWS, *keys) if small else rows
 
 
+def dealt_means(rows: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """Mean value of rows with equal keys.
+
+    Where nearly every row has keys of its own, as in measurements, sums
+    before the shuffle save nothing and fill a table as long as a task's
+    input; rows go straight to as many tasks as they ask for.
+    """
+    return rows.repartition(1 + rows.count() // TASK_ROWS, *keys).groupBy(*keys).agg(F.avg(value).alias(value))
+
+
 def _hits(total: int, sets: DataFrame) -> int:
     """About how many rows ``total`` rows become once their sets are joined on."""
     members, features = sets.agg(F.count(F.lit(1)), F.count_distinct("feature")).first()

@@ -7,10 +7,10 @@ above the set, all types form one more system.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators.enrichment import running_extreme_scores
+from tallyloom.operators.enrichment import dealt_means, running_extreme_scores
 from tallyloom.session import cut, table
 
 ROUND = 6
@@ -20,13 +20,12 @@ def r6(column, name: str):
     return F.round(column, ROUND).alias(name)
 
 
-def measurements(spark: SparkSession, sf: str, by: tuple[str, ...] = ()) -> DataFrame:
+def measurements(spark: SparkSession, sf: str, by: tuple[str | Column, ...] = ()) -> DataFrame:
     """(*by, sample, feature, value), written once: scoring reads it in several
     passes, and the lines below it are far more."""
-    lines = table(spark, sf, "lineitem")
-    return cut(lines.groupBy(
-        *by, F.col("l_suppkey").alias("sample"), F.col("l_partkey").alias("feature")
-    ).agg(F.avg("l_extendedprice").alias("value")))
+    rows = table(spark, sf, "lineitem").select(
+        *by, F.col("l_suppkey").alias("sample"), F.col("l_partkey").alias("feature"), F.col("l_extendedprice").alias("value"))
+    return cut(dealt_means(rows, rows.columns[:-1]))
 
 
 def sets(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,7 +11,7 @@ from tallyloom.operators.ordering import quantiles
 from tallyloom.plans.common import (MEAS, SCORES, SETS, SYS_SCORES, SYSTEM, hierarchy, measurements,
                                     r6, score_ctes, scores, sets, system_of)
 from tallyloom.plans.registry import query
-from tallyloom.session import cut, table
+from tallyloom.session import table
 
 
 @query("e1_set_scores", f"WITH {SCORES} SELECT sample, set_id, round(es, 6) AS es FROM scores")
@@ -97,11 +97,7 @@ BY_YEAR = """meas AS (SELECT year(l_shipdate) AS day, l_suppkey AS sample, l_par
 @query("e9_scores_by_timepoint", f"""WITH {score_ctes(BY_YEAR, 'day, sample')}
 SELECT day, set_id, count(*) AS n, round(avg(es), 6) AS mean_es FROM scores GROUP BY 1, 2""")
 def e9_scores_by_timepoint(spark, sf):
-    lines = table(spark, sf, "lineitem")
-    values = cut(lines.groupBy(
-        F.year("l_shipdate").alias("day"), F.col("l_suppkey").alias("sample"),
-        F.col("l_partkey").alias("feature"),
-    ).agg(F.avg("l_extendedprice").alias("value")))
+    values = measurements(spark, sf, (F.year("l_shipdate").alias("day"),))
     es = en.running_extreme_scores(values, sets(spark, sf), ["day", "sample"])
     return es.groupBy("day", "set_id").agg(
         F.count(F.lit(1)).alias("n"), r6(F.avg("es"), "mean_es")

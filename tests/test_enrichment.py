@@ -107,3 +107,26 @@ def test_a_task_orders_a_bounded_number_of_hits(spark, monkeypatch):
     got = {(r.sample, r.set_id): r.es for r in scores.collect()}
     monkeypatch.setattr(en, "TASK_ROWS", 1_000_000)
     assert got == {(r.sample, r.set_id): r.es for r in en.running_extreme_scores(values, sets).collect()} and len(got) == 100
+
+
+def test_a_task_averages_a_bounded_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(en, "TASK_ROWS", 50)
+    rows = spark.range(1000).select((F.col("id") % 40).alias("sample"), (F.col("id") % 250).alias("feature"), F.col("id").cast("double").alias("value"))
+    got = en.dealt_means(rows, ["sample", "feature"])
+    assert got.rdd.getNumPartitions() == 1 + 1000 // 50
+    assert {(r.sample, r.feature): r.value for r in got.collect()} == {
+        (r.sample, r.feature): r.value for r in rows.groupBy("sample", "feature").agg(F.avg("value").alias("value")).collect()}
+
+
+@pytest.mark.parametrize("name", ["e9_scores_by_timepoint"])
+def test_scores_by_year_read_dealt_means(spark, monkeypatch, name):
+    from tallyloom.plans import common, registry
+    keys = []
+
+    def dealt(rows, by, value="value"):
+        keys.append(list(by))
+        return en.dealt_means(rows, by, value)
+
+    monkeypatch.setattr(common, "dealt_means", dealt)
+    registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert keys == [["day", "sample", "feature"]]
