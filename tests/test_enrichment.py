@@ -118,7 +118,7 @@ def test_a_task_averages_a_bounded_number_of_rows(spark, monkeypatch):
         (r.sample, r.feature): r.value for r in rows.groupBy("sample", "feature").agg(F.avg("value").alias("value")).collect()}
 
 
-@pytest.mark.parametrize("name", ["e9_scores_by_timepoint"])
+@pytest.mark.parametrize("name", ["e9_scores_by_timepoint", "g27_timepoint_rankings"])
 def test_scores_by_year_read_dealt_means(spark, monkeypatch, name):
     from tallyloom.plans import common, registry
     keys = []
