@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.correlation import pair_sums
@@ -112,14 +112,20 @@ def spectrum_sums(values: DataFrame, sample: str, feature: str, value: str) -> D
 
     They are sums over the products of the shorter side, which stay distributed: no eigenvectors, so no limit of size.
     """
-    n, p, _, cells = standard(values, sample, feature, value)
+    # a feature's cells are brought to length 1 where they meet; the number of samples, which their sd depends on, cancels out
+    own_cells = Window.partitionBy(feature)
+    length = F.sqrt(F.var_pop(value).over(own_cells) * F.count(F.lit(1)).over(own_cells))
+    cells = cut(values.filter(F.col(value).isNotNull() & ~F.isnan(value)).withColumns({"_m": F.avg(value).over(own_cells), "_l": length}).filter("_l > 0").select(
+        sample, feature, ((F.col(value) - F.col("_m")) / F.col("_l")).alias("_z")))
+    n, p = (cells.select(c).distinct().count() for c in (sample, feature))
+    if not p:
+        raise ValueError("no feature varies")
     own, other = (sample, feature) if n <= p else (feature, sample)
     lengths = cells.groupBy(own).agg(F.sum(F.col("_z") * F.col("_z")).alias("s"))
     alone = lengths.agg(F.sum("s").alias("_total"), F.sum(F.col("s") * F.col("s")).alias("_own"))
     both = pair_sums(cells, [], other, own, "_z", raw=True).agg(F.coalesce(F.sum(F.col("sxy") * F.col("sxy")), F.lit(0.0)).alias("_both"))
     return alone.join(F.broadcast(both)).select(  # one row each
-        F.lit(p).cast("long").alias("columns"), (F.col("_total") / n).alias("total"),
-        ((F.col("_own") + 2 * F.col("_both")) / F.lit(float(n) * n)).alias("squares"))
+        F.lit(p).cast("long").alias("columns"), F.col("_total").alias("total"), (F.col("_own") + 2 * F.col("_both")).alias("squares"))
 
 
 def gram_eigenvectors(cells: DataFrame, own: str, other: str, n: int) -> tuple[np.ndarray, DataFrame]:
