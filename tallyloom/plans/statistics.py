@@ -467,7 +467,7 @@ def lines(spark, sf):
 @query("j11_part_pairs", PART_PAIRS + """ SELECT a, b, round(r, 6) AS r, n FROM p WHERE abs(r) >= 0.9""")
 def j11_part_pairs(spark, sf):
     """Pairs of all parts that move together over the suppliers that sell both."""
-    return rounded(co.all_pair_correlations(measurements(spark, sf), [], "sample", "feature", "value", least_n=5, least_r=0.9), "r")
+    return rounded(co.all_pair_correlations(lines(spark, sf), [], "sample", "feature", "value", least_n=5, least_r=0.9), "r")
 
 
 @query("t24_part_pairs_by_strength", PART_PAIRS + """ SELECT CASE WHEN abs(round(r, 9)) >= 0.7 THEN 'Strong' WHEN abs(round(r, 9)) >= 0.3 THEN 'Moderate' ELSE 'Weak' END AS strength, count(*) AS pairs, round(avg(r), 6) AS mean_r
