@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,12 @@ ROW_LISTS = 64
 GROUP_CHUNK = 1000
 #: Ancestors of more groups than this are carried as dense vectors, so many of them at most.
 HOT_GROUPS, HOT_ANCESTORS = 64, 256
+#: Labels dealt without ordering the members: groups that there may be, and numbers for all groups and draws.
+DEALT_GROUPS, DEALT_NUMBERS = 4096, 4_000_000
+#: Leading bits of a draw's keys that are counted, members (or pairs) of one task, pairs and sums looked at at once.
+KEY_BITS, TASK_NODES, TASK_PAIRS, BLOCK_PAIRS, BLOCK_SUMS = 16, 500_000, 1_000_000, 65_536, 262_144
+#: An ancestor of more of a task's members than this is added up there; the others' pairs travel.
+HOT_MEMBERS = 65_536
 
 
 def edges_of(terms: DataFrame, key: str, relations: dict[str, str]) -> DataFrame:
@@ -526,16 +535,13 @@ def significant(tests: DataFrame, p: str = "p_value", alpha: float = 0.05) -> Da
     return tests.withColumn("significant", F.coalesce(F.col(p) < alpha, F.lit(False)))
 
 
-def permutation_test(members: DataFrame, pairs: DataFrame, permutations: int = 99, seed: int = 42) -> DataFrame:
-    """One row ``(intra, permutations, as_high, p_value)``: how often labels dealt at random make groups as alike as theirs.
+def _sums_by_position(known: DataFrame, pairs: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """``(draw, group, n, placed, norm)``: members, those with ancestors, and the square of their unit vectors' sum; draw 0 has the members' own labels.
 
-    Each permutation orders the members by a seeded hash and deals the labels
-    out in that order, so group sizes stay.  All permutations are labels of
-    one aggregation over the members' ancestors.  Tables as long as the members
-    are merged: a written table looks small enough for the driver to send, as
-    its files are compressed.
+    All permutations are labels of one aggregation over the members' ancestors.
+    Tables as long as the members are merged: a written table looks small
+    enough for the driver to send, as its files are compressed.
     """
-    known = cut(members.select("group", "node"))
     labels = running(known.withColumn("_all", F.lit(0)), ["_all"], [F.col("group"), F.col("node")], position="_at").select("_at", "group")
     drawn = known.select("node", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("draw")).withColumn(
         "_key", F.xxhash64("node", "draw", F.lit(seed)))
@@ -547,8 +553,233 @@ def permutation_test(members: DataFrame, pairs: DataFrame, permutations: int = 9
     sums = every.join(weighed.hint("merge"), "node").groupBy(*keys, "ancestor").agg(F.sum(1 / F.sqrt("_n")).alias("s")).groupBy(*keys).agg(
         F.sum(F.col("s") * F.col("s")).alias("norm"))
     totals = every.join(sizes.hint("merge"), "node", "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count("_n").alias("placed"))
+    return totals.join(sums, keys, "left")
+
+
+def draw_keys(hashed: np.ndarray, draw: int, seed: int) -> np.ndarray:
+    """``xxhash64(node, draw, seed)`` out of ``xxhash64(node)`` (as unsigned numbers), so that a key costs no row."""
+    p1, p2, p3, p5 = (np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    key = hashed.copy()
+    for number in (draw, seed):
+        key += p5 + np.uint64(4)
+        key ^= np.uint64((number & 0xFFFFFFFF) * int(p1) & 0xFFFFFFFFFFFFFFFF)
+        key = (key << np.uint64(23)) | (key >> np.uint64(41))
+        key *= p2
+        key += p3
+        key ^= key >> np.uint64(33)
+        key *= p2
+        key ^= key >> np.uint64(29)
+        key *= p3
+        key ^= key >> np.uint64(32)
+    return key.view(np.int64)
+
+
+def key_bins(keys: np.ndarray) -> np.ndarray:
+    return (keys >> (64 - KEY_BITS)) + (1 << (KEY_BITS - 1))
+
+
+def _cuts(hashed: DataFrame, ends: np.ndarray, permutations: int, seed: int) -> np.ndarray | None:
+    """The least key of each label but the first, (draws, labels - 1), for ``ends``: where labels end in a draw's order of keys.
+
+    Keys are counted by their leading bits; of those in whose run a label ends
+    the keys themselves are ordered.  None if a label ends between equal keys.
+    """
+    spark, bins = hashed.sparkSession, 1 << KEY_BITS
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = "draw int, bytes binary"
+
+    def row(draw: int, values: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([draw], pa.int32()), pa.array([values.tobytes()], pa.binary())], names=["draw", "bytes"])
+
+    def each_draw(batches):
+        parts = [b.column(0).to_numpy() for b in batches if b.num_rows]
+        if parts:
+            all_of = np.concatenate(parts).view(np.uint64)
+            for draw in range(1, permutations + 1):
+                yield draw, draw_keys(all_of, draw, seed)
+
+    def by_draw(batches):
+        held = {}
+        for batch in batches:
+            for draw, values in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held.setdefault(draw, []).append(np.frombuffer(values.as_py(), np.int64))
+        return held.items()
+
+    def count(batches):
+        for draw, keys in each_draw(batches):
+            yield row(draw, np.bincount(key_bins(keys), minlength=bins))
+
+    def place(batches):
+        for draw, counts in by_draw(batches):
+            upto = np.cumsum(np.sum(counts, axis=0))
+            at = np.searchsorted(upto, ends, side="right")  # the bin with the first key after the end
+            yield row(draw, np.concatenate([at, ends - np.where(at > 0, upto[at - 1], 0)]))
+
+    counted = hashed.mapInArrow(count, schema).repartition(parts, "draw").mapInArrow(place, schema).toArrow()
+    placed = np.zeros((permutations, 2, len(ends)), np.int64)
+    for draw, values in zip(counted.column(0).to_pylist(), counted.column(1)):
+        placed[draw - 1] = np.frombuffer(values.as_py(), np.int64).reshape(2, -1)
+
+    def pick(batches):
+        for draw, keys in each_draw(batches):
+            wanted = np.zeros(bins, bool)
+            wanted[placed[draw - 1, 0]] = True
+            yield row(draw, keys[wanted[key_bins(keys)]])
+
+    def cut_at(batches):
+        for draw, picked in by_draw(batches):
+            keys = np.sort(np.concatenate(picked))
+            first = np.searchsorted(key_bins(keys), placed[draw - 1, 0])
+            at = first + placed[draw - 1, 1]
+            apart = np.all((at == 0) | (keys[at] != keys[np.maximum(at - 1, 0)]))
+            yield row(draw, np.append(keys[at], int(apart)))
+
+    out = hashed.mapInArrow(pick, schema).repartition(parts, "draw").mapInArrow(cut_at, schema).toArrow()
+    cuts, apart = np.zeros((permutations, len(ends)), np.int64), True
+    for draw, values in zip(out.column(0).to_pylist(), out.column(1)):
+        values = np.frombuffer(values.as_py(), np.int64)
+        cuts[draw - 1], apart = values[:-1], apart and bool(values[-1])
+    return cuts if apart else None
+
+
+def _sums_by_cuts(known: DataFrame, lists: DataFrame, sizes: pa.Table, permutations: int, seed: int) -> DataFrame | None:
+    """``_sums_by_position`` for few groups, without a row for each member and draw.
+
+    A draw is known by the keys at which its labels end, so a task works out
+    the labels of its members itself.  Pairs travel once, to their ancestor,
+    and are added up there draw by draw; ancestors of very many members are
+    added up before.  None where equal keys leave a label open.
+    """
+    spark, n_of = known.sparkSession, sizes.column("n").to_numpy()
+    groups, members = len(n_of), int(n_of.sum())
+    if not groups or permutations < 1:
+        return None
+    tasks = 1 + members // TASK_NODES
+    hashed = cut(known.select(F.xxhash64("node").alias("h")).repartition(tasks))
+    cuts = _cuts(hashed, np.cumsum(n_of)[:-1], permutations, seed)
+    if cuts is None:
+        return None
+    sent = spark.sparkContext.broadcast(cuts)
+    names = sizes.column("group").combine_chunks()
+    own = known.withColumn("h", F.xxhash64("node")).repartition(tasks, "node").join(lists.repartition(tasks, "node").hint("merge"), "node").select("h", "group", "ancestors")
+    key_type = lists.schema["ancestors"].dataType.elementType.simpleString()
+    travelling = f"ancestor {key_type}, h long, g int, n int, sums binary"
+    draws, bins, unsure = permutations + 1, 1 << KEY_BITS, groups
+
+    def label_table():
+        """Of each draw the label of each run of keys; ``unsure`` where a label ends in it."""
+        table = np.zeros((draws, bins), np.int32)
+        for draw in range(1, draws):
+            ends = sent.value[draw - 1]
+            at = key_bins(ends)
+            table[draw] = np.searchsorted(at, np.arange(bins), side="left")
+            table[draw][at] = unsure
+        return table
+
+    def labels(table, draw: int, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+        if not draw:
+            return g
+        keys = draw_keys(h, draw, seed)
+        out = table[draw][key_bins(keys)]
+        open_ = np.flatnonzero(out == unsure)
+        out[open_] = np.searchsorted(sent.value[draw - 1], keys[open_], side="right")
+        return out
+
+    def own_pairs(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        data, table = pa.Table.from_batches(batches).combine_chunks(), label_table()
+        h, g = data.column("h").to_numpy().view(np.uint64), pc.index_in(data.column("group"), value_set=names).to_numpy()
+        lists = data.column("ancestors").combine_chunks()
+        n = lists.value_lengths().to_numpy().astype(np.int32)
+        every = lists.flatten()
+        row = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        there = n > 0
+        placed = np.array([np.bincount(labels(table, draw, h, g)[there], minlength=groups) for draw in range(draws)], np.float64)
+        yield travel(pa.nulls(1, every.type), [None], [None], [None], [placed.tobytes()])
+        coded = every.dictionary_encode()
+        of = coded.indices.to_numpy()
+        held = np.bincount(of, minlength=len(coded.dictionary))
+        for hot in np.flatnonzero(held > HOT_MEMBERS):
+            mine = row[of == hot]
+            weights = 1 / np.sqrt(n[mine])
+            sums = np.array([np.bincount(labels(table, draw, h[mine], g[mine]), weights, groups) for draw in range(draws)])
+            yield travel(coded.dictionary.slice(int(hot), 1), [None], [None], [None], [sums.tobytes()])
+        rest = np.flatnonzero(held[of] <= HOT_MEMBERS)
+        for start in range(0, len(rest), TASK_PAIRS):
+            some = rest[start:start + TASK_PAIRS]
+            at = row[some]
+            yield travel(every.take(pa.array(some)), h[at].view(np.int64), g[at], n[at], pa.nulls(len(some), pa.binary()))
+
+    def travel(ancestor, h, g, n, sums) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ancestor, pa.array(h, pa.int64()), pa.array(g, pa.int32()), pa.array(n, pa.int32()), sums if isinstance(sums, pa.Array) else pa.array(sums, pa.binary())],
+                                          names=["ancestor", "h", "g", "n", "sums"])
+
+    def add_up(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        data, table = pa.Table.from_batches(batches), label_table()
+        norm, placed, added = np.zeros((draws, groups)), np.zeros((draws, groups)), {}
+        of = data.column("ancestor").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        whole = data.column("sums").is_valid().to_numpy()
+        for k in np.flatnonzero(whole):
+            sums = np.frombuffer(data.column("sums")[int(k)].as_py()).reshape(draws, groups)
+            if of[k] < 0:
+                placed += sums
+            else:
+                added[of[k]] = added.get(of[k], 0) + sums
+        each = np.flatnonzero(~whole)
+        each = each[np.argsort(of[each], kind="stable")]
+        of = of[each]
+        h, g, n = (data.column(c).fill_null(0).to_numpy()[each] for c in ("h", "g", "n"))
+        h, weights = h.view(np.uint64), 1 / np.sqrt(np.maximum(n, 1))
+        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, int)
+        ends = np.append(starts[1:], len(of))
+        first = 0
+        while first < len(starts):
+            last = int(np.searchsorted(ends, starts[first] + BLOCK_PAIRS, side="right"))
+            last = max(first + 1, min(last, first + max(1, BLOCK_SUMS // groups)))
+            some = slice(starts[first], ends[last - 1])
+            place = np.repeat(np.arange(last - first) * groups, ends[first:last] - starts[first:last])
+            more = [(k, added.pop(of[starts[first + k]])) for k in range(last - first) if of[starts[first + k]] in added]
+            for draw in range(draws):
+                sums = np.bincount(place + labels(table, draw, h[some], g[some]), weights[some], (last - first) * groups).reshape(-1, groups)
+                for k, extra in more:
+                    sums[k] += extra[draw]
+                norm[draw] += np.einsum("ij,ij->j", sums, sums)
+            first = last
+        for sums in added.values():
+            norm += sums * sums
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(draws, dtype=np.int32), groups)), pa.array(np.tile(np.arange(groups, dtype=np.int32), draws)),
+                                          pa.array(np.tile(n_of, draws)), pa.array(placed.ravel()), pa.array(norm.ravel())], names=["draw", "group", "n", "placed", "norm"])
+
+    pairs = lists.agg(F.sum(F.size("ancestors").cast("long"))).first()[0] or 0
+    parts = own.mapInArrow(own_pairs, travelling).repartition(1 + pairs // TASK_PAIRS, "ancestor").mapInArrow(
+        add_up, "draw int, group int, n long, placed double, norm double")
+    # groups of which no member has an ancestor
+    none = spark.createDataFrame(pa.table({"draw": np.repeat(np.arange(draws, dtype=np.int32), groups), "group": np.tile(np.arange(groups, dtype=np.int32), draws),
+                                           "n": np.tile(n_of, draws), "placed": np.zeros(draws * groups), "norm": np.zeros(draws * groups)}))
+    return parts.unionByName(none).groupBy("draw", "group").agg(F.max("n").alias("n"), F.sum("placed").alias("placed"), F.sum("norm").alias("norm"))
+
+
+def permutation_test(members: DataFrame, pairs: DataFrame, permutations: int = 99, seed: int = 42) -> DataFrame:
+    """One row ``(intra, permutations, as_high, p_value)``: how often labels dealt at random make groups as alike as theirs.
+
+    Each permutation orders the members by a seeded hash and deals the labels
+    out in that order, so group sizes stay.  ``pairs`` may be the closure's lists.
+    """
+    known = cut(members.select("group", "node"))
+    sizes = known.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    groups = sizes.count()
+    rows = None
+    if groups <= DEALT_GROUPS and groups * (permutations + 1) <= DEALT_NUMBERS and known.agg(F.count(F.lit(1)) == F.count_distinct("node")).first()[0]:
+        rows = _sums_by_cuts(known, _whole(pairs), sizes.orderBy("group").toArrow(), permutations, seed)
+    if rows is None:
+        rows = _sums_by_position(known, pairs if "ancestor" in pairs.columns else unpacked(pairs), permutations, seed)
     alike = (F.coalesce("norm", F.lit(0.0)) - F.col("placed")) / (F.col("n") * (F.col("n") - 1))
-    means = cut(totals.filter("n > 1").join(sums, keys, "left").groupBy("draw").agg(F.avg(alike).alias("intra")))
+    means = cut(rows.filter("n > 1").groupBy("draw").agg(F.avg(alike).alias("intra")))
     own = means.filter("draw = 0").select(F.col("intra").alias("_own"))
     # rounding keeps equal means equal whatever the order of the sums
     as_high = F.count_if((F.col("draw") > 0) & (F.round("intra", 10) >= F.round("_own", 10)))

@@ -273,3 +273,21 @@ def test_overlaps_meet_in_bounded_tasks(spark, monkeypatch, task):
         want = 1.0 if a == b else max(depth[c] for c in both) / most if both and most else 0.0
         assert r.depth == pytest.approx(want)
         assert r.jaccard == pytest.approx(1.0 if a == b else len(both) / len(up[a] | up[b]) if both else 0.0)
+
+
+@pytest.mark.parametrize("hot", [65_536, 20])
+def test_labels_dealt_by_cuts_are_those_dealt_by_position(spark, monkeypatch, hot):
+    monkeypatch.setattr(gr, "HOT_MEMBERS", hot)
+    for name in ("TASK_NODES", "TASK_PAIRS", "BLOCK_PAIRS", "BLOCK_SUMS"):
+        monkeypatch.setattr(gr, name, 150)
+    edges = spark.createDataFrame([(f"n{k}", f"n{k // d}") for k in range(2, 400) for d in (2, 3) if k >= d], "child string, parent string").distinct()
+    members = cut(spark.createDataFrame([(f"g{k * k % 7}", f"n{k}") for k in range(1, 420)] + [("alone", "x")], "group string, node string"))  # some have no ancestor
+    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("n")).orderBy("group").toArrow()
+    lists = gr.ancestor_lists(edges)
+    by_cuts = {(r.draw, names[r.group]): r for names in [sizes.column("group").to_pylist()] for r in gr._sums_by_cuts(members, lists, sizes, 30, 42).collect()}
+    by_position = gr._sums_by_position(members, gr.unpacked(lists), 30, 42).collect()
+    assert len(by_cuts) == len(by_position) == 31 * sizes.num_rows
+    for r in by_position:
+        got = by_cuts[r.draw, r.group]
+        assert (got.n, got.placed) == (r.n, r.placed) and got.norm == pytest.approx(r.norm or 0.0)
+    assert [tuple(r) for r in gr.permutation_test(members, lists, 30).collect()] == [tuple(r) for r in gr.permutation_test(members, gr.closure(edges), 30).collect()]
