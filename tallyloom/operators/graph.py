@@ -287,7 +287,7 @@ def depths(edges: DataFrame, pairs: DataFrame | None = None, layered: tuple | No
 def intrinsic_information(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """-ln of the share of descendants (self included) of the largest such count."""
     below = pairs.groupBy(F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("_n"))
-    sized = cut(nodes.join(below, "node", "left").select("node", (F.coalesce("_n", F.lit(0)) + 1).alias("descendants")))
+    sized = cut(nodes.join(below.hint("merge"), "node", "left").select("node", (F.coalesce("_n", F.lit(0)) + 1).alias("descendants")))
     most = sized.agg(F.max("descendants")).first()[0]
     return sized.withColumn("ic", -F.ln(F.col("descendants") / F.lit(most)))
 
@@ -331,28 +331,47 @@ def _guarded(condition: Column, value: Column) -> Column:
     return F.when(F.col("a") == F.col("b"), 1.0).when((F.col("_common") > 0) & condition, value).otherwise(0.0)
 
 
-def similarities(node_pairs: DataFrame, pairs: DataFrame, information: DataFrame, depth: DataFrame) -> DataFrame:
+def similarities(node_pairs: DataFrame, pairs: DataFrame, information: DataFrame, depth: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """Resnik, Lin, Jiang, depth and Jaccard similarity of each pair, every
     node counting as its own ancestor.
 
     Information falls towards the root, so its maximum over all common
     ancestors is the one over the lowest; depth needs the lowest themselves.
+    ``pairs`` may be the closure's lists; without distances they need the ``edges``.
+    No table as long as the nodes is sent: a written one looks small enough, as its files are compressed.
     """
-    upward = with_self(pairs, information)
-    common = cut(common_ancestors(node_pairs, upward))
-    lowest = lowest_common_ancestors(common, pairs)
+    if edges is None:
+        edges = pairs.filter("distance = 1").select(F.col("node").alias("child"), F.col("ancestor").alias("parent"))
+    own = cut(_whole(pairs)) if "ancestor" in pairs.columns else _whole(pairs)
+    node_pairs = cut(node_pairs)
+    of_nodes, of_pairs = 1 + information.count() // LIST_EDGES, 1 + node_pairs.count() // LIST_EDGES
+    by_node = lambda df: df.repartition(of_nodes, "node").hint("merge")
+    known = by_node(information.select("node", "ic")).join(by_node(depth), "node")
+    every = F.concat(F.array("node"), F.coalesce("ancestors", F.array().cast(own.schema["ancestors"].dataType)))
+    side = known.join(by_node(own), "node", "left").withColumn("_all", every)
+    end = lambda s: side.select(F.col("node").alias(s), F.col("ic").alias(f"_ic_{s}"), F.col("depth").alias(f"_d_{s}"),
+                                F.col("_all").alias(f"_all_{s}")).repartition(of_pairs, s).hint("merge")
+    # a node's list travels to its pair whole; only what both have is unpacked
+    met = cut(node_pairs.repartition(of_pairs, "a").join(end("a"), "a").repartition(of_pairs, "b").join(end("b"), "b").select(
+        "a", "b", "_ic_a", "_ic_b", "_d_a", "_d_b", F.size("_all_a").alias("_n_a"), F.size("_all_b").alias("_n_b"), F.array_intersect("_all_a", "_all_b").alias("_both")))
     largest = information.agg(F.max("ic")).first()[0]
-    ic = information.select(F.col("node").alias("ancestor"), "ic")
-    dp = depth.select(F.col("node").alias("ancestor"), "depth")
-    by_common = common.join(ic, "ancestor", "left").groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("_common"), F.max("ic").alias("_ic"))
-    by_lowest = lowest.join(dp, "ancestor", "left").groupBy("a", "b").agg(F.max("depth").alias("_low"))
-    sizes = upward.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    side = information.select("node", "ic").join(depth, "node").join(sizes, "node")
-    own = lambda s: side.select(F.col("node").alias(s), F.col("ic").alias(f"_ic_{s}"), F.col("depth").alias(f"_d_{s}"),
-                                F.col("n").alias(f"_n_{s}"))
-    rows = node_pairs.join(own("a"), "a").join(own("b"), "b").join(by_common, ["a", "b"], "left").join(
-        by_lowest, ["a", "b"], "left").fillna(0, ["_common", "_ic", "_low"])
+    parents = edges.groupBy(F.col("child").alias("node")).agg(F.collect_set("parent").alias("_up"))
+    values = cut(known.join(by_node(parents), "node", "left").select(F.col("node").alias("ancestor"), "ic", "depth", "_up"))
+    each = met.select("a", "b", F.explode("_both").alias("ancestor"))
+    held = cut(each.groupBy("ancestor").agg(F.count(F.lit(1)).alias("_n")))
+    tasks = 1 + (held.agg(F.sum("_n")).first()[0] or 0) // TASK_EDGES
+    # ancestors that would fill a task alone are fewer than tasks: what is known of them is sent, only the others are joined
+    hot = cut(held.filter(F.col("_n") > TASK_EDGES).select("ancestor").hint("merge").join(values, "ancestor").select("ancestor", F.struct("ic", "depth", "_up").alias("_hot")))
+    split = each.join(F.broadcast(hot), "ancestor", "left")
+    cold = split.filter("_hot IS NULL").select("a", "b", "ancestor").repartition(tasks, "ancestor").join(
+        values.repartition(tasks, "ancestor").hint("merge"), "ancestor").select("a", "b", "ancestor", "ic", "depth", "_up")
+    common = split.filter("_hot IS NOT NULL").select("a", "b", "ancestor", "_hot.*").unionByName(cold)
+    # all ancestors of a common one are common too, so one that has others below it has one of them as a child
+    by_pair = common.repartition(tasks, "a", "b").groupBy("a", "b").agg(
+        F.max("ic").alias("_ic"), F.collect_list(F.struct("ancestor", "depth")).alias("_each"), F.flatten(F.collect_list("_up")).alias("_higher")).withColumn(
+        "_lowest", F.array_except(F.transform("_each", lambda e: e["ancestor"]), "_higher")).select(
+        "a", "b", "_ic", F.array_max(F.transform(F.filter("_each", lambda e: F.array_contains("_lowest", e["ancestor"])), lambda e: e["depth"])).alias("_low"))
+    rows = met.repartition(tasks, "a", "b").join(by_pair.hint("merge"), ["a", "b"], "left").withColumn("_common", F.size("_both")).fillna(0, ["_ic", "_low"])
     ic_sum, deepest = F.col("_ic_a") + F.col("_ic_b"), F.greatest("_d_a", "_d_b")
     total = F.col("_n_a") + F.col("_n_b")
     return rows.select(

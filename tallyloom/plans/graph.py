@@ -148,8 +148,11 @@ MEASURES = ["resnik", "lin", "jiang", "depth", "jaccard"]
 
 @query("d9_similarities", f"WITH {COMMON}, {SIM} SELECT a, b, {', '.join(f'round({m}, 6) + 0 AS {m}' for m in MEASURES)} FROM sim")
 def d9_similarities(spark, sf):
-    _, pairs, information, depth = written(spark, sf)
-    out = gr.similarities(node_pairs(spark, sf), pairs, information, depth)
+    e = cut(edges(spark, sf))
+    layered = gr.layers(e)
+    lists = gr.ancestor_lists(e, layered)
+    information = cut(gr.intrinsic_information(gr.nodes_of(e), gr.unpacked(lists)))
+    out = gr.similarities(node_pairs(spark, sf), lists, information, cut(gr.depths(e, layered=layered)), e)
     return out.select("a", "b", *[(F.round(m, 6) + 0).alias(m) for m in MEASURES])
 
 

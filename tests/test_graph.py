@@ -291,3 +291,39 @@ def test_labels_dealt_by_cuts_are_those_dealt_by_position(spark, monkeypatch, ho
         got = by_cuts[r.draw, r.group]
         assert (got.n, got.placed) == (r.n, r.placed) and got.norm == pytest.approx(r.norm or 0.0)
     assert [tuple(r) for r in gr.permutation_test(members, lists, 30).collect()] == [tuple(r) for r in gr.permutation_test(members, gr.closure(edges), 30).collect()]
+
+
+@pytest.mark.parametrize("task", [500_000, 20])
+def test_similarities_send_no_table_of_nodes(spark, monkeypatch, task):
+    edges = cut(spark.createDataFrame([(k, k // d) for k in range(2, 200) for d in (2, 3) if k >= d], "child int, parent int").distinct())
+    asked = cut(spark.createDataFrame([(k, k * 7 % 199 + 1) for k in range(1, 200)], "a int, b int"))
+    pairs = cut(gr.closure(edges))
+    info = cut(gr.intrinsic_information(gr.nodes_of(edges), pairs))
+    depth = cut(gr.depths(edges))
+    up, plans = {}, []
+    for r in pairs.collect():
+        up.setdefault(r.node, {r.node}).add(r.ancestor)
+    above = {}
+    for r in edges.collect():
+        above.setdefault(r.child, set()).add(r.parent)
+    deep = {r.node: r.depth for r in depth.collect()}
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(gr, "cut", kept)
+    monkeypatch.setattr(gr, "TASK_EDGES", task)
+    monkeypatch.setattr(gr, "LIST_EDGES", task)
+    out = gr.similarities(asked, gr.ancestor_lists(edges), info, depth, edges)
+    got = {(r.a, r.b): r for r in out.collect()}
+    whole = {(r.a, r.b): r for r in gr.similarities(asked, pairs, info, depth).collect()}
+    assert len(got) == 199
+    for (a, b), r in got.items():
+        common = up.get(a, {a}) & up.get(b, {b})
+        lowest = common - {p for c in common for p in above.get(c, ())}
+        want = 1.0 if a == b else max(deep[c] for c in lowest) / max(deep[a], deep[b]) if common and max(deep[a], deep[b]) else 0.0
+        assert r.depth == pytest.approx(want) and tuple(r) == pytest.approx(tuple(whole[a, b]))
+    # the only table that is sent holds the ancestors that would fill a task alone
+    last = out._jdf.queryExecution().sparkPlan().toString()
+    assert not [p for p in plans if "BroadcastHashJoin" in p and "_hot" not in p] and last.count("BroadcastHashJoin") <= 2
