@@ -41,7 +41,8 @@ def edges_of(terms: DataFrame, key: str, relations: dict[str, str]) -> DataFrame
     for relation, column in relations.items():
         part = terms.select(F.col(key).alias("child"), F.explode(column).alias("parent"), F.lit(relation).alias("relation"))
         parts = part if parts is None else parts.unionByName(part)
-    return parts.join(terms.select(F.col(key).alias("parent")), "parent", "left_semi").select(
+    # terms are not sent: a compressed file of them looks small enough
+    return parts.join(terms.select(F.col(key).alias("parent")).hint("merge"), "parent", "left_semi").select(
         "child", "parent", "relation").distinct()
 
 

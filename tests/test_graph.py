@@ -327,3 +327,9 @@ def test_similarities_send_no_table_of_nodes(spark, monkeypatch, task):
     # the only table that is sent holds the ancestors that would fill a task alone
     last = out._jdf.queryExecution().sparkPlan().toString()
     assert not [p for p in plans if "BroadcastHashJoin" in p and "_hot" not in p] and last.count("BroadcastHashJoin") <= 2
+
+
+def test_terms_are_not_sent_to_find_edges(spark):
+    terms = cut(spark.createDataFrame([(k, [k // 2]) for k in range(1, 200)], "id int, is_a array<int>"))
+    edges = gr.edges_of(terms, "id", {"is_a": "is_a"})
+    assert "BroadcastHashJoin" not in edges._jdf.queryExecution().sparkPlan().toString() and edges.count() == 198
